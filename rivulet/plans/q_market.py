@@ -176,3 +176,157 @@ def q_last_n(spark, sf_dir):
 def q_fill_volume(spark, sf_dir):
     """Backward-then-forward fill of volume within each symbol."""
     return ind.fill_volume(V.ticks(spark, sf_dir)).select("symbol", "timestamp", "seq", "price", "volume")
+
+
+# ---------------------------------------------------------------------------
+# Gold table, reads and charts
+# ---------------------------------------------------------------------------
+
+from rivulet.operators import gold as G  # noqa: E402
+from rivulet.operators import window_state as WS  # noqa: E402
+
+GOLD_OUT = ["timestamp", "symbol", "price", "volume", "seq", "SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"]
+
+
+def _gold_ctes(source: str):
+    return indicator_ctes(source) + [
+        ("gold", """SELECT date_trunc('second', timestamp) AS timestamp, symbol, price, volume, seq,
+                      SMA_5, SMA_20, RSI, MACD, MACD_Signal
+                    FROM (SELECT *, row_number() OVER (PARTITION BY symbol, date_trunc('second', timestamp)
+                                                       ORDER BY seq DESC) AS rn FROM ind) WHERE rn = 1""")]
+
+
+def _gold(spark, sf_dir, by="event"):
+    return G.gold_latest(ind.indicators(V.ticks(spark, sf_dir, by=by)))
+
+
+@register("gold_latest", with_views(["ticks"], f"SELECT {_ind_select(GOLD_OUT)} FROM gold", extra=_gold_ctes("ticks")))
+def q_gold_latest(spark, sf_dir):
+    """Gold table keyed (symbol, second): the last inserted tick of each second wins."""
+    return _gold(spark, sf_dir).select(*GOLD_OUT)
+
+
+_REQ = """SELECT ticker, upper(COALESCE(NULLIF(ticker, ''), '')) AS ticker_norm,
+            CASE WHEN "limit" BETWEEN 1 AND 30 THEN "limit" ELSE 30 END AS limit_norm,
+            CASE WHEN action = 'get_indicators' THEN 'get_indicators' ELSE 'get_prices' END AS action_norm,
+            "limit", action
+          FROM requests"""
+
+
+def _latest_sql(cols_sql: str) -> str:
+    return with_views(["ticks_by_user", "requests"], f"""
+        SELECT ticker, rank, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, {cols_sql}
+        FROM (SELECT r.ticker, r.limit_norm, g.*,
+                     row_number() OVER (PARTITION BY r.ticker ORDER BY g.timestamp DESC, g.symbol) AS rank
+              FROM req r JOIN gold g ON starts_with(g.symbol, r.ticker_norm))
+        WHERE rank <= limit_norm""", extra=_gold_ctes("ticks_by_user") + [("req", _REQ)])
+
+
+@register("clamp_requests", with_views(["ticks_by_user", "requests"],
+                                        "SELECT ticker, \"limit\", action, ticker_norm, limit_norm, action_norm FROM req",
+                                        extra=[("req", _REQ)]))
+def q_clamp_requests(spark, sf_dir):
+    """Request parameters clamped: limit outside 1..30 -> 30, action normalised, ticker upper-cased."""
+    return G.clamp_requests(V.requests(spark, sf_dir)).select(
+        "ticker", "limit", "action", "ticker_norm", "limit_norm", "action_norm")
+
+
+@register("latest_prices", _latest_sql("symbol, " + ", ".join(rep_d(c) + f" AS {c}" for c in ("price", "volume"))))
+def q_latest_prices(spark, sf_dir):
+    """Newest N price rows per request, symbol = ticker or ticker prefix, newest first."""
+    return G.latest_prices(_gold(spark, sf_dir, "user"), V.requests(spark, sf_dir))
+
+
+_IND9 = ["price", "volume", "SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"]
+
+
+@register("latest_indicators", _latest_sql("symbol, " + ", ".join(rep_d(c) + f" AS {c}" for c in _IND9)))
+def q_latest_indicators(spark, sf_dir):
+    """Newest N indicator rows per request (9 gold columns)."""
+    return G.latest_indicators(_gold(spark, sf_dir, "user"), V.requests(spark, sf_dir))
+
+
+def _chart_sql() -> str:
+    modes = "['comprehensive', 'price_sma', 'rsi', 'macd', 'volume']"
+    series = [
+        ("TRUE", "'price'", "price", "price"),
+        ("mode IN ('price_sma', 'comprehensive') AND h5", "'price'", "SMA_5", "SMA_5"),
+        ("mode IN ('price_sma', 'comprehensive') AND h20", "'price'", "SMA_20", "SMA_20"),
+        ("(mode = 'rsi' OR (mode = 'comprehensive' AND hr))", "lower", "RSI", "RSI"),
+        ("(mode = 'rsi' OR (mode = 'comprehensive' AND hr))", "lower", "overbought", "70.0"),
+        ("(mode = 'rsi' OR (mode = 'comprehensive' AND hr))", "lower", "oversold", "30.0"),
+        ("mode = 'macd'", "lower", "MACD", "MACD"),
+        ("mode = 'macd'", "lower", "MACD_Signal", "MACD_Signal"),
+        ("mode = 'macd'", "lower", "MACD_Hist", "MACD - MACD_Signal"),
+        ("(mode = 'volume' OR (mode = 'comprehensive' AND NOT hr))", "lower", "volume", "volume"),
+    ]
+    parts = [f"""SELECT ticker, mode AS chart_mode, {rep_ts('timestamp')} AS timestamp, {panel} AS panel,
+                   '{name}' AS series, {rep_d(val)} AS value FROM rows WHERE {cond}"""
+             for cond, panel, name, val in series]
+    rows = f"""SELECT *, max(CASE WHEN SMA_5 IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY ticker) = 1 AS h5,
+                 max(CASE WHEN SMA_20 IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY ticker) = 1 AS h20,
+                 max(CASE WHEN RSI IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY ticker) = 1 AS hr,
+                 CASE WHEN mode = 'comprehensive' THEN 'lower' ELSE mode END AS lower
+          FROM (SELECT r.ticker, r.mode, g.*,
+                       row_number() OVER (PARTITION BY r.ticker ORDER BY g.timestamp DESC, g.symbol) AS rank
+                FROM creq r JOIN gold g ON starts_with(g.symbol, upper(r.ticker)))
+          WHERE rank <= 30"""
+    creq = f"""SELECT ticker, list_extract({modes}, (ascii(ticker) % 5) + 1) AS mode FROM requests
+               WHERE upper(ticker) NOT IN ('', 'UNKNOWN', 'NONE')"""
+    return with_views(["ticks_by_user", "requests"], "\nUNION ALL\n".join(parts),
+                      extra=_gold_ctes("ticks_by_user") + [("creq", creq), ("rows", rows)])
+
+
+@register("chart_panel", _chart_sql())
+def q_chart_panel(spark, sf_dir):
+    """Chart data per request and mode as long (panel, series, value) rows over the newest 30 rows."""
+    reqs = G.chart_requests(V.requests(spark, sf_dir))
+    return G.chart_panel(_gold(spark, sf_dir, "user"), reqs)
+
+
+# ---------------------------------------------------------------------------
+# Window state across batches
+# ---------------------------------------------------------------------------
+
+CUT = "2024-01-29 00:00:00"
+
+
+def _split(spark, sf_dir):
+    t = ind.clean_ticks(V.ticks(spark, sf_dir))
+    cut = F.lit(CUT).cast("timestamp")
+    return t.filter(F.col("timestamp") < cut), t.filter(F.col("timestamp") >= cut)
+
+
+_STATE = [
+    ("hist", f"SELECT * FROM ticks WHERE price IS NOT NULL AND timestamp < TIMESTAMP '{CUT}'"),
+    ("batch", f"SELECT * FROM ticks WHERE price IS NOT NULL AND timestamp >= TIMESTAMP '{CUT}'"),
+    ("state", """SELECT symbol, timestamp, price, volume, seq FROM (SELECT *, row_number() OVER
+                   (PARTITION BY symbol ORDER BY timestamp DESC, seq DESC) AS rn FROM hist) WHERE rn <= 30"""),
+    ("touched", "SELECT DISTINCT symbol FROM batch"),
+    ("both_rows", """SELECT symbol, timestamp, price, volume, seq, 0 AS src FROM state
+                  WHERE symbol IN (SELECT symbol FROM touched)
+                UNION ALL SELECT symbol, timestamp, price, volume, seq, 1 AS src FROM batch"""),
+    ("dedup", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, timestamp ORDER BY src, seq) AS d
+                 FROM both_rows) WHERE d = 1"""),
+    ("merged", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp DESC, seq DESC)
+                  AS rn FROM dedup) WHERE rn <= 30"""),
+]
+
+
+@register("merge_window", with_views(["ticks"], f"""
+    SELECT symbol, {rep_ts('timestamp')} AS timestamp, {rep_d('price')} AS price, {rep_d('volume')} AS volume, seq,
+           CAST(src AS BIGINT) AS from_batch FROM merged
+    UNION ALL
+    SELECT symbol, {rep_ts('timestamp')}, {rep_d('price')}, {rep_d('volume')}, seq, CAST(0 AS BIGINT) FROM state
+    WHERE symbol NOT IN (SELECT symbol FROM touched)""", extra=_STATE))
+def q_merge_window(spark, sf_dir):
+    """Stored 30-row tail per symbol merged with a new batch: union, keep-first dedup by timestamp, newest 30."""
+    hist, batch = _split(spark, sf_dir)
+    return WS.merge_window(WS.initial_state(hist), batch)
+
+
+@register("enriched_ticks", _ind_sql(IND_COLS, tail=f"WHERE timestamp >= TIMESTAMP '{CUT}'"))
+def q_enriched_ticks(spark, sf_dir):
+    """Indicators for every row of a new batch, looking back through the stored tail only."""
+    hist, batch = _split(spark, sf_dir)
+    return WS.enriched_ticks(WS.initial_state(hist), batch).select(*IND_COLS)
