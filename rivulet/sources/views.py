@@ -60,30 +60,27 @@ def raw_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     t = ticks(spark, sf_dir)
     seq = F.col("seq")
-    ts_micro = F.date_format("timestamp", TS_MICROS)
-    ts_sec = F.date_format("timestamp", TS_SECONDS)
+    # first fault rule that applies (0 = none); the parts below depend on it
+    kind = F.lit(0)
+    for m in (29, 23, 41, 37, 31, 19, 17):
+        kind = F.when(seq % m == 0, F.lit(m)).otherwise(kind)
+    t = t.withColumn("_k", kind)
+    k = F.col("_k")
     price = F.col("price").cast("string")
-    volume = F.col("volume").cast("string")
-
-    def envelope(ts_part: Column, price_part: Column | None) -> Column:
-        fields = [F.lit('"symbol": '), _json_str(F.col("symbol"))]
-        if price_part is not None:
-            fields += [F.lit(', "price": '), price_part]
-        fields += [F.lit(', "volume": '), volume]
-        return F.concat(F.lit("{"), ts_part, F.lit('"data_source": "events", "asset_class": "STOCK", "payload": {'),
-                        *fields, F.lit("}}"))
-
-    with_ts = lambda s: F.concat(F.lit('"ingest_timestamp": '), _json_str(s), F.lit(", "))
-    value = (
-        F.when(seq % 17 == 0, F.concat(F.lit("not-json-"), seq.cast("string")))
-        .when(seq % 19 == 0, envelope(with_ts(ts_micro), None))
-        .when(seq % 31 == 0, envelope(F.lit(""), price))
-        .when(seq % 37 == 0, envelope(with_ts(ts_micro), F.lit('"abc"')))
-        .when(seq % 41 == 0, envelope(with_ts(ts_micro), _json_str(price)))
-        .when(seq % 23 == 0, envelope(with_ts(F.lit("yesterday")), price))
-        .when(seq % 29 == 0, envelope(with_ts(ts_sec), price))
-        .otherwise(envelope(with_ts(ts_micro), price))
-    )
+    ts_value = (F.when(k == 23, F.lit("yesterday"))
+                .when(k == 29, F.date_format("timestamp", TS_SECONDS))
+                .otherwise(F.date_format("timestamp", TS_MICROS)))
+    ts_part = F.when(k == 31, F.lit("")).otherwise(
+        F.concat(F.lit('"ingest_timestamp": '), _json_str(ts_value), F.lit(", ")))
+    price_part = (F.when(k == 19, F.lit(""))
+                  .when(k == 37, F.lit(', "price": "abc"'))
+                  .when(k == 41, F.concat(F.lit(', "price": '), _json_str(price)))
+                  .otherwise(F.concat(F.lit(', "price": '), price)))
+    envelope = F.concat(F.lit("{"), ts_part,
+                        F.lit('"data_source": "events", "asset_class": "STOCK", "payload": {"symbol": '),
+                        _json_str(F.col("symbol")), price_part,
+                        F.lit(', "volume": '), F.col("volume").cast("string"), F.lit("}}"))
+    value = F.when(k == 17, F.concat(F.lit("not-json-"), seq.cast("string"))).otherwise(envelope)
     return t.select(
         F.lit(MARKET_TOPIC).alias("topic"),
         F.pmod(seq, F.lit(MARKET_PARTITIONS)).cast("int").alias("partition"),
