@@ -128,7 +128,26 @@ REQUESTS = """
                    (VALUES (1), (2), (3), (4)) AS t(n)
             UNION ALL SELECT '' UNION ALL SELECT 'UNKNOWN'))"""
 
+ORDER_REPORTS = """
+    SELECT o_orderkey + 1000000000 AS doc_id,
+           'Order report ' || CAST(o_orderkey AS VARCHAR) || '. Status ' || o_orderstatus || ', priority ' ||
+           o_orderpriority || '.' || chr(10) || chr(10) || '| line | part | quantity | price |' || chr(10) ||
+           '|---|---|---|---|' || chr(10) || rows || chr(10) || chr(10) || 'Total price ' ||
+           CAST(o_totalprice AS VARCHAR) || '. Placed on ' || strftime(o_orderdate, '%Y-%m-%d') || '.' AS text,
+           'en' AS lang, 'orders' AS source
+    FROM orders JOIN (
+      SELECT l_orderkey, string_agg('| ' || CAST(l_linenumber AS VARCHAR) || ' | ' || CAST(l_partkey AS VARCHAR) ||
+                                    ' | ' || CAST(l_quantity AS VARCHAR) || ' | ' || CAST(l_extendedprice AS VARCHAR) ||
+                                    ' |', chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rows
+      FROM lineitem GROUP BY l_orderkey) li ON o_orderkey = li.l_orderkey"""
+
+CORPUS = """
+    SELECT doc_id, text, lang, source FROM documents
+    UNION ALL SELECT doc_id, text, lang, source FROM order_reports"""
+
 VIEWS = {
+    "order_reports": ([], ORDER_REPORTS),
+    "corpus": (["order_reports"], CORPUS),
     "ticks": ([], _ticks("event_type")),
     "ticks_by_user": ([], _ticks("CAST(user_id AS VARCHAR)")),
     "raw_market": (["ticks"], RAW_MARKET),

@@ -201,3 +201,39 @@ def requests(spark: SparkSession, sf_dir: str, by: str = "user") -> DataFrame:
         ((F.length(tk) * 7 + F.ascii(tk)) % 35).cast("int").alias("limit"),
         F.when(F.length(tk) % 2 == 0, F.lit("get_indicators")).otherwise(F.lit("get_prices")).alias("action"),
     )
+
+
+REPORT_ID_BASE = 1_000_000_000
+
+
+def order_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report document per order: a sentence, a Markdown table of its line items, a closing sentence.
+
+    Gives the table-preserving chunker real tables; built from ``orders`` and
+    ``lineitem`` (lines are grouped per order, at most a handful each).
+    """
+    li = read_table(spark, sf_dir, "lineitem")
+    o = read_table(spark, sf_dir, "orders")
+    row = F.concat(F.lit("| "), F.col("l_linenumber").cast("string"), F.lit(" | "), F.col("l_partkey").cast("string"),
+                   F.lit(" | "), F.col("l_quantity").cast("string"), F.lit(" | "),
+                   F.col("l_extendedprice").cast("string"), F.lit(" |"))
+    # line numbers repeat within an order in the supplied data: sort on the whole line
+    lines = (li.select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity",
+                                              "l_extendedprice", row.alias("row")).alias("r"))
+             .groupBy("l_orderkey")
+             .agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["row"]), "\n").alias("rows")))
+    text = F.concat(
+        F.lit("Order report "), F.col("o_orderkey").cast("string"), F.lit(". Status "), F.col("o_orderstatus"),
+        F.lit(", priority "), F.col("o_orderpriority"),
+        F.lit(".\n\n| line | part | quantity | price |\n|---|---|---|---|\n"), F.col("rows"),
+        F.lit("\n\nTotal price "), F.col("o_totalprice").cast("string"), F.lit(". Placed on "),
+        F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("."))
+    j = o.join(lines, o["o_orderkey"] == lines["l_orderkey"])
+    return j.select((F.col("o_orderkey") + F.lit(REPORT_ID_BASE)).alias("doc_id"), text.alias("text"),
+                    F.lit("en").alias("lang"), F.lit("orders").alias("source"))
+
+
+def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Supplied documents plus order reports: (doc_id, text, lang, source)."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return d.unionByName(order_reports(spark, sf_dir))
