@@ -145,10 +145,10 @@ def parent_child_chunks(df: DataFrame, text_col: str = "text", parent_size: int
             F.when(k["tail"], F.concat(F.lit("p"), i.cast("string"), F.lit("-tail")))
              .otherwise(F.concat(F.lit("p"), i.cast("string"), F.lit("-c"), (off + j).cast("string")))
              .alias("chunk_hierarchy"),
-            k["text"].alias("_child"), p.alias("_parent")))
+            (off + j).cast("bigint").alias("chunk_no"), k["text"].alias("_child"), p.alias("_parent")))
 
     d = d.select(*keep, "_tables", F.explode(F.flatten(F.transform("_parents", per_parent))).alias("c"))
-    return d.select(*keep, F.col("c.p_idx").cast("bigint").alias("p_idx"), F.col("c.chunk_hierarchy"),
+    return d.select(*keep, F.col("c.p_idx").cast("bigint").alias("p_idx"), F.col("c.chunk_hierarchy"), "c.chunk_no",
                     restore(F.col("c._child"), F.col("_tables")).alias("text"),
                     restore(F.col("c._parent"), F.col("_tables")).alias("parent_text"))
 

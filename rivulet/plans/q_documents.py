@@ -80,7 +80,7 @@ def pc_ctes(source: str, keep: list[str], parent_size: int, child_size: int, sep
                            generate_subscripts(kids, 1) - 1 AS j FROM {tag}_4"""),
         (f"{tag}_chunks", f"""SELECT {k}, p_idx,
               CASE WHEN kid.tail THEN 'p' || p_idx || '-tail' ELSE 'p' || p_idx || '-c' || (off + j) END
-                AS chunk_hierarchy,
+                AS chunk_hierarchy, CAST(off + j AS BIGINT) AS chunk_no,
               {restore_sql('kid.text')} AS text, {restore_sql('parent')} AS parent_text
             FROM {tag}_5"""),
     ]
@@ -129,7 +129,7 @@ def _news_ctes():
                                                 X.PARAGRAPH_SEP)))
 def q_chunk_documents(spark, sf_dir):
     """News path: valid articles -> 'Title/Summary' text -> parent (1200) / child (250) chunks."""
-    return C.chunk_articles(B.news_valid(B.parse_news(V.raw_news(spark, sf_dir))))
+    return C.chunk_articles(B.news_valid(B.parse_news(V.raw_news(spark, sf_dir)))).drop("chunk_no")
 
 
 @register("chunk_lines", with_views(["corpus"], """
@@ -137,7 +137,7 @@ def q_chunk_documents(spark, sf_dir):
                                     extra=pc_ctes("corpus", ["doc_id"], X.PARENT_SIZE, X.CHILD_SIZE, "\n")))
 def q_chunk_lines(spark, sf_dir):
     """Parent/child chunks of all documents with single newlines as paragraph breaks."""
-    return C.parent_child_chunks(V.corpus(spark, sf_dir), sep="\n")
+    return C.parent_child_chunks(V.corpus(spark, sf_dir), sep="\n").drop("chunk_no")
 
 
 _FIXED = ("fx", """SELECT doc_id, CAST(i AS BIGINT) AS c_idx, substring(text, i * 500 + 1, 500) AS text

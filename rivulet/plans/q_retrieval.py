@@ -1 +1,257 @@
-"""Queries (filled in below)."""
+"""Retrieval queries: vectors, dense/sparse top-k, fusion, rerank, contexts, upserts, centroids."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from rivulet.functions import fixed as X
+from rivulet.functions.hashing import uuid5_dns
+from rivulet.operators import chunking as C
+from rivulet.operators import embedding as E
+from rivulet.operators import retrieval as R
+from rivulet.plans.catalog import register
+from rivulet.plans.duck_views import rep_d, tokens_sql, with_views
+from rivulet.plans.q_documents import pc_ctes
+from rivulet.sources import views as V
+from rivulet.sources.tables import read_table
+
+CHUNK_ID_BASE = 100_000
+DIM = E.DENSE_DIM
+
+
+def retrieval_chunks(spark, sf_dir):
+    """Parent/child chunks of the supplied documents as retrieval points."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    ch = C.parent_child_chunks(docs, keep=("doc_id", "source"))
+    return ch.select((F.col("doc_id") * CHUNK_ID_BASE + F.col("chunk_no")).alias("chunk_id"),
+                     "doc_id", "chunk_hierarchy", "text", "parent_text", "source")
+
+
+def retrieval_queries(spark, sf_dir):
+    return V.queries(spark, sf_dir).select("query_id", "query", "expected_subject", "expected_facts")
+
+
+def _bucket_sql(tok: str, n: int) -> str:
+    return f"(('0x' || left(md5({tok}), 8))::BIGINT % {n})"
+
+
+def retrieval_ctes(prefetch: int = X.PREFETCH_K, fused_k: int = X.FUSED_K):
+    """DuckDB twin of ``hybrid_search``: CTEs ch, q, dense, sparse, fused, ranked."""
+    docs = ("rdocs", "SELECT doc_id, source, text FROM documents")
+    return [docs] + pc_ctes("rdocs", ["doc_id", "source"], X.PARENT_SIZE, X.CHILD_SIZE, X.PARAGRAPH_SEP) + [
+        ("ch", f"SELECT doc_id * {CHUNK_ID_BASE} + chunk_no AS chunk_id, doc_id, chunk_hierarchy, text, parent_text, "
+               "source FROM pc_chunks"),
+        ("q", "SELECT query_id, query, expected_subject, expected_facts FROM queries"),
+        ("ctok", f"SELECT chunk_id, unnest({tokens_sql('text')}) AS tok FROM ch"),
+        ("qtok", f"SELECT query_id, unnest({tokens_sql('query')}) AS tok FROM q"),
+        ("cdim", f"SELECT chunk_id, {_bucket_sql('tok', DIM)} AS d, CAST(count(*) AS DOUBLE) AS c FROM ctok GROUP BY ALL"),
+        ("qdim", f"SELECT query_id, {_bucket_sql('tok', DIM)} AS d, CAST(count(*) AS DOUBLE) AS c FROM qtok GROUP BY ALL"),
+        ("cn", "SELECT ch.chunk_id, COALESCE(sum(c * c), 0) AS nn FROM ch LEFT JOIN cdim USING (chunk_id) GROUP BY ALL"),
+        ("qn", "SELECT q.query_id, COALESCE(sum(c * c), 0) AS nn FROM q LEFT JOIN qdim USING (query_id) GROUP BY ALL"),
+        ("dots", "SELECT a.query_id, b.chunk_id, sum(a.c * b.c) AS dot FROM qdim a JOIN cdim b ON a.d = b.d GROUP BY ALL"),
+        ("dense", f"""SELECT * FROM (SELECT query_id, chunk_id, score,
+                        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+                      FROM (SELECT qn.query_id, cn.chunk_id,
+                              CASE WHEN qn.nn > 0 AND cn.nn > 0
+                                   THEN COALESCE(dots.dot, 0) / (sqrt(qn.nn) * sqrt(cn.nn)) ELSE 0.0 END AS score
+                            FROM qn CROSS JOIN cn LEFT JOIN dots ON dots.query_id = qn.query_id
+                                                             AND dots.chunk_id = cn.chunk_id))
+                     WHERE rank <= {prefetch}"""),
+        ("cpost", f"SELECT chunk_id, {_bucket_sql('tok', X.SPARSE_BUCKETS)} AS idx, CAST(count(*) AS DOUBLE) AS w "
+                  "FROM ctok GROUP BY ALL"),
+        ("qpost", f"SELECT query_id, {_bucket_sql('tok', X.SPARSE_BUCKETS)} AS idx, CAST(count(*) AS DOUBLE) AS w "
+                  "FROM qtok GROUP BY ALL"),
+        ("sparse", f"""SELECT * FROM (SELECT query_id, chunk_id, score,
+                         row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+                       FROM (SELECT a.query_id, b.chunk_id, sum(a.w * b.w) AS score
+                             FROM qpost a JOIN cpost b ON a.idx = b.idx GROUP BY ALL))
+                      WHERE rank <= {prefetch}"""),
+        ("fused", f"""SELECT * FROM (SELECT query_id, chunk_id, score,
+                        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+                      FROM (SELECT query_id, chunk_id, sum(1.0 / ({X.RRF_K}.0 + rank)) AS score
+                            FROM (SELECT query_id, chunk_id, rank FROM dense
+                                  UNION ALL SELECT query_id, chunk_id, rank FROM sparse) GROUP BY ALL))
+                     WHERE rank <= {fused_k}"""),
+        ("ranked", f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_rank)
+                         AS rerank_pos
+                       FROM (SELECT f.query_id, f.chunk_id, f.rank AS fused_rank, q.query, ch.text, ch.parent_text,
+                               ch.source,
+                               CASE WHEN len(list_distinct({tokens_sql('q.query')})) > 0 THEN
+                                 len(list_intersect(list_distinct({tokens_sql('q.query')}),
+                                                    list_distinct({tokens_sql('ch.text')})))
+                                 / len(list_distinct({tokens_sql('q.query')})) ELSE 0.0 END AS rerank_score
+                             FROM fused f JOIN q USING (query_id) JOIN ch USING (chunk_id))"""),
+    ]
+
+
+def contexts_cte(top=None, prefix=X.CONTEXT_PREFIX, limit=X.MAX_CONTEXTS, min_score=X.MIN_RERANK_SCORE,
+                 name="ctx", src="ranked"):
+    conds = ["TRUE"]
+    if top is not None:
+        conds.append(f"rerank_pos <= {top}")
+    if min_score is not None:
+        conds.append(f"rerank_score >= {min_score}")
+    return (name, f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_pos)
+                                                AS context_rank
+                        FROM (SELECT *, row_number() OVER (PARTITION BY query_id, left(parent_text, {prefix})
+                                                           ORDER BY rerank_pos) AS dd
+                              FROM {src} WHERE {' AND '.join(conds)}) WHERE dd = 1)
+                      WHERE context_rank <= {limit}""")
+
+
+def _hybrid(spark, sf_dir, prefetch=X.PREFETCH_K, fused_k=X.FUSED_K):
+    return R.hybrid_search(retrieval_chunks(spark, sf_dir), retrieval_queries(spark, sf_dir), prefetch, fused_k)
+
+
+@register("term_freq", with_views([], f"""
+    SELECT doc_id, tok AS token, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS tok FROM documents)
+    GROUP BY ALL"""))
+def q_term_freq(spark, sf_dir):
+    """Raw term frequency per document (lower-cased, letters and digits only)."""
+    return E.term_freq(read_table(spark, sf_dir, "documents"), "doc_id")
+
+
+@register("sparse_vectors", with_views([], f"""
+    SELECT doc_id, {_bucket_sql('tok', X.SPARSE_BUCKETS)} AS idx, CAST(count(*) AS DOUBLE) AS weight
+    FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS tok FROM documents) GROUP BY ALL"""))
+def q_sparse_vectors(spark, sf_dir):
+    """Hashed term-frequency postings per document; bucket collisions add up."""
+    return E.sparse_postings(read_table(spark, sf_dir, "documents"), "doc_id")
+
+
+@register("sparse_vectors_murmur")
+def q_sparse_vectors_murmur(spark, sf_dir):
+    """Postings with MurmurHash3 (seed 0) buckets, the original numbering (checked in pytest)."""
+    return E.sparse_postings(read_table(spark, sf_dir, "documents"), "doc_id", method="murmur3")
+
+
+@register("encode_chunks", with_views([], "SELECT chunk_id, d AS dim, c AS value FROM cdim",
+                                      extra=retrieval_ctes()[:-9]))
+def q_encode_chunks(spark, sf_dir):
+    """Model-free dense vectors of the retrieval chunks, non-zero dimensions as rows."""
+    v = E.encode(retrieval_chunks(spark, sf_dir).select("chunk_id", "text"))
+    return (v.select("chunk_id", F.posexplode("embedding").alias("dim", "value"))
+            .filter(F.col("value") != 0).withColumn("dim", F.col("dim").cast("bigint")))
+
+
+def _ranked_sql(cte: str) -> str:
+    return with_views(["queries"], f"SELECT query_id, chunk_id, rank, {rep_d('score')} AS score FROM {cte}",
+                      extra=retrieval_ctes())
+
+
+@register("dense_topk", _ranked_sql("dense"))
+def q_dense_topk(spark, sf_dir):
+    """Exact cosine top-10 chunks per benchmark question (hashed count vectors)."""
+    return _hybrid(spark, sf_dir)["dense"]
+
+
+@register("sparse_topk", _ranked_sql("sparse"))
+def q_sparse_topk(spark, sf_dir):
+    """Top-10 chunks per question by hashed term-frequency dot product."""
+    return _hybrid(spark, sf_dir)["sparse"]
+
+
+@register("rrf_fuse", _ranked_sql("fused"))
+def q_rrf_fuse(spark, sf_dir):
+    """Reciprocal-rank fusion (k=60) of the dense and sparse lists, top 10."""
+    return _hybrid(spark, sf_dir)["fused"]
+
+
+@register("rerank", with_views(["queries"], f"""
+    SELECT query_id, chunk_id, fused_rank, rerank_pos, {rep_d('rerank_score')} AS rerank_score FROM ranked""",
+                               extra=retrieval_ctes()))
+def q_rerank(spark, sf_dir):
+    """Fused candidates re-scored by the pair scorer and re-ordered."""
+    return _hybrid(spark, sf_dir)["ranked"].select("query_id", "chunk_id", "fused_rank", "rerank_pos", "rerank_score")
+
+
+@register("rag_contexts", with_views(["queries"], f"""
+    SELECT query_id, context_rank, chunk_id, source, {rep_d('rerank_score')} AS rerank_score,
+           parent_text AS parent_context FROM ctx""", extra=retrieval_ctes() + [contexts_cte()]))
+def q_rag_contexts(spark, sf_dir):
+    """Up to 2 contexts per question: score >= 0.1, distinct by the first 150 characters of the parent."""
+    c = _hybrid(spark, sf_dir)["contexts"]
+    return c.select("query_id", "context_rank", "chunk_id", "source", "rerank_score",
+                    F.col("parent_text").alias("parent_context"))
+
+
+@register("hybrid_search", with_views(["queries"], f"""
+    SELECT q.query_id, CASE WHEN h.query_id IS NULL THEN '{X.NO_HITS_MESSAGE}' ELSE COALESCE(l.context, '') END
+             AS context
+    FROM q LEFT JOIN (SELECT DISTINCT query_id FROM fused) h USING (query_id)
+    LEFT JOIN (SELECT query_id, string_agg(printf('Context: %s (Source: %s | Score: %.2f)', parent_text,
+                                                  COALESCE(source, 'N/A'), rerank_score),
+                                           chr(10) || chr(10) ORDER BY context_rank) AS context
+               FROM ctx GROUP BY query_id) l USING (query_id)""", extra=retrieval_ctes() + [contexts_cte()]))
+def q_hybrid_search(spark, sf_dir):
+    """End-to-end hybrid retrieval per question: the formatted context text handed to synthesis."""
+    return _hybrid(spark, sf_dir)["answers"]
+
+
+@register("upsert_points", with_views(["raw_news"], """
+    SELECT id, source, hierarchy, length(text) AS text_len, length(parent_text) AS parent_len, timestamp
+    FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC) AS rn FROM (
+      SELECT uuid_str AS id, source, chunk_hierarchy AS hierarchy, text, parent_text, timestamp,
+             batch FROM (
+        SELECT *, lower(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+               substr('89ab89ab89ab89ab', CAST(('0x' || substr(h, 17, 1))::BIGINT AS INTEGER) + 1, 1) ||
+               substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS uuid_str
+        FROM (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') ||
+                             encode(source || '_' || chunk_hierarchy || '_' || text)) AS h
+              FROM (SELECT *, 0 AS batch FROM pc_chunks UNION ALL SELECT *, 1 AS batch FROM pc_chunks)))))
+    WHERE rn = 1""", extra=__import__("rivulet.plans.q_documents", fromlist=["x"])._news_ctes() +
+                   [__import__("rivulet.plans.q_documents", fromlist=["x"])._ARTICLES] +
+                   pc_ctes("articles", ["source", "timestamp"], X.PARENT_SIZE, X.CHILD_SIZE, X.PARAGRAPH_SEP)))
+def q_upsert_points(spark, sf_dir):
+    """Chunks upserted as points keyed by a name-based UUID; re-ingesting a batch changes nothing."""
+    from rivulet.operators import bronze as B
+    from rivulet.operators.store import points, upsert
+    chunks = C.chunk_articles(B.news_valid(B.parse_news(V.raw_news(spark, sf_dir))))
+    stored = points(chunks)
+    merged = upsert(stored, points(chunks))
+    return merged.select("id", "source", "hierarchy", F.length("text").alias("text_len"),
+                         F.length("parent_text").alias("parent_len"), "timestamp")
+
+
+_CENTROIDS = [("unit", """SELECT id, label, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(
+                          embedding, lambda y: y * y)))) AS u FROM vectors"""),
+              ("pd", """SELECT label, pos, avg(v) AS v FROM (SELECT label, unnest(u) AS v, generate_subscripts(u, 1) - 1
+                        AS pos FROM unit) GROUP BY ALL"""),
+              ("cent", """SELECT label, pos, v / sqrt(sum(v * v) OVER (PARTITION BY label)) AS v FROM pd""")]
+
+
+@register("intent_centroids", with_views(["vectors"], f"""
+    SELECT label, CAST(pos AS BIGINT) AS dim, {rep_d('v')} AS value FROM cent""", extra=_CENTROIDS))
+def q_intent_centroids(spark, sf_dir):
+    """Per label: mean of unit vectors, L2-normalised (one row per dimension)."""
+    c = E.centroids(V.vectors(spark, sf_dir))
+    return c.select("label", F.posexplode("centroid").alias("dim", "value")).withColumn(
+        "dim", F.col("dim").cast("bigint"))
+
+
+_ROUTE = _CENTROIDS + [
+    ("ue", "SELECT id, label, unnest(u) AS v, generate_subscripts(u, 1) - 1 AS pos FROM unit"),
+    ("sc", """SELECT ue.id, ue.label, c.label AS c_label, sum(ue.v * c.v) AS s
+              FROM ue JOIN cent c ON c.pos = ue.pos GROUP BY ALL"""),
+    ("rk", "SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, c_label) AS r FROM sc"),
+]
+
+
+@register("route_scores", with_views(["vectors"], f"""
+    SELECT id, label, best_label, {rep_d('best_score')} AS best_score, {rep_d('second_score')} AS second_score,
+           best_label = label AS correct
+    FROM (SELECT id, label, CAST(max(CASE WHEN r = 1 THEN c_label END) AS BIGINT) AS best_label,
+                 max(CASE WHEN r = 1 THEN s END) AS best_score, max(CASE WHEN r = 2 THEN s END) AS second_score
+          FROM rk GROUP BY id, label)""", extra=_ROUTE))
+def q_route_scores(spark, sf_dir):
+    """Every vector scored against the label centroids: best label, best and second score."""
+    vec = V.vectors(spark, sf_dir)
+    unit = vec.select("id", "label", E.l2_normalize(F.col("embedding")).alias("embedding"))
+    top2 = R.best_matches(unit, E.centroids(vec), k=2)
+    agg = top2.groupBy("id").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("match_id"))).alias("best_label"),
+        F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("best_score"),
+        F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second_score"))
+    out = agg.join(unit.select("id", "label"), "id")
+    return out.select("id", "label", "best_label", "best_score", "second_score",
+                      (F.col("best_label") == F.col("label")).alias("correct"))

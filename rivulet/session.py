@@ -24,6 +24,10 @@ BASE_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # A union of two children hash-partitioned alike may otherwise report that
+    # partitioning while holding twice the partitions; with AQE coalescing this
+    # fails sort-merge joins downstream ("Can't zip RDDs").  Keep the default.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 
@@ -50,7 +54,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def configure(spark: SparkSession) -> SparkSession:
     """Apply runtime SQL settings to a session we did not build ourselves."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
-              "spark.sql.execution.arrow.pyspark.enabled"):
+              "spark.sql.execution.arrow.pyspark.enabled", "spark.sql.unionOutputPartitioning"):
         try:
             spark.conf.set(k, BASE_CONF[k])
         except Exception:  # static conf on some deployments
