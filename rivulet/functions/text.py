@@ -30,7 +30,10 @@ def _alternation(words) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
-TICKER_PATTERN = r"(?iU)\b(" + "|".join(fixed.TICKERS) + r")\b"
+# word boundaries with Python's meaning of a word character: Unicode letter, digit or underscore
+NOT_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
+NOT_WORD_AFTER = r"(?![\p{L}\p{N}_])"
+TICKER_PATTERN = r"(?i)" + NOT_WORD_BEFORE + "(" + "|".join(fixed.TICKERS) + ")" + NOT_WORD_AFTER
 
 
 def extract_ticker(text) -> Column:
@@ -59,15 +62,20 @@ def chart_mode(text) -> Column:
 def connector_pattern(word_boundaries: bool = True) -> str:
     alt = "|".join(fixed.CONNECTORS)
     if word_boundaries:
-        return r"(?iU)\s*\b(?:" + alt + r")\b\s*"
-    return r"(?iU)\s*(?:" + alt + r")\s*"
+        return r"(?iuU)\s*" + NOT_WORD_BEFORE + "(?:" + alt + ")" + NOT_WORD_AFTER + r"\s*"
+    return r"(?iuU)\s*(?:" + alt + r")\s*"
 
 
 def split_clauses(text, word_boundaries: bool = True) -> Column:
     """Split on connector words, trim, keep pieces longer than 2 chars; else the whole trimmed text."""
-    parts = F.transform(F.split(_c(text), connector_pattern(word_boundaries)), lambda p: F.trim(p))
+    parts = F.transform(F.split(_c(text), connector_pattern(word_boundaries)), strip)
     kept = F.filter(parts, lambda p: F.length(p) > 2)
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array(F.trim(_c(text))))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(strip(_c(text))))
+
+
+def strip(c: Column) -> Column:
+    """Python-style ``str.strip()``: remove leading and trailing whitespace."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def guard_status(text) -> Column:

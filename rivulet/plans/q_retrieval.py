@@ -35,13 +35,16 @@ def _bucket_sql(tok: str, n: int) -> str:
     return f"(('0x' || left(md5({tok}), 8))::BIGINT % {n})"
 
 
-def retrieval_ctes(prefetch: int = X.PREFETCH_K, fused_k: int = X.FUSED_K):
+Q_SQL = "SELECT query_id, query, expected_subject, expected_facts FROM queries"
+
+
+def retrieval_ctes(prefetch: int = X.PREFETCH_K, fused_k: int = X.FUSED_K, q_sql: str = Q_SQL):
     """DuckDB twin of ``hybrid_search``: CTEs ch, q, dense, sparse, fused, ranked."""
     docs = ("rdocs", "SELECT doc_id, source, text FROM documents")
     return [docs] + pc_ctes("rdocs", ["doc_id", "source"], X.PARENT_SIZE, X.CHILD_SIZE, X.PARAGRAPH_SEP) + [
         ("ch", f"SELECT doc_id * {CHUNK_ID_BASE} + chunk_no AS chunk_id, doc_id, chunk_hierarchy, text, parent_text, "
                "source FROM pc_chunks"),
-        ("q", "SELECT query_id, query, expected_subject, expected_facts FROM queries"),
+        ("q", q_sql),
         ("ctok", f"SELECT chunk_id, unnest({tokens_sql('text')}) AS tok FROM ch"),
         ("qtok", f"SELECT query_id, unnest({tokens_sql('query')}) AS tok FROM q"),
         ("cdim", f"SELECT chunk_id, {_bucket_sql('tok', DIM)} AS d, CAST(count(*) AS DOUBLE) AS c FROM ctok GROUP BY ALL"),
