@@ -68,9 +68,12 @@ def newest_per_key(df: DataFrame, n: int, key: str, order: list) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
 
 
-def latest_rows(gold: DataFrame, requests: DataFrame, columns: list, oldest: bool = False) -> DataFrame:
+def latest_rows(gold: DataFrame, requests: DataFrame, columns: list, oldest: bool = False,
+                key: str = "ticker") -> DataFrame:
     """Newest (or oldest) N rows per request across the symbols its ticker matches.
 
+    ``key`` identifies a request (the ticker itself when tickers are unique).
+
     Every request takes at most 30 rows, so each symbol is first cut to its own
     30 newest (oldest) rows - a per-partition group limit before any shuffle -
     and only those meet the requests.
@@ -80,11 +83,12 @@ def latest_rows(gold: DataFrame, requests: DataFrame, columns: list, oldest: boo
     pre = newest_per_key(gold, X.MAX_LIMIT, "symbol", order).drop("_rn")
     symbols = pre.select("symbol").distinct()
     req = clamp_requests(requests)
-    pairs = resolve_tickers(req.select("ticker", "ticker_norm", "limit_norm"), symbols, "ticker_norm")
+    ids = [key] if key == "ticker" else [key, "ticker"]
+    pairs = resolve_tickers(req.select(*ids, "ticker_norm", "limit_norm"), symbols, "ticker_norm")
     joined = pairs.join(pre, "symbol")
-    w = Window.partitionBy("ticker").orderBy(*order)
+    w = Window.partitionBy(key).orderBy(*order)
     ranked = joined.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("limit_norm"))
-    return ranked.select("ticker", "rank", *columns)
+    return ranked.select(*ids, "rank", *columns)
 
 
 def render_seconds(df: DataFrame, col: str = "timestamp") -> DataFrame:
@@ -96,12 +100,12 @@ PRICE_COLS = ["timestamp", "symbol", "price", "volume"]
 INDICATOR_COLS = GOLD_COLS
 
 
-def latest_prices(gold: DataFrame, requests: DataFrame) -> DataFrame:
-    return render_seconds(latest_rows(gold, requests, PRICE_COLS))
+def latest_prices(gold: DataFrame, requests: DataFrame, key: str = "ticker") -> DataFrame:
+    return render_seconds(latest_rows(gold, requests, PRICE_COLS, key=key))
 
 
-def latest_indicators(gold: DataFrame, requests: DataFrame) -> DataFrame:
-    return render_seconds(latest_rows(gold, requests, INDICATOR_COLS))
+def latest_indicators(gold: DataFrame, requests: DataFrame, key: str = "ticker") -> DataFrame:
+    return render_seconds(latest_rows(gold, requests, INDICATOR_COLS, key=key))
 
 
 def chart_requests(requests: DataFrame) -> DataFrame:
