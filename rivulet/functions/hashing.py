@@ -20,8 +20,13 @@ from pyspark.sql.types import LongType
 DNS_NAMESPACE_HEX = "6ba7b8109dad11d180b400c04fd430c8"
 
 
+def md5_prefix(token: Column) -> Column:
+    """First 8 hex digits of md5(token) as a non-negative integer."""
+    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
+
+
 def md5_bucket(token: Column, buckets: int) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint"), F.lit(buckets))
+    return F.pmod(md5_prefix(token), F.lit(buckets))
 
 
 def murmur3_32(data: bytes, seed: int = 0) -> int:

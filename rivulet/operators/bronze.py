@@ -15,6 +15,17 @@ TS_MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 DEFAULT_AS_OF = "2026-01-01 00:00:00.000000"
 
 
+def fence(df: DataFrame) -> DataFrame:
+    """Evaluate every column once per row before any later filter.
+
+    Filters on the valid / dead-letter split would otherwise be pushed below
+    the projection with the JSON parse substituted into the predicate once per
+    reference.  A one-element ``inline`` is a generator, which predicates on its
+    output cannot cross.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def _get(v: Column, path: str, typ: str) -> Column:
     return F.try_variant_get(v, path, typ)
 
@@ -50,13 +61,13 @@ def parse_market(raw: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
            .when(price.isNull() | F.isnan(price), F.lit("bad_price"))
            .when(volume.isNull() | F.isnan(volume), F.lit("bad_volume")))
     ts_str = canonical_ts(ts_raw, as_of)
-    return p.select(
+    return fence(p.select(
         "topic", "partition", "offset", "value", err.alias("error_message"),
         ts_str.alias("ts_str"),
         F.try_to_timestamp(ts_str, F.lit(TS_MICROS)).alias("timestamp"),
         _get(vv, "$.payload.symbol", "string").alias("symbol"),
         price.alias("price"), volume.alias("volume"),
-    )
+    ))
 
 
 def dead_letters(parsed: DataFrame, as_of: str = DEFAULT_AS_OF) -> DataFrame:
@@ -79,13 +90,13 @@ def parse_news(raw: DataFrame) -> DataFrame:
     has_all = _has(vv, "$.payload") & _has(vv, "$.payload.title") & _has(vv, "$.payload.summary") & \
         _has(vv, "$.payload.link")
     err = F.when(vv.isNull(), F.lit("invalid_json")).when(~has_all, F.lit("missing_fields"))
-    return p.select(
+    return fence(p.select(
         "topic", "partition", "offset", "value", err.alias("error_message"),
         _get(vv, "$.ingest_timestamp", "string").alias("ingest_timestamp"),
         _get(vv, "$.payload.title", "string").alias("title"),
         _get(vv, "$.payload.summary", "string").alias("summary"),
         _get(vv, "$.payload.link", "string").alias("link"),
-    )
+    ))
 
 
 def news_valid(parsed: DataFrame) -> DataFrame:
@@ -97,7 +108,7 @@ def normalize_trades(raw_trades: DataFrame) -> DataFrame:
     """Exchange trade message -> market envelope fields (S3); ``data`` wrapper optional."""
     v = F.try_parse_json(F.col("value"))
     d = F.coalesce(F.try_variant_get(v, "$.data", "variant"), v)
-    out = raw_trades.select(
+    out = fence(raw_trades.select(
         "seq",
         F.date_format("timestamp", TS_MICROS).alias("ingest_timestamp"),
         F.lit("exchange_trades").alias("data_source"),
@@ -105,7 +116,7 @@ def normalize_trades(raw_trades: DataFrame) -> DataFrame:
         F.try_variant_get(d, "$.s", "string").alias("symbol"),
         F.try_variant_get(d, "$.p", "double").alias("price"),
         F.try_variant_get(d, "$.q", "double").alias("volume"),
-    )
+    ))
     return out.filter(F.col("symbol").isNotNull() & F.col("price").isNotNull() & F.col("volume").isNotNull())
 
 

@@ -124,10 +124,12 @@ def parent_chunks(df: DataFrame, text_col: str = "text", parent_size: int = X.PA
 
 def parent_child_chunks(df: DataFrame, text_col: str = "text", parent_size: int = X.PARENT_SIZE,
                         child_size: int = X.CHILD_SIZE, sep: str = X.PARAGRAPH_SEP,
-                        keep=("doc_id",)) -> DataFrame:
+                        keep=("doc_id",), with_parent: bool = True) -> DataFrame:
     """Child chunks with their parent text and hierarchy label ``p{i}-c{j}`` / ``p{i}-tail``.
 
     ``j`` numbers all chunks of the document emitted so far, across parents.
+    ``with_parent=False`` leaves the parent text out (store parents once with
+    ``parent_chunks`` and join them by (doc, p_idx) where needed).
     """
     d = df.select(*keep, F.col(text_col).alias("_t")).withColumn("_tables", tables_of(F.col("_t")))
     d = d.withColumn("_parents", greedy_join(paragraphs(with_placeholders(F.col("_t"), F.col("_tables")), sep),
@@ -148,9 +150,11 @@ def parent_child_chunks(df: DataFrame, text_col: str = "text", parent_size: int
             (off + j).cast("bigint").alias("chunk_no"), k["text"].alias("_child"), p.alias("_parent")))
 
     d = d.select(*keep, "_tables", F.explode(F.flatten(F.transform("_parents", per_parent))).alias("c"))
-    return d.select(*keep, F.col("c.p_idx").cast("bigint").alias("p_idx"), F.col("c.chunk_hierarchy"), "c.chunk_no",
-                    restore(F.col("c._child"), F.col("_tables")).alias("text"),
-                    restore(F.col("c._parent"), F.col("_tables")).alias("parent_text"))
+    cols = [*keep, F.col("c.p_idx").cast("bigint").alias("p_idx"), F.col("c.chunk_hierarchy"), "c.chunk_no",
+            restore(F.col("c._child"), F.col("_tables")).alias("text")]
+    if with_parent:
+        cols.append(restore(F.col("c._parent"), F.col("_tables")).alias("parent_text"))
+    return d.select(*cols)
 
 
 def article_text(title: Column, summary: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from rivulet.functions import fixed as X
-from rivulet.functions.hashing import bucket
+from rivulet.functions.hashing import bucket, md5_prefix
 from rivulet.functions.text import tokens
 
 DENSE_DIM = 256
@@ -45,8 +45,7 @@ def sparse_vectors(postings: DataFrame, id_col: str = "id") -> DataFrame:
 
 def token_buckets(text: Column, dim: int) -> Column:
     """md5 bucket of every token (JVM-side)."""
-    return F.transform(tokens(text), lambda t: F.pmod(
-        F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"), F.lit(dim)))
+    return F.transform(tokens(text), lambda t: F.pmod(md5_prefix(t), F.lit(dim)))
 
 
 def _bincount_udf(dim: int):

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rivulet.operators.retrieval import distinct_contexts, hybrid_search
+from rivulet.session import cut_lineage
 
 EVAL_K = 6
 LOOK = 4
@@ -20,7 +21,8 @@ GATE = {"hit_2": 0.80, "mrr": 0.70, "fact_recall": 0.80}
 
 
 def eval_ranked(chunks: DataFrame, questions: DataFrame) -> DataFrame:
-    return hybrid_search(chunks, questions, prefetch=EVAL_K, fused_k=EVAL_K)["ranked"]
+    # three metric consumers read the ranked candidates: materialise them once
+    return cut_lineage(hybrid_search(chunks, questions, prefetch=EVAL_K, fused_k=EVAL_K)["ranked"])
 
 
 def ir_metrics(ranked: DataFrame, questions: DataFrame) -> DataFrame:

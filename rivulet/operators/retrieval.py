@@ -26,7 +26,9 @@ from pyspark.sql.types import DoubleType
 
 from rivulet.functions import fixed as X
 from rivulet.functions.text import tokens
+from rivulet.functions.hashing import md5_prefix
 from rivulet.operators.embedding import DENSE_DIM, encode, sparse_postings
+from rivulet.session import cut_lineage
 
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -37,7 +39,20 @@ def _top_k(df: DataFrame, k: int, part: str, score: str = "score", id_col: str =
     return df.withColumn(rank_col, F.row_number().over(w).cast("bigint")).filter(F.col(rank_col) <= k)
 
 
-def _cosine_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str):
+def _dense_rows(col: pd.Series, dim: int | None) -> np.ndarray:
+    """Rows of a vector column as a matrix; ``dim`` set means the column holds bucket indexes (counted)."""
+    if dim is None:
+        return np.stack(col.to_numpy()).astype(np.float64)
+    lists = [np.asarray(x if x is not None else [], dtype=np.int64) for x in col]
+    m = np.zeros((len(lists), dim), dtype=np.float64)
+    lengths = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
+    if lengths.sum():
+        np.add.at(m, (np.repeat(np.arange(len(lists)), lengths), np.concatenate(lists)), 1.0)
+    return m
+
+
+def _cosine_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str,
+                    bucket_dim: int | None = None):
     qnorm = np.sqrt((qmat * qmat).sum(axis=1))
 
     def run(batches):
@@ -47,7 +62,7 @@ def _cosine_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec
             if pdf.empty:
                 continue
             ids = pdf[id_col].to_numpy(dtype=np.int64)
-            m = np.stack(pdf[vec_col].to_numpy()).astype(np.float64)
+            m = _dense_rows(pdf[vec_col], bucket_dim)
             dots = qmat @ m.T                                   # (nq, n)
             dnorm = np.sqrt((m * m).sum(axis=1))
             denom = qnorm[:, None] * dnorm[None, :]
@@ -70,10 +85,16 @@ def _cosine_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec
 
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = X.PREFETCH_K, id_col: str = "chunk_id",
                vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "embedding",
-               max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """Exact cosine top-k chunks per query: (query_id, chunk_id, score, rank)."""
+               max_broadcast_bytes: int = MAX_BROADCAST_BYTES, bucket_dim: int | None = None) -> DataFrame:
+    """Exact cosine top-k chunks per query: (query_id, chunk_id, score, rank).
+
+    ``bucket_dim`` set: the corpus column holds token-bucket indexes (the
+    compact form of hashed count vectors) and is densified per Arrow batch.
+    """
     spark = corpus.sparkSession
-    q = queries.select(F.col(qid_col).cast("bigint").alias("qid"), F.col(qvec_col).alias("qv"))
+    # the query side is small but may have a long lineage: materialise it once
+    # in the shared checkpoint folder before the size check and the broadcast
+    q = cut_lineage(queries.select(F.col(qid_col).cast("bigint").alias("qid"), F.col(qvec_col).alias("qv")))
     n_q = q.count()
     dim = len(q.select("qv").first()[0]) if n_q else 0
     per_batch = max(1, max_broadcast_bytes // max(1, 8 * max(dim, 1)))
@@ -91,7 +112,7 @@ def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = X.PREFETCH_K, id_
 
         def fn(batches, _bc=bc):
             ids_, mat_ = _bc.value
-            return _cosine_topk_fn(ids_, mat_, k, id_col, vec_col)(batches)
+            return _cosine_topk_fn(ids_, mat_, k, id_col, vec_col, bucket_dim)(batches)
 
         parts.append(corpus_v.mapInPandas(fn, "query_id long, chunk_id long, score double"))
     if not parts:
@@ -146,11 +167,21 @@ def score_pairs_with(scorer: Callable[[list, list], np.ndarray]):
     return _score
 
 
-def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=None, id_col: str = "chunk_id") -> DataFrame:
-    """Attach chunk payloads and a rerank score; ``rerank_pos`` orders by score desc, then fused rank."""
+def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=None, id_col: str = "chunk_id",
+           parents: DataFrame | None = None) -> DataFrame:
+    """Attach chunk payloads and a rerank score; ``rerank_pos`` orders by score desc, then fused rank.
+
+    With ``parents`` = (doc_id, p_idx, parent_text) the parent text is looked up
+    for the candidates only (J6); otherwise ``chunks`` carries it.
+    """
     f = fused.select("query_id", id_col, F.col("rank").alias("fused_rank"))
-    j = (f.join(queries.select("query_id", "query"), "query_id")
-         .join(chunks.select(id_col, "text", "parent_text", "source"), id_col))
+    if parents is None:
+        payload = chunks.select(id_col, "text", "parent_text", "source")
+    else:
+        payload = chunks.select(id_col, "doc_id", "p_idx", "text", "source")
+    j = (f.join(queries.select("query_id", "query"), "query_id").join(payload, id_col))
+    if parents is not None:
+        j = j.join(parents.select("doc_id", "p_idx", "parent_text"), ["doc_id", "p_idx"]).drop("doc_id", "p_idx")
     score = (scorer or overlap_score)(F.col("query"), F.col("text"))
     j = j.withColumn("rerank_score", score.cast("double"))
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.col("fused_rank").asc())
@@ -181,23 +212,49 @@ def context_line(parent: Column, source: Column, score: Column) -> Column:
                            F.bround(score, 2))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, prefetch: int = X.PREFETCH_K, fused_k: int = X.FUSED_K,
+def build_index(chunks: DataFrame, dim: int = DENSE_DIM, parents: DataFrame | None = None) -> dict:
+    """Retrieval index: chunk payloads, token-bucket arrays (compact dense vectors), sparse postings.
+
+    ``chunks``: (chunk_id, text, source) plus either ``parent_text`` or
+    (doc_id, p_idx) with ``parents`` = (doc_id, p_idx, parent_text) stored once.
+    Each table is written once to the shared checkpoint folder (the stand-in
+    for the vector store), so searches read it instead of recomputing the
+    chunking lineage for every consumer.
+    """
+    keep = ["chunk_id", "text", "source"] + (["parent_text"] if parents is None else ["doc_id", "p_idx"])
+    payload = cut_lineage(chunks.select(*keep))
+    # one exploded token table feeds both vector forms: md5 prefix per token, computed once
+    tok = cut_lineage(payload.select("chunk_id", F.explode(tokens(F.col("text"))).alias("token"))
+                      .select("chunk_id", md5_prefix(F.col("token")).alias("h")))
+    postings = cut_lineage(tok.groupBy("chunk_id", F.pmod("h", F.lit(X.SPARSE_BUCKETS)).alias("idx"))
+                           .agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    buckets = cut_lineage(
+        payload.select("chunk_id").join(
+            tok.groupBy("chunk_id").agg(F.collect_list(F.pmod("h", F.lit(dim))).alias("buckets")), "chunk_id", "left"))
+    idx = {"chunks": payload, "buckets": buckets, "postings": postings, "dim": dim, "parents": None}
+    if parents is not None:
+        idx["parents"] = cut_lineage(parents.select("doc_id", "p_idx", "parent_text"))
+    return idx
+
+
+def hybrid_search(chunks, queries: DataFrame, prefetch: int = X.PREFETCH_K, fused_k: int = X.FUSED_K,
                   dim: int = DENSE_DIM, scorer=None) -> dict:
     """End-to-end hybrid retrieval for a table of queries.
 
-    ``chunks``: (chunk_id, text, parent_text, source).  ``queries``: (query_id, query).
+    ``chunks``: (chunk_id, text, parent_text, source), or an index from
+    ``build_index``.  ``queries``: (query_id, query).
     Returns the intermediate frames and ``answers`` = (query_id, context): the
     formatted contexts joined by a blank line, an empty string when every
     candidate was filtered out, a fixed message when nothing was retrieved.
     """
-    cvec = encode(chunks.select("chunk_id", "text"), dim=dim)
-    qvec = encode(queries.select("query_id", F.col("query").alias("text")), dim=dim)
-    dense = dense_topk(cvec, qvec, prefetch)
-    cpost = sparse_postings(chunks, "chunk_id")
-    qpost = sparse_postings(queries.select("query_id", F.col("query").alias("text")), "query_id")
-    sparse = sparse_topk(cpost, qpost, prefetch)
+    index = chunks if isinstance(chunks, dict) else build_index(chunks, dim)
+    payload = index["chunks"]
+    qtext = queries.select("query_id", F.col("query").alias("text"))
+    dense = dense_topk(index["buckets"], encode(qtext, dim=index["dim"]), prefetch, vec_col="buckets",
+                       bucket_dim=index["dim"])
+    sparse = sparse_topk(index["postings"], sparse_postings(qtext, "query_id"), prefetch)
     fused = rrf_fuse(dense, sparse, fused_k)
-    ranked = rerank(fused, queries, chunks, scorer)
+    ranked = rerank(fused, queries, payload, scorer, parents=index.get("parents"))
     ctx = distinct_contexts(ranked)
     lines = ctx.select("query_id", "context_rank",
                        context_line(F.col("parent_text"), F.col("source"), F.col("rerank_score")).alias("line"))

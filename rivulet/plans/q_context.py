@@ -13,7 +13,8 @@ from rivulet.operators import routing as RT
 from rivulet.operators.retrieval import hybrid_search
 from rivulet.plans.catalog import register
 from rivulet.plans.duck_views import rep_d, tokens_sql, with_views
-from rivulet.plans.q_retrieval import _bucket_sql, contexts_cte, retrieval_chunks, retrieval_ctes, retrieval_queries
+from rivulet.plans.q_retrieval import _bucket_sql, contexts_cte, retrieval_ctes, retrieval_index, retrieval_queries
+from rivulet.session import cut_lineage
 from rivulet.sources import views as V
 
 WORD = r"[^\p{L}\p{N}_]"
@@ -229,7 +230,8 @@ REQ_QID = "conv_id * 1000 + turn"
 
 def _context_parts(spark, sf_dir):
     msgs = V.messages(spark, sf_dir)
-    plans = RT.route_messages(msgs)
+    # routing feeds four consumers below: materialise the plans once
+    plans = cut_lineage(RT.route_messages(msgs))
     reqs = CX.last_user_turns(msgs).join(plans.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
     branches = RT.route_branches(plans)
     gold = G.gold_latest(ind.indicators(V.ticks(spark, sf_dir)))
@@ -248,7 +250,7 @@ def _context_parts(spark, sf_dir):
                               lambda x: x.dropFields("rank"))).alias("rows_json"),
         F.count(F.lit(1)).alias("n_rows"))
     questions = reqs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    ans = hybrid_search(retrieval_chunks(spark, sf_dir), questions)["answers"]
+    ans = hybrid_search(retrieval_index(spark, sf_dir), questions)["answers"]
     rag = ans.select((F.col("query_id") / 1000).cast("bigint").alias("conv_id"),
                      F.pmod(F.col("query_id"), F.lit(1000)).alias("turn"), "context")
     history = CX.transcripts(CX.trim_history(msgs, upto=reqs), msgs)
@@ -330,7 +332,7 @@ _ECTX = contexts_cte(top=EV.LOOK, prefix=100, limit=2, min_score=None, name="ect
 def q_ir_metrics(spark, sf_dir):
     """Per question: first relevant rank among the first 4 reranked results, Hit@1, Hit@2, reciprocal rank."""
     qs = retrieval_queries(spark, sf_dir)
-    return EV.ir_metrics(EV.eval_ranked(retrieval_chunks(spark, sf_dir), qs), qs)
+    return EV.ir_metrics(EV.eval_ranked(retrieval_index(spark, sf_dir), qs), qs)
 
 
 @register("fact_recall", with_views(["queries"], f"""
@@ -339,7 +341,7 @@ def q_ir_metrics(spark, sf_dir):
 def q_fact_recall(spark, sf_dir):
     """Per question: share of expected facts found in the first two distinct parent contexts."""
     qs = retrieval_queries(spark, sf_dir)
-    return EV.fact_recall(EV.eval_ranked(retrieval_chunks(spark, sf_dir), qs), qs)
+    return EV.fact_recall(EV.eval_ranked(retrieval_index(spark, sf_dir), qs), qs)
 
 
 @register("quality_gate", with_views(["queries"], f"""
@@ -354,5 +356,5 @@ def q_fact_recall(spark, sf_dir):
 def q_quality_gate(spark, sf_dir):
     """Mean Hit@1, Hit@2, MRR, fact recall, empty-result violations and the pass/fail gate."""
     qs = retrieval_queries(spark, sf_dir)
-    ranked = EV.eval_ranked(retrieval_chunks(spark, sf_dir), qs)
+    ranked = EV.eval_ranked(retrieval_index(spark, sf_dir), qs)
     return EV.quality_gate(EV.ir_metrics(ranked, qs), EV.fact_recall(ranked, qs), ranked)

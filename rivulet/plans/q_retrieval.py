@@ -19,12 +19,19 @@ CHUNK_ID_BASE = 100_000
 DIM = E.DENSE_DIM
 
 
-def retrieval_chunks(spark, sf_dir):
+def retrieval_chunks(spark, sf_dir, with_parent: bool = True):
     """Parent/child chunks of the supplied documents as retrieval points."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    ch = C.parent_child_chunks(docs, keep=("doc_id", "source"))
+    ch = C.parent_child_chunks(docs, keep=("doc_id", "source"), with_parent=with_parent)
     return ch.select((F.col("doc_id") * CHUNK_ID_BASE + F.col("chunk_no")).alias("chunk_id"),
-                     "doc_id", "chunk_hierarchy", "text", "parent_text", "source")
+                     "doc_id", "p_idx", "chunk_hierarchy", "text", "source",
+                     *(["parent_text"] if with_parent else []))
+
+
+def retrieval_index(spark, sf_dir):
+    """Index over the document chunks with parent texts stored once per (doc, parent)."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return R.build_index(retrieval_chunks(spark, sf_dir, with_parent=False), parents=C.parent_chunks(docs))
 
 
 def retrieval_queries(spark, sf_dir):
@@ -103,7 +110,7 @@ def contexts_cte(top=None, prefix=X.CONTEXT_PREFIX, limit=X.MAX_CONTEXTS, min_sc
 
 
 def _hybrid(spark, sf_dir, prefetch=X.PREFETCH_K, fused_k=X.FUSED_K):
-    return R.hybrid_search(retrieval_chunks(spark, sf_dir), retrieval_queries(spark, sf_dir), prefetch, fused_k)
+    return R.hybrid_search(retrieval_index(spark, sf_dir), retrieval_queries(spark, sf_dir), prefetch, fused_k)
 
 
 @register("term_freq", with_views([], f"""
@@ -132,7 +139,7 @@ def q_sparse_vectors_murmur(spark, sf_dir):
                                       extra=retrieval_ctes()[:-9]))
 def q_encode_chunks(spark, sf_dir):
     """Model-free dense vectors of the retrieval chunks, non-zero dimensions as rows."""
-    v = E.encode(retrieval_chunks(spark, sf_dir).select("chunk_id", "text"))
+    v = E.encode(retrieval_chunks(spark, sf_dir, with_parent=False).select("chunk_id", "text"))
     return (v.select("chunk_id", F.posexplode("embedding").alias("dim", "value"))
             .filter(F.col("value") != 0).withColumn("dim", F.col("dim").cast("bigint")))
 

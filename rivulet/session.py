@@ -76,7 +76,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared folder (never ``localCheckpoint``)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    One computation (a reliable ``checkpoint()`` recomputes its input unless it
+    is cached), columnar re-reads, and a plan that starts from the written
+    table - so a lost executor re-reads files instead of replaying the
+    lineage.  Never ``localCheckpoint``.
+    """
+    import uuid
+
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

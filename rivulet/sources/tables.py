@@ -22,7 +22,20 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Read a supplied table.
+
+    A file with a single row group scans as one task whatever its size, and
+    all row-local work after the scan (chunking, tokenizing, JSON building)
+    would stay in that task.  When the scan has fewer partitions than the
+    cluster's default parallelism, rows are spread round-robin over that many
+    partitions; large inputs already have more splits and are left alone.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(table_path(sf_dir, name))
+    df = spark.read.parquet(table_path(sf_dir, name))
+    if spread:
+        target = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < target:
+            df = df.repartition(target)
+    return df
