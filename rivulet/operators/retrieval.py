@@ -28,7 +28,7 @@ from rivulet.functions import fixed as X
 from rivulet.functions.text import tokens
 from rivulet.functions.hashing import md5_prefix
 from rivulet.operators.embedding import DENSE_DIM, encode, sparse_postings
-from rivulet.session import cut_lineage
+from rivulet.session import bucketed_table, cut_lineage
 
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -226,8 +226,9 @@ def build_index(chunks: DataFrame, dim: int = DENSE_DIM, parents: DataFrame | No
     # one exploded token table feeds both vector forms: md5 prefix per token, computed once
     tok = cut_lineage(payload.select("chunk_id", F.explode(tokens(F.col("text"))).alias("token"))
                       .select("chunk_id", md5_prefix(F.col("token")).alias("h")))
-    postings = cut_lineage(tok.groupBy("chunk_id", F.pmod("h", F.lit(X.SPARSE_BUCKETS)).alias("idx"))
-                           .agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    # bucketed by chunk: the sparse search aggregates per (query, chunk) inside each bucket
+    postings = bucketed_table(tok.groupBy("chunk_id", F.pmod("h", F.lit(X.SPARSE_BUCKETS)).alias("idx"))
+                              .agg(F.count(F.lit(1)).cast("double").alias("weight")), "chunk_id")
     buckets = cut_lineage(
         payload.select("chunk_id").join(
             tok.groupBy("chunk_id").agg(F.collect_list(F.pmod("h", F.lit(dim))).alias("buckets")), "chunk_id", "left"))

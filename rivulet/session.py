@@ -76,6 +76,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return scratch
 
 
+def bucketed_table(df: DataFrame, key: str, buckets: int | None = None, prefix: str = "rivulet") -> DataFrame:
+    """Write ``df`` as a table bucketed by ``key`` in the shared checkpoint folder and read it back.
+
+    Scans of a bucketed table report their hash partitioning, so joins with a
+    broadcast side and aggregations that include ``key`` run without a shuffle
+    of this table.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"{prefix}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}"
+    df.write.mode("overwrite").option("path", path).bucketBy(n, key).sortBy(key).saveAsTable(name)
+    return spark.table(name)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
 
