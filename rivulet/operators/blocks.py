@@ -40,18 +40,29 @@ def time_block(ts_col: str, block_seconds: int | None) -> Column:
     return F.floor(F.unix_micros(F.col(ts_col)) / F.lit(block_seconds * 1_000_000)).cast("bigint")
 
 
-def position_rows(df: DataFrame, key: list, order: list, block: Column):
-    """Attach ``_blk``, ``_rn`` (row number in block) and global ``_pos`` within ``key``."""
-    d = df.withColumn("_blk", block)
-    counts = d.groupBy(*key, "_blk").agg(F.count(F.lit(1)).alias("_n"))
+def position_rows(df: DataFrame, key: list, order: list, bucket: Column, min_block_rows: int = 4096):
+    """Attach ``_blk``, ``_rn`` (row number in block) and global ``_pos`` within ``key``.
+
+    Rows are first counted per time bucket (a small table).  Consecutive
+    buckets are merged into blocks of at least ``min_block_rows`` rows (block =
+    bucket start position // min_block_rows), so sparse keys do not pay a halo
+    per near-empty bucket while dense keys still split by time.
+    """
+    d = df.withColumn("_bkt", bucket)
+    counts = d.groupBy(*key, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
+    wk = Window.partitionBy(*key).orderBy("_bkt")
+    counts = counts.withColumn(
+        "_bstart", F.coalesce(F.sum("_bn").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    counts = counts.withColumn("_blk", F.floor(F.col("_bstart") / F.lit(min_block_rows)).cast("bigint"))
+    per_block = counts.groupBy(*key, "_blk").agg(F.min("_bstart").cast("bigint").alias("_start"),
+                                                 F.sum("_bn").cast("bigint").alias("_n"))
     wb = Window.partitionBy(*key).orderBy("_blk")
-    blocks = counts.select(
-        *key, "_blk", "_n",
-        F.coalesce(F.sum("_n").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
-        .alias("_start"),
+    blocks = per_block.select(
+        *key, "_blk", "_n", "_start",
         F.row_number().over(wb).cast("bigint").alias("_bidx"),
         F.sum("_n").over(Window.partitionBy(*key)).cast("bigint").alias("_total"),
     )
+    d = d.join(counts.select(*key, "_bkt", "_blk"), [*key, "_bkt"]).drop("_bkt")
     wr = Window.partitionBy(*key, "_blk").orderBy(*order)
     d = d.withColumn("_rn", F.row_number().over(wr).cast("bigint"))
     d = d.join(blocks, [*key, "_blk"])
@@ -59,9 +70,10 @@ def position_rows(df: DataFrame, key: list, order: list, block: Column):
     return d, blocks
 
 
-def with_halo(df: DataFrame, key: list, order: list, halo: int, block: Column) -> Blocked:
+def with_halo(df: DataFrame, key: list, order: list, halo: int, block: Column,
+              min_block_rows: int = 4096) -> Blocked:
     """Rows of every block plus the ``halo`` rows preceding it (flagged ``_halo``)."""
-    d, blocks = position_rows(df, key, order, block)
+    d, blocks = position_rows(df, key, order, block, min_block_rows)
     cols = [c for c in df.columns]
     base = d.select(*cols, "_blk", "_pos", "_total", F.lit(False).alias("_halo"))
     if halo > 0:

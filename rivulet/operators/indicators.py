@@ -28,7 +28,8 @@ from pyspark.sql.types import StringType
 from rivulet.functions import fixed as X
 from rivulet.operators.blocks import time_block, with_halo
 
-DEFAULT_BLOCK_SECONDS = 86_400
+DEFAULT_BLOCK_SECONDS = 3_600
+DEFAULT_MIN_BLOCK_ROWS = 4_096
 OUT_COLS = ["SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"]
 
 
@@ -76,8 +77,9 @@ def ema_fold(prices: Column) -> Column:
     return F.aggregate(prices, init, step)
 
 
-def _blocked(clean: DataFrame, look: int, block_seconds: int | None):
-    return with_halo(clean, ["symbol"], ["timestamp", "seq"], look, time_block("timestamp", block_seconds))
+def _blocked(clean: DataFrame, look: int, block_seconds: int | None, min_block_rows: int = DEFAULT_MIN_BLOCK_ROWS):
+    return with_halo(clean, ["symbol"], ["timestamp", "seq"], look, time_block("timestamp", block_seconds),
+                     min_block_rows)
 
 
 def _ensure_seq(df: DataFrame) -> DataFrame:
@@ -106,7 +108,8 @@ def _fill_columns(rows: DataFrame, blocks: DataFrame, w: Window, col: str) -> Co
 
 
 def indicators(ticks: DataFrame, mode: str = "per_row", block_seconds: int | None = DEFAULT_BLOCK_SECONDS,
-               strict: bool = False, fill: bool = True, extra: bool = False) -> DataFrame:
+               strict: bool = False, fill: bool = True, extra: bool = False,
+               min_block_rows: int = DEFAULT_MIN_BLOCK_ROWS) -> DataFrame:
     """SMA-5, SMA-20, RSI-14, MACD and MACD signal per (symbol, timestamp).
 
     ``strict`` gives the warm-up variant (SMA null until its window is full,
@@ -117,7 +120,7 @@ def indicators(ticks: DataFrame, mode: str = "per_row", block_seconds: int | Non
         raise ValueError("mode must be 'per_row' or 'series'")
     clean = _ensure_seq(clean_ticks(ticks))
     frame = X.WINDOW_ROWS if mode == "per_row" else series_lookback() + 1
-    b = _blocked(clean, max(frame - 1, X.SMA_SLOW - 1), block_seconds)
+    b = _blocked(clean, max(frame - 1, X.SMA_SLOW - 1), block_seconds, min_block_rows)
     w, r = b.window, b.rows
     price = F.col("price")
 

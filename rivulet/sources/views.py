@@ -25,13 +25,13 @@ def _null_nan(c: Column) -> Column:
     return F.nanvl(c, F.lit(None).cast("double"))
 
 
-def ticks(spark: SparkSession, sf_dir: str, by: str = "event") -> DataFrame:
+def ticks(spark: SparkSession, sf_dir: str, by: str = "event", spread: bool = False) -> DataFrame:
     """``events`` as a tick stream: (symbol, timestamp, price, volume, seq).
 
     ``by='event'`` keys ticks by event type (few, large symbols); ``by='user'``
     keys them by user id (many small symbols).
     """
-    ev = read_table(spark, sf_dir, "events")
+    ev = read_table(spark, sf_dir, "events", spread=spread)
     sym = F.col("event_type") if by == "event" else F.col("user_id").cast("string")
     return ev.select(
         sym.alias("symbol"),
@@ -58,7 +58,7 @@ def raw_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     37 -> price "abc"; 41 -> price as a quoted number (valid);
     23 -> timestamp "yesterday"; 29 -> timestamp without fraction.
     """
-    t = ticks(spark, sf_dir)
+    t = ticks(spark, sf_dir, spread=True)   # envelope building and parsing are row-local work
     seq = F.col("seq")
     # first fault rule that applies (0 = none); the parts below depend on it
     kind = F.lit(0)
@@ -120,7 +120,7 @@ def raw_news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exchange trade messages (short keys s/p/q), wrapped in ``data`` on even seq."""
-    t = ticks(spark, sf_dir)
+    t = ticks(spark, sf_dir, spread=True)
     inner = F.concat(F.lit('{"s": '), _json_str(F.col("symbol")),
                      F.lit(', "p": '), _json_str(F.col("price").cast("string")),
                      F.lit(', "q": '), _json_str(F.col("volume").cast("string")), F.lit("}"))

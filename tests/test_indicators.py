@@ -72,7 +72,7 @@ def test_series_mode_matches_pandas(spark):
     rng = np.random.default_rng(7)
     prices = np.round(100 + np.cumsum(rng.normal(0, 1, 700)), 2)
     out = collect(ind.indicators(frame(spark, prices, step=dt.timedelta(hours=1)), mode="series",
-                                 block_seconds=86_400))
+                                 block_seconds=86_400, min_block_rows=50))
     ref = pandas_series(prices)
     for c in ("SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"):
         assert np.allclose(out[c].to_numpy(), ref[c].to_numpy(), rtol=0, atol=1e-9), c
@@ -81,7 +81,8 @@ def test_series_mode_matches_pandas(spark):
 def test_per_row_mode_matches_pandas_on_30_row_windows(spark):
     rng = np.random.default_rng(3)
     prices = np.round(50 + np.cumsum(rng.normal(0, 1, 120)), 2)
-    out = collect(ind.indicators(frame(spark, prices, step=dt.timedelta(minutes=7)), block_seconds=3_600))
+    out = collect(ind.indicators(frame(spark, prices, step=dt.timedelta(minutes=7)), block_seconds=3_600,
+                                 min_block_rows=5))
     for t in range(len(prices)):
         window = prices[max(0, t - 29): t + 1]
         ref = pandas_series(window).iloc[-1]
@@ -96,7 +97,7 @@ def test_halo_blocks_equal_unblocked(spark, sf):
     t = ticks(spark, sf, by="event")
     cols = ["symbol", "seq", "SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"]
     a = ind.indicators(t, block_seconds=None).select(*cols).toPandas().sort_values(["symbol", "seq"])
-    b = ind.indicators(t, block_seconds=600).select(*cols).toPandas().sort_values(["symbol", "seq"])
+    b = ind.indicators(t, block_seconds=600, min_block_rows=7).select(*cols).toPandas().sort_values(["symbol", "seq"])
     assert len(a) == len(b)
     for c in cols[2:]:
         assert np.allclose(a[c].to_numpy(), b[c].to_numpy(), atol=1e-12), c
