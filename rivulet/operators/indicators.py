@@ -9,7 +9,8 @@ Two modes:
   would give.  RSI is 50 for symbols with fewer than 14 rows.  EMAs are
   infinite-impulse filters; rows more than ``series_lookback()`` back carry a
   weight below 2**-60 of the result, under the rounding error of the recursion
-  itself, so the fold runs over that many preceding rows.
+  itself, so each block is computed from a halo of that many rows, with
+  vectorised pandas rolling means and ``ewm`` per (symbol, block) group.
 
 Both modes use halo blocks (``rivulet.operators.blocks``), so no task ever
 holds a whole symbol.  SMA and RSI use built-in window aggregates; EMA, MACD and
@@ -107,6 +108,70 @@ def _fill_columns(rows: DataFrame, blocks: DataFrame, w: Window, col: str) -> Co
     )
 
 
+def _rolling_mean_in_order(x, n: int, min_periods: int):
+    """Trailing mean adding the window's values oldest first (as a sliding SQL frame does).
+
+    Storage rounding to 2 decimals hits exact ties, so the summation order matters.
+    """
+    import numpy as np
+
+    m = len(x)
+    acc = np.zeros(m)
+    cnt = np.zeros(m)
+    for k in range(n - 1, -1, -1):
+        if k >= m:
+            continue
+        term = np.concatenate([np.full(k, np.nan), x[:m - k]])
+        ok = ~np.isnan(term)
+        acc = np.where(ok, acc + np.where(ok, term, 0.0), acc)
+        cnt += ok
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean = acc / cnt
+    return np.where(cnt >= min_periods, mean, np.nan)
+
+
+def _series_in_blocks(r: DataFrame, base: list, strict: bool, extra: bool) -> DataFrame:
+    """Series-mode indicators per (symbol, block) group with pandas rolling/ewm (vectorised).
+
+    Each group holds one block plus its halo (``series_lookback()`` rows), so
+    its size is bounded by the block size; the EMAs start at the first halo row.
+    """
+    import pandas as pd
+
+    af, as_, ag = X.EMA_FAST, X.EMA_SLOW, X.EMA_SIGNAL
+    outs = ["SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"] + (["EMA_12", "EMA_26", "avg_gain", "avg_loss"]
+                                                               if extra else [])
+    schema_fields = [f for f in r.schema.fields if f.name in base]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema_fields] +
+                       [f"`{c}` double" for c in outs])
+
+    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pos")
+        p = pdf["price"].astype(float)
+        minp = (lambda n: n) if strict else (lambda n: 1)
+        d = p.diff().fillna(0.0)
+        gain = pd.Series(_rolling_mean_in_order(d.where(d > 0, 0.0).to_numpy(), X.RSI_PERIOD, 1), index=p.index)
+        loss = pd.Series(_rolling_mean_in_order((-d.where(d < 0, 0.0)).to_numpy(), X.RSI_PERIOD, 1), index=p.index)
+        rsi = 100.0 - 100.0 / (1.0 + gain / (loss + X.RSI_EPS))
+        pos, total = pdf["_pos"], pdf["_total"]
+        if strict:
+            rsi = rsi.where(pos >= X.RSI_PERIOD - 1)
+        else:
+            rsi = rsi.where(total >= X.RSI_PERIOD, 50.0)
+        fast = p.ewm(span=af, adjust=False).mean()
+        slow = p.ewm(span=as_, adjust=False).mean()
+        macd = fast - slow
+        out = pdf[base].copy()
+        out["SMA_5"] = _rolling_mean_in_order(p.to_numpy(), X.SMA_FAST, minp(X.SMA_FAST))
+        out["SMA_20"] = _rolling_mean_in_order(p.to_numpy(), X.SMA_SLOW, minp(X.SMA_SLOW))
+        out["RSI"], out["MACD"], out["MACD_Signal"] = rsi, macd, macd.ewm(span=ag, adjust=False).mean()
+        if extra:
+            out["EMA_12"], out["EMA_26"], out["avg_gain"], out["avg_loss"] = fast, slow, gain, loss
+        return out[~pdf["_halo"].to_numpy()]
+
+    return r.groupBy("symbol", "_blk").applyInPandas(per_block, schema)
+
+
 def indicators(ticks: DataFrame, mode: str = "per_row", block_seconds: int | None = DEFAULT_BLOCK_SECONDS,
                strict: bool = False, fill: bool = True, extra: bool = False,
                min_block_rows: int = DEFAULT_MIN_BLOCK_ROWS) -> DataFrame:
@@ -128,6 +193,10 @@ def indicators(ticks: DataFrame, mode: str = "per_row", block_seconds: int | Non
         nb, filled = _fill_columns(r, b.blocks, w, "volume")
         r = r.join(nb, ["symbol", "_blk"], "left").withColumn("volume", filled).drop("_next_nn", "_prev_nn")
 
+    if mode == "series":
+        return _series_in_blocks(r, list(clean.columns), strict, extra).select(
+            *clean.columns, *OUT_COLS, *(["EMA_12", "EMA_26", "avg_gain", "avg_loss"] if extra else []))
+
     diff = F.coalesce(price - F.lag(price).over(w), F.lit(0.0))
     r = r.withColumn("_gain", F.greatest(diff, F.lit(0.0))).withColumn("_loss", F.greatest(-diff, F.lit(0.0)))
     avg_gain = F.avg("_gain").over(w.rowsBetween(-(X.RSI_PERIOD - 1), 0))
