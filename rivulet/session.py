@@ -51,6 +51,25 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``rivulet`` importable in Python workers (pandas UDFs, ``mapInPandas``), once per context.
+
+    The package is zipped and added with ``addPyFile``, Spark's own code
+    distribution, so executors never depend on the driver's working directory.
+    """
+    import shutil
+
+    sc = spark.sparkContext
+    if getattr(sc, "_rivulet_shipped", False):
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="rivulet-pkg-")
+    archive = shutil.make_archive(os.path.join(out, "rivulet"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                  base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    sc._rivulet_shipped = True
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply runtime SQL settings to a session we did not build ourselves."""
     for k in ("spark.sql.session.timeZone", "spark.sql.adaptive.enabled",
@@ -60,6 +79,7 @@ def configure(spark: SparkSession) -> SparkSession:
         except Exception:  # static conf on some deployments
             pass
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
