@@ -94,14 +94,18 @@ def _fill_columns(rows: DataFrame, blocks: DataFrame, w: Window, col: str) -> Co
     edges = (rows.filter(~F.col("_halo") & F.col(col).isNotNull())
              .groupBy("symbol", "_blk")
              .agg(F.min_by(col, "_pos").alias("_first_nn"), F.max_by(col, "_pos").alias("_last_nn")))
+    # "next non-null at or after" is a running last() over the reversed order: a
+    # frame ending at unbounded following would be re-aggregated for every row.
     wb = Window.partitionBy("symbol").orderBy("_blk")
+    wb_rev = Window.partitionBy("symbol").orderBy(F.col("_blk").desc())
     nb = (blocks.select("symbol", "_blk").join(edges, ["symbol", "_blk"], "left")
           .select("symbol", "_blk",
-                  F.first("_first_nn", True).over(wb.rowsBetween(1, Window.unboundedFollowing)).alias("_next_nn"),
+                  F.last("_first_nn", True).over(wb_rev.rowsBetween(Window.unboundedPreceding, -1)).alias("_next_nn"),
                   F.last("_last_nn", True).over(wb.rowsBetween(Window.unboundedPreceding, -1)).alias("_prev_nn")))
+    w_rev = Window.partitionBy("symbol", "_blk").orderBy(F.col("_pos").desc())
     return nb, F.coalesce(
         F.col(col),
-        F.first(col, True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        F.last(col, True).over(w_rev.rowsBetween(Window.unboundedPreceding, 0)),
         F.col("_next_nn"),
         F.last(col, True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         F.col("_prev_nn"),
