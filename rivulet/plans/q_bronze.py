@@ -146,3 +146,29 @@ def q_new_articles(spark, sf_dir):
     """Feed entries not seen in the first poll (first 3 per feed), each guid once."""
     entries = V.feed_entries(spark, sf_dir)
     return B.new_articles(entries, B.normalize_feed(entries))
+
+
+@register("clean_ticks", with_views(["raw_market"], f"""
+    SELECT "offset", {rep_ts('ts')} AS timestamp, symbol, {rep_d('price')} AS price, {rep_d('volume')} AS volume
+    FROM (SELECT "offset",
+            COALESCE(try_strptime(t, '%Y-%m-%d %H:%M:%S.%f'), try_strptime(t, '%Y-%m-%d %H:%M:%S'),
+                     try_strptime(t, '%Y-%m-%d')) AS ts,
+            json_extract_string(j, '$.payload.symbol') AS symbol,
+            CASE WHEN isnan(TRY_CAST(json_extract_string(j, '$.payload.price') AS DOUBLE)) THEN NULL
+                 ELSE TRY_CAST(json_extract_string(j, '$.payload.price') AS DOUBLE) END AS price,
+            TRY_CAST(json_extract_string(j, '$.payload.volume') AS DOUBLE) AS volume
+          FROM (SELECT "offset", j, json_extract_string(j, '$.ingest_timestamp') AS t
+                FROM (SELECT "offset", CASE WHEN json_valid(value) THEN CAST(value AS JSON) END AS j FROM raw_market)))
+    WHERE ts IS NOT NULL AND symbol IS NOT NULL AND price IS NOT NULL"""))
+def q_clean_ticks(spark, sf_dir):
+    """Loose tick coercion without the contract: price to double, timestamp parsed, incomplete rows dropped."""
+    from pyspark.sql import functions as F
+
+    from rivulet.operators.indicators import clean_ticks
+    v = F.try_parse_json("value")
+    loose = B.fence(V.raw_market(spark, sf_dir).select(
+        "offset", F.try_variant_get(v, "$.ingest_timestamp", "string").alias("timestamp"),
+        F.try_variant_get(v, "$.payload.symbol", "string").alias("symbol"),
+        F.try_variant_get(v, "$.payload.price", "string").alias("price"),
+        F.try_variant_get(v, "$.payload.volume", "double").alias("volume")))
+    return clean_ticks(loose).select("offset", "timestamp", "symbol", "price", "volume")
