@@ -44,8 +44,14 @@ def merge_window(state: DataFrame, batch: DataFrame, n: int = X.WINDOW_ROWS, kee
     return merged.select(*TICK_COLS, "_src").unionByName(untouched).withColumnRenamed("_src", "from_batch")
 
 
-def enriched_ticks(state: DataFrame, batch: DataFrame, block_seconds: int | None = ind.DEFAULT_BLOCK_SECONDS) -> DataFrame:
-    """Per-row indicators for every batch row, using the stored tail as look-back (W8, fixes Q2)."""
+def enriched_ticks(state: DataFrame, batch: DataFrame, block_seconds: int | None = ind.DEFAULT_BLOCK_SECONDS,
+                   reemit: bool = False) -> DataFrame:
+    """Per-row indicators for every batch row, using the stored tail as look-back (W8, fixes Q2).
+
+    ``reemit=True`` also returns stored rows later than a symbol's earliest new
+    row: a late tick inside the window changes their frames, and the gold
+    table keeps the latest emission.
+    """
     touched = batch.select("symbol").distinct()
     old = state.select(*TICK_COLS).join(touched, "symbol", "left_semi").withColumn("is_new", F.lit(False))
     new = batch.select(*TICK_COLS).withColumn("is_new", F.lit(True))
@@ -55,4 +61,9 @@ def enriched_ticks(state: DataFrame, batch: DataFrame, block_seconds: int | None
         Window.partitionBy("symbol", "timestamp").orderBy(F.col("is_new").desc(), F.col("seq").desc())))
             .filter(F.col("_d") == 1).drop("_d"))
     out = ind.indicators(both, mode="per_row", block_seconds=block_seconds)
-    return out.filter(F.col("is_new")).drop("is_new")
+    if not reemit:
+        return out.filter(F.col("is_new")).drop("is_new")
+    first_new = batch.groupBy("symbol").agg(F.min("timestamp").alias("_first_new"))
+    return (out.join(first_new, "symbol")
+            .filter(F.col("is_new") | (F.col("timestamp") > F.col("_first_new")))
+            .drop("is_new", "_first_new"))

@@ -17,9 +17,11 @@ landing folder of JSON-lines broker records ``{topic, partition, offset, value}`
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from rivulet.functions import fixed as X
+
 from rivulet.operators import bronze as B
 from rivulet.operators import chunking as C
 from rivulet.operators import gold as G
@@ -61,6 +63,7 @@ class MarketPipeline:
         self.gold = f"{root}/gold"
         self.dlq = f"{root}/dlq_market"
         self.state = f"{root}/window_state"
+        self.late = f"{root}/late_ticks"
         self.as_of = as_of
         self.block_seconds = block_seconds
 
@@ -69,9 +72,9 @@ class MarketPipeline:
         if batch_id > 0 and _exists(spark, prev):
             return spark.read.parquet(prev)
         if _exists(spark, self.gold):
-            # cold start: newest 30 stored rows per symbol
+            # cold start: newest stored rows per symbol
             g = G.gold_latest(spark.read.parquet(self.gold).select("symbol", "timestamp", "price", "volume", "seq"))
-            return WS.initial_state(g)
+            return WS.initial_state(g, n=2 * X.WINDOW_ROWS)
         return spark.createDataFrame([], "symbol string, timestamp timestamp, price double, volume double, seq long")
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
@@ -81,19 +84,31 @@ class MarketPipeline:
             B.dead_letters(parsed, self.as_of).write.mode("overwrite").parquet(f"{self.dlq}/batch_id={batch_id}")
             ticks = B.market_valid(parsed).select("symbol", "timestamp", "price", "volume", F.col("offset").alias("seq"))
             state = self.previous_state(spark, batch_id)
-            enriched = WS.enriched_ticks(state, ticks, self.block_seconds)
+            # ticks older than the newest 30 stored rows of their symbol are not placed: side table.
+            # The snapshot keeps twice the window, so rows re-emitted after a late tick inside the
+            # window still find their full 30-row frames.
+            newest = Window.partitionBy("symbol").orderBy(F.col("timestamp").desc(), F.col("seq").desc())
+            oldest = (state.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= X.WINDOW_ROWS)
+                      .groupBy("symbol").agg(F.min("timestamp").alias("_oldest")))
+            tagged = ticks.join(oldest, "symbol", "left")
+            is_late = F.col("_oldest").isNotNull() & (F.col("timestamp") < F.col("_oldest"))
+            tagged.filter(is_late).drop("_oldest").write.mode("overwrite").parquet(f"{self.late}/batch_id={batch_id}")
+            ticks = tagged.filter(~is_late).drop("_oldest")
+            # late ticks inside the window re-emit the stored rows after them
+            enriched = WS.enriched_ticks(state, ticks, self.block_seconds, reemit=True)
             (enriched.withColumn("batch_id", F.lit(batch_id)).withColumn("date", F.to_date("timestamp"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("date", "batch_id").parquet(self.gold))
-            WS.merge_window(state, ticks).drop("from_batch").write.mode("overwrite").parquet(
+            WS.merge_window(state, ticks, n=2 * X.WINDOW_ROWS).drop("from_batch").write.mode("overwrite").parquet(
                 f"{self.state}/batch_id={batch_id}")
         finally:
             parsed.unpersist()
 
     def read_gold(self, spark: SparkSession) -> DataFrame:
-        """Gold rows, duplicates resolved: the last insert per (symbol, second) wins."""
-        g = spark.read.parquet(self.gold).drop("date", "batch_id")
-        return G.gold_latest(g)
+        """Gold rows, duplicates resolved: the last insert per (symbol, second) wins (then the latest batch)."""
+        g = spark.read.parquet(self.gold).drop("date")
+        g = g.withColumn("_order", F.struct("seq", "batch_id"))
+        return G.gold_latest(g, seq_col="_order").drop("_order", "batch_id")
 
 
 class NewsPipeline:

@@ -60,3 +60,30 @@ def test_news_stream_points_upsert(spark, sf):
     again = spark.read.json(f"{root}/landing/part-000.json", schema="topic string, partition int, offset long, value string")
     pipe.process_batch(again, 7)
     assert pipe.read_points(spark).count() == n > 0
+
+
+def test_late_ticks_side_table_and_reemit(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 3, 1, 10, 0)
+
+    def rec(i, minute, price):
+        ts = (t0 + dt.timedelta(minutes=minute)).strftime("%Y-%m-%d %H:%M:%S.%f")
+        v = {"ingest_timestamp": ts, "payload": {"symbol": "S", "price": price, "volume": 1.0}}
+        return ("m", 0, i, json.dumps(v))
+
+    schema = "topic string, partition int, offset long, value string"
+    root = tempfile.mkdtemp(prefix="rivulet-late-")
+    pipe = MarketPipeline(f"{root}/out")
+    first = [rec(i, 10 + i, 100.0 + i) for i in range(40)]          # stored window: minutes 20..49
+    pipe.process_batch(spark.createDataFrame(first, schema), 0)
+    late = [rec(100, 5, 1.0), rec(101, 45.5, 500.0)]                 # minute 5: too old; minute 45.5: in window
+    pipe.process_batch(spark.createDataFrame(late, schema), 1)
+    side = spark.read.parquet(pipe.late).collect()
+    assert [r["seq"] for r in side] == [100]
+    gold = pipe.read_gold(spark).toPandas().set_index("seq")
+    all_ticks = spark.createDataFrame(first + [late[1]], schema)
+    want = ind.indicators(B.market_valid(B.parse_market(all_ticks)).select(
+        "symbol", "timestamp", "price", "volume", F.col("offset").alias("seq"))).toPandas().set_index("seq")
+    for s in (101, 36, 39):                                          # the late row and stored rows after it
+        assert abs(gold.loc[s, "SMA_5"] - want.loc[s, "SMA_5"]) < 1e-9
+        assert abs(gold.loc[s, "MACD"] - want.loc[s, "MACD"]) < 1e-9
