@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["decontamination", "ngram_join"]
+MODULES = ["packing", "secrets", "ngram_join", "decontamination"]
 
 
 def query(name: str, sql: str | None = None):

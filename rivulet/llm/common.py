@@ -57,3 +57,9 @@ def spare(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder exists in whatever store holds ``path``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
