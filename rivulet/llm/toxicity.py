@@ -32,7 +32,7 @@ from rivulet.llm.common import crc_part, prepare, table
 
 THRESHOLD = 0.7
 LANDMARKS = 128
-MAX_DOCUMENTS = 4000
+MAX_DOCUMENTS = 2000
 _DECAY = 0.6  # weight of a subsequence for each skipped character
 _SPAN = 6  # greatest distance of its first and last character
 _FLOOR = 0.35  # similarity that counts as none
@@ -242,15 +242,16 @@ class Model:
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Linear machine of squared hinge loss, by Newton steps over the rows inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = weight / weight.sum()
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-9
     w = np.zeros(x.shape[1])
     inside = np.ones(len(x), bool)
     for _ in range(rounds):
-        xs = x[inside] * weight[inside, None]
-        w = np.linalg.solve(xs.T @ x[inside] + np.diag(ridge), xs.T @ y[inside])
+        rows = x[inside].astype(float)
+        held = rows * weight[inside, None]
+        w = np.linalg.solve(held.T @ rows + np.diag(ridge), held.T @ y[inside])
         now = y * (x @ w) < 1
         if (now == inside).all():
             break
@@ -340,27 +341,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = sample.mapInArrow(describe, "id string, label int, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
     ids, y = np.array(rows["id"].to_pylist(), object), rows["label"].to_numpy()
-    x = np.zeros((len(y), len(words)))
+    x = np.zeros((len(y), len(words)), np.float32)
     for i, b in enumerate(rows["x"].to_pylist()):
         if b:
             x[i] = np.frombuffer(b, np.float32)
     k = np.maximum(similarity(words, words) - _FLOOR, 0) / (1 - _FLOOR)
     value, vector = np.linalg.eigh((k + k.T) / 2)
     keep = value > 1e-3
-    nystrom = vector[:, keep] / np.sqrt(value[keep])
+    nystrom = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
     z = x @ nystrom
+    del x, rows
     near = [t for t in words[:landmarks * 3 // 4] if 5 <= len(t)][:landmarks // 4]
     gapped = np.maximum(similarity([t[:i] + "x" + t[i:] for t in near for i in range(1, len(t))], words) - _FLOOR, 0) / (1 - _FLOOR) @ nystrom
     _, doc = np.unique(ids, return_inverse=True)
     weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
     active = np.ones(len(y))
     for _ in range(2):  # the second time, only those sentences of toxic documents that the machine itself finds toxic
-        toxic = (weight * active)[y == 1].sum()
-        w, b = _machine(np.vstack([z, gapped]), np.concatenate([np.where(y == 1, 1.0, -1.0), np.ones(len(gapped))]),
-                        np.concatenate([weight * active, np.full(len(gapped), toxic * _GAPPED / max(1, len(gapped)))]))
+        now = weight * active
+        made = np.append(np.full(len(gapped), _GAPPED * now[y == 1].sum() / max(1, len(gapped))), _GAPPED * now[y == 0].sum())
+        w, b = _machine(np.vstack([z, gapped, np.zeros((1, z.shape[1]), z.dtype)]).astype(np.float32), np.concatenate([np.where(y == 1, 1.0, -1.0), np.ones(len(gapped)), [-1.0]]),
+                        np.concatenate([now, made]))  # the last made-up row is a sentence without any sign
         margin = z @ w + b
         active = ((y == 0) | (margin > 0)).astype(float)
-    best = np.full(doc.max() + 1, -np.inf)
+    best = np.full(doc.max() + 1, b)
     np.maximum.at(best, doc, margin)
     label = np.zeros(len(best), int)
     label[doc] = y
