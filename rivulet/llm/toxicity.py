@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,7 @@ from rivulet.llm.common import crc_part, prepare, table
 
 THRESHOLD = 0.7
 LANDMARKS = 128
-MAX_DOCUMENTS = 2000
+MAX_DOCUMENTS = 1500
 _DECAY = 0.6  # weight of a subsequence for each skipped character
 _SPAN = 6  # greatest distance of its first and last character
 _FLOOR = 0.35  # similarity that counts as none
@@ -242,17 +243,22 @@ class Model:
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-5, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Linear machine of squared hinge loss, by Newton steps over the rows inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = weight / weight.sum()
-    ridge = np.full(x.shape[1], penalty)
+    n = x.shape[1]
+    ridge = np.full(n + 1, penalty)
     ridge[-1] = 1e-9
-    w = np.zeros(x.shape[1])
+    w = np.zeros(n + 1)
     inside = np.ones(len(x), bool)
     for _ in range(rounds):
-        rows = x[inside].astype(float)
-        held = rows * weight[inside, None]
-        w = np.linalg.solve(held.T @ rows + np.diag(ridge), held.T @ y[inside])
-        now = y * (x @ w) < 1
+        gram, target = np.diag(ridge), np.zeros(n + 1)
+        for a in range(0, len(x), 10_000):  # small pieces in double precision
+            at = a + np.flatnonzero(inside[a:a + 10_000])
+            rows = np.hstack([x[at].astype(float), np.ones((len(at), 1))])
+            held = rows * weight[at, None]
+            gram += held.T @ rows
+            target += held.T @ y[at]
+        w = np.linalg.solve(gram, target)
+        now = y * (x @ w[:-1].astype(x.dtype) + w[-1]) < 1
         if (now == inside).all():
             break
         inside = now
@@ -340,28 +346,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                              ["id", "label", "x"])
 
     rows = sample.mapInArrow(describe, "id string, label int, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
-    ids, y = np.array(rows["id"].to_pylist(), object), rows["label"].to_numpy()
+    y = rows["label"].to_numpy()
+    body, off = tk.text_buffer(rows["x"])
+    doc = pa.compute.rank(rows["id"], tiebreaker="dense").to_numpy().astype(np.int64) - 1
     x = np.zeros((len(y), len(words)), np.float32)
-    for i, b in enumerate(rows["x"].to_pylist()):
-        if b:
-            x[i] = np.frombuffer(b, np.float32)
+    x[np.diff(off) > 0] = body.view(np.float32).reshape(-1, len(words))
+    del rows, body
     k = np.maximum(similarity(words, words) - _FLOOR, 0) / (1 - _FLOOR)
     value, vector = np.linalg.eigh((k + k.T) / 2)
     keep = value > 1e-3
     nystrom = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
-    z = x @ nystrom
-    del x, rows
     near = [t for t in words[:landmarks * 3 // 4] if 5 <= len(t)][:landmarks // 4]
     gapped = np.maximum(similarity([t[:i] + "x" + t[i:] for t in near for i in range(1, len(t))], words) - _FLOOR, 0) / (1 - _FLOOR) @ nystrom
-    _, doc = np.unique(ids, return_inverse=True)
+    z = np.empty((len(x) + len(gapped) + 1, nystrom.shape[1]), np.float32)  # made-up sentences follow; the last has no sign
+    for a in range(0, len(x), 10_000):
+        z[a:min(a + 10_000, len(x))] = x[a:a + 10_000] @ nystrom
+    z[len(x):-1], z[-1] = gapped, 0
+    del x
+    target = np.concatenate([np.where(y == 1, 1.0, -1.0), np.ones(len(gapped)), [-1.0]])
     weight = np.where(y == 1, len(y) / (2 * max(1, y.sum())), len(y) / (2 * max(1, (1 - y).sum())))
     active = np.ones(len(y))
     for _ in range(2):  # the second time, only those sentences of toxic documents that the machine itself finds toxic
         now = weight * active
         made = np.append(np.full(len(gapped), _GAPPED * now[y == 1].sum() / max(1, len(gapped))), _GAPPED * now[y == 0].sum())
-        w, b = _machine(np.vstack([z, gapped, np.zeros((1, z.shape[1]), z.dtype)]).astype(np.float32), np.concatenate([np.where(y == 1, 1.0, -1.0), np.ones(len(gapped)), [-1.0]]),
-                        np.concatenate([now, made]))  # the last made-up row is a sentence without any sign
-        margin = z @ w + b
+        w, b = _machine(z, target, np.concatenate([now, made]))
+        margin = z[:len(y)] @ w.astype(np.float32) + b
         active = ((y == 0) | (margin > 0)).astype(float)
     best = np.full(doc.max() + 1, b)
     np.maximum.at(best, doc, margin)
