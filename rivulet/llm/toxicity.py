@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from rivulet.llm import textkit as tk
 from rivulet.llm.catalog import query
-from rivulet.llm.common import crc_part, prepare, table
+from rivulet.llm.common import crc_part, prepare, stored, table
 
 THRESHOLD = 0.7
 LANDMARKS = 128
@@ -316,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     prepare(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").dropDuplicates(["id"])
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id")
+    known = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id"))
     tally = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     n1, n0 = tally.get(1, 0), tally.get(0, 0)
     if not n1 or not n0:
@@ -330,10 +330,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     usual = counts.orderBy(F.desc("clean"), "word").limit(2 * landmarks).collect()
     words = _choose(tied, usual, landmarks)
     marks = docs.sparkSession.sparkContext.broadcast(Landmarks(words))
-    sample = None
-    for label in (0, 1):
-        part = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(max_documents)
-        sample = part if sample is None else sample.union(part)
+    ids = [known.where(F.col("label") == label).select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_documents)
+           for label in (0, 1)]
+    sample = known.join(F.broadcast(ids[0].union(ids[1])), "id", "left_semi")  # twice max_documents ids at most
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in tk.chunks(batches, "text"):
