@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["packing", "secrets", "quality", "toxicity", "mixing", "ngram_join", "decontamination"]
+MODULES = ["packing", "secrets", "quality", "toxicity", "mixing", "shards", "attribution", "ngram_join", "decontamination"]
 
 
 def query(name: str, sql: str | None = None):
