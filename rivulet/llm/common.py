@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rivulet.session import checkpoint_dir, cut_lineage
+from rivulet.session import checkpoint_dir
 
 # Rows and bytes of one Arrow batch: documents may be long, so batches are kept
 # to a few megabytes and regrouped inside the task.
@@ -30,7 +30,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: computed once, safe against lost executors."""
-    return cut_lineage(df)
+    path = scratch(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def partitions(spark: SparkSession) -> int:
