@@ -1,16 +1,87 @@
-"""Corpus pipeline: the stages that turn raw documents into packed training sequences."""
+"""Corpus pipeline: the stages that turn raw documents into packed training sequences.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns the columns of ``documents`` again; the last returns the packing.
+Between stages the documents are written as Parquet below
+``spark.checkpoint.dir`` and read back, so a lost executor repeats one stage at
+most and no plan spans two stages.
+
+Rows with a null id go through all stages; they are never dropped as copies of
+each other.  Repeated rows of one id are one document after the second stage.
+Null and empty texts are clean.  Extra columns are carried along up to the
+packing.  An empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rivulet.llm.common import scratch, spare, table
+from rivulet.llm.decontamination import decontaminate
+from rivulet.llm.ngram_join import jaccard_components
+from rivulet.llm.packing import pack_documents
+from rivulet.llm.secrets import redact, scan_ledger
+from rivulet.llm.toxicity import THRESHOLD, fold_model, score
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score is below the threshold."""
+    (mark,) = spare(docs, "toxicity")
+    return score(docs, fold_model(spark, sf_dir), score_col=mark).where(F.col(mark) < THRESHOLD).drop(mark)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component under shingle similarity: the one with the smallest id."""
+    found = jaccard_components(docs.select("doc_id", "text"))
+    kept, lowest = spare(docs, "kept", "lowest")
+    keys = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+    named = docs.where("doc_id is not null").join(keys, F.col("doc_id") == F.col(kept), "left_semi")
+    return named.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any occurrence of a benchmark window."""
+    own = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text = f"c{docs.columns.index('text')}"
+    clean = decontaminate(own, table(spark, sf_dir, "benchmark"), text_col=text).where(~F.col("contaminated"))
+    return clean.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the spans of secrets masked and ``n_chars`` counted anew where that happened."""
+    own = docs.select([F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    text = f"c{docs.columns.index('text')}"
+    done = redact(scan_ledger(own, scratch(spark, "blob-ledger"), text_col=text), text)
+    if "n_chars" in docs.columns:
+        n = f"c{docs.columns.index('n_chars')}"
+        done = done.withColumn(n, F.when(F.size("spans") > 0, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(n)))
+    return done.select([F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return pack_documents(docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("ngram_join", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
 
-STAGES: list = []
+# No stage but the last two steps of the third can be said in SQL: the first
+# needs a trained model and the last a packing.  tests/llm checks the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = scratch(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
