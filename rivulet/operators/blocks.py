@@ -12,10 +12,10 @@ Positions come from a per-block count table (one row per block, small) with a
 running sum over blocks, plus a row number inside each block; no step ever
 orders all rows of a symbol in one task.  The halo is found exactly: only rows
 among the last ``H`` of their block can precede another block by at most ``H``
-rows, and such a row can serve at most the ``H`` following blocks, so each
-tail row is copied to candidate block indexes ``bidx+1 .. bidx+H`` and kept
-where it lies within ``H`` rows of that block's start.  Sparse blocks (fewer
-than ``H`` rows) are thus handled without any cap on the look-back.
+rows.  A block and the next but one start more than ``min_block_rows`` rows
+apart, so such a row can serve the ``ceil(H / min_block_rows) + 1`` following
+blocks at most: it is copied to those candidates, never past the last block,
+and kept where it lies within ``H`` rows of the block's start.
 """
 
 from __future__ import annotations
@@ -61,6 +61,7 @@ def position_rows(df: DataFrame, key: list, order: list, bucket: Column, min_blo
         *key, "_blk", "_n", "_start",
         F.row_number().over(wb).cast("bigint").alias("_bidx"),
         F.sum("_n").over(Window.partitionBy(*key)).cast("bigint").alias("_total"),
+        F.count(F.lit(1)).over(Window.partitionBy(*key)).cast("bigint").alias("_blocks"),
     )
     d = d.join(counts.select(*key, "_bkt", "_blk"), [*key, "_bkt"]).drop("_bkt")
     wr = Window.partitionBy(*key, "_blk").orderBy(*order)
@@ -78,7 +79,9 @@ def with_halo(df: DataFrame, key: list, order: list, halo: int, block: Column,
     base = d.select(*cols, "_blk", "_pos", "_total", F.lit(False).alias("_halo"))
     if halo > 0:
         tail = d.filter(F.col("_rn") > F.col("_n") - halo)
-        tail = tail.withColumn("_tbidx", F.explode(F.sequence(F.col("_bidx") + 1, F.col("_bidx") + halo)))
+        reach = -(-halo // min_block_rows) + 1
+        tail = tail.filter(F.col("_bidx") < F.col("_blocks")).withColumn("_tbidx", F.explode(F.sequence(
+            F.col("_bidx") + 1, F.least(F.col("_bidx") + reach, F.col("_blocks")))))
         targets = blocks.select(*key, F.col("_bidx").alias("_tbidx"), F.col("_blk").alias("_tblk"),
                                 F.col("_start").alias("_tstart"))
         h = (tail.join(targets, [*key, "_tbidx"])

@@ -87,7 +87,9 @@ def latest_rows(gold: DataFrame, requests: DataFrame, columns: list, oldest: boo
     pairs = resolve_tickers(req.select(*ids, "ticker_norm", "limit_norm"), symbols, "ticker_norm")
     joined = pairs.join(pre, "symbol")
     w = Window.partitionBy(key).orderBy(*order)
-    ranked = joined.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= F.col("limit_norm"))
+    # the literal bound lets Spark keep 30 rows a request in each partition before the shuffle
+    ranked = (joined.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= X.MAX_LIMIT)
+              .filter(F.col("rank") <= F.col("limit_norm")))
     return ranked.select(*ids, "rank", *columns)
 
 

@@ -187,6 +187,9 @@ def indicators(ticks: DataFrame, mode: str = "per_row", block_seconds: int | Non
     """
     if mode not in ("per_row", "series"):
         raise ValueError("mode must be 'per_row' or 'series'")
+    # columns of an earlier run, in any case, give way to the new ones
+    stale = {c.lower() for c in (*OUT_COLS, "EMA_12", "EMA_26", "avg_gain", "avg_loss")}
+    ticks = ticks.select([c for c in ticks.columns if c.lower() not in stale])
     clean = _ensure_seq(clean_ticks(ticks))
     frame = X.WINDOW_ROWS if mode == "per_row" else series_lookback() + 1
     b = _blocked(clean, max(frame - 1, X.SMA_SLOW - 1), block_seconds, min_block_rows)

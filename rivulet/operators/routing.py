@@ -2,7 +2,7 @@
 
 Intent centroids are built by Spark from the fixed prototype utterances with
 the same encoder as the messages (mean of unit vectors, re-normalised).  Each
-clause vector meets the centroids through ``retrieval.best_matches`` (the
+clause vector meets the centroids through ``retrieval.centroid_scores`` (the
 centroid table is tiny, size-checked and broadcast), so routing never joins
 messages against intents row by row.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rivulet.functions import fixed as X
 from rivulet.functions.text import chart_mode, extract_ticker, guard_status, split_clauses, wants_chart
 from rivulet.operators.embedding import DENSE_DIM, centroids, encode, l2_normalize
-from rivulet.operators.retrieval import best_matches
+from rivulet.operators.retrieval import centroid_scores
 
 INTENTS = list(X.INTENT_UTTERANCES)          # dict order: ties go to the earlier intent
 INTENT_IDX = {name: i for i, name in enumerate(INTENTS)}
@@ -46,13 +46,8 @@ def message_features(messages: DataFrame, word_boundaries: bool = True) -> DataF
 def clause_scores(feats: DataFrame, cents: DataFrame, dim: int = DENSE_DIM) -> DataFrame:
     """(conv_id, turn, clause_idx, scores array<double> in intent order) per clause."""
     cl = feats.select("conv_id", "turn", F.posexplode("clauses").alias("clause_idx", "clause"))
-    cl = cl.withColumn("clause_id", (F.col("conv_id") * 1000 + F.col("turn")) * 1000 + F.col("clause_idx"))
     vec = encode(cl, text_col="clause", dim=dim).withColumn("embedding", l2_normalize(F.col("embedding")))
-    top = best_matches(vec.select(F.col("clause_id").alias("id"), "embedding"), cents,
-                       k=len(INTENTS), small_id="intent_id", small_vec="centroid")
-    per = top.groupBy("id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("match_id", "score"))), lambda x: x["score"]).alias("scores"))
-    return cl.join(per, cl["clause_id"] == per["id"]).select("conv_id", "turn", "clause_idx", "scores")
+    return centroid_scores(vec, cents, ["conv_id", "turn", "clause_idx"], small_id="intent_id")
 
 
 def route(feats: DataFrame, scores: DataFrame, threshold: float = X.ROUTER_THRESHOLD) -> DataFrame:

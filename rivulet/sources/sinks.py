@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from rivulet.operators.gold import GOLD_COLS, to_gold_schema
 
 
+def path_exists(spark, path: str) -> bool:
+    """Whether ``path`` exists; any other trouble with the store is raised."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def remove_path(spark, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_gold(df: DataFrame, path: str, mode: str = "append") -> None:
     """Append (or replace) enriched ticks in the gold table, partitioned by date and sorted by key.
 
@@ -21,7 +32,7 @@ def write_gold(df: DataFrame, path: str, mode: str = "append") -> None:
     g = to_gold_schema(df)
     keep = [c for c in GOLD_COLS if c in g.columns] + [c for c in ("seq", "batch_id") if c in g.columns]
     out = (g.select(*keep).withColumn("date", F.to_date("timestamp"))
-           .repartition("date").sortWithinPartitions("symbol", "timestamp"))
+           .repartition("date", "symbol").sortWithinPartitions("date", "symbol", "timestamp"))
     out.write.mode("overwrite" if mode == "replace" else "append").partitionBy("date").parquet(path)
 
 
@@ -43,9 +54,6 @@ def write_topic(df: DataFrame, path: str, value_col: str = "value") -> None:
 
 def ensure_table(spark, path: str, schema: str) -> DataFrame:
     """Create an empty parquet table with ``schema`` if none exists at ``path``."""
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - absent table
-        empty = spark.createDataFrame([], schema)
-        empty.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+    if not path_exists(spark, path):
+        spark.createDataFrame([], schema).write.parquet(path)
+    return spark.read.parquet(path)

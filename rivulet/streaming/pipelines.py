@@ -27,6 +27,8 @@ from rivulet.operators import chunking as C
 from rivulet.operators import gold as G
 from rivulet.operators import window_state as WS
 from rivulet.operators.store import points
+from rivulet.session import cut_lineage
+from rivulet.sources.sinks import path_exists, remove_path
 
 RECORD_SCHEMA = "topic string, partition int, offset long, value string"
 
@@ -48,13 +50,6 @@ def read_records(spark: SparkSession, path: str | None = None, fmt: str = "json"
     return r.json(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
-
-
 class MarketPipeline:
     """Bronze market records -> dead letters + enriched gold rows + trailing-window state."""
 
@@ -68,13 +63,21 @@ class MarketPipeline:
         self.block_seconds = block_seconds
 
     def previous_state(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Trailing rows per symbol before ``batch_id``.
+
+        Rows that an earlier attempt of this batch (or a later one) stored are
+        not history, and rows read from gold are written out before gold is
+        touched: a replay, also of the first batch, starts from what the first
+        attempt started from.
+        """
         prev = f"{self.state}/batch_id={batch_id - 1}"
-        if batch_id > 0 and _exists(spark, prev):
+        if batch_id > 0 and path_exists(spark, prev):
             return spark.read.parquet(prev)
-        if _exists(spark, self.gold):
+        if path_exists(spark, self.gold):
             # cold start: newest stored rows per symbol
-            g = G.gold_latest(spark.read.parquet(self.gold).select("symbol", "timestamp", "price", "volume", "seq"))
-            return WS.initial_state(g, n=2 * X.WINDOW_ROWS)
+            g = spark.read.parquet(self.gold).filter(F.col("batch_id") < batch_id)
+            g = G.gold_latest(g.select("symbol", "timestamp", "price", "volume", "seq"))
+            return cut_lineage(WS.initial_state(g, n=2 * X.WINDOW_ROWS))
         return spark.createDataFrame([], "symbol string, timestamp timestamp, price double, volume double, seq long")
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
@@ -99,8 +102,12 @@ class MarketPipeline:
             (enriched.withColumn("batch_id", F.lit(batch_id)).withColumn("date", F.to_date("timestamp"))
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("date", "batch_id").parquet(self.gold))
-            WS.merge_window(state, ticks, n=2 * X.WINDOW_ROWS).drop("from_batch").write.mode("overwrite").parquet(
+            # as in gold, the newest arrival of a timestamp wins
+            WS.merge_window(state, ticks, n=2 * X.WINDOW_ROWS, keep="last").drop("from_batch").write.mode("overwrite").parquet(
                 f"{self.state}/batch_id={batch_id}")
+            # a replay needs the snapshot before its own batch, never an older one
+            if batch_id > 1:
+                remove_path(spark, f"{self.state}/batch_id={batch_id - 2}")
         finally:
             parsed.unpersist()
 

@@ -1,7 +1,6 @@
 import datetime as dt
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from rivulet.operators import indicators as ind
@@ -16,19 +15,22 @@ def collect(df):
     return df.orderBy("symbol", "timestamp").toPandas()
 
 
-def pandas_series(prices):
-    """Independent pandas model of the whole-series indicators."""
-    s = pd.Series(prices, dtype=float)
-    out = pd.DataFrame({"price": s})
-    out["SMA_5"] = s.rolling(5, min_periods=1).mean()
-    out["SMA_20"] = s.rolling(20, min_periods=1).mean()
-    d = s.diff()
-    gain = d.where(d > 0, 0).rolling(14, min_periods=1).mean()
-    loss = (-d.where(d < 0, 0)).rolling(14, min_periods=1).mean()
-    out["RSI"] = 100 - 100 / (1 + gain / (loss + 1e-9)) if len(s) >= 14 else 50.0
-    out["MACD"] = s.ewm(span=12, adjust=False).mean() - s.ewm(span=26, adjust=False).mean()
-    out["MACD_Signal"] = out["MACD"].ewm(span=9, adjust=False).mean()
-    return out
+def recurrence(prices):
+    """Indicator rows by plain recurrences over a price list."""
+    rows, ema, k = [], {}, {12: 2 / 13, 26: 2 / 27, 9: 2 / 10}
+
+    def smooth(n, x):
+        ema[n] = x if n not in ema else ema[n] + k[n] * (x - ema[n])
+        return ema[n]
+
+    moves = [0.0, *(b - a for a, b in zip(prices, prices[1:]))]
+    for t, p in enumerate(prices):
+        macd = smooth(12, p) - smooth(26, p)
+        last = moves[max(0, t - 13):t + 1]
+        up, down = sum(m for m in last if m > 0) / len(last), -sum(m for m in last if m < 0) / len(last)
+        rows.append({"SMA_5": float(np.mean(prices[max(0, t - 4):t + 1])), "SMA_20": float(np.mean(prices[max(0, t - 19):t + 1])),
+                     "RSI": 50.0 if len(prices) < 14 else 100 - 100 / (1 + up / (down + 1e-9)), "MACD": macd, "MACD_Signal": smooth(9, macd)})
+    return rows
 
 
 def test_thirty_rising_rows_have_all_columns(spark):
@@ -68,24 +70,24 @@ def test_macd_first_row_and_constant(spark):
     assert np.allclose(const["MACD"], 0.0, atol=1e-12) and np.allclose(const["MACD_Signal"], 0.0, atol=1e-12)
 
 
-def test_series_mode_matches_pandas(spark):
+def test_series_mode_matches_recurrence(spark):
     rng = np.random.default_rng(7)
     prices = np.round(100 + np.cumsum(rng.normal(0, 1, 700)), 2)
     out = collect(ind.indicators(frame(spark, prices, step=dt.timedelta(hours=1)), mode="series",
                                  block_seconds=86_400, min_block_rows=50))
-    ref = pandas_series(prices)
+    ref = recurrence(prices.tolist())
     for c in ("SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"):
-        assert np.allclose(out[c].to_numpy(), ref[c].to_numpy(), rtol=0, atol=1e-9), c
+        assert np.allclose(out[c].to_numpy(), [r[c] for r in ref], rtol=0, atol=1e-9), c
 
 
-def test_per_row_mode_matches_pandas_on_30_row_windows(spark):
+def test_per_row_mode_matches_recurrence_on_30_row_windows(spark):
     rng = np.random.default_rng(3)
     prices = np.round(50 + np.cumsum(rng.normal(0, 1, 120)), 2)
     out = collect(ind.indicators(frame(spark, prices, step=dt.timedelta(minutes=7)), block_seconds=3_600,
                                  min_block_rows=5))
     for t in range(len(prices)):
         window = prices[max(0, t - 29): t + 1]
-        ref = pandas_series(window).iloc[-1]
+        ref = recurrence(window.tolist())[-1]
         for c in ("SMA_5", "SMA_20", "MACD", "MACD_Signal"):
             assert abs(out[c][t] - ref[c]) < 1e-9, (t, c)
         rsi = 50.0 if t < 13 else ref["RSI"]
@@ -121,3 +123,10 @@ def test_strict_variant_nulls_until_full_and_rounds(spark):
 def test_last_n_keeps_newest(spark):
     out = ind.last_n(frame(spark, range(40)), 15).toPandas()
     assert len(out) == 15 and out["seq"].min() == 25
+
+
+def test_stale_columns_in_any_case_are_replaced(spark):
+    df = frame(spark, [100 + 2 * i for i in range(30)])
+    again = ind.indicators(ind.indicators(df).withColumnRenamed("RSI", "rsi").withColumnRenamed("MACD", "Macd"))
+    a, b = collect(ind.indicators(df)), collect(again)
+    assert list(a.columns) == list(b.columns) and np.allclose(a["RSI"], b["RSI"]) and np.allclose(a["MACD"], b["MACD"])

@@ -87,3 +87,33 @@ def test_late_ticks_side_table_and_reemit(spark):
     for s in (101, 36, 39):                                          # the late row and stored rows after it
         assert abs(gold.loc[s, "SMA_5"] - want.loc[s, "SMA_5"]) < 1e-9
         assert abs(gold.loc[s, "MACD"] - want.loc[s, "MACD"]) < 1e-9
+
+
+def test_replay_of_the_first_batch_and_equal_timestamps(spark):
+    import datetime as dt
+    t0 = dt.datetime(2024, 3, 1, 10, 0)
+
+    def rec(i, second, price):
+        ts = (t0 + dt.timedelta(seconds=second)).strftime("%Y-%m-%d %H:%M:%S.%f")
+        return ("m", 0, i, json.dumps({"ingest_timestamp": ts, "payload": {"symbol": "S", "price": price, "volume": 1.0}}))
+
+    schema = "topic string, partition int, offset long, value string"
+    root = tempfile.mkdtemp(prefix="rivulet-replay-")
+    pipe = MarketPipeline(f"{root}/out")
+
+    def tables():
+        return [sorted(map(str, spark.read.parquet(p).collect())) for p in (pipe.gold, f"{pipe.state}/batch_id=0", f"{pipe.late}/batch_id=0")]
+
+    first = spark.createDataFrame([rec(i, 60 * i, 100.0 + i) for i in range(100)], schema)
+    pipe.process_batch(first, 0)
+    before = tables()
+    pipe.process_batch(first, 0)
+    assert tables() == before and len(before[0]) == 100 and not before[2]
+    # a timestamp that comes again: window and gold both hold the newest arrival
+    pipe.process_batch(spark.createDataFrame([rec(200, 60 * 99, 500.0)], schema), 1)
+    state = {r["timestamp"]: r["price"] for r in spark.read.parquet(f"{pipe.state}/batch_id=1").collect()}
+    gold = {r["timestamp"]: r["price"] for r in pipe.read_gold(spark).collect()}
+    assert gold[max(gold)] == state[max(state)] == 500.0 and len(gold) == 100
+    pipe.process_batch(spark.createDataFrame([rec(201, 60 * 100, 1.0)], schema), 2)
+    from rivulet.sources.sinks import path_exists
+    assert not path_exists(spark, f"{pipe.state}/batch_id=0") and path_exists(spark, f"{pipe.state}/batch_id=1")
