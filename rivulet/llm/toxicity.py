@@ -316,7 +316,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     prepare(docs.sparkSession)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").dropDuplicates(["id"])
-    known = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marked, "id"))
+    # Labels grow with the documents, so neither side is broadcast at any size.
+    known = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).hint("merge").join(marked, "id"))
     tally = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     n1, n0 = tally.get(1, 0), tally.get(0, 0)
     if not n1 or not n0:
@@ -335,7 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = known.join(F.broadcast(ids[0].union(ids[1])), "id", "left_semi")  # twice max_documents ids at most
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in tk.chunks(batches, "text"):
+        for chunk in tk.chunks(batches, "text", 2 << 20):
             doc, x, _ = sentence_features(fold(*tk.text_buffer(chunk["text"])), marks.value)
             blank = np.setdiff1d(np.arange(chunk.num_rows), doc)  # one empty sentence for the others
             doc = np.concatenate([doc, blank])
@@ -391,7 +392,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, marks = held.value
-        for chunk in tk.chunks(batches, text_col):
+        for chunk in tk.chunks(batches, text_col, 2 << 20):
             margin = np.full(chunk.num_rows, model.bias)
             if marks.words:
                 doc, x, _ = sentence_features(fold(*tk.text_buffer(chunk[text_col])), marks)
