@@ -65,3 +65,9 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder exists in whatever store holds ``path``."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def sql_words(text: str, word: str) -> str:
+    """DuckDB list of the runs of ``word`` (a character class) in a text with A-Z lower-cased."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{upper}', '{upper.lower()}'), '{word}+')"

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from rivulet.llm import textkit as tk
 from rivulet.llm.catalog import query
-from rivulet.llm.common import prepare, spare, table
+from rivulet.llm.common import prepare, spare, sql_words, table
 
 # A word is a run of ASCII digits, ASCII letters (lower-cased) and all non-ASCII characters.
 SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
@@ -228,7 +228,24 @@ def _one(col: pa.ChunkedArray) -> pa.Array:
     return col.chunk(0) if col.num_chunks == 1 else pa.concat_arrays(col.chunks)
 
 
-@query("op10_decontamination")
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
+_SQL = f"""
+WITH d AS (SELECT doc_id, {sql_words('text', _WORD)} AS w FROM documents),
+b AS (SELECT item_id, {sql_words('text', _WORD)} AS w FROM benchmark),
+win AS (SELECT item_id, w, least(len(w), {WINDOW}) AS k, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) AS i FROM b WHERE len(w) > 0),
+p AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM win),
+sizes AS (SELECT DISTINCT k FROM p),
+spots AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k),
+hit AS (SELECT a.doc_id, a.i, a.k, p.item_id FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM spots) a
+  JOIN p ON a.k = p.k AND a.g = p.g),
+cov AS (SELECT doc_id, count(DISTINCT i + x) AS n FROM hit, (SELECT unnest(range(0, {WINDOW})) AS x) WHERE x < k GROUP BY doc_id),
+its AS (SELECT doc_id, count(DISTINCT item_id) AS n, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS s FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(cov.n, 0)::BIGINT AS n_hit, coalesce(its.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(its.s, '')) AS items_sha256, coalesce(cov.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN its ON d.doc_id = its.doc_id"""
+
+
+@query("op10_decontamination", _SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark hits of every document, with a digest of the items found."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

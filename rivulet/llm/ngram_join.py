@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from rivulet.llm import textkit as tk
 from rivulet.llm.catalog import query
-from rivulet.llm.common import partitions, prepare, stored, table
+from rivulet.llm.common import partitions, prepare, sql_words, stored, table
 from rivulet.llm.components import components
 
 SHINGLE = 5
@@ -399,7 +399,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return full.union(empty)
 
 
-@query("op7_ngram_join")
+_WORD = r"[^\x20\x09-\x0D]"
+_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {sql_words('text', _WORD)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pairs JOIN n AS nx ON x = nx.doc_id JOIN n AS ny ON y = ny.doc_id WHERE 100 * i >= {PERCENT} * (nx.n + ny.n - i)),
+both_ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.c FROM reach r JOIN both_ways e ON e.x = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id
+FROM reach r LEFT JOIN n ON r.doc_id = n.doc_id GROUP BY r.doc_id"""
+
+
+@query("op7_ngram_join", _SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of each document under 5-word shingle similarity of 0.8 or more."""
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
