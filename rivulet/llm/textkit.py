@@ -128,13 +128,23 @@ def words(norm: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off)
 
 
-def hash_spans(norm: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, by differences of one running polynomial."""
-    n = len(norm)
-    run = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[norm] * _power("up", n)[:n], out=run[1:])
-    h = (run[ends] - run[starts]) * _power("down", n + 1)[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(_ODD)))
+def hash_spans(norm: np.ndarray, starts: np.ndarray, ends: np.ndarray, stretch: int = 1 << 20) -> np.ndarray:
+    """64-bit hash of each byte span, by differences of a running polynomial; ``starts`` ascend.
+
+    The bytes are taken a stretch at a time, so the working arrays stay small.
+    """
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = int(np.searchsorted(starts, a + stretch))
+        s, e = starts[i:j] - a, ends[i:j] - a
+        run = np.zeros(int(e.max()) + 1, np.uint64)
+        n = len(run) - 1
+        np.cumsum(_BYTE_CODE[norm[a:a + n]] * _power("up", n)[:n], out=run[1:])
+        out[i:j] = (run[e] - run[s]) * _power("down", n + 1)[s]
+        i = j
+    return mix64(out ^ ((ends - starts).astype(np.uint64) * np.uint64(_ODD)))
 
 
 def sequence_hash(word_hash: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
