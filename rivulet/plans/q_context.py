@@ -241,7 +241,8 @@ def _context_parts(spark, sf_dir):
                        F.col("current_target").alias("req_ticker")))
     req_tbl = targets.select("ticker", F.col("req_ticker").alias("_t"), F.lit(30).alias("limit"),
                              F.lit("get_prices").alias("action"))
-    rows = G.latest_rows(gold, req_tbl.select(F.col("_t").alias("ticker"), "limit", "action"),
+    # one read per ticker, however many messages name it
+    rows = G.latest_rows(gold, req_tbl.select(F.col("_t").alias("ticker"), "limit", "action").distinct(),
                          G.PRICE_COLS)
     rows = rows.join(targets.select(F.col("req_ticker").alias("ticker"), "conv_id", "turn"), "ticker")
     sql_rows = rows.groupBy("conv_id", "turn").agg(
@@ -249,10 +250,11 @@ def _context_parts(spark, sf_dir):
                   "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "symbol", "price", "volume"))),
                               lambda x: x.dropFields("rank"))).alias("rows_json"),
         F.count(F.lit(1)).alias("n_rows"))
-    questions = reqs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), F.col("text").alias("query"))
-    ans = hybrid_search(retrieval_index(spark, sf_dir), questions)["answers"]
-    rag = ans.select((F.col("query_id") / 1000).cast("bigint").alias("conv_id"),
-                     F.pmod(F.col("query_id"), F.lit(1000)).alias("turn"), "context")
+    # a number per request, kept with its key: written out, so that it is the same for every reader
+    questions = cut_lineage(reqs.select("conv_id", "turn", F.monotonically_increasing_id().alias("query_id"),
+                                        F.col("text").alias("query")))
+    ans = hybrid_search(retrieval_index(spark, sf_dir), questions.select("query_id", "query"))["answers"]
+    rag = ans.join(questions.select("query_id", "conv_id", "turn"), "query_id").select("conv_id", "turn", "context")
     history = CX.transcripts(CX.trim_history(msgs, upto=reqs), msgs)
     return reqs, plans, branches, sql_rows, rag, history
 
