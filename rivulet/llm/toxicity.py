@@ -11,7 +11,8 @@ score is its most toxic sentence, calibrated to the labels.
 Landmarks come from word counts over all labelled rows (grouped in Spark, only
 the top words reach the driver).  The machine itself is fitted on at most
 ``max_documents`` labelled documents of each class, those with the smallest
-hash of their id.  Scoring is row-local: no shuffle, one broadcast model of
+hash of their id; the calibration counts each as often as its class was
+thinned, so that scores follow the share of the whole table.  Scoring is row-local: no shuffle, one broadcast model of
 fixed size.
 """
 
@@ -265,14 +266,14 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     return w[:-1], float(w[-1])
 
 
-def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and shift for document labels, with smoothed targets."""
+def _calibrate(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Logistic slope and shift for document labels, with smoothed targets; ``weight``: how many documents of the table each stands for."""
     n1, n0 = y.sum(), (1 - y).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))
-        r, h = p * (1 - p) + 1e-9, p - target
+        r, h = weight * (p * (1 - p) + 1e-9), weight * (p - target)
         g = np.array([(h * margin).sum() + 1e-3 * a, h.sum()])
         m = np.array([[(r * margin * margin).sum() + 1e-3, (r * margin).sum()], [(r * margin).sum(), r.sum()]])
         da, db = np.linalg.solve(m, g)
@@ -318,8 +319,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").dropDuplicates(["id"])
     # Labels grow with the documents, so neither side is broadcast at any size.
     known = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).hint("merge").join(marked, "id"))
-    tally = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    n1, n0 = tally.get(1, 0), tally.get(0, 0)
+    tally = {r["label"]: r for r in known.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids")).collect()}
+    n1, n0 = (tally[label]["n"] if label in tally else 0 for label in (1, 0))
     if not n1 or not n0:
         share = (n1 + 1) / (n1 + n0 + 2)
         return Model([], np.zeros((0, 0)), np.zeros(0), 0.0, 1.0, float(np.log(share / (1 - share))))
@@ -376,7 +377,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     np.maximum.at(best, doc, margin)
     label = np.zeros(len(best), int)
     label[doc] = y
-    return Model(words, nystrom, w, b, *_calibrate(best, label))
+    stands = np.array([tally[c]["ids"] / max(1, (label == c).sum()) for c in (0, 1)])  # the sample's classes are thinned unequally
+    return Model(words, nystrom, w, b, *_calibrate(best, label, stands[label]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -73,6 +73,22 @@ def test_learns_and_tolerates_gaps(llm):
     assert sum((r["score"] >= 0.7) == bool(r["toxic"]) for r in rows) >= 396
 
 
+def test_scores_do_not_depend_on_thinning(llm):
+    """A word that is toxic in one of three texts scores so, however many documents of each class are fitted."""
+    rnd = random.Random(3)
+    usual = ["garden", "window", "river", "summer", "music", "letter", "kitchen", "mountain"]
+    rows = []
+    for i in range(1200):
+        w = [rnd.choice(usual) for _ in range(12)]
+        if i < 300:
+            w[rnd.randrange(12)] = "numbskull"
+        rows.append((i, " ".join(w) + ".", int(i < 100)))
+    df = llm.createDataFrame(rows, "doc_id long, text string, toxic int")
+    probe = df.where("doc_id < 300").select("doc_id", "text")
+    whole, thin = (tx.score(probe, tx.fit(df, df, max_documents=m)).agg({"score": "avg"}).first()[0] for m in (2000, 60))
+    assert abs(whole - 1 / 3) < 0.1 and abs(thin - 1 / 3) < 0.15
+
+
 def test_cases(llm):
     df = made(llm).limit(20)
     empty = tx.fit(df.limit(0), df)
