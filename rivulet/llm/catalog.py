@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-MODULES = ["packing", "secrets", "quality", "language", "toxicity", "mixing", "shards", "attribution", "ngram_join", "decontamination"]
+MODULES = ["packing", "secrets", "quality", "language", "toxicity", "mixing", "shards", "attribution", "ngram_join", "decontamination",
+           "simhash", "vectorcodes"]
 
 
 def query(name: str, sql: str | None = None):
