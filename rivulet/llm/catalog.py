@@ -11,7 +11,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 MODULES = ["packing", "secrets", "quality", "language", "toxicity", "mixing", "shards", "attribution", "ngram_join", "decontamination",
-           "simhash", "vectorcodes"]
+           "simhash", "vectorcodes", "repair"]
 
 
 def query(name: str, sql: str | None = None):
