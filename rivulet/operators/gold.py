@@ -28,7 +28,9 @@ def gold_latest(df: DataFrame, seq_col: str = "seq") -> DataFrame:
     """
     sec = F.date_trunc("second", F.col("timestamp"))
     payload = [c for c in df.columns if c not in ("symbol", "timestamp")]
-    latest = F.max_by(F.struct(*[F.col(c) for c in payload]), F.col(seq_col))
+    values = F.struct(*[F.col(c) for c in payload])
+    # equal arrivals are settled by time and values, so that every run gives the same row
+    latest = F.max_by(values, F.struct(F.col(seq_col), F.col("timestamp"), values))
     out = df.groupBy(F.col("symbol"), sec.alias("timestamp")).agg(latest.alias("_r"))
     return out.select("timestamp", "symbol", *[F.col(f"_r.{c}").alias(c) for c in payload])
 

@@ -24,8 +24,11 @@ def points(chunks: DataFrame) -> DataFrame:
 
 
 def upsert(stored: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Stored points replaced by new points of the same id; one aggregate, partial before the shuffle."""
+    """Stored points replaced by new points of the same id; one aggregate, partial before the shuffle.
+
+    Of several points of one id on the same side the greatest is taken.
+    """
     cols = [c for c in stored.columns if c != key]
     both = (stored.withColumn("_batch", F.lit(0)).unionByName(new.withColumn("_batch", F.lit(1))))
-    latest = F.max_by(F.struct(*cols), F.col("_batch"))
+    latest = F.max_by(F.struct(*cols), F.struct("_batch", *cols))
     return both.groupBy(key).agg(latest.alias("_p")).select(key, *[F.col(f"_p.{c}").alias(c) for c in cols])

@@ -67,3 +67,16 @@ def enriched_ticks(state: DataFrame, batch: DataFrame, block_seconds: int | None
     return (out.join(first_new, "symbol")
             .filter(F.col("is_new") | (F.col("timestamp") > F.col("_first_new")))
             .drop("is_new", "_first_new"))
+
+
+def changed_ticks(history: DataFrame, new: DataFrame, block_seconds: int | None = ind.DEFAULT_BLOCK_SECONDS) -> DataFrame:
+    """Per-row indicators of the new ticks and of all later ones of their symbols, one row per (symbol, timestamp).
+
+    ``history`` holds at least the 29 ticks before a symbol's first new one, or
+    all there are.  A new tick replaces a stored one of the same time.  Both
+    sides have one row per (symbol, timestamp); other columns are carried along.
+    """
+    first = new.groupBy("symbol").agg(F.min("timestamp").alias("_first"))
+    old = history.join(new.select("symbol", "timestamp"), ["symbol", "timestamp"], "left_anti").join(first.select("symbol"), "symbol", "left_semi")
+    out = ind.indicators(old.unionByName(new), mode="per_row", block_seconds=block_seconds, fill=False)
+    return out.join(first, "symbol").filter(F.col("timestamp") >= F.col("_first")).drop("_first")

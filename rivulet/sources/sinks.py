@@ -6,10 +6,12 @@ Writes are idempotent by key or by batch id so that a replayed micro-batch
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rivulet.operators.gold import GOLD_COLS, to_gold_schema
+from rivulet.sources.gold_table import GoldTable
 
 
 def path_exists(spark, path: str) -> bool:
@@ -18,33 +20,29 @@ def path_exists(spark, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def remove_path(spark, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def write_gold(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Append (or replace) enriched ticks in the gold table, partitioned by date and sorted by key.
+    """Append enriched ticks to the gold table, or replace it."""
+    table = GoldTable(df.sparkSession, path)
+    (table.replace if mode == "replace" else table.append)(df)
+
 
-    Duplicate (symbol, second) keys are allowed on disk and resolved on read
-    with ``gold.gold_latest`` (the last insert wins), like a replacing merge.
-    """
-    g = to_gold_schema(df)
-    keep = [c for c in GOLD_COLS if c in g.columns] + [c for c in ("seq", "batch_id") if c in g.columns]
-    out = (g.select(*keep).withColumn("date", F.to_date("timestamp"))
-           .repartition("date", "symbol").sortWithinPartitions("date", "symbol", "timestamp"))
-    out.write.mode("overwrite" if mode == "replace" else "append").partitionBy("date").parquet(path)
+def write_dead_letters(dlq: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """Dead letters of one batch; a replay overwrites its own folder, another run never does."""
+    dlq.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
 
-def write_dead_letters(dlq: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Dead letters as JSON lines, one folder per batch id so a replay overwrites its own output."""
-    target = path if batch_id is None else f"{path}/batch_id={batch_id}"
-    dlq.write.mode("overwrite").json(target)
+def write_points(points: DataFrame, path: str, run: str, batch_id: int) -> None:
+    """Points of one batch with the time of writing, which orders runs; a replay overwrites its own folder."""
+    stamped = points.withColumn("written", F.lit(time.time_ns() // 1000))
+    stamped.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
 
 
-def write_points(points: DataFrame, path: str) -> None:
-    """Point store as parquet, bucketed by id through a hash repartition."""
-    points.repartition("id").write.mode("overwrite").parquet(path)
+def read_points(spark, path: str) -> DataFrame:
+    """For every id the version written last; of one batch the greatest, so that ties are settled."""
+    p = spark.read.parquet(path)
+    cols = [c for c in p.columns if c not in ("id", "written", "run", "batch_id")]
+    latest = F.max_by(F.struct(*cols), F.struct("written", *cols))
+    return p.groupBy("id").agg(latest.alias("_p")).select("id", *[F.col(f"_p.{c}").alias(c) for c in cols])
 
 
 def write_topic(df: DataFrame, path: str, value_col: str = "value") -> None:

@@ -1,15 +1,13 @@
 """Structured Streaming pipelines for the market and news topics (S1, S2, S11, section 2.10).
 
-Both run the batch operators inside ``foreachBatch``:
+Both call batch operators inside ``foreachBatch``:
 
-* every micro-batch is parsed once and persisted; dead letters and good rows
-  are two filters of it;
-* outputs are written per ``batch_id`` (folders overwritten by a replay, or
-  dynamic partition overwrite), so a batch replayed after an executor or
-  driver loss converges to the same tables - the checkpoint only records
-  batches whose writes finished;
-* the per-symbol trailing window is a snapshot table written for every batch
-  (a lineage cut in the shared store) and read back by the next one.
+* outputs of a batch carry the run (the checkpoint's query id) and the batch
+  number; a replay after the loss of an executor or the driver replaces them,
+  and a new checkpoint over existing tables adds to them;
+* gold is a table of file sets with a list that is swapped at commit
+  (``sources.gold_table``), so readers never see half a batch;
+* the newest ticks per symbol are keyed state (``streaming.tick_state``).
 
 Sources: Kafka (``format='kafka'``, needs the connector on the classpath) or a
 landing folder of JSON-lines broker records ``{topic, partition, offset, value}``.
@@ -17,18 +15,19 @@ landing folder of JSON-lines broker records ``{topic, partition, offset, value}`
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rivulet.functions import fixed as X
-
 from rivulet.operators import bronze as B
 from rivulet.operators import chunking as C
-from rivulet.operators import gold as G
 from rivulet.operators import window_state as WS
 from rivulet.operators.store import points
-from rivulet.session import cut_lineage
-from rivulet.sources.sinks import path_exists, remove_path
+from rivulet.sources.gold_table import GoldTable
+from rivulet.sources.sinks import read_points, write_dead_letters, write_points
+from rivulet.streaming import tick_state as TS
 
 RECORD_SCHEMA = "topic string, partition int, offset long, value string"
 
@@ -50,72 +49,103 @@ def read_records(spark: SparkSession, path: str | None = None, fmt: str = "json"
     return r.json(path)
 
 
+def run_of(batch: DataFrame) -> str:
+    """Names the checkpoint that a batch belongs to: a new checkpoint is a new run, a restart is not."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+
+
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 class MarketPipeline:
-    """Bronze market records -> dead letters + enriched gold rows + trailing-window state."""
+    """Bronze market records -> dead letters + enriched gold ticks, with the newest ticks per symbol as keyed state.
+
+    Gold after any sequence of batches, restarts, replays and new checkpoints
+    equals the indicators of all ticks together, one per (symbol, timestamp);
+    of two ticks of one time the later arrival counts (batch, then partition,
+    then offset).  A tick that is older than stored ones changes the rows after
+    it, and those are written again: from the state where it reaches back far
+    enough, else from gold.
+    """
 
-    def __init__(self, root: str, as_of: str = B.DEFAULT_AS_OF, block_seconds: int | None = 86_400):
+    KEEP = 2 * X.WINDOW_ROWS  # so that the newer half has full frames
+
+    def __init__(self, root: str, as_of: str = B.DEFAULT_AS_OF, block_seconds: int | None = 86_400, salts: int = 4,
+                 idle_ms: int | None = None):
         self.root = root
         self.gold = f"{root}/gold"
         self.dlq = f"{root}/dlq_market"
-        self.state = f"{root}/window_state"
-        self.late = f"{root}/late_ticks"
         self.as_of = as_of
         self.block_seconds = block_seconds
+        self.salts = salts
+        self.idle_ms = idle_ms
 
-    def previous_state(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """Trailing rows per symbol before ``batch_id``.
-
-        Rows that an earlier attempt of this batch (or a later one) stored are
-        not history, and rows read from gold are written out before gold is
-        touched: a replay, also of the first batch, starts from what the first
-        attempt started from.
-        """
-        prev = f"{self.state}/batch_id={batch_id - 1}"
-        if batch_id > 0 and path_exists(spark, prev):
-            return spark.read.parquet(prev)
-        if path_exists(spark, self.gold):
-            # cold start: newest stored rows per symbol
-            g = spark.read.parquet(self.gold).filter(F.col("batch_id") < batch_id)
-            g = G.gold_latest(g.select("symbol", "timestamp", "price", "volume", "seq"))
-            return cut_lineage(WS.initial_state(g, n=2 * X.WINDOW_ROWS))
-        return spark.createDataFrame([], "symbol string, timestamp timestamp, price double, volume double, seq long")
+    def table(self, spark: SparkSession) -> GoldTable:
+        return GoldTable(spark, self.gold)
+
+    def read_gold(self, spark: SparkSession) -> DataFrame:
+        """Gold rows, one per (symbol, second): the last arrival."""
+        return self.table(spark).read()
+
+    def ticks_with_state(self, records: DataFrame) -> DataFrame:
+        """Valid ticks of a record stream with the stored ticks of their symbols."""
+        spark = records.sparkSession
+        spark.conf.set(*STATE_STORE)
+        valid = B.parse_market(records, self.as_of).filter("error_message is null").select(
+            "symbol", "timestamp", "price", "volume", "partition", F.col("offset").alias("seq"))
+        keys = ["symbol", TS.salt_of(F.unix_micros("timestamp"), self.salts)]
+        history = self.table(spark).newest(self.KEEP, keys)
+        return TS.with_state(valid, history, self.KEEP, self.salts, self.idle_ms)
+
+    def write_dead_letters(self, batch: DataFrame, batch_id: int) -> None:
+        """Dead letters of a batch of raw records, in a folder that a replay overwrites."""
+        write_dead_letters(B.dead_letters(B.parse_market(batch, self.as_of), self.as_of), self.dlq, run_of(batch), batch_id)
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        parsed = B.parse_market(batch, self.as_of).persist()
+        """New ticks of a batch, and the stored rows they change, to gold as one set."""
+        run, table = run_of(batch), self.table(batch.sparkSession)
+        batch = batch.persist()
         try:
-            B.dead_letters(parsed, self.as_of).write.mode("overwrite").parquet(f"{self.dlq}/batch_id={batch_id}")
-            ticks = B.market_valid(parsed).select("symbol", "timestamp", "price", "volume", F.col("offset").alias("seq"))
-            state = self.previous_state(spark, batch_id)
-            # ticks older than the newest 30 stored rows of their symbol are not placed: side table.
-            # The snapshot keeps twice the window, so rows re-emitted after a late tick inside the
-            # window still find their full 30-row frames.
-            newest = Window.partitionBy("symbol").orderBy(F.col("timestamp").desc(), F.col("seq").desc())
-            oldest = (state.withColumn("_r", F.row_number().over(newest)).filter(F.col("_r") <= X.WINDOW_ROWS)
-                      .groupBy("symbol").agg(F.min("timestamp").alias("_oldest")))
-            tagged = ticks.join(oldest, "symbol", "left")
-            is_late = F.col("_oldest").isNotNull() & (F.col("timestamp") < F.col("_oldest"))
-            tagged.filter(is_late).drop("_oldest").write.mode("overwrite").parquet(f"{self.late}/batch_id={batch_id}")
-            ticks = tagged.filter(~is_late).drop("_oldest")
-            # late ticks inside the window re-emit the stored rows after them
-            enriched = WS.enriched_ticks(state, ticks, self.block_seconds, reemit=True)
-            (enriched.withColumn("batch_id", F.lit(batch_id)).withColumn("date", F.to_date("timestamp"))
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("date", "batch_id").parquet(self.gold))
-            # as in gold, the newest arrival of a timestamp wins
-            WS.merge_window(state, ticks, n=2 * X.WINDOW_ROWS, keep="last").drop("from_batch").write.mode("overwrite").parquet(
-                f"{self.state}/batch_id={batch_id}")
-            # a replay needs the snapshot before its own batch, never an older one
-            if batch_id > 1:
-                remove_path(spark, f"{self.state}/batch_id={batch_id - 2}")
+            new = latest_arrival(batch.filter("kind = 'new'").select(*TICK)).persist()
+            if new.isEmpty():
+                return
+            old = latest_arrival(batch.filter("kind = 'old'").select(*TICK))
+            w = Window.partitionBy("symbol").orderBy(F.col("timestamp").desc())
+            tail = old.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= self.KEEP)
+            # a whole list may end here: rows that have fewer than a window before them in it need older ones
+            full = tail.groupBy("symbol").agg(F.count("*").alias("_n"), F.min(F.when(
+                F.col("_r") <= self.KEEP - X.WINDOW_ROWS + 1, F.col("timestamp"))).alias("_reach")).filter(F.col("_n") >= self.KEEP)
+            beyond = new.join(full, "symbol").filter(F.col("timestamp") < F.col("_reach")).select("symbol")
+            partial = batch.filter("partial").select("symbol")
+            far = beyond.union(partial).distinct().persist()
+            parts = [WS.changed_ticks(tail.drop("_r").join(far, "symbol", "left_anti"), new.join(far, "symbol", "left_anti"), self.block_seconds)]
+            if not far.isEmpty():
+                late = new.join(far, "symbol", "left_semi")
+                first = late.groupBy("symbol").agg(F.min("timestamp").alias("_first"))
+                stored = table.ticks(without=(run, batch_id)).select(*TICK).join(F.broadcast(first) if far.count() <= 10_000 else first, "symbol")
+                before = stored.filter("timestamp < _first").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") < X.WINDOW_ROWS)
+                history = before.drop("_r", "_first").unionByName(stored.filter("timestamp >= _first").drop("_first"))
+                parts.append(WS.changed_ticks(history, late, self.block_seconds))
+            rows = reduce(DataFrame.unionByName, parts)
+            table.append(rows, run, batch_id)
+            far.unpersist()
+            new.unpersist()
         finally:
-            parsed.unpersist()
+            batch.unpersist()
+
+    def queries(self, records: DataFrame, checkpoint: str, **trigger) -> list:
+        """Starters of the gold query and the dead-letter query, each with a checkpoint below ``checkpoint``."""
+        return [lambda: start(self.process_batch, self.ticks_with_state(records), f"{checkpoint}/gold", **trigger),
+                lambda: start(self.write_dead_letters, records, f"{checkpoint}/dlq", **trigger)]
 
-    def read_gold(self, spark: SparkSession) -> DataFrame:
-        """Gold rows, duplicates resolved: the last insert per (symbol, second) wins (then the latest batch)."""
-        g = spark.read.parquet(self.gold).drop("date")
-        g = g.withColumn("_order", F.struct("seq", "batch_id"))
-        return G.gold_latest(g, seq_col="_order").drop("_order", "batch_id")
+
+TICK = ["symbol", "timestamp", "price", "volume", "epoch", "partition", "seq"]
+
+
+def latest_arrival(ticks: DataFrame) -> DataFrame:
+    """One tick per (symbol, timestamp): the one that arrived last."""
+    best = F.max_by(F.struct("price", "volume", "epoch", "partition", "seq"), F.struct("epoch", "partition", "seq", "price", "volume"))
+    return ticks.groupBy("symbol", "timestamp").agg(best.alias("b")).select("symbol", "timestamp", "b.*")
 
 
 class NewsPipeline:
@@ -127,25 +157,26 @@ class NewsPipeline:
         self.points = f"{root}/points"
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
+        run = run_of(batch)
         parsed = B.parse_news(batch).persist()
         try:
-            B.dead_letters(parsed).write.mode("overwrite").parquet(f"{self.dlq}/batch_id={batch_id}")
-            chunks = C.chunk_articles(B.news_valid(parsed))
-            points(chunks).write.mode("overwrite").parquet(f"{self.points}/batch_id={batch_id}")
+            write_dead_letters(B.dead_letters(parsed), self.dlq, run, batch_id)
+            write_points(points(C.chunk_articles(B.news_valid(parsed))), self.points, run, batch_id)
         finally:
             parsed.unpersist()
 
     def read_points(self, spark: SparkSession) -> DataFrame:
-        """Point store: for every id the version of the latest batch (upsert semantics, S10)."""
-        p = spark.read.parquet(self.points)
-        cols = [c for c in p.columns if c not in ("id", "batch_id")]
-        latest = F.max_by(F.struct(*cols), F.col("batch_id"))
-        return p.groupBy("id").agg(latest.alias("_p")).select("id", *[F.col(f"_p.{c}").alias(c) for c in cols])
+        """Point store: for every id the version written last (upsert semantics, S10)."""
+        return read_points(spark, self.points)
+
+    def queries(self, records: DataFrame, checkpoint: str, **trigger) -> list:
+        """Starter of the pipeline's query."""
+        return [lambda: start(self.process_batch, records, checkpoint, **trigger)]
 
 
-def start(pipeline, records: DataFrame, checkpoint: str, available_now: bool = True, interval: str | None = None):
-    """Run a pipeline's ``process_batch`` over a record stream with a checkpoint in the shared store."""
-    w = records.writeStream.foreachBatch(pipeline.process_batch).option("checkpointLocation", checkpoint)
+def start(process, rows: DataFrame, checkpoint: str, available_now: bool = True, interval: str | None = None):
+    """Call ``process(batch, batch_id)`` for a stream with a checkpoint in the shared store."""
+    w = rows.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval or "1 second")
     return w.start()
 

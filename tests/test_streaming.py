@@ -1,119 +1,195 @@
+import datetime as dt
 import json
 import os
+import random
 import tempfile
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from rivulet.operators import bronze as B
 from rivulet.operators import gold as G
 from rivulet.operators import indicators as ind
 from rivulet.sources import views as V
-from rivulet.streaming.pipelines import MarketPipeline, NewsPipeline, read_records, start
+from rivulet.streaming import pipelines as P
+from rivulet.streaming.pipelines import MarketPipeline, NewsPipeline, read_records
+from rivulet.streaming.supervise import supervise
 
+T0 = dt.datetime(2024, 3, 1, 10, 0)
+RECORDS = "topic string, partition int, offset long, value string"
+VALUES = ["price", "volume", "SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"]
 
-def land(records, folder, n_files):
-    os.makedirs(folder, exist_ok=True)
-    chunk = -(-len(records) // n_files)
-    for i in range(n_files):
-        with open(os.path.join(folder, f"part-{i:03d}.json"), "w") as fh:
-            for r in records[i * chunk:(i + 1) * chunk]:
-                fh.write(json.dumps(r) + "\n")
-        os.utime(os.path.join(folder, f"part-{i:03d}.json"), (1_000_000 + i, 1_000_000 + i))
-
-
-def test_market_stream_equals_batch_and_replays(spark, sf):
-    raw = V.raw_market(spark, sf).filter(~F.col("value").contains("yesterday")).orderBy("offset")
-    recs = [r.asDict() for r in raw.collect()]
-    root = tempfile.mkdtemp(prefix="rivulet-stream-")
-    land(recs, f"{root}/landing", 3)
-    pipe = MarketPipeline(f"{root}/out")
-    q = start(pipe, read_records(spark, f"{root}/landing", max_per_trigger=1), f"{root}/out/_checkpoints/market")
-    q.awaitTermination()
-    got = pipe.read_gold(spark)
-    ticks = B.market_valid(B.parse_market(raw)).select("symbol", "timestamp", "price", "volume",
-                                                       F.col("offset").alias("seq"))
-    want = G.gold_latest(ind.indicators(ticks))
-    cols = ["symbol", "timestamp", "seq", "SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"]
-    a = got.select(*cols).toPandas().sort_values(["symbol", "timestamp"]).reset_index(drop=True)
-    b = want.select(*cols).toPandas().sort_values(["symbol", "timestamp"]).reset_index(drop=True)
-    assert len(a) == len(b) > 0
-    for c in cols[3:]:
-        assert (abs(a[c] - b[c]) < 1e-9).all(), c
-    dlq = spark.read.parquet(f"{root}/out/dlq_market").count()
-    assert dlq == B.dead_letters(B.parse_market(raw)).count()
-    # replaying batch 1 (same id, same input) leaves the tables unchanged
-    n_before = spark.read.parquet(pipe.gold).count()
-    batch1 = spark.read.json(f"{root}/landing/part-001.json", schema="topic string, partition int, offset long, value string")
-    pipe.process_batch(batch1, 1)
-    assert spark.read.parquet(pipe.gold).count() == n_before
-
-
-def test_news_stream_points_upsert(spark, sf):
-    raw = V.raw_news(spark, sf).orderBy("offset")
-    recs = [r.asDict() for r in raw.collect()]
-    root = tempfile.mkdtemp(prefix="rivulet-news-")
-    land(recs, f"{root}/landing", 2)
-    pipe = NewsPipeline(f"{root}/out")
-    start(pipe, read_records(spark, f"{root}/landing", max_per_trigger=1), f"{root}/out/_ck").awaitTermination()
-    n = pipe.read_points(spark).count()
-    # the same articles again in a later batch overwrite, not duplicate
-    again = spark.read.json(f"{root}/landing/part-000.json", schema="topic string, partition int, offset long, value string")
-    pipe.process_batch(again, 7)
-    assert pipe.read_points(spark).count() == n > 0
 
+def rec(symbol, second, price, offset, partition=0, volume=1.0):
+    ts = (T0 + dt.timedelta(seconds=second)).strftime("%Y-%m-%d %H:%M:%S.%f")
+    value = {"ingest_timestamp": ts, "payload": {"symbol": symbol, "price": price, "volume": volume}}
+    return {"topic": "m", "partition": partition, "offset": offset, "value": json.dumps(value)}
 
-def test_late_ticks_side_table_and_reemit(spark):
-    import datetime as dt
-    t0 = dt.datetime(2024, 3, 1, 10, 0)
 
-    def rec(i, minute, price):
-        ts = (t0 + dt.timedelta(minutes=minute)).strftime("%Y-%m-%d %H:%M:%S.%f")
-        v = {"ingest_timestamp": ts, "payload": {"symbol": "S", "price": price, "volume": 1.0}}
-        return ("m", 0, i, json.dumps(v))
+def land(files, folder, first=0):
+    """One file per batch, in order."""
+    os.makedirs(folder, exist_ok=True)
+    for i, records in enumerate(files, first):
+        path = os.path.join(folder, f"part-{i:03d}.json")
+        with open(path, "w") as fh:
+            fh.writelines(json.dumps(r) + "\n" for r in records)
+        os.utime(path, (1_000_000 + i, 1_000_000 + i))
+
+
+def run(spark, pipe, folder, checkpoint):
+    for start in pipe.queries(read_records(spark, folder, max_per_trigger=1), checkpoint):
+        start().awaitTermination()
+
+
+def expected(spark, files):
+    """Indicators of all ticks together; of one time the tick of the latest batch, partition and offset."""
+    rows = [(i, r["partition"], r["offset"], r["topic"], r["value"]) for i, f in enumerate(files) for r in f]
+    raw = spark.createDataFrame(rows, "epoch long, partition int, offset long, topic string, value string")
+    parsed = B.parse_market(raw.withColumn("topic", F.col("epoch").cast("string"))).filter("error_message is null")
+    ticks = parsed.select("symbol", "timestamp", "price", "volume", F.col("topic").cast("long").alias("epoch"), "partition", F.col("offset").alias("seq"))
+    return ind.indicators(P.latest_arrival(ticks), fill=False)
+
+
+def same(got, want, keys=("symbol", "timestamp")):
+    a = {tuple(r[k] for k in keys): r for r in got.collect()}
+    b = {tuple(r[k] for k in keys): r for r in want.collect()}
+    assert set(a) == set(b) and len(b) > 0
+    for k, r in b.items():
+        for c in VALUES:
+            assert a[k][c] == pytest.approx(r[c], abs=1e-9), (k, c)
+
+
+def stream_of(seed, batches=4, symbols=("AA", "BB", "CC")):
+    """Ticks of several partitions, mostly in order: equal times across batches, late ticks near and far, a young symbol."""
+    rnd = random.Random(seed)
+    files, offset = [], [0, 0]
+    for b in range(batches):
+        rows = []
+        for s in symbols:
+            for i in range(50 if s != "CC" else 2):
+                late = rnd.random()
+                second = 100 * b + 2 * i
+                if b and late < 0.06:
+                    second -= rnd.choice([20, 60, 150, 300])  # inside the window, at its edge, far behind it
+                p = rnd.randrange(2)
+                offset[p] += 1 + rnd.randrange(3)
+                rows.append(rec(s, second + 0.25 * rnd.randrange(4), 100 + rnd.random(), offset[p], p))
+        rows.append({"topic": "m", "partition": 0, "offset": -b, "value": "no json"})
+        files.append(rows)
+    return files
+
+
+@pytest.fixture
+def root():
+    return tempfile.mkdtemp(prefix="rivulet-stream-")
+
+
+def test_stream_equals_batch(spark, root):
+    files = stream_of(1)
+    land(files, f"{root}/in")
+    pipe = MarketPipeline(f"{root}/out")
+    run(spark, pipe, f"{root}/in", f"{root}/ck")
+    want = expected(spark, files)
+    same(pipe.table(spark).ticks(), want)
+    order = F.struct("epoch", "partition", "seq", "timestamp")
+    same(pipe.read_gold(spark), G.gold_latest(want.withColumn("o", order), seq_col="o"))
+    dlq = spark.read.parquet(pipe.dlq)
+    assert sorted(r["offset"] for r in dlq.collect()) == [-3, -2, -1, 0]
+
+
+def test_given_records_equal_batch(spark, sf, root):
+    raw = V.raw_market(spark, sf).filter(~F.col("value").contains("yesterday"))
+    recs = [r.asDict() for r in raw.orderBy("offset").collect()]
+    files = [recs[i::3] for i in range(3)]  # every batch reaches back over the one before
+    land(files, f"{root}/in")
+    pipe = MarketPipeline(f"{root}/out")
+    run(spark, pipe, f"{root}/in", f"{root}/ck")
+    same(pipe.table(spark).ticks(), expected(spark, files))
+    assert spark.read.parquet(pipe.dlq).count() == B.dead_letters(B.parse_market(raw)).count()
+
 
-    schema = "topic string, partition int, offset long, value string"
-    root = tempfile.mkdtemp(prefix="rivulet-late-")
+def test_new_checkpoint_goes_on_from_gold(spark, root):
+    files = stream_of(2)
     pipe = MarketPipeline(f"{root}/out")
-    first = [rec(i, 10 + i, 100.0 + i) for i in range(40)]          # stored window: minutes 20..49
-    pipe.process_batch(spark.createDataFrame(first, schema), 0)
-    late = [rec(100, 5, 1.0), rec(101, 45.5, 500.0)]                 # minute 5: too old; minute 45.5: in window
-    pipe.process_batch(spark.createDataFrame(late, schema), 1)
-    side = spark.read.parquet(pipe.late).collect()
-    assert [r["seq"] for r in side] == [100]
-    gold = pipe.read_gold(spark).toPandas().set_index("seq")
-    all_ticks = spark.createDataFrame(first + [late[1]], schema)
-    want = ind.indicators(B.market_valid(B.parse_market(all_ticks)).select(
-        "symbol", "timestamp", "price", "volume", F.col("offset").alias("seq"))).toPandas().set_index("seq")
-    for s in (101, 36, 39):                                          # the late row and stored rows after it
-        assert abs(gold.loc[s, "SMA_5"] - want.loc[s, "SMA_5"]) < 1e-9
-        assert abs(gold.loc[s, "MACD"] - want.loc[s, "MACD"]) < 1e-9
-
-
-def test_replay_of_the_first_batch_and_equal_timestamps(spark):
-    import datetime as dt
-    t0 = dt.datetime(2024, 3, 1, 10, 0)
-
-    def rec(i, second, price):
-        ts = (t0 + dt.timedelta(seconds=second)).strftime("%Y-%m-%d %H:%M:%S.%f")
-        return ("m", 0, i, json.dumps({"ingest_timestamp": ts, "payload": {"symbol": "S", "price": price, "volume": 1.0}}))
-
-    schema = "topic string, partition int, offset long, value string"
-    root = tempfile.mkdtemp(prefix="rivulet-replay-")
+    land(files[:2], f"{root}/in1")
+    run(spark, pipe, f"{root}/in1", f"{root}/ck1")
+    before = pipe.table(spark).ticks().count()
+    land(files[2:], f"{root}/in2")
+    run(spark, pipe, f"{root}/in2", f"{root}/ck2")
+    assert pipe.table(spark).ticks().count() > before
+    same(pipe.table(spark).ticks(), expected(spark, files))
+    # the same files again under a third checkpoint change nothing
+    run(spark, pipe, f"{root}/in2", f"{root}/ck3")
+    same(pipe.table(spark).ticks(), expected(spark, files))
+    assert spark.read.parquet(pipe.dlq).count() == 6  # two of each run
+
+
+def test_batch_that_fails_after_its_write_is_replayed(spark, root):
+    files = stream_of(3)
+    land(files, f"{root}/in")
+    pipe = MarketPipeline(f"{root}/out", salts=2)
+    plain, failing = pipe.process_batch, {0, 2}
+
+    def fails_once(batch, batch_id):
+        plain(batch, batch_id)
+        if batch_id in failing:
+            failing.remove(batch_id)
+            raise RuntimeError("lost after the write")
+
+    pipe.process_batch = fails_once
+    pauses = []
+    restarts = supervise(spark, pipe.queries(read_records(spark, f"{root}/in", max_per_trigger=1), f"{root}/ck"), backoff=0.1, sleep=pauses.append)
+    assert restarts == 2 and pauses == [0.1, 0.1] and not failing
+    same(pipe.table(spark).ticks(), expected(spark, files))
+    assert len([s for s in pipe.table(spark).listing()["sets"]]) == len(files)
+
+
+def test_sink_that_keeps_failing_ends_the_run(spark, root):
+    land(stream_of(4, batches=1), f"{root}/in")
     pipe = MarketPipeline(f"{root}/out")
 
-    def tables():
-        return [sorted(map(str, spark.read.parquet(p).collect())) for p in (pipe.gold, f"{pipe.state}/batch_id=0", f"{pipe.late}/batch_id=0")]
-
-    first = spark.createDataFrame([rec(i, 60 * i, 100.0 + i) for i in range(100)], schema)
-    pipe.process_batch(first, 0)
-    before = tables()
-    pipe.process_batch(first, 0)
-    assert tables() == before and len(before[0]) == 100 and not before[2]
-    # a timestamp that comes again: window and gold both hold the newest arrival
-    pipe.process_batch(spark.createDataFrame([rec(200, 60 * 99, 500.0)], schema), 1)
-    state = {r["timestamp"]: r["price"] for r in spark.read.parquet(f"{pipe.state}/batch_id=1").collect()}
-    gold = {r["timestamp"]: r["price"] for r in pipe.read_gold(spark).collect()}
-    assert gold[max(gold)] == state[max(state)] == 500.0 and len(gold) == 100
-    pipe.process_batch(spark.createDataFrame([rec(201, 60 * 100, 1.0)], schema), 2)
-    from rivulet.sources.sinks import path_exists
-    assert not path_exists(spark, f"{pipe.state}/batch_id=0") and path_exists(spark, f"{pipe.state}/batch_id=1")
+    def fails(batch, batch_id):
+        raise RuntimeError("no store")
+
+    pipe.process_batch = fails
+    pauses = []
+    with pytest.raises(StreamingQueryException):
+        supervise(spark, pipe.queries(read_records(spark, f"{root}/in"), f"{root}/ck"), max_restarts=2, backoff=1.0, sleep=pauses.append)
+    assert pauses == [1.0, 2.0]
+
+
+def test_idle_state_is_dropped_and_history_comes_from_gold(spark, root):
+    files = [[rec("A", i, 100 + i % 7, i) for i in range(70)], [rec("B", 500 + i, 5.0 + i, 100 + i) for i in range(3)],
+             [rec("A", 600 + i, 90 + i, 200 + i) for i in range(4)], [rec("A", 700, 1.0, 300), rec("A", 650, 2.0, 301)]]
+    land(files, f"{root}/in")
+    pipe = MarketPipeline(f"{root}/out", idle_ms=1, salts=1)
+    run(spark, pipe, f"{root}/in", f"{root}/ck")
+    same(pipe.table(spark).ticks(), expected(spark, files))
+
+
+def test_a_batch_touches_its_own_symbols_only(spark, root):
+    files = [[rec(s, i, 10.0 + i, 100 * k + i) for k, s in enumerate("ABCDEFGH") for i in range(40)], [rec("C", 100, 7.0, 9000)]]
+    land(files, f"{root}/in")
+    pipe = MarketPipeline(f"{root}/out")
+    query = pipe.queries(read_records(spark, f"{root}/in", max_per_trigger=1), f"{root}/ck")[0]()
+    query.awaitTermination()
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+    assert state[-1]["numRowsUpdated"] <= pipe.KEEP + 1 and state[0]["numRowsUpdated"] >= 8 * 40
+    last = pipe.table(spark).listing()["sets"][-1]
+    assert [r["symbol"] for r in pipe.table(spark)._rows([last]).collect()] == ["C"]
+
+
+def test_news_stream_points_upsert(spark, sf, root):
+    recs = [r.asDict() for r in V.raw_news(spark, sf).orderBy("offset").collect()]
+    half = len(recs) // 2
+    land([recs[:half], recs[half:]], f"{root}/in")
+    pipe = NewsPipeline(f"{root}/out")
+    run(spark, pipe, f"{root}/in", f"{root}/ck")
+    n = pipe.read_points(spark).count()
+    dead = spark.read.parquet(pipe.dlq).count()
+    # the same articles under a new checkpoint overwrite points, and add their dead letters
+    land([recs[:half]], f"{root}/again")
+    run(spark, pipe, f"{root}/again", f"{root}/ck2")
+    assert pipe.read_points(spark).count() == n > 0
+    assert spark.read.parquet(pipe.dlq).count() > dead > 0
