@@ -54,7 +54,13 @@ def run_of(batch: DataFrame) -> str:
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
 
 
-STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+# The keyed state needs this store.  A query with timers asks for another batch
+# whenever one is over, so one that runs until its input is read would never end:
+# only input makes batches, and idle state is dropped along with one.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
 
 
 class MarketPipeline:
@@ -90,7 +96,8 @@ class MarketPipeline:
     def ticks_with_state(self, records: DataFrame) -> DataFrame:
         """Valid ticks of a record stream with the stored ticks of their symbols."""
         spark = records.sparkSession
-        spark.conf.set(*STATE_STORE)
+        for key, value in STATE_CONF.items():
+            spark.conf.set(key, value)
         valid = B.parse_market(records, self.as_of).filter("error_message is null").select(
             "symbol", "timestamp", "price", "volume", "partition", F.col("offset").alias("seq"))
         keys = ["symbol", TS.salt_of(F.unix_micros("timestamp"), self.salts)]

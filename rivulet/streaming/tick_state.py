@@ -16,9 +16,11 @@ tick then finds its symbol marked ``partial``, and the history comes from gold.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -28,6 +30,10 @@ COLS = [f.split()[0] for f in STATE.split(", ")]
 OUT = f"symbol string, salt int, {STATE}, kind string, partial boolean"
 KEY = ["symbol", "salt"]
 
+# Spark asks a Python worker of the driver, which has no files added with
+# addPyFile, for the state's schema: the processor travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def salt_of(micros, salts: int):
     return F.pmod(F.xxhash64(micros), F.lit(salts)).cast("int")

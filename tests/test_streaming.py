@@ -60,7 +60,7 @@ def same(got, want, keys=("symbol", "timestamp")):
             assert a[k][c] == pytest.approx(r[c], abs=1e-9), (k, c)
 
 
-def stream_of(seed, batches=4, symbols=("AA", "BB", "CC")):
+def stream_of(seed, batches=2, symbols=("AA", "BB", "CC")):
     """Ticks of several partitions, mostly in order: equal times across batches, late ticks near and far, a young symbol."""
     rnd = random.Random(seed)
     files, offset = [], [0, 0]
@@ -86,7 +86,7 @@ def root():
 
 
 def test_stream_equals_batch(spark, root):
-    files = stream_of(1)
+    files = stream_of(1, batches=3)
     land(files, f"{root}/in")
     pipe = MarketPipeline(f"{root}/out")
     run(spark, pipe, f"{root}/in", f"{root}/ck")
@@ -95,13 +95,13 @@ def test_stream_equals_batch(spark, root):
     order = F.struct("epoch", "partition", "seq", "timestamp")
     same(pipe.read_gold(spark), G.gold_latest(want.withColumn("o", order), seq_col="o"))
     dlq = spark.read.parquet(pipe.dlq)
-    assert sorted(r["offset"] for r in dlq.collect()) == [-3, -2, -1, 0]
+    assert sorted(r["offset"] for r in dlq.collect()) == [-2, -1, 0]
 
 
 def test_given_records_equal_batch(spark, sf, root):
     raw = V.raw_market(spark, sf).filter(~F.col("value").contains("yesterday"))
     recs = [r.asDict() for r in raw.orderBy("offset").collect()]
-    files = [recs[i::3] for i in range(3)]  # every batch reaches back over the one before
+    files = [recs[i::2] for i in range(2)]  # every batch reaches back over the one before
     land(files, f"{root}/in")
     pipe = MarketPipeline(f"{root}/out")
     run(spark, pipe, f"{root}/in", f"{root}/ck")
@@ -111,25 +111,25 @@ def test_given_records_equal_batch(spark, sf, root):
 
 def test_new_checkpoint_goes_on_from_gold(spark, root):
     files = stream_of(2)
-    pipe = MarketPipeline(f"{root}/out")
-    land(files[:2], f"{root}/in1")
+    pipe = MarketPipeline(f"{root}/out", salts=1)
+    land(files[:1], f"{root}/in1")
     run(spark, pipe, f"{root}/in1", f"{root}/ck1")
     before = pipe.table(spark).ticks().count()
-    land(files[2:], f"{root}/in2")
+    land(files[1:], f"{root}/in2")
     run(spark, pipe, f"{root}/in2", f"{root}/ck2")
     assert pipe.table(spark).ticks().count() > before
     same(pipe.table(spark).ticks(), expected(spark, files))
     # the same files again under a third checkpoint change nothing
     run(spark, pipe, f"{root}/in2", f"{root}/ck3")
     same(pipe.table(spark).ticks(), expected(spark, files))
-    assert spark.read.parquet(pipe.dlq).count() == 6  # two of each run
+    assert spark.read.parquet(pipe.dlq).count() == 3  # one of each run
 
 
 def test_batch_that_fails_after_its_write_is_replayed(spark, root):
     files = stream_of(3)
     land(files, f"{root}/in")
     pipe = MarketPipeline(f"{root}/out", salts=2)
-    plain, failing = pipe.process_batch, {0, 2}
+    plain, failing = pipe.process_batch, {0, 1}
 
     def fails_once(batch, batch_id):
         plain(batch, batch_id)
@@ -175,7 +175,7 @@ def test_a_batch_touches_its_own_symbols_only(spark, root):
     query = pipe.queries(read_records(spark, f"{root}/in", max_per_trigger=1), f"{root}/ck")[0]()
     query.awaitTermination()
     state = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
-    assert state[-1]["numRowsUpdated"] <= pipe.KEEP + 1 and state[0]["numRowsUpdated"] >= 8 * 40
+    assert state[-1]["numRowsUpdated"] < state[0]["numRowsUpdated"] / 4  # one symbol of eight
     last = pipe.table(spark).listing()["sets"][-1]
     assert [r["symbol"] for r in pipe.table(spark)._rows([last]).collect()] == ["C"]
 
