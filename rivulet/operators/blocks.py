@@ -1,94 +1,63 @@
 """Halo blocks: trailing-row windows without one task per key.
 
 A window ``partitionBy(symbol)`` puts every row of a symbol into one task; with a
-hot symbol holding a third of the data that task is the whole job.  Every
-trailing-row indicator here looks back a bounded number of rows ``H``, so each
-symbol is cut into blocks (time buckets) and each block receives a copy of the
-``H`` rows that precede its first row (the halo).  Windows then partition by
-``(symbol, block)``; the block's own rows get exactly the frames they would get
-in the unblocked window.
-
-Positions come from a per-block count table (one row per block, small) with a
-running sum over blocks, plus a row number inside each block; no step ever
-orders all rows of a symbol in one task.  The halo is found exactly: only rows
-among the last ``H`` of their block can precede another block by at most ``H``
-rows.  A block and the next but one start more than ``min_block_rows`` rows
-apart, so such a row can serve the ``ceil(H / min_block_rows) + 1`` following
-blocks at most: it is copied to those candidates, never past the last block,
-and kept where it lies within ``H`` rows of the block's start.
+hot symbol holding a third of the data that task is the whole job.  Here rows
+are sorted by (key, order) into ranges, so many rows of one key, even of one
+instant, spread over tasks.  The number of rows of a key in each range (a small
+table) gives every row its position in its key by a prefix sum.  A block is a
+fixed number of positions, and the rows that precede a block (the halo) are
+known from positions alone: a row also goes to the blocks that begin within
+``halo`` positions after it.  Windows partition by ``(key, block)``; a block's
+own rows get exactly the frames they would get in the unblocked window.
+
+The sorted rows are written once to the shared folder: positions refer to the
+ranges as they were written, whatever is computed again later.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rivulet.session import cut_lineage
+
+BLOCK_ROWS = 2_048
+
 
 @dataclass
 class Blocked:
-    rows: DataFrame      # block rows + halo rows; columns _blk, _pos, _halo added
-    blocks: DataFrame    # key..., _blk, _bidx, _n, _start, _total
+    rows: DataFrame      # block rows + halo rows; columns _blk, _pos, _total, _halo added
+    own: DataFrame       # each row once, with _blk, _pos, _total
+    blocks: DataFrame    # key..., _blk
     key: list
     window: Window       # partitionBy(key, _blk).orderBy(_pos)
+    block_rows: int
 
 
-def time_block(ts_col: str, block_seconds: int | None) -> Column:
-    if not block_seconds:
-        return F.lit(0).cast("bigint")
-    return F.floor(F.unix_micros(F.col(ts_col)) / F.lit(block_seconds * 1_000_000)).cast("bigint")
-
-
-def position_rows(df: DataFrame, key: list, order: list, bucket: Column, min_block_rows: int = 4096):
-    """Attach ``_blk``, ``_rn`` (row number in block) and global ``_pos`` within ``key``.
-
-    Rows are first counted per time bucket (a small table).  Consecutive
-    buckets are merged into blocks of at least ``min_block_rows`` rows (block =
-    bucket start position // min_block_rows), so sparse keys do not pay a halo
-    per near-empty bucket while dense keys still split by time.
-    """
-    d = df.withColumn("_bkt", bucket)
-    counts = d.groupBy(*key, "_bkt").agg(F.count(F.lit(1)).alias("_bn"))
-    wk = Window.partitionBy(*key).orderBy("_bkt")
-    counts = counts.withColumn(
-        "_bstart", F.coalesce(F.sum("_bn").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    counts = counts.withColumn("_blk", F.floor(F.col("_bstart") / F.lit(min_block_rows)).cast("bigint"))
-    per_block = counts.groupBy(*key, "_blk").agg(F.min("_bstart").cast("bigint").alias("_start"),
-                                                 F.sum("_bn").cast("bigint").alias("_n"))
-    wb = Window.partitionBy(*key).orderBy("_blk")
-    blocks = per_block.select(
-        *key, "_blk", "_n", "_start",
-        F.row_number().over(wb).cast("bigint").alias("_bidx"),
-        F.sum("_n").over(Window.partitionBy(*key)).cast("bigint").alias("_total"),
-        F.count(F.lit(1)).over(Window.partitionBy(*key)).cast("bigint").alias("_blocks"),
-    )
-    d = d.join(counts.select(*key, "_bkt", "_blk"), [*key, "_bkt"]).drop("_bkt")
-    wr = Window.partitionBy(*key, "_blk").orderBy(*order)
-    d = d.withColumn("_rn", F.row_number().over(wr).cast("bigint"))
-    d = d.join(blocks, [*key, "_blk"])
-    d = d.withColumn("_pos", F.col("_start") + F.col("_rn") - 1)
-    return d, blocks
+def positions(df: DataFrame, key: list, order: list) -> tuple[DataFrame, DataFrame]:
+    """Rows with ``_pos`` (from 0 within the key) and ``_total``, and the totals (key..., _total)."""
+    ranged = df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order)
+    placed = cut_lineage(ranged.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i")))
+    ranges = placed.groupBy(*key, "_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = Window.partitionBy(*key).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    # one row per key and range: read back with a known size, it is broadcast where it is small
+    ranges = cut_lineage(ranges.select(
+        *key, "_p", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("bigint").alias("_start"),
+        F.sum("_n").over(Window.partitionBy(*key)).cast("bigint").alias("_total")))
+    rows = placed.join(ranges, [*key, "_p"]).withColumn("_pos", F.col("_start") + F.col("_i") - F.col("_first"))
+    return rows.drop("_p", "_i", "_first", "_start"), ranges.filter("_start = 0").select(*key, "_total")
 
 
-def with_halo(df: DataFrame, key: list, order: list, halo: int, block: Column,
-              min_block_rows: int = 4096) -> Blocked:
+def with_halo(df: DataFrame, key: list, order: list, halo: int, block_rows: int = BLOCK_ROWS) -> Blocked:
     """Rows of every block plus the ``halo`` rows preceding it (flagged ``_halo``)."""
-    d, blocks = position_rows(df, key, order, block, min_block_rows)
-    cols = [c for c in df.columns]
-    base = d.select(*cols, "_blk", "_pos", "_total", F.lit(False).alias("_halo"))
-    if halo > 0:
-        tail = d.filter(F.col("_rn") > F.col("_n") - halo)
-        reach = -(-halo // min_block_rows) + 1
-        tail = tail.filter(F.col("_bidx") < F.col("_blocks")).withColumn("_tbidx", F.explode(F.sequence(
-            F.col("_bidx") + 1, F.least(F.col("_bidx") + reach, F.col("_blocks")))))
-        targets = blocks.select(*key, F.col("_bidx").alias("_tbidx"), F.col("_blk").alias("_tblk"),
-                                F.col("_start").alias("_tstart"))
-        h = (tail.join(targets, [*key, "_tbidx"])
-             .filter(F.col("_pos") >= F.col("_tstart") - halo)
-             .select(*cols, F.col("_tblk").alias("_blk"), "_pos", "_total", F.lit(True).alias("_halo")))
-        rows = base.unionByName(h)
-    else:
-        rows = base
+    rows, totals = positions(df, key, order)
+    block = lambda c: F.floor(c / F.lit(block_rows)).cast("bigint")
+    own = block(F.col("_pos"))
+    last = block(F.col("_total") - 1)
+    spread = rows.withColumn("_blk", F.explode(F.sequence(own, F.least(block(F.col("_pos") + F.lit(halo)), last))))
+    spread = spread.withColumn("_halo", F.col("_blk") != own)
+    blocks = totals.select(*key, F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("_blk"))
     w = Window.partitionBy(*key, "_blk").orderBy("_pos")
-    return Blocked(rows=rows, blocks=blocks, key=list(key), window=w)
+    return Blocked(rows=spread, own=rows.withColumn("_blk", own), blocks=blocks, key=list(key), window=w, block_rows=block_rows)

@@ -4,46 +4,30 @@ Two modes:
 
 * ``per_row`` - each row's indicators are computed over the 30 rows ending at
   it (what a consumer that sees ticks one at a time stores).  RSI is 50 while
-  fewer than 14 rows exist; EMAs restart at the first row of the 30-row frame.
+  fewer than 14 rows exist; EMAs restart at the first row of the 30-row frame
+  and come from one ``aggregate`` fold over the frame's prices.
 * ``series`` - the whole history of a symbol, as a direct call on a full frame
-  would give.  RSI is 50 for symbols with fewer than 14 rows.  EMAs are
-  infinite-impulse filters; rows more than ``series_lookback()`` back carry a
-  weight below 2**-60 of the result, under the rounding error of the recursion
-  itself, so each block is computed from a halo of that many rows, with
-  vectorised pandas rolling means and ``ewm`` per (symbol, block) group.
+  would give.  RSI is 50 for symbols with fewer than 14 rows.  EMAs reach back
+  to the symbol's first row: blocks are affine maps that are composed along
+  the symbol (``operators.ema``).
 
 Both modes use halo blocks (``rivulet.operators.blocks``), so no task ever
-holds a whole symbol.  SMA and RSI use built-in window aggregates; EMA, MACD and
-the MACD signal come from one ``aggregate`` fold carrying (fast, slow, signal)
-over the frame's prices.
+holds a whole symbol, and built-in window aggregates.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from rivulet.functions import fixed as X
-from rivulet.operators.blocks import time_block, with_halo
+from rivulet.operators.blocks import BLOCK_ROWS, with_halo
+from rivulet.operators.ema import alpha, with_ema
 
-DEFAULT_BLOCK_SECONDS = 3_600
-DEFAULT_MIN_BLOCK_ROWS = 4_096
 OUT_COLS = ["SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"]
 
 
-def alpha(span: int) -> float:
-    return 2.0 / (span + 1.0)
-
-
-def series_lookback(bits: int = 60) -> int:
-    """Rows after which the slowest EMA kernel weight drops below 2**-bits."""
-    c = 1.0 - alpha(X.EMA_SLOW)
-    return int(math.ceil(bits * math.log(2.0) / -math.log(c)))
-
-
 def clean_ticks(df: DataFrame, subset=("timestamp", "symbol", "price")) -> DataFrame:
     """Coerce price to double (NaN -> null) and timestamp to TIMESTAMP, then drop incomplete rows."""
     types = dict(df.dtypes)
@@ -78,9 +62,8 @@ def ema_fold(prices: Column) -> Column:
     return F.aggregate(prices, init, step)
 
 
-def _blocked(clean: DataFrame, look: int, block_seconds: int | None, min_block_rows: int = DEFAULT_MIN_BLOCK_ROWS):
-    return with_halo(clean, ["symbol"], ["timestamp", "seq"], look, time_block("timestamp", block_seconds),
-                     min_block_rows)
+def _blocked(clean: DataFrame, look: int, block_rows: int):
+    return with_halo(clean, ["symbol"], ["timestamp", "seq"], look, block_rows)
 
 
 def _ensure_seq(df: DataFrame) -> DataFrame:
@@ -112,73 +95,8 @@ def _fill_columns(rows: DataFrame, blocks: DataFrame, w: Window, col: str) -> Co
     )
 
 
-def _rolling_mean_in_order(x, n: int, min_periods: int):
-    """Trailing mean adding the window's values oldest first (as a sliding SQL frame does).
-
-    Storage rounding to 2 decimals hits exact ties, so the summation order matters.
-    """
-    import numpy as np
-
-    m = len(x)
-    acc = np.zeros(m)
-    cnt = np.zeros(m)
-    for k in range(n - 1, -1, -1):
-        if k >= m:
-            continue
-        term = np.concatenate([np.full(k, np.nan), x[:m - k]])
-        ok = ~np.isnan(term)
-        acc = np.where(ok, acc + np.where(ok, term, 0.0), acc)
-        cnt += ok
-    with np.errstate(invalid="ignore", divide="ignore"):
-        mean = acc / cnt
-    return np.where(cnt >= min_periods, mean, np.nan)
-
-
-def _series_in_blocks(r: DataFrame, base: list, strict: bool, extra: bool) -> DataFrame:
-    """Series-mode indicators per (symbol, block) group with pandas rolling/ewm (vectorised).
-
-    Each group holds one block plus its halo (``series_lookback()`` rows), so
-    its size is bounded by the block size; the EMAs start at the first halo row.
-    """
-    import pandas as pd
-
-    af, as_, ag = X.EMA_FAST, X.EMA_SLOW, X.EMA_SIGNAL
-    outs = ["SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"] + (["EMA_12", "EMA_26", "avg_gain", "avg_loss"]
-                                                               if extra else [])
-    schema_fields = [f for f in r.schema.fields if f.name in base]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema_fields] +
-                       [f"`{c}` double" for c in outs])
-
-    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        p = pdf["price"].astype(float)
-        minp = (lambda n: n) if strict else (lambda n: 1)
-        d = p.diff().fillna(0.0)
-        gain = pd.Series(_rolling_mean_in_order(d.where(d > 0, 0.0).to_numpy(), X.RSI_PERIOD, 1), index=p.index)
-        loss = pd.Series(_rolling_mean_in_order((-d.where(d < 0, 0.0)).to_numpy(), X.RSI_PERIOD, 1), index=p.index)
-        rsi = 100.0 - 100.0 / (1.0 + gain / (loss + X.RSI_EPS))
-        pos, total = pdf["_pos"], pdf["_total"]
-        if strict:
-            rsi = rsi.where(pos >= X.RSI_PERIOD - 1)
-        else:
-            rsi = rsi.where(total >= X.RSI_PERIOD, 50.0)
-        fast = p.ewm(span=af, adjust=False).mean()
-        slow = p.ewm(span=as_, adjust=False).mean()
-        macd = fast - slow
-        out = pdf[base].copy()
-        out["SMA_5"] = _rolling_mean_in_order(p.to_numpy(), X.SMA_FAST, minp(X.SMA_FAST))
-        out["SMA_20"] = _rolling_mean_in_order(p.to_numpy(), X.SMA_SLOW, minp(X.SMA_SLOW))
-        out["RSI"], out["MACD"], out["MACD_Signal"] = rsi, macd, macd.ewm(span=ag, adjust=False).mean()
-        if extra:
-            out["EMA_12"], out["EMA_26"], out["avg_gain"], out["avg_loss"] = fast, slow, gain, loss
-        return out[~pdf["_halo"].to_numpy()]
-
-    return r.groupBy("symbol", "_blk").applyInPandas(per_block, schema)
-
-
-def indicators(ticks: DataFrame, mode: str = "per_row", block_seconds: int | None = DEFAULT_BLOCK_SECONDS,
-               strict: bool = False, fill: bool = True, extra: bool = False,
-               min_block_rows: int = DEFAULT_MIN_BLOCK_ROWS) -> DataFrame:
+def indicators(ticks: DataFrame, mode: str = "per_row", strict: bool = False, fill: bool = True, extra: bool = False,
+               block_rows: int = BLOCK_ROWS) -> DataFrame:
     """SMA-5, SMA-20, RSI-14, MACD and MACD signal per (symbol, timestamp).
 
     ``strict`` gives the warm-up variant (SMA null until its window is full,
@@ -191,8 +109,8 @@ def indicators(ticks: DataFrame, mode: str = "per_row", block_seconds: int | Non
     stale = {c.lower() for c in (*OUT_COLS, "EMA_12", "EMA_26", "avg_gain", "avg_loss")}
     ticks = ticks.select([c for c in ticks.columns if c.lower() not in stale])
     clean = _ensure_seq(clean_ticks(ticks))
-    frame = X.WINDOW_ROWS if mode == "per_row" else series_lookback() + 1
-    b = _blocked(clean, max(frame - 1, X.SMA_SLOW - 1), block_seconds, min_block_rows)
+    frame = X.WINDOW_ROWS if mode == "per_row" else X.SMA_SLOW
+    b = _blocked(clean, frame - 1, block_rows)
     w, r = b.window, b.rows
     price = F.col("price")
 
@@ -201,8 +119,7 @@ def indicators(ticks: DataFrame, mode: str = "per_row", block_seconds: int | Non
         r = r.join(nb, ["symbol", "_blk"], "left").withColumn("volume", filled).drop("_next_nn", "_prev_nn")
 
     if mode == "series":
-        return _series_in_blocks(r, list(clean.columns), strict, extra).select(
-            *clean.columns, *OUT_COLS, *(["EMA_12", "EMA_26", "avg_gain", "avg_loss"] if extra else []))
+        r = with_ema(r, b)
 
     diff = F.coalesce(price - F.lag(price).over(w), F.lit(0.0))
     r = r.withColumn("_gain", F.greatest(diff, F.lit(0.0))).withColumn("_loss", F.greatest(-diff, F.lit(0.0)))
@@ -224,19 +141,15 @@ def indicators(ticks: DataFrame, mode: str = "per_row", block_seconds: int | Non
             return F.when(F.count(price).over(frame_w) == n, avg)
         return avg
 
-    fold = ema_fold(F.collect_list(price).over(w.rowsBetween(-(frame - 1), 0)))
-    r = r.select(*[c for c in r.columns if not c.startswith("_")], "_halo",
-                 sma(X.SMA_FAST).alias("SMA_5"), sma(X.SMA_SLOW).alias("SMA_20"),
-                 rsi.alias("RSI"), fold.alias("_ema"),
-                 avg_gain.alias("_avg_gain"), avg_loss.alias("_avg_loss"))
-    r = r.filter(~F.col("_halo"))
-    base = [c for c in clean.columns]
-    out = [*base, "SMA_5", "SMA_20", "RSI",
-           (F.col("_ema.f") - F.col("_ema.s")).alias("MACD"), F.col("_ema.g").alias("MACD_Signal")]
-    if extra:
-        out += [F.col("_ema.f").alias("EMA_12"), F.col("_ema.s").alias("EMA_26"),
-                F.col("_avg_gain").alias("avg_gain"), F.col("_avg_loss").alias("avg_loss")]
-    return r.select(*out)
+    if mode == "per_row":
+        r = r.withColumn("_ema", ema_fold(F.collect_list(price).over(w.rowsBetween(-(frame - 1), 0))))
+        fast, slow, signal = F.col("_ema.f"), F.col("_ema.s"), F.col("_ema.g")
+    else:
+        fast, slow, signal = F.col("EMA_12"), F.col("EMA_26"), F.col("MACD_Signal")
+    r = r.select(*clean.columns, "_halo", sma(X.SMA_FAST).alias("SMA_5"), sma(X.SMA_SLOW).alias("SMA_20"), rsi.alias("RSI"),
+                 (fast - slow).alias("MACD"), signal.alias("MACD_Signal"), fast.alias("EMA_12"), slow.alias("EMA_26"),
+                 avg_gain.alias("avg_gain"), avg_loss.alias("avg_loss"))
+    return r.filter(~F.col("_halo")).select(*clean.columns, *OUT_COLS, *(["EMA_12", "EMA_26", "avg_gain", "avg_loss"] if extra else []))
 
 
 def round_for_storage(df: DataFrame) -> DataFrame:
@@ -247,9 +160,9 @@ def round_for_storage(df: DataFrame) -> DataFrame:
                            for c, n in spec.items() if c in df.columns})
 
 
-def strict_indicators(ticks: DataFrame, block_seconds: int | None = DEFAULT_BLOCK_SECONDS) -> DataFrame:
+def strict_indicators(ticks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Warm-up-strict series indicators, rounded for storage (the sample-loader variant)."""
-    return round_for_storage(indicators(ticks, mode="series", block_seconds=block_seconds, strict=True, fill=False))
+    return round_for_storage(indicators(ticks, mode="series", strict=True, fill=False, block_rows=block_rows))
 
 
 def last_n(df: DataFrame, n: int, key="symbol", order="timestamp") -> DataFrame:
@@ -258,10 +171,10 @@ def last_n(df: DataFrame, n: int, key="symbol", order="timestamp") -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def fill_volume(ticks: DataFrame, block_seconds: int | None = DEFAULT_BLOCK_SECONDS) -> DataFrame:
+def fill_volume(ticks: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Backward-then-forward fill of missing volume per symbol (W9), block-parallel."""
     clean = _ensure_seq(clean_ticks(ticks))
-    b = _blocked(clean, 0, block_seconds)
+    b = _blocked(clean, 0, block_rows)
     nb, filled = _fill_columns(b.rows, b.blocks, b.window, "volume")
     r = b.rows.join(nb, ["symbol", "_blk"], "left")
     return r.select(*[c for c in clean.columns if c != "volume"], filled.alias("volume"))

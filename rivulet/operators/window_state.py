@@ -44,7 +44,7 @@ def merge_window(state: DataFrame, batch: DataFrame, n: int = X.WINDOW_ROWS, kee
     return merged.select(*TICK_COLS, "_src").unionByName(untouched).withColumnRenamed("_src", "from_batch")
 
 
-def enriched_ticks(state: DataFrame, batch: DataFrame, block_seconds: int | None = ind.DEFAULT_BLOCK_SECONDS,
+def enriched_ticks(state: DataFrame, batch: DataFrame, block_rows: int = ind.BLOCK_ROWS,
                    reemit: bool = False) -> DataFrame:
     """Per-row indicators for every batch row, using the stored tail as look-back (W8, fixes Q2).
 
@@ -60,7 +60,7 @@ def enriched_ticks(state: DataFrame, batch: DataFrame, block_seconds: int | None
     both = (both.withColumn("_d", F.row_number().over(
         Window.partitionBy("symbol", "timestamp").orderBy(F.col("is_new").desc(), F.col("seq").desc())))
             .filter(F.col("_d") == 1).drop("_d"))
-    out = ind.indicators(both, mode="per_row", block_seconds=block_seconds)
+    out = ind.indicators(both, mode="per_row", block_rows=block_rows)
     if not reemit:
         return out.filter(F.col("is_new")).drop("is_new")
     first_new = batch.groupBy("symbol").agg(F.min("timestamp").alias("_first_new"))
@@ -69,7 +69,7 @@ def enriched_ticks(state: DataFrame, batch: DataFrame, block_seconds: int | None
             .drop("is_new", "_first_new"))
 
 
-def changed_ticks(history: DataFrame, new: DataFrame, block_seconds: int | None = ind.DEFAULT_BLOCK_SECONDS) -> DataFrame:
+def changed_ticks(history: DataFrame, new: DataFrame, block_rows: int = ind.BLOCK_ROWS) -> DataFrame:
     """Per-row indicators of the new ticks and of all later ones of their symbols, one row per (symbol, timestamp).
 
     ``history`` holds at least the 29 ticks before a symbol's first new one, or
@@ -78,5 +78,5 @@ def changed_ticks(history: DataFrame, new: DataFrame, block_seconds: int | None
     """
     first = new.groupBy("symbol").agg(F.min("timestamp").alias("_first"))
     old = history.join(new.select("symbol", "timestamp"), ["symbol", "timestamp"], "left_anti").join(first.select("symbol"), "symbol", "left_semi")
-    out = ind.indicators(old.unionByName(new), mode="per_row", block_seconds=block_seconds, fill=False)
+    out = ind.indicators(old.unionByName(new), mode="per_row", block_rows=block_rows, fill=False)
     return out.join(first, "symbol").filter(F.col("timestamp") >= F.col("_first")).drop("_first")

@@ -7,6 +7,8 @@ cluster names in ``spark.checkpoint.dir``.  Only when that setting is absent
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
 import tempfile
 
@@ -127,4 +129,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    for opened in _scratch.get():
+        opened.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+# Lists of the tables that open ``scratch_tables`` blocks of this thread will remove.
+_scratch: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scratch", default=())
+
+
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession):
+    """Remove the tables that ``cut_lineage`` writes inside the block, for jobs that repeat for ever; results must be stored by then."""
+    mine: list[str] = []
+    token = _scratch.set((*_scratch.get(), mine))
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in mine:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

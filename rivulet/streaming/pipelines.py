@@ -25,6 +25,7 @@ from rivulet.operators import bronze as B
 from rivulet.operators import chunking as C
 from rivulet.operators import window_state as WS
 from rivulet.operators.store import points
+from rivulet.session import scratch_tables
 from rivulet.sources.gold_table import GoldTable
 from rivulet.sources.sinks import read_points, write_dead_letters, write_points
 from rivulet.streaming import tick_state as TS
@@ -76,13 +77,11 @@ class MarketPipeline:
 
     KEEP = 2 * X.WINDOW_ROWS  # so that the newer half has full frames
 
-    def __init__(self, root: str, as_of: str = B.DEFAULT_AS_OF, block_seconds: int | None = 86_400, salts: int = 4,
-                 idle_ms: int | None = None):
+    def __init__(self, root: str, as_of: str = B.DEFAULT_AS_OF, salts: int = 4, idle_ms: int | None = None):
         self.root = root
         self.gold = f"{root}/gold"
         self.dlq = f"{root}/dlq_market"
         self.as_of = as_of
-        self.block_seconds = block_seconds
         self.salts = salts
         self.idle_ms = idle_ms
 
@@ -112,33 +111,36 @@ class MarketPipeline:
         """New ticks of a batch, and the stored rows they change, to gold as one set."""
         run, table = run_of(batch), self.table(batch.sparkSession)
         batch = batch.persist()
-        try:
-            new = latest_arrival(batch.filter("kind = 'new'").select(*TICK)).persist()
-            if new.isEmpty():
-                return
-            old = latest_arrival(batch.filter("kind = 'old'").select(*TICK))
-            w = Window.partitionBy("symbol").orderBy(F.col("timestamp").desc())
-            tail = old.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= self.KEEP)
-            # a whole list may end here: rows that have fewer than a window before them in it need older ones
-            full = tail.groupBy("symbol").agg(F.count("*").alias("_n"), F.min(F.when(
-                F.col("_r") <= self.KEEP - X.WINDOW_ROWS + 1, F.col("timestamp"))).alias("_reach")).filter(F.col("_n") >= self.KEEP)
-            beyond = new.join(full, "symbol").filter(F.col("timestamp") < F.col("_reach")).select("symbol")
-            partial = batch.filter("partial").select("symbol")
-            far = beyond.union(partial).distinct().persist()
-            parts = [WS.changed_ticks(tail.drop("_r").join(far, "symbol", "left_anti"), new.join(far, "symbol", "left_anti"), self.block_seconds)]
-            if not far.isEmpty():
-                late = new.join(far, "symbol", "left_semi")
-                first = late.groupBy("symbol").agg(F.min("timestamp").alias("_first"))
-                stored = table.ticks(without=(run, batch_id)).select(*TICK).join(F.broadcast(first) if far.count() <= 10_000 else first, "symbol")
-                before = stored.filter("timestamp < _first").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") < X.WINDOW_ROWS)
-                history = before.drop("_r", "_first").unionByName(stored.filter("timestamp >= _first").drop("_first"))
-                parts.append(WS.changed_ticks(history, late, self.block_seconds))
-            rows = reduce(DataFrame.unionByName, parts)
-            table.append(rows, run, batch_id)
-            far.unpersist()
-            new.unpersist()
-        finally:
-            batch.unpersist()
+        with scratch_tables(batch.sparkSession):
+            try:
+                self._to_gold(batch, table, run, batch_id)
+            finally:
+                batch.unpersist()
+
+    def _to_gold(self, batch: DataFrame, table: GoldTable, run: str, batch_id: int) -> None:
+        new = latest_arrival(batch.filter("kind = 'new'").select(*TICK)).persist()
+        if new.isEmpty():
+            return
+        old = latest_arrival(batch.filter("kind = 'old'").select(*TICK))
+        w = Window.partitionBy("symbol").orderBy(F.col("timestamp").desc())
+        tail = old.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= self.KEEP)
+        # a whole list may end here: rows that have fewer than a window before them in it need older ones
+        full = tail.groupBy("symbol").agg(F.count("*").alias("_n"), F.min(F.when(
+            F.col("_r") <= self.KEEP - X.WINDOW_ROWS + 1, F.col("timestamp"))).alias("_reach")).filter(F.col("_n") >= self.KEEP)
+        beyond = new.join(full, "symbol").filter(F.col("timestamp") < F.col("_reach")).select("symbol")
+        partial = batch.filter("partial").select("symbol")
+        far = beyond.union(partial).distinct().persist()
+        parts = [WS.changed_ticks(tail.drop("_r").join(far, "symbol", "left_anti"), new.join(far, "symbol", "left_anti"))]
+        if not far.isEmpty():
+            late = new.join(far, "symbol", "left_semi")
+            first = late.groupBy("symbol").agg(F.min("timestamp").alias("_first"))
+            stored = table.ticks(without=(run, batch_id)).select(*TICK).join(F.broadcast(first) if far.count() <= 10_000 else first, "symbol")
+            before = stored.filter("timestamp < _first").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") < X.WINDOW_ROWS)
+            history = before.drop("_r", "_first").unionByName(stored.filter("timestamp >= _first").drop("_first"))
+            parts.append(WS.changed_ticks(history, late))
+        table.append(reduce(DataFrame.unionByName, parts), run, batch_id)
+        far.unpersist()
+        new.unpersist()
 
     def queries(self, records: DataFrame, checkpoint: str, **trigger) -> list:
         """Starters of the gold query and the dead-letter query, each with a checkpoint below ``checkpoint``."""

@@ -73,8 +73,7 @@ def test_macd_first_row_and_constant(spark):
 def test_series_mode_matches_recurrence(spark):
     rng = np.random.default_rng(7)
     prices = np.round(100 + np.cumsum(rng.normal(0, 1, 700)), 2)
-    out = collect(ind.indicators(frame(spark, prices, step=dt.timedelta(hours=1)), mode="series",
-                                 block_seconds=86_400, min_block_rows=50))
+    out = collect(ind.indicators(frame(spark, prices, step=dt.timedelta(hours=1)), mode="series", block_rows=50))
     ref = recurrence(prices.tolist())
     for c in ("SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"):
         assert np.allclose(out[c].to_numpy(), [r[c] for r in ref], rtol=0, atol=1e-9), c
@@ -83,8 +82,7 @@ def test_series_mode_matches_recurrence(spark):
 def test_per_row_mode_matches_recurrence_on_30_row_windows(spark):
     rng = np.random.default_rng(3)
     prices = np.round(50 + np.cumsum(rng.normal(0, 1, 120)), 2)
-    out = collect(ind.indicators(frame(spark, prices, step=dt.timedelta(minutes=7)), block_seconds=3_600,
-                                 min_block_rows=5))
+    out = collect(ind.indicators(frame(spark, prices, step=dt.timedelta(minutes=7)), block_rows=5))
     for t in range(len(prices)):
         window = prices[max(0, t - 29): t + 1]
         ref = recurrence(window.tolist())[-1]
@@ -98,8 +96,8 @@ def test_halo_blocks_equal_unblocked(spark, sf):
     from rivulet.sources.views import ticks
     t = ticks(spark, sf, by="event")
     cols = ["symbol", "seq", "SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"]
-    a = ind.indicators(t, block_seconds=None).select(*cols).toPandas().sort_values(["symbol", "seq"])
-    b = ind.indicators(t, block_seconds=600, min_block_rows=7).select(*cols).toPandas().sort_values(["symbol", "seq"])
+    a = ind.indicators(t).select(*cols).toPandas().sort_values(["symbol", "seq"])
+    b = ind.indicators(t, block_rows=7).select(*cols).toPandas().sort_values(["symbol", "seq"])
     assert len(a) == len(b)
     for c in cols[2:]:
         assert np.allclose(a[c].to_numpy(), b[c].to_numpy(), atol=1e-12), c
@@ -108,7 +106,7 @@ def test_halo_blocks_equal_unblocked(spark, sf):
 def test_fill_volume_backward_then_forward(spark):
     df = frame(spark, [1, 2, 3, 4, 5, 6], volume=[None, 10.0, None, None, 20.0, None],
                step=dt.timedelta(hours=9))
-    out = collect(ind.fill_volume(df, block_seconds=86_400))
+    out = collect(ind.fill_volume(df, block_rows=2))
     assert out["volume"].tolist() == [10.0, 10.0, 20.0, 20.0, 20.0, 20.0]
 
 
@@ -130,3 +128,28 @@ def test_stale_columns_in_any_case_are_replaced(spark):
     again = ind.indicators(ind.indicators(df).withColumnRenamed("RSI", "rsi").withColumnRenamed("MACD", "Macd"))
     a, b = collect(ind.indicators(df)), collect(again)
     assert list(a.columns) == list(b.columns) and np.allclose(a["RSI"], b["RSI"]) and np.allclose(a["MACD"], b["MACD"])
+
+
+def test_series_mode_is_exact_over_many_blocks(spark):
+    """10,000 rows of one symbol in one second, and one short symbol, against the recurrence over all rows."""
+    rng = np.random.default_rng(11)
+    prices = np.round(1000 + np.cumsum(rng.normal(0, 3, 10_000)), 2)
+    at = dt.datetime(2026, 1, 1)
+    rows = [("HOT", at, float(p), 1.0, i) for i, p in enumerate(prices)] + [("LOW", at, 5.0 + i, 1.0, 20_000 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp timestamp, price double, volume double, seq long").repartition(8)
+    got = ind.indicators(df, mode="series", extra=True).orderBy("symbol", "seq").toPandas()
+    for symbol, own in (("HOT", prices.tolist()), ("LOW", [5.0 + i for i in range(5)])):
+        mine = got[got["symbol"] == symbol]
+        ref = recurrence(own)
+        for c in ("SMA_5", "SMA_20", "RSI", "MACD", "MACD_Signal"):
+            assert np.allclose(mine[c].to_numpy(), [r[c] for r in ref], rtol=0, atol=1e-9), (symbol, c)
+    assert np.allclose((got["EMA_12"] - got["EMA_26"]).to_numpy(), got["MACD"].to_numpy(), atol=1e-12)
+
+
+def test_one_instant_spreads_over_tasks_and_blocks(spark):
+    from rivulet.operators.blocks import with_halo
+    df = spark.range(40_000).selectExpr("'S' as symbol", "timestamp'2026-01-01 00:00:00' as timestamp", "id as seq")
+    b = with_halo(df, ["symbol"], ["timestamp", "seq"], 29, block_rows=1_000)
+    rows = b.rows.groupBy("_blk").count().collect()
+    assert len(rows) == 40 and {r["count"] for r in rows} == {1_000, 1_029}
+    assert b.own.filter("_pos <> seq").count() == 0 and b.own.filter("_total <> 40000").count() == 0
