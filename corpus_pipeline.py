@@ -7,7 +7,8 @@ Between stages the documents are written as Parquet below
 most and no plan spans two stages.
 
 Rows with a null id go through all stages; they are never dropped as copies of
-each other.  Repeated rows of one id are one document after the second stage.
+each other.  Repeated rows are one document after the second stage; different
+texts with equal ids stay different documents.
 Null and empty texts are clean.  Extra columns are carried along up to the
 packing.  An empty table gives an empty result.
 """
@@ -32,12 +33,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component under shingle similarity: the one with the smallest id."""
-    found = jaccard_components(docs.select("doc_id", "text"))
-    kept, lowest = spare(docs, "kept", "lowest")
-    keys = found.where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
-    named = docs.where("doc_id is not null").join(keys, F.col("doc_id") == F.col(kept), "left_semi")
-    return named.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+    """One row of each component under shingle similarity: the first of those with the smallest id.
+
+    Rows are told apart by their place in the table, not by their id: texts
+    that share an id but not their content are documents of their own.  The
+    places hold because ``docs`` is a written table, whose files are split alike
+    by every scan.
+    """
+    row, own, kept = spare(docs, "row", "own", "kept")
+    placed = docs.withColumn(row, F.monotonically_increasing_id())
+    found = jaccard_components(placed.select(row, "text"), id_col=row).select(F.col(row).alias(own), "component_id")
+    named = found.join(placed.where("doc_id is not null").select(row, "doc_id"), F.col(own) == F.col(row))
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", row)).alias("first")).select(F.col(f"first.{row}").alias(kept))
+    rows = placed.where("doc_id is not null").join(first, F.col(row) == F.col(kept), "left_semi")
+    return rows.union(placed.where("doc_id is null")).drop(row)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
