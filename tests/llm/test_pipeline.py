@@ -66,3 +66,12 @@ def test_cases(llm, sf):
         assert empty.count() == 0
     finally:
         cp.fold_model = kept
+
+
+def test_texts_that_share_an_id_are_documents_of_their_own(llm, sf):
+    copy, alone = "one two three four five six", "nothing like the others at all here"
+    rows = [(5, copy, "second"), (5, alone, "unique"), (3, copy, "first"), (3, copy, "first again"), (None, copy, "no id")]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, own string")
+    kept = sorted((r["doc_id"], r["text"]) for r in cp.drop_near_duplicates(llm, docs, sf).where("doc_id is not null").collect())
+    assert kept == [(3, copy), (5, alone)]
+    assert cp.drop_near_duplicates(llm, docs, sf).where("doc_id is null").count() == 1
