@@ -17,16 +17,11 @@ NO_NEWS = "No related macro news found."
 NO_CHART = "No chart generated."
 
 
-def trim_history(messages: DataFrame, budget: int = X.MAX_HISTORY_TOKENS, upto: DataFrame | None = None) -> DataFrame:
+def trim_history(messages: DataFrame, budget: int = X.MAX_HISTORY_TOKENS) -> DataFrame:
     """Longest suffix whose ``floor(sum(chars) / 4)`` fits the budget, then leading turns dropped
     until the first user turn (W12, A12).
-
-    ``upto`` (conv_id, turn) cuts each conversation at a request turn first.
     """
     m = messages
-    if upto is not None:
-        m = m.join(upto.select("conv_id", F.col("turn").alias("_upto")), "conv_id").filter(
-            F.col("turn") <= F.col("_upto")).drop("_upto")
     w_back = Window.partitionBy("conv_id").orderBy(F.col("turn").desc()).rowsBetween(Window.unboundedPreceding, 0)
     m = m.withColumn("_tok", F.floor(F.sum(F.length("text")).over(w_back) / 4))
     kept = m.filter(F.col("_tok") <= budget)
@@ -46,11 +41,34 @@ def transcripts(trimmed: DataFrame, conversations: DataFrame) -> DataFrame:
             .select("conv_id", F.coalesce("_h", F.lit(NO_HISTORY)).alias("history")))
 
 
-def last_user_turns(messages: DataFrame) -> DataFrame:
-    """The request of every conversation: its last user message."""
-    w = Window.partitionBy("conv_id").orderBy(F.col("turn").desc())
-    u = messages.filter(F.col("role") == "user").withColumn("_r", F.row_number().over(w))
-    return u.filter(F.col("_r") == 1).select("conv_id", "turn", "text")
+def user_turns(messages: DataFrame) -> DataFrame:
+    """Every user message is a request."""
+    return messages.filter(F.col("role") == "user").select("conv_id", "turn", "text")
+
+
+def request_history(messages: DataFrame, requests: DataFrame, budget: int = X.MAX_HISTORY_TOKENS) -> DataFrame:
+    """(conv_id, turn, history): the transcript up to each request, trimmed to the budget.
+
+    A request meets the messages whose characters, counted along the
+    conversation, lie at most a budget before its own: they are in the same
+    stretch of that length or in the one before, so rows meet by equality and a
+    long conversation is not paired with itself.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    stretch = 4 * (budget + 1)
+    m = messages.withColumn("_end", F.sum(F.length("text")).over(w)).withColumn("_begin", F.col("_end") - F.length("text"))
+    m = m.withColumn("_s", F.floor(F.col("_begin") / stretch))
+    ends = m.join(requests.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi").select(
+        "conv_id", F.col("turn").alias("_upto"), F.col("_end").alias("_all"),
+        F.explode(F.array(F.floor(F.col("_end") / stretch), F.floor(F.col("_end") / stretch) - 1)).alias("_s"))
+    kept = m.join(ends, ["conv_id", "_s"]).filter((F.col("turn") <= F.col("_upto")) & (F.floor((F.col("_all") - F.col("_begin")) / 4) <= budget))
+    own = Window.partitionBy("conv_id", "_upto")
+    kept = kept.withColumn("_first", F.min(F.when(F.col("role") == "user", F.col("turn"))).over(own)).filter(F.col("turn") >= F.col("_first"))
+    line = F.concat(F.when(F.col("role") == "user", F.lit("User")).otherwise(F.lit("Assistant")), F.lit(": "), F.col("text"))
+    lines = F.array_sort(F.collect_list(F.struct("turn", line.alias("l"))))
+    text = kept.groupBy("conv_id", F.col("_upto").alias("turn")).agg(F.array_join(F.transform(lines, lambda x: x["l"]), "\n").alias("_h"))
+    return requests.select("conv_id", "turn").join(text, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", F.coalesce("_h", F.lit(NO_HISTORY)).alias("history"))
 
 
 def chart_status(needs_chart, ticker, mode, n_rows):
@@ -69,7 +87,8 @@ def assemble_context(requests: DataFrame, plans: DataFrame, branches: DataFrame,
                      rag: DataFrame, history: DataFrame) -> DataFrame:
     """One synthesis context per request: scenario, question, target, data, news, chart status, history.
 
-    ``sql_rows`` = (conv_id, turn, rows_json, n_rows); ``rag`` = (conv_id, turn, context).
+    ``sql_rows`` = (conv_id, turn, rows_json, n_rows); ``rag`` = (conv_id, turn, context);
+    ``history`` = (conv_id, turn, history).
     Joins are left joins on the request key; a branch that did not run leaves its default text.
     """
     r = (requests.join(plans.select("conv_id", "turn", "current_target", "chat", "chart_mode", "routing_source"),
@@ -77,7 +96,7 @@ def assemble_context(requests: DataFrame, plans: DataFrame, branches: DataFrame,
          .join(branches, ["conv_id", "turn"], "left")
          .join(sql_rows, ["conv_id", "turn"], "left")
          .join(rag, ["conv_id", "turn"], "left")
-         .join(history, "conv_id", "left"))
+         .join(history, ["conv_id", "turn"], "left"))
     target = F.coalesce(F.col("current_target"), F.lit(X.UNKNOWN_TICKER))
     chat = F.coalesce(F.col("chat"), F.lit(False))
     scenario = F.when(chat, F.lit("chat")).when(target != X.UNKNOWN_TICKER, F.lit("asset")).otherwise(F.lit("macro"))

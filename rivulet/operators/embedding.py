@@ -71,7 +71,7 @@ def l2_normalize(vec: Column) -> Column:
 
 
 def encode(df: DataFrame, text_col: str = "text", out_col: str = "embedding", dim: int = DENSE_DIM) -> DataFrame:
-    """Model-free dense encoding (R9 default); JVM-side, no Python per row."""
+    """Model-free dense encoding (R9 default): buckets in the JVM, count vectors in Arrow batches."""
     return df.withColumn(out_col, hashed_counts(F.col(text_col), dim))
 
 
@@ -90,6 +90,41 @@ def encode_with(df: DataFrame, encoder: Callable[[list[str]], np.ndarray], text_
     return df.withColumn(out_col, _enc(F.col(text_col)))
 
 
+NGRAM_DIM = 1024
+
+
+def grams(text: Column) -> Column:
+    """Words and their character pairs, word ends marked: texts that share parts of words share grams."""
+    def of(w: Column) -> Column:
+        marked = F.concat(F.lit("^"), w, F.lit("$"))
+        pairs = F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(marked, i, F.lit(2)))
+        return F.concat(F.array(F.concat(F.lit("w:"), w)), pairs)
+    return F.flatten(F.transform(tokens(text), of))
+
+
+def gram_counts(df: DataFrame, keys: list[str], text_col: str, dim: int = NGRAM_DIM) -> DataFrame:
+    """(keys, d, c): hashed gram counts of each text; built-in functions only."""
+    t = df.select(*keys, F.explode(grams(F.col(text_col))).alias("_g"))
+    return t.groupBy(*keys, F.pmod(md5_prefix(F.col("_g")), F.lit(dim)).alias("d")).agg(F.count(F.lit(1)).cast("double").alias("c"))
+
+
+def rarity(counts: list[DataFrame], texts: Column | int) -> DataFrame:
+    """(d, idf): smoothed inverse document frequency of every bucket over several sets of texts; at most ``dim`` rows."""
+    df = counts[0].select("d")
+    for c in counts[1:]:
+        df = df.union(c.select("d"))
+    n = texts if isinstance(texts, Column) else F.lit(texts)
+    return df.groupBy("d").agg(F.count(F.lit(1)).alias("_df")).select(
+        "d", (F.log((n + F.lit(1.0)) / (F.col("_df") + F.lit(1.0))) + F.lit(1.0)).alias("idf"))
+
+
+def unit_weights(counts: DataFrame, idf: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, d, v): counts times rarity, at unit length per text."""
+    w = counts.join(F.broadcast(idf), "d").withColumn("v", F.col("c") * F.col("idf"))
+    norm = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("_n"))
+    return w.join(norm, keys).select(*keys, "d", (F.col("v") / F.col("_n")).alias("v"))
+
+
 def centroids(vectors: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
     """Per label: element-wise mean of unit vectors, then L2-normalised (A4).
 

@@ -1,10 +1,10 @@
 """Message routing over a table of messages.
 
-Intent centroids are built by Spark from the fixed prototype utterances with
-the same encoder as the messages (mean of unit vectors, re-normalised).  Each
-clause vector meets the centroids through ``retrieval.centroid_scores`` (the
-centroid table is tiny, size-checked and broadcast), so routing never joins
-messages against intents row by row.
+Clauses and the fixed prototype utterances are encoded alike: hashed words and
+character pairs, weighted by how rare they are in both together.  An intent's
+centroid is the mean of its prototypes' unit vectors at unit length.  Rarities
+and centroids have at most one row per bucket, whatever the number of
+messages, and are broadcast; clauses are scored by built-in functions.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import fixed as X
 from rivulet.functions.text import chart_mode, extract_ticker, guard_status, split_clauses, wants_chart
-from rivulet.operators.embedding import DENSE_DIM, centroids, encode, l2_normalize
-from rivulet.operators.retrieval import centroid_scores
+from rivulet.operators.embedding import DENSE_DIM, NGRAM_DIM, centroids, encode, gram_counts, rarity, unit_weights
+from rivulet.session import cut_lineage
 
 INTENTS = list(X.INTENT_UTTERANCES)          # dict order: ties go to the earlier intent
 INTENT_IDX = {name: i for i, name in enumerate(INTENTS)}
@@ -43,11 +43,26 @@ def message_features(messages: DataFrame, word_boundaries: bool = True) -> DataF
     )
 
 
-def clause_scores(feats: DataFrame, cents: DataFrame, dim: int = DENSE_DIM) -> DataFrame:
+def clause_scores(feats: DataFrame, dim: int = NGRAM_DIM) -> DataFrame:
     """(conv_id, turn, clause_idx, scores array<double> in intent order) per clause."""
-    cl = feats.select("conv_id", "turn", F.posexplode("clauses").alias("clause_idx", "clause"))
-    vec = encode(cl, text_col="clause", dim=dim).withColumn("embedding", l2_normalize(F.col("embedding")))
-    return centroid_scores(vec, cents, ["conv_id", "turn", "clause_idx"], small_id="intent_id")
+    spark = feats.sparkSession
+    key = ["conv_id", "turn", "clause_idx"]
+    clauses = feats.select("conv_id", "turn", F.posexplode("clauses").alias("clause_idx", "clause"))
+    counts = cut_lineage(gram_counts(clauses, key, "clause", dim))
+    own = utterances(spark).withColumn("uid", F.col("text"))
+    proto = gram_counts(own, ["uid", "intent_id"], "text", dim)
+    idf = cut_lineage(rarity([counts, proto], clauses.count() + own.count()))
+    members = {i: len(X.INTENT_UTTERANCES[n]) for n, i in INTENT_IDX.items()}
+    size = F.element_at(F.array(*[F.lit(float(members[i])) for i in range(len(INTENTS))]), (F.col("intent_id") + 1).cast("int"))
+    mean = unit_weights(proto, idf, ["uid", "intent_id"]).groupBy("intent_id", "d").agg(F.sum("v").alias("m")).withColumn("m", F.col("m") / size)
+    norm = mean.groupBy("intent_id").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("_n"))
+    unit = mean.join(norm, "intent_id").withColumn("m", F.col("m") / F.col("_n"))
+    cents = unit.groupBy("d").agg(*[F.sum(F.when(F.col("intent_id") == i, F.col("m")).otherwise(0.0)).alias(f"c{i}") for i in range(len(INTENTS))])
+    cents = F.broadcast(cut_lineage(cents))  # at most dim rows
+    scored = unit_weights(counts, idf, key).join(cents, "d").groupBy(*key).agg(
+        F.array(*[F.sum(F.col("v") * F.col(f"c{i}")) for i in range(len(INTENTS))]).alias("scores"))
+    none = F.array(*[F.lit(0.0)] * len(INTENTS))
+    return clauses.select(*key).join(scored, key, "left").select(*key, F.coalesce("scores", none).alias("scores"))
 
 
 def route(feats: DataFrame, scores: DataFrame, threshold: float = X.ROUTER_THRESHOLD) -> DataFrame:
@@ -92,12 +107,11 @@ def route(feats: DataFrame, scores: DataFrame, threshold: float = X.ROUTER_THRES
         F.col("max_score"))
 
 
-def route_messages(messages: DataFrame, threshold: float = X.ROUTER_THRESHOLD, dim: int = DENSE_DIM) -> DataFrame:
+def route_messages(messages: DataFrame, threshold: float = X.ROUTER_THRESHOLD, dim: int = NGRAM_DIM) -> DataFrame:
     """Guard-passed user messages routed to intents."""
     users = messages.filter((F.col("role") == "user") & (guard_status(F.col("text")) == "SAFE"))
     feats = message_features(users)
-    cents = intent_centroids(messages.sparkSession, dim)
-    return route(feats, clause_scores(feats, cents, dim), threshold)
+    return route(feats, clause_scores(feats, dim), threshold)
 
 
 def guard_messages(messages: DataFrame) -> DataFrame:

@@ -8,6 +8,9 @@ rounded to 6 decimals, integers as BIGINT.
 
 from __future__ import annotations
 
+from rivulet.functions.fixed import TICKERS
+from rivulet.sources.views import DESK_MESSAGES
+
 
 def json_str(expr: str) -> str:
     e = expr
@@ -120,6 +123,13 @@ QUERIES_VIEW = f"""
 
 MESSAGES = "SELECT conv_id, turn, role, text FROM conversations"
 
+_LISTED = "[" + ", ".join(f"'{t}'" for t in TICKERS) + "]"
+_WORDINGS = "[" + ", ".join(f"'{m}'" for m in DESK_MESSAGES) + "]"
+DESK = f"""
+    SELECT conv_id, turn, role, CASE WHEN role = 'user' AND (conv_id * 3 + turn) % 7 <> 0
+             THEN replace({_WORDINGS}[(conv_id * 3 + turn) % {len(DESK_MESSAGES)} + 1], '{{s}}', {_LISTED}[(conv_id + turn) % {len(TICKERS)} + 1])
+             ELSE text END AS text FROM conversations"""
+
 REQUESTS = """
     SELECT ticker, CAST((length(ticker) * 7 + ascii(ticker)) % 35 AS INTEGER) AS "limit",
            CASE WHEN length(ticker) % 2 = 0 THEN 'get_indicators' ELSE 'get_prices' END AS action
@@ -157,6 +167,8 @@ VIEWS = {
     "vectors": ([], VECTORS),
     "queries": ([], QUERIES_VIEW),
     "messages": ([], MESSAGES),
+    "desk_messages": ([], DESK),
+    "desk_ticks": ([], _ticks(f"{_LISTED}[user_id % {len(TICKERS)} + 1]")),
     "requests": (["ticks_by_user"], REQUESTS),
 }
 

@@ -12,7 +12,9 @@ from rivulet.operators import indicators as ind
 from rivulet.operators import routing as RT
 from rivulet.operators.retrieval import hybrid_search
 from rivulet.plans.catalog import register
+from rivulet.operators.embedding import NGRAM_DIM
 from rivulet.plans.duck_views import rep_d, tokens_sql, with_views
+from rivulet.plans.q_market import _gold_ctes
 from rivulet.plans.q_retrieval import _bucket_sql, contexts_cte, retrieval_ctes, retrieval_index, retrieval_queries
 from rivulet.session import cut_lineage
 from rivulet.sources import views as V
@@ -83,13 +85,13 @@ def q_guard_messages(spark, sf_dir):
     return RT.guard_messages(_messages_with_fixtures(spark, sf_dir))
 
 
-@register("message_features", with_views(["messages"], f"""
+@register("message_features", with_views(["desk_messages"], f"""
     SELECT conv_id, turn, role, text, {ticker_sql('text')} AS ticker,
            array_to_string({clauses_sql('text')}, '|') AS clauses, {chart_mode_sql('text')} AS chart_mode
-    FROM messages WHERE role = 'user'"""))
+    FROM desk_messages WHERE role = 'user'"""))
 def q_message_features(spark, sf_dir):
     """Ticker, clauses and chart mode of every user message."""
-    m = V.messages(spark, sf_dir).filter(F.col("role") == "user")
+    m = V.desk_messages(spark, sf_dir).filter(F.col("role") == "user")
     return RT.message_features(m)
 
 
@@ -103,27 +105,33 @@ def _utterance_values() -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS u(uid, intent_id, text)"
 
 
-def route_ctes(source: str = "messages"):
-    d = 256
+def _grams_sql(text: str) -> str:
+    pairs = "list_transform(range(1, length(w) + 2), lambda i: substr('^' || w || '$', i, 2))"
+    return f"flatten(list_transform({tokens_sql(text)}, lambda w: list_concat(['w:' || w], {pairs})))"
+
+
+def route_ctes(source: str = "desk_messages"):
+    d = NGRAM_DIM
     names = "[" + ", ".join(f"'{n}'" for n in RT.INTENTS) + "]"
     chat_i = RT.INTENT_IDX["CHITCHAT"]
     t, margin, low = X.ROUTER_THRESHOLD, X.SECONDARY_MARGIN, X.ROUTER_THRESHOLD - X.FALLBACK_MARGIN
-    ext = _contains_any("x", [])  # noqa: F841 - keep helper import used
     return [
         ("utt", _utterance_values()),
-        ("ut", f"SELECT uid, intent_id, unnest({tokens_sql('text')}) AS tok FROM utt"),
+        ("ut", f"SELECT uid, intent_id, unnest({_grams_sql('text')}) AS tok FROM utt"),
         ("uc", f"SELECT uid, intent_id, {_bucket_sql('tok', d)} AS d, CAST(count(*) AS DOUBLE) AS c FROM ut GROUP BY ALL"),
-        ("uu", "SELECT uid, intent_id, d, c / sqrt(sum(c * c) OVER (PARTITION BY uid)) AS v FROM uc"),
-        ("nu", "SELECT intent_id, count(*) AS n FROM utt GROUP BY ALL"),
-        ("um", "SELECT uu.intent_id, d, sum(v) / any_value(nu.n) AS m FROM uu JOIN nu USING (intent_id) GROUP BY ALL"),
-        ("cent", "SELECT intent_id, d, m / sqrt(sum(m * m) OVER (PARTITION BY intent_id)) AS v FROM um"),
         ("feats", f"""SELECT conv_id, turn, text, {ticker_sql('text')} AS ticker, {clauses_sql('text')} AS clauses,
                         {chart_mode_sql('text')} AS chart_mode
                       FROM {source} WHERE role = 'user' AND {guard_sql('text')} = 'SAFE'"""),
         ("cl", "SELECT conv_id, turn, unnest(clauses) AS clause, generate_subscripts(clauses, 1) - 1 AS ci FROM feats"),
-        ("ctk", f"SELECT conv_id, turn, ci, unnest({tokens_sql('clause')}) AS tok FROM cl"),
+        ("ctk", f"SELECT conv_id, turn, ci, unnest({_grams_sql('clause')}) AS tok FROM cl"),
         ("cc", f"SELECT conv_id, turn, ci, {_bucket_sql('tok', d)} AS d, CAST(count(*) AS DOUBLE) AS c FROM ctk GROUP BY ALL"),
-        ("cu", "SELECT conv_id, turn, ci, d, c / sqrt(sum(c * c) OVER (PARTITION BY conv_id, turn, ci)) AS v FROM cc"),
+        ("idf", """SELECT d, ln(((SELECT count(*) FROM utt) + (SELECT count(*) FROM cl) + 1.0) / (count(*) + 1.0)) + 1.0 AS w
+                   FROM (SELECT d FROM uc UNION ALL SELECT d FROM cc) GROUP BY d"""),
+        ("uu", "SELECT uid, intent_id, d, c * w / sqrt(sum(c * w * c * w) OVER (PARTITION BY uid)) AS v FROM uc JOIN idf USING (d)"),
+        ("nu", "SELECT intent_id, count(*) AS n FROM utt GROUP BY ALL"),
+        ("um", "SELECT uu.intent_id, d, sum(v) / any_value(nu.n) AS m FROM uu JOIN nu USING (intent_id) GROUP BY ALL"),
+        ("cent", "SELECT intent_id, d, m / sqrt(sum(m * m) OVER (PARTITION BY intent_id)) AS v FROM um"),
+        ("cu", "SELECT conv_id, turn, ci, d, c * w / sqrt(sum(c * w * c * w) OVER (PARTITION BY conv_id, turn, ci)) AS v FROM cc JOIN idf USING (d)"),
         ("rdots", """SELECT cu.conv_id, cu.turn, cu.ci, cent.intent_id, sum(cu.v * cent.v) AS s
                     FROM cu JOIN cent USING (d) GROUP BY ALL"""),
         ("sc", """SELECT cl.conv_id, cl.turn, cl.ci, i.intent_id, COALESCE(rdots.s, 0.0) AS s
@@ -168,12 +176,12 @@ def route_ctes(source: str = "messages"):
     ]
 
 
-@register("route_messages", with_views(["messages"], f"""
+@register("route_messages", with_views(["desk_messages"], f"""
     SELECT conv_id, turn, text, current_target, array_to_string(intents, '|') AS activated_intents, chart_mode, chat,
            next_worker, routing_source, {rep_d('max_score')} AS max_score FROM rt""", extra=route_ctes()))
 def q_route_messages(spark, sf_dir):
     """Semantic multi-intent route plan of every safe user message; unsettled ones marked UNROUTED."""
-    return RT.route_messages(V.messages(spark, sf_dir))
+    return RT.route_messages(V.desk_messages(spark, sf_dir))
 
 
 def _branches_sql(plans: str = "rt") -> str:
@@ -187,10 +195,10 @@ def _branches_sql(plans: str = "rt") -> str:
             f"({direct} OR (NOT {sql} AND NOT {rag})) AS direct_branch, {chart} AS needs_chart FROM {plans}")
 
 
-@register("route_branches", with_views(["messages"], _branches_sql(), extra=route_ctes()))
+@register("route_branches", with_views(["desk_messages"], _branches_sql(), extra=route_ctes()))
 def q_route_branches(spark, sf_dir):
     """Data branches per routed message (SQL, RAG, direct) and whether a chart is needed."""
-    return RT.route_branches(RT.route_messages(V.messages(spark, sf_dir)))
+    return RT.route_branches(RT.route_messages(V.desk_messages(spark, sf_dir)))
 
 
 _TRIM = ("trimmed", f"""SELECT conv_id, turn, role, text FROM (
@@ -225,83 +233,82 @@ def q_transcripts(spark, sf_dir):
 # Synthesis context per request
 # ---------------------------------------------------------------------------
 
-REQ_QID = "conv_id * 1000 + turn"
-
-
 def _context_parts(spark, sf_dir):
-    msgs = V.messages(spark, sf_dir)
+    msgs = V.desk_messages(spark, sf_dir)
     # routing feeds four consumers below: materialise the plans once
     plans = cut_lineage(RT.route_messages(msgs))
-    reqs = CX.last_user_turns(msgs).join(plans.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
-    branches = RT.route_branches(plans)
-    gold = G.gold_latest(ind.indicators(V.ticks(spark, sf_dir)))
-    targets = (reqs.join(plans.select("conv_id", "turn", "current_target"), ["conv_id", "turn"])
-               .filter(F.col("current_target") != X.UNKNOWN_TICKER)
-               .select(F.concat_ws("-", "conv_id", "turn").alias("ticker"), "conv_id", "turn",
-                       F.col("current_target").alias("req_ticker")))
-    req_tbl = targets.select("ticker", F.col("req_ticker").alias("_t"), F.lit(30).alias("limit"),
-                             F.lit("get_prices").alias("action"))
-    # one read per ticker, however many messages name it
-    rows = G.latest_rows(gold, req_tbl.select(F.col("_t").alias("ticker"), "limit", "action").distinct(),
-                         G.PRICE_COLS)
-    rows = rows.join(targets.select(F.col("req_ticker").alias("ticker"), "conv_id", "turn"), "ticker")
-    sql_rows = rows.groupBy("conv_id", "turn").agg(
-        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.date_format("timestamp",
-                  "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "symbol", "price", "volume"))),
-                              lambda x: x.dropFields("rank"))).alias("rows_json"),
+    branches = cut_lineage(RT.route_branches(plans))
+    reqs = CX.user_turns(msgs).join(plans.select("conv_id", "turn"), ["conv_id", "turn"], "left_semi")
+    # prices only where the data branch runs, one read per ticker however many messages name it
+    targets = (plans.join(branches.filter("sql_branch"), ["conv_id", "turn"], "left_semi")
+               .filter(F.col("current_target") != X.UNKNOWN_TICKER).select("conv_id", "turn", F.col("current_target").alias("ticker")))
+    gold = G.gold_latest(ind.indicators(V.desk_ticks(spark, sf_dir)))
+    asked = targets.select("ticker", F.lit(30).alias("limit"), F.lit("get_prices").alias("action")).distinct()
+    rows = G.latest_rows(gold, asked, G.PRICE_COLS).groupBy("ticker").agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+                                                                   "symbol", "price", "volume"))), lambda x: x.dropFields("rank"))).alias("rows_json"),
         F.count(F.lit(1)).alias("n_rows"))
-    # a number per request, kept with its key: written out, so that it is the same for every reader
-    questions = cut_lineage(reqs.select("conv_id", "turn", F.monotonically_increasing_id().alias("query_id"),
-                                        F.col("text").alias("query")))
+    sql_rows = targets.join(rows, "ticker").drop("ticker")
+    # retrieval only where its branch runs; a number per request, written out so that it is the same for every reader
+    questions = cut_lineage(reqs.join(branches.filter("rag_branch"), ["conv_id", "turn"], "left_semi").select(
+        "conv_id", "turn", F.monotonically_increasing_id().alias("query_id"), F.col("text").alias("query")))
     ans = hybrid_search(retrieval_index(spark, sf_dir), questions.select("query_id", "query"))["answers"]
     rag = ans.join(questions.select("query_id", "conv_id", "turn"), "query_id").select("conv_id", "turn", "context")
-    history = CX.transcripts(CX.trim_history(msgs, upto=reqs), msgs)
-    return reqs, plans, branches, sql_rows, rag, history
+    return reqs, plans, branches, sql_rows, rag, CX.request_history(msgs, reqs)
 
 
 def _context_sql() -> str:
-    req = ("req", """SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)
-                       AS r FROM messages WHERE role = 'user') WHERE r = 1
-                     AND (conv_id, turn) IN (SELECT (conv_id, turn) FROM rt)""")
-    q_sql = f"SELECT {REQ_QID} AS query_id, text AS query, NULL AS expected_subject, NULL AS expected_facts FROM req"
+    req = ("req", "SELECT m.conv_id, m.turn, m.text FROM desk_messages m JOIN rt USING (conv_id, turn) WHERE m.role = 'user'")
+    br = ("br", _branches_sql())
+    keyed = ("keyed", "SELECT r.*, row_number() OVER (ORDER BY conv_id, turn) AS query_id FROM req r")
+    q_sql = """SELECT query_id, k.text AS query, NULL AS expected_subject, NULL AS expected_facts
+               FROM keyed k JOIN br USING (conv_id, turn) WHERE br.rag_branch"""
     rctes = retrieval_ctes(q_sql=q_sql) + [contexts_cte()]
-    ans = ("ans", f"""SELECT q.query_id, CASE WHEN h.query_id IS NULL THEN '{X.NO_HITS_MESSAGE}'
+    ans = ("ans", f"""SELECT k.conv_id, k.turn, CASE WHEN h.query_id IS NULL THEN '{X.NO_HITS_MESSAGE}'
                         ELSE COALESCE(l.context, '') END AS context
-                      FROM q LEFT JOIN (SELECT DISTINCT query_id FROM fused) h USING (query_id)
+                      FROM q JOIN keyed k USING (query_id) LEFT JOIN (SELECT DISTINCT query_id FROM fused) h USING (query_id)
                       LEFT JOIN (SELECT query_id, string_agg(printf('Context: %s (Source: %s | Score: %.2f)',
                                    parent_text, COALESCE(source, 'N/A'), rerank_score), chr(10) || chr(10)
                                    ORDER BY context_rank) AS context FROM ctx GROUP BY query_id) l USING (query_id)""")
-    hist_src = ("hist_src", "SELECT m.* FROM messages m JOIN req r ON m.conv_id = r.conv_id AND m.turn <= r.turn")
-    br = ("br", _branches_sql())
+    hist = ("hist", f"""SELECT conv_id, upto AS turn, string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || text,
+                          chr(10) ORDER BY turn) AS history FROM (
+                        SELECT *, min(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id, upto) AS fu FROM (
+                          SELECT m.*, r.turn AS upto, floor(sum(length(m.text)) OVER (PARTITION BY m.conv_id, r.turn ORDER BY m.turn DESC
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / 4) AS tok
+                          FROM desk_messages m JOIN req r ON m.conv_id = r.conv_id AND m.turn <= r.turn)
+                        WHERE tok <= {X.MAX_HISTORY_TOKENS}) WHERE turn >= fu GROUP BY conv_id, upto""")
+    item = ("'{\"timestamp\":\"' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '\",\"symbol\":\"' || symbol || '\"' || "
+            "COALESCE(',\"price\":' || CAST(price AS VARCHAR), '') || COALESCE(',\"volume\":' || CAST(volume AS VARCHAR), '') || '}'")
+    prices = ("prices", f"""SELECT ticker, '[' || string_agg({item}, ',' ORDER BY rank) || ']' AS rows_json, count(*) AS n_rows FROM (
+                 SELECT t.ticker, g.*, row_number() OVER (PARTITION BY t.ticker ORDER BY g.timestamp DESC, g.symbol) AS rank
+                 FROM (SELECT DISTINCT current_target AS ticker FROM rt) t JOIN gold g ON starts_with(g.symbol, t.ticker))
+               WHERE rank <= 30 GROUP BY ticker""")
     body = f"""
     SELECT r.conv_id, r.turn, r.text AS question, COALESCE(rt.current_target, 'UNKNOWN') AS target,
            CASE WHEN COALESCE(rt.chat, false) THEN 'chat'
                 WHEN COALESCE(rt.current_target, 'UNKNOWN') <> 'UNKNOWN' THEN 'asset' ELSE 'macro' END AS scenario,
            rt.routing_source,
-           '{CX.NO_SQL}' AS sql_data,
+           CASE WHEN br.sql_branch THEN COALESCE(p.rows_json, '{CX.NO_SQL}') ELSE '{CX.NO_SQL}' END AS sql_data,
            CASE WHEN COALESCE(br.rag_branch, false) THEN COALESCE(ans.context, '{CX.NO_NEWS}')
                 ELSE '{CX.NO_NEWS}' END AS news_context,
            CASE WHEN COALESCE(br.needs_chart, false) THEN
                 'Rendered ' || COALESCE(rt.chart_mode, 'comprehensive') || ' chart: ' ||
                 CASE WHEN COALESCE(rt.current_target, 'UNKNOWN') IN ('', 'UNKNOWN', 'NONE')
                      THEN 'No valid ticker specified for chart generation.'
+                     WHEN br.sql_branch AND p.n_rows > 0 THEN 'Chart data ready: ' || CAST(p.n_rows AS VARCHAR) || ' rows.'
                      ELSE 'No price data available in database to render chart for ' || rt.current_target || '.' END
                 ELSE '{CX.NO_CHART}' END AS chart_status,
-           COALESCE(tx.history, '{CX.NO_HISTORY}') AS history
+           COALESCE(hist.history, '{CX.NO_HISTORY}') AS history
     FROM req r LEFT JOIN rt USING (conv_id, turn) LEFT JOIN br USING (conv_id, turn)
-    LEFT JOIN ans ON ans.query_id = r.{REQ_QID.replace('conv_id', 'conv_id').split(' ')[0]} * 1000 + r.turn
-    LEFT JOIN tx USING (conv_id)"""
-    return with_views(["messages", "queries"], body,
-                      extra=route_ctes() + [req] + rctes + [ans, hist_src, _TRIM, _TRANSCRIPT, br])
+    LEFT JOIN ans USING (conv_id, turn) LEFT JOIN hist USING (conv_id, turn)
+    LEFT JOIN prices p ON p.ticker = rt.current_target"""
+    return with_views(["desk_messages", "desk_ticks", "queries"], body,
+                      extra=route_ctes() + [req, br, keyed] + rctes + [ans, hist] + _gold_ctes("desk_ticks") + [prices])
 
 
 @register("assemble_context", _context_sql())
 def q_assemble_context(spark, sf_dir):
-    """Synthesis context per conversation request: scenario, data, news contexts, chart status, trimmed history.
-
-    The SQL twin assumes no request names a symbol present in the tick table
-    (true for the supplied data: tick symbols are event types).
-    """
+    """Synthesis context of every safe user message: scenario, prices as JSON, news contexts, chart status, trimmed history."""
     return CX.assemble_context(*_context_parts(spark, sf_dir))
 
 

@@ -3,7 +3,7 @@
 Each view is a lazy projection of one supplied table (plus, for the bronze
 envelopes, deterministic fault injection keyed on the row id so that the
 dead-letter paths have input).  The DuckDB twins of these views live in
-``rivulet.plans.oracle`` and must stay in step with this file.
+``rivulet.plans.duck_views`` and must stay in step with this file.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rivulet.functions.fixed import TICKERS
 from rivulet.sources.tables import read_table
 
 TS_MICROS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -183,6 +184,37 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "role", "text")
 
 
+# What users of a trading desk might write, in our own words; {s} stands for a symbol.
+DESK_MESSAGES = [
+    "giá giao dịch {s} hôm nay",
+    "tín hiệu kỹ thuật rsi macd của {s}",
+    "báo cáo tài chính doanh nghiệp mới nhất",
+    "vẽ đồ thị rsi của {s}",
+    "xin chào bạn nhé, cảm ơn bạn",
+    "chỗ này bán bánh mì không",
+    "giá cổ phiếu {s} hôm nay bao nhiêu và tin tức kinh tế vĩ mô mới nhất về lãi suất",
+    "vẽ biểu đồ kỹ thuật của {s}",
+    "vẽ biểu đồ phân tích thị trường",
+    "tin tức kinh tế vĩ mô mới nhất về lãi suất đồng thời chào bot",
+]
+
+
+def desk_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` with the wording of user messages replaced by the desk's, chosen by their ids; every seventh is kept."""
+    k = F.col("conv_id") * 3 + F.col("turn")
+    wording = F.element_at(F.array(*[F.lit(m) for m in DESK_MESSAGES]), (F.pmod(k, F.lit(len(DESK_MESSAGES))) + 1).cast("int"))
+    symbol = F.element_at(F.array(*[F.lit(t) for t in TICKERS]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(TICKERS))) + 1).cast("int"))
+    asked = (F.col("role") == "user") & (F.pmod(k, F.lit(7)) != 0)
+    return messages(spark, sf_dir).withColumn("text", F.when(asked, F.replace(wording, F.lit("{s}"), symbol)).otherwise(F.col("text")))
+
+
+def desk_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as ticks of the listed symbols, by user."""
+    t = ticks(spark, sf_dir, by="user")
+    at = (F.pmod(F.col("symbol").cast("long"), F.lit(len(TICKERS))) + 1).cast("int")
+    return t.withColumn("symbol", F.element_at(F.array(*[F.lit(x) for x in TICKERS]), at))
+
+
 def requests(spark: SparkSession, sf_dir: str, by: str = "user") -> DataFrame:
     """Price/indicator requests derived from the symbols present.
 
