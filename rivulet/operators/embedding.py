@@ -32,6 +32,9 @@ def term_freq(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Data
 def sparse_postings(df: DataFrame, id_col: str = "id", text_col: str = "text",
                     buckets: int = X.SPARSE_BUCKETS, method: str = "md5") -> DataFrame:
     """(id, idx, weight): term counts summed per hash bucket, collisions add up."""
+    if method == "murmur3":  # the hash costs more than a word's count: each word of a text once
+        t = term_freq(df, id_col, text_col).withColumn("idx", bucket(F.col("token"), buckets, method))
+        return t.groupBy(id_col, "idx").agg(F.sum("tf").cast("double").alias("weight"))
     t = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
     t = t.withColumn("idx", bucket(F.col("token"), buckets, method))
     return t.groupBy(id_col, "idx").agg(F.count(F.lit(1)).cast("double").alias("weight"))

@@ -86,6 +86,9 @@ RAW_NEWS = f"""
            ELSE {_NEWS_FULL} END AS value
     FROM documents"""
 
+WHOLE_NEWS = f"""
+    SELECT 'bronze_news' AS topic, CAST(0 AS INTEGER) AS partition, doc_id AS "offset", {_NEWS_FULL} AS value FROM documents"""
+
 RAW_TRADES = f"""
     SELECT seq, timestamp,
       CASE WHEN seq % 2 = 0 THEN '{{"stream": "trades", "data": ' || inner_json || '}}' ELSE inner_json END AS value

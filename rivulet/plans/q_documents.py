@@ -8,7 +8,7 @@ from rivulet.functions import fixed as X
 from rivulet.operators import bronze as B
 from rivulet.operators import chunking as C
 from rivulet.plans.catalog import register
-from rivulet.plans.duck_views import rep_d, with_views
+from rivulet.plans.duck_views import WHOLE_NEWS, rep_d, with_views
 from rivulet.sources import views as V
 
 # ---------------------------------------------------------------------------
@@ -122,14 +122,14 @@ def _news_ctes():
     return _NEWS
 
 
-@register("chunk_documents", with_views(["raw_news"], """
+@register("chunk_documents", with_views([], """
     SELECT source, timestamp, CAST(p_idx AS BIGINT) AS p_idx, chunk_hierarchy, text, parent_text FROM pc_chunks""",
-                                        extra=_news_ctes() + [_ARTICLES] +
+                                        extra=[("raw_news", WHOLE_NEWS)] + _news_ctes() + [_ARTICLES] +
                                         pc_ctes("articles", ["source", "timestamp"], X.PARENT_SIZE, X.CHILD_SIZE,
                                                 X.PARAGRAPH_SEP)))
 def q_chunk_documents(spark, sf_dir):
     """News path: valid articles -> 'Title/Summary' text -> parent (1200) / child (250) chunks."""
-    return C.chunk_articles(B.news_valid(B.parse_news(V.raw_news(spark, sf_dir)))).drop("chunk_no")
+    return C.chunk_articles(B.news_valid(B.parse_news(V.raw_news(spark, sf_dir, faults=False)))).drop("chunk_no")
 
 
 @register("chunk_lines", with_views(["corpus"], """

@@ -10,7 +10,8 @@ from rivulet.operators import chunking as C
 from rivulet.operators import embedding as E
 from rivulet.operators import retrieval as R
 from rivulet.plans.catalog import register
-from rivulet.plans.duck_views import rep_d, tokens_sql, with_views
+from rivulet.plans import q_documents
+from rivulet.plans.duck_views import WHOLE_NEWS, rep_d, tokens_sql, with_views
 from rivulet.plans.q_documents import pc_ctes
 from rivulet.sources import views as V
 from rivulet.sources.tables import read_table
@@ -129,9 +130,49 @@ def q_sparse_vectors(spark, sf_dir):
     return E.sparse_postings(read_table(spark, sf_dir, "documents"), "doc_id")
 
 
-@register("sparse_vectors_murmur")
+def _murmur_ctes(tokens: str) -> list[tuple[str, str]]:
+    """``mh``: MurmurHash3 x86_32 (seed 0) of every distinct token of ``tokens``, by lists of bytes."""
+    m = 1 << 32
+    digit = "instr('0123456789ABCDEF', substr(x, {}, 1)) - 1"
+
+    def times(e: str, c: int) -> str:
+        return f"CAST((CAST({e} AS HUGEINT) * {c}) % {m} AS BIGINT)"
+
+    def rotl(e: str, bits: int) -> str:
+        return f"(({e}) * {1 << bits} % {m} + ({e}) // {1 << 32 - bits})"
+
+    def mixed(e: str) -> str:
+        return times(rotl(times(e, 0xCC9E2D51), 15), 0x1B873593)
+
+    def shifted(e: str, bits: int) -> str:
+        return f"xor({e}, ({e}) // {1 << bits})"
+
+    word = " + ".join(f"b[4 * i + {k + 1}] * {1 << 8 * k}" for k in range(4))
+    last = " + ".join(f"COALESCE(b[4 * (len(b) // 4) + {k + 1}], 0) * {1 << 8 * k}" for k in range(3))
+    step = f"CAST((CAST({rotl('xor(acc, k)', 13)} AS HUGEINT) * 5 + {0xE6546B64}) % {m} AS BIGINT)"
+    return [
+        ("mx", f"SELECT DISTINCT tok, hex(encode(tok)) AS x FROM ({tokens})"),
+        ("mb", f"""SELECT tok, list_transform(range(length(x) // 2), lambda i: CAST(({digit.format('2 * i + 1')}) * 16 + {digit.format('2 * i + 2')}
+                   AS BIGINT)) AS b FROM mx"""),
+        ("mw", f"SELECT tok, b, list_transform(range(len(b) // 4), lambda i: {mixed(word)}) AS w FROM mb"),
+        ("ml", f"""SELECT tok, b, list_reduce(list_concat([CAST(0 AS BIGINT)], w), lambda acc, k: {step}) AS body,
+                   CASE WHEN len(b) % 4 = 0 THEN 0 ELSE {mixed(last)} END AS tail FROM mw"""),
+        ("m1", "SELECT tok, xor(xor(body, tail), CAST(len(b) AS BIGINT)) AS x FROM ml"),
+        ("m2", f"SELECT tok, {times(shifted('x', 16), 0x85EBCA6B)} AS x FROM m1"),
+        ("m3", f"SELECT tok, {times(shifted('x', 13), 0xC2B2AE35)} AS x FROM m2"),
+        ("mh", f"SELECT tok, {shifted('x', 16)} AS x FROM m3"),
+    ]
+
+
+_MURMUR_TOKENS = ("mt", f"SELECT doc_id, unnest({tokens_sql('text')}) AS tok FROM documents")
+
+
+@register("sparse_vectors_murmur", with_views([], f"""
+    SELECT doc_id, CAST((CASE WHEN x >= {1 << 31} THEN {1 << 32} - x ELSE x END) % {X.SPARSE_BUCKETS} AS BIGINT) AS idx,
+           CAST(count(*) AS DOUBLE) AS weight
+    FROM mt JOIN mh USING (tok) GROUP BY ALL""", extra=[_MURMUR_TOKENS] + _murmur_ctes("SELECT tok FROM mt")))
 def q_sparse_vectors_murmur(spark, sf_dir):
-    """Postings with MurmurHash3 (seed 0) buckets, the original numbering (checked in pytest)."""
+    """Postings with MurmurHash3 (seed 0) buckets, the original numbering."""
     return E.sparse_postings(read_table(spark, sf_dir, "documents"), "doc_id", method="murmur3")
 
 
@@ -198,7 +239,7 @@ def q_hybrid_search(spark, sf_dir):
     return _hybrid(spark, sf_dir)["answers"]
 
 
-@register("upsert_points", with_views(["raw_news"], """
+@register("upsert_points", with_views([], """
     SELECT id, source, hierarchy, length(text) AS text_len, length(parent_text) AS parent_len, timestamp
     FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY batch DESC) AS rn FROM (
       SELECT uuid_str AS id, source, chunk_hierarchy AS hierarchy, text, parent_text, timestamp,
@@ -208,17 +249,17 @@ def q_hybrid_search(spark, sf_dir):
                substr(h, 18, 3) || '-' || substr(h, 21, 12)) AS uuid_str
         FROM (SELECT *, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') ||
                              encode(source || '_' || chunk_hierarchy || '_' || text)) AS h
-              FROM (SELECT *, 0 AS batch FROM pc_chunks UNION ALL SELECT *, 1 AS batch FROM pc_chunks)))))
-    WHERE rn = 1""", extra=__import__("rivulet.plans.q_documents", fromlist=["x"])._news_ctes() +
-                   [__import__("rivulet.plans.q_documents", fromlist=["x"])._ARTICLES] +
+              FROM (SELECT * REPLACE (replace(timestamp, '2024-02-', '2024-01-') AS timestamp), 0 AS batch FROM pc_chunks
+                    UNION ALL SELECT *, 1 AS batch FROM pc_chunks)))))
+    WHERE rn = 1""", extra=[("raw_news", WHOLE_NEWS)] + q_documents._news_ctes() + [q_documents._ARTICLES] +
                    pc_ctes("articles", ["source", "timestamp"], X.PARENT_SIZE, X.CHILD_SIZE, X.PARAGRAPH_SEP)))
 def q_upsert_points(spark, sf_dir):
-    """Chunks upserted as points keyed by a name-based UUID; re-ingesting a batch changes nothing."""
+    """Chunks upserted as points keyed by a name-based UUID: the same articles of an earlier day give way to the new ones."""
     from rivulet.operators import bronze as B
     from rivulet.operators.store import points, upsert
-    chunks = C.chunk_articles(B.news_valid(B.parse_news(V.raw_news(spark, sf_dir))))
-    stored = points(chunks)
-    merged = upsert(stored, points(chunks))
+    old, new = (points(C.chunk_articles(B.news_valid(B.parse_news(V.raw_news(spark, sf_dir, faults=False, since=day)))))
+                for day in ("2024-01-01", "2024-02-01"))
+    merged = upsert(old, new)
     return merged.select("id", "source", "hierarchy", F.length("text").alias("text_len"),
                          F.length("parent_text").alias("parent_len"), "timestamp")
 

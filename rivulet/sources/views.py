@@ -90,16 +90,17 @@ def raw_market(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_news(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_news(spark: SparkSession, sf_dir: str, faults: bool = True, since: str = "2024-02-01") -> DataFrame:
     """Bronze news envelopes built from ``documents``.
 
     title = first line, summary = whole text, link = ``doc://{doc_id}``.
     Faults by rule on ``doc_id``: 11 -> truncated (invalid) JSON;
     13 -> payload without link; 7 -> JSON null timestamp (still valid).
+    ``faults=False`` gives every document's whole envelope.
     """
     d = read_table(spark, sf_dir, "documents")
     did = F.col("doc_id")
-    ts = F.date_format(F.expr("timestamp_ntz'2024-02-01 00:00:00' + make_dt_interval(0, 0, doc_id, 0)"), TS_MICROS)
+    ts = F.date_format(F.expr(f"timestamp_ntz'{since} 00:00:00' + make_dt_interval(0, 0, doc_id, 0)"), TS_MICROS)
     ts_part = F.when(did % 7 == 0, F.lit("null")).otherwise(_json_str(ts))
     title = F.substring_index(F.col("text"), "\n", 1)
     link = F.concat(F.lit("doc://"), did.cast("string"))
@@ -110,7 +111,7 @@ def raw_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     no_link = F.concat(head, F.lit("}}"))
     value = (F.when(did % 11 == 0, F.substring(full, 1, 40))
              .when(did % 13 == 0, no_link)
-             .otherwise(full))
+             .otherwise(full)) if faults else full
     return d.select(
         F.lit(NEWS_TOPIC).alias("topic"),
         F.lit(0).cast("int").alias("partition"),

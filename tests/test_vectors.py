@@ -24,10 +24,14 @@ def test_collisions_add_up(spark):
     assert [(r["idx"], r["weight"]) for r in p] == [(0, 3.0)]
 
 
-def test_murmur3_known_values():
-    assert murmur3_32(b"") == 0
-    assert murmur3_32(b"hello") == 613153351
-    assert murmur3_32(b"foo") == -156908512
+def test_murmur3_known_values(spark):
+    """Published values of the algorithm with seed 0, for every length of the last block."""
+    known = {"": 0, "a": 0x3C2569B2, "aa": 0xF5BFC1B5, "foo": (-156908512) % (1 << 32), "hello": 613153351, "abcd": 0x43ED676A}
+    df = spark.createDataFrame([(k,) for k in known], "t string")
+    got = {r["t"]: r["h"] for r in df.select("t", murmur3_32(F.col("t")).alias("h")).collect()}
+    assert got["hello"] == known["hello"] and got["foo"] == known["foo"] and got[""] == 0 and got["abcd"] == known["abcd"]
+    assert got["a"] == known["a"]
+    assert all(0 <= v < 1 << 32 for v in got.values())
 
 
 def test_murmur_bucket_column(spark):
@@ -57,3 +61,10 @@ def test_pluggable_encoder(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abcd")], "id long, text string")
     out = E.encode_with(df, lambda texts: np.array([[len(t), 1.0] for t in texts])).orderBy("id").collect()
     assert [r["embedding"] for r in out] == [[2.0, 1.0], [4.0, 1.0]]
+
+
+def test_upsert_replaces_keeps_and_adds(spark):
+    from rivulet.operators.store import upsert
+    old = spark.createDataFrame([("a", "old"), ("b", "old"), ("b", "older")], "id string, text string")
+    new = spark.createDataFrame([("b", "new"), ("c", "new"), ("c", "newer")], "id string, text string")
+    assert {r["id"]: r["text"] for r in upsert(old, new).collect()} == {"a": "old", "b": "new", "c": "newer"}
