@@ -37,15 +37,12 @@ PROMPT_INJECTION_PATTERN = r"(ignore\s+previous\s+instructions|system\s+prompt|b
 TABLE_PATTERN = r"(?:\|[^\n]+\|\n\|(?:[\s]*:?-+:?[\s]*\|)+\n(?:\|[^\n]+\|\n*)+)"
 SENTENCE_ABBREVIATIONS = ["VND", "Inc", "Ltd", "Jan", "Feb", "Mar", "Apr", "May", "Jun",
                           "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
-# The split point is where all these zero-width assertions hold; the cheap
-# look-behind on the punctuation is tested first so most positions fail fast.
 SENTENCE_END_PATTERN = (
-    r"(?U)(?<=[.!?])"
-    r"(?<!\b(?:VND|Inc|Ltd|Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\.)"
+    r"(?U)(?<!\b(?:" + "|".join(SENTENCE_ABBREVIATIONS) + r")\.)"
     r"(?<!\bU\.S\.)"
     r"(?<!\bCorp\.)"
     r"(?<!\bvs\.)"
-    r"\s+"
+    r"(?<=[.!?])\s+"
 )
 TABLE_PLACEHOLDER = "__TABLE_PLACEHOLDER_{}__"
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,10 +28,6 @@ def sentences(text) -> Column:
     return F.split(_c(text), fixed.SENTENCE_END_PATTERN)
 
 
-def _alternation(words) -> str:
-    return "|".join(re.escape(w) for w in words)
-
-
 # word boundaries with Python's meaning of a word character: Unicode letter, digit or underscore
 NOT_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
 NOT_WORD_AFTER = r"(?![\p{L}\p{N}_])"

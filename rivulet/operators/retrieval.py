@@ -288,30 +288,6 @@ def _best_of_fn(sids: np.ndarray, smat: np.ndarray, k: int, id_col: str, vec_col
     return run
 
 
-def centroid_scores(big: DataFrame, small: DataFrame, keys: list[str], vec_col: str = "embedding",
-                    small_id: str = "label", small_vec: str = "centroid",
-                    max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """``keys`` of every row of ``big`` with its dot products with all rows of a small table, in order of their ids.
-
-    One array per row: no explode, no regrouping and no shuffle.
-    """
-    rows = small.select(F.col(small_id).cast("bigint").alias("sid"), F.col(small_vec).alias("sv")).limit(
-        max_broadcast_bytes // 8 + 1).toArrow().sort_by("sid")
-    smat = np.asarray(rows.column("sv").to_pylist(), dtype=np.float64)
-    if smat.nbytes > max_broadcast_bytes:
-        raise ValueError(f"small side of {smat.nbytes} bytes exceeds the broadcast bound {max_broadcast_bytes}")
-    bc = big.sparkSession.sparkContext.broadcast(smat)
-
-    def fn(batches):
-        for pdf in batches:
-            if not pdf.empty:
-                sc = np.stack(pdf[vec_col].to_numpy()).astype(np.float64) @ bc.value.T
-                yield pdf[keys].assign(scores=list(sc))
-
-    schema = ", ".join([*(f"{k} {dict(big.dtypes)[k]}" for k in keys), "scores array<double>"])
-    return big.select(*keys, vec_col).mapInPandas(fn, schema)
-
-
 def best_matches(big: DataFrame, small: DataFrame, k: int = 1, id_col: str = "id", vec_col: str = "embedding",
                  small_id: str = "label", small_vec: str = "centroid",
                  max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:

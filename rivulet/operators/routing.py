@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import fixed as X
 from rivulet.functions.text import chart_mode, extract_ticker, guard_status, split_clauses, wants_chart
-from rivulet.operators.embedding import DENSE_DIM, NGRAM_DIM, centroids, encode, gram_counts, rarity, unit_weights
+from rivulet.operators.embedding import NGRAM_DIM, gram_counts, rarity, unit_weights
 from rivulet.session import cut_lineage
 
 INTENTS = list(X.INTENT_UTTERANCES)          # dict order: ties go to the earlier intent
@@ -28,11 +28,6 @@ def utterances(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "intent_id long, intent string, text string")
 
 
-def intent_centroids(spark: SparkSession, dim: int = DENSE_DIM) -> DataFrame:
-    vec = encode(utterances(spark), dim=dim)
-    return centroids(vec, label_col="intent_id")
-
-
 def message_features(messages: DataFrame, word_boundaries: bool = True) -> DataFrame:
     """Ticker, clauses and chart mode of every message."""
     return messages.select(
