@@ -369,6 +369,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nothing and is its own component.  Repeated rows are equal documents and
     each gets its row.  A row with a null id takes part as any other, its
     component is the smallest id that is not null, or null if there is none.
+    Ids are read as long; text that is no number ends with Spark's cast error.
     Other input columns are ignored.  An empty table gives an empty result.
     """
     spark = prepare(docs.sparkSession)

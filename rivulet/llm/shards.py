@@ -137,7 +137,7 @@ def write_shards(placed: DataFrame, path: str, length: int = LENGTH, per_shard:
 
 
 def read_shards(spark: SparkSession, path: str, first: int = 0, length: int = LENGTH) -> DataFrame:
-    """(slot, ids) of all slots from ``first``; shards before it are not read."""
+    """(slot, ids) of all slots from ``first``; shards that end before it are read and left out."""
     stride = _WIDTH * (length + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
