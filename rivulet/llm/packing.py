@@ -2,11 +2,13 @@
 
 A configuration is a multiset of piece lengths that fits one sequence; the
 program asks for the fewest sequences whose configurations cover the histogram
-of lengths.  It is solved by multiplicative weights: each round prices the
-lengths by how well they are covered so far, a knapsack dynamic program finds
-the configurations of greatest price, and these are added to the solution.  The
-fractional solution is rounded down within what is left of each length, and the
-rest is filled by exact subset sums, largest length first.
+of lengths.  It is solved by multiplicative weights: a length's price falls by a
+constant factor per unit of its coverage and is nothing once it is covered; a
+knapsack dynamic program prices the rooms, and each length that is still short
+gets configurations of nearly the best price.  The fractional solution is
+rounded (whole parts, then the largest fractions that still fit) and the program
+is solved again for what is left, until rounding places nothing more.  The few
+pieces left then are placed by exact subset sums, largest length first.
 
 Only the histogram reaches the driver: at most one count per length up to the
 capacity.  Pieces are numbered within (task, length); prefix sums over tasks
@@ -33,63 +35,98 @@ from rivulet.llm.common import prepare, stored, table
 
 CAPACITY = 2048
 END_ID = 0
-ROUNDS = 40
-_RATE = 3.0  # of the weights, per unit of coverage
-_STEP = 0.25  # of a length's count, covered by one addition
-_NEAR = 0.97  # of the best price, from which a configuration is added
-
-
-def _knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greatest price for each room up to ``capacity``, and the length taken last (0: the room is left over by one)."""
+ROUNDS = 400  # pricings in one solution of the program, at most
+PHASES = 6  # solutions: the program, then what rounding left of it
+_RATE = 1.0  # of the weights, per unit of coverage
+_SLACK = 1e-4  # coverage beyond the whole that a length may get
+_LOSS = 2e-4  # share of the best price that a configuration may miss
+_NEAR = 0.99  # fill of a sequence that rounding accepts
+_TRIES = 20  # configurations for one length under the same prices
+_DONE = 1e-9
+
+
+def _knapsack(lengths: np.ndarray, price: np.ndarray, capacity: int) -> np.ndarray:
+    """Greatest price for each room up to ``capacity``."""
     best = np.zeros(capacity + 1)
-    last = np.zeros(capacity + 1, np.int64)
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
     for room in range(1, capacity + 1):
-        k = np.searchsorted(lengths, room, side="right")
-        best[room] = best[room - 1]
-        if k:
-            value = best[room - lengths[:k]] + price[:k]
-            i = int(value.argmax())
-            if value[i] > best[room]:
-                best[room], last[room] = value[i], lengths[i]
-    return best, last
+        k = ends[room]
+        best[room] = max(best[room - 1], (best[room - lengths[:k]] + price[:k]).max()) if k else 0.0
+    return best
 
 
-def _walk(last: np.ndarray, room: int, taken: dict[int, int]) -> dict[int, int]:
+def _configuration(lengths: np.ndarray, price: np.ndarray, best: np.ndarray, room: int, short: np.ndarray,
+                   loss: float) -> dict[int, int]:
+    """Places of the lengths that fill ``room`` for its best price but ``loss``: at each step the largest, short ones first."""
+    taken: dict[int, int] = {}
     while room > 0:
-        n = int(last[room])
-        if n:
-            taken[n] = taken.get(n, 0) + 1
-        room -= n or 1
+        k = int(np.searchsorted(lengths, room, side="right"))
+        if not k:
+            break
+        value = price[:k] + best[room - lengths[:k]]
+        fits = np.flatnonzero(value >= best[room] - loss)
+        if not len(fits):
+            room -= 1
+            continue
+        wanted = fits[short[fits]]
+        i = int(wanted[-1] if len(wanted) else fits[-1])
+        loss -= best[room] - value[i]
+        taken[i] = taken.get(i, 0) + 1
+        room -= int(lengths[i])
     return taken
 
 
 def fractional(count: dict[int, int], capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Configurations and how often each is used, from multiplicative weights over the lengths."""
-    lengths = np.array(sorted(count), np.int64)
-    n = np.array([count[x] for x in lengths.tolist()], float)
-    place = {x: i for i, x in enumerate(lengths.tolist())}
-    covered = np.zeros(len(lengths))
+    """Configurations and how often each is used, from multiplicative weights over the lengths.
+
+    Every length is covered, by at most ``_SLACK`` too much, unless ``rounds``
+    pricings do not suffice.
+    """
+    every = np.array(sorted(count), np.int64)
+    numbers = np.array([count[x] for x in every.tolist()], float)
+    coverage = np.zeros(len(every))
     used: dict[tuple, float] = {}
     for _ in range(rounds):
-        price = lengths / capacity * np.exp(-_RATE * (covered - covered.min()))
-        best, last = _knapsack(lengths, price, capacity)
-        worth = price + best[capacity - lengths]
-        fresh = covered.copy()
-        for i in np.lexsort((-lengths, covered)).tolist():
-            if worth[i] < _NEAR * best[capacity] or fresh[i] > covered[i]:
-                continue
-            taken = _walk(last, capacity - int(lengths[i]), {int(lengths[i]): 1})
-            at = np.array([place[x] for x in taken])
-            times = np.array([taken[x] for x in taken], float)
-            amount = float((_STEP * n[at] / times).min())
-            key = tuple(sorted(taken.items(), reverse=True))
-            used[key] = used.get(key, 0.0) + amount
-            fresh[at] += amount * times / n[at]
-        covered = fresh
-        if covered.min() >= 1:
+        live = np.flatnonzero(coverage < 1 + _SLACK - _DONE)
+        lengths, n, covered = every[live], numbers[live], coverage[live]
+        price = lengths / capacity * np.exp(-_RATE * covered)
+        best = _knapsack(lengths, price, capacity)
+        moved = False
+        for i in np.flatnonzero(covered < 1 - _DONE)[::-1].tolist():
+            for _ in range(_TRIES):
+                if covered[i] >= 1 - _DONE:
+                    break
+                taken = _configuration(lengths, price, best, capacity - int(lengths[i]), covered < 1 + _SLACK - _DONE,
+                                       _LOSS * best[capacity])
+                taken[i] = taken.get(i, 0) + 1
+                at, times = np.array(list(taken)), np.array(list(taken.values()), float)
+                amount = min(float(((1 + _SLACK - covered[at]) * n[at] / times).min()), (1 - covered[i]) * n[i] / taken[i])
+                if amount <= _DONE:
+                    break
+                key = tuple(sorted(((int(lengths[a]), k) for a, k in taken.items()), reverse=True))
+                used[key] = used.get(key, 0.0) + amount
+                covered[at] += amount * times / n[at]
+                moved = True
+        coverage[live] = covered
+        if not moved or coverage.min() >= 1 - _DONE:
             break
-    scale = 1 / max(1.0, float(np.median(covered)))
-    return {k: v * scale for k, v in used.items()}
+    return used
+
+
+def rounded(plan: dict[tuple, float], left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Whole numbers of the plan's well-filled configurations, taken off ``left``: whole parts, then large fractions."""
+    fill = {k: sum(x * n for x, n in k) for k in plan}
+    whole = {k: int(v + 1e-6) for k, v in plan.items()}
+    first = [(k, whole[k]) for k in sorted(plan, key=lambda k: (-fill[k], -plan[k], k))]
+    then = [(k, 1) for k in sorted(plan, key=lambda k: (whole[k] - plan[k], -fill[k], k)) if plan[k] - whole[k] > 0.2]
+    out = []
+    for k, wish in first + then:
+        times = min([wish, *(left[x] // n for x, n in k)])
+        if times > 0 and fill[k] >= capacity * _NEAR:
+            out.append((dict(k), times))
+            for x, n in k:
+                left[x] -= n * times
+    return out
 
 
 def _best_fill(left: dict[int, int], capacity: int) -> dict[int, int]:
@@ -125,15 +162,12 @@ def configurations(count: dict[int, int], capacity: int, rounds: int = ROUNDS) -
     out = []
     if capacity in left:
         out.append(({capacity: 1}, left.pop(capacity)))
-    if left:
-        plan = fractional(left, capacity, rounds)
-        fill = {k: sum(x * n for x, n in k) for k in plan}
-        for k in sorted(plan, key=lambda k: (-fill[k], -plan[k], k)):
-            times = min([int(plan[k]), *(left[x] // n for x, n in k)])
-            if times and fill[k] >= capacity * _NEAR:
-                out.append((dict(k), times))
-                for x, n in k:
-                    left[x] -= n * times
+    for _ in range(PHASES):
+        left = {x: n for x, n in left.items() if n}
+        found = rounded(fractional(left, capacity, rounds), left, capacity) if left else []
+        if not found:
+            break
+        out += found
     while any(left.values()):
         taken = _best_fill(left, capacity)
         times = min(left[x] // n for x, n in taken.items())

@@ -48,6 +48,53 @@ def test_configurations_use_up_counts():
             assert sum(t for _, t in found) <= best * 1.06 + 1
 
 
+def histogram(llm, sf):
+    pieces = packing.token_pieces(llm.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    return {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+
+
+def by_fill(count, capacity):
+    """Sequences that exact subset sums alone need."""
+    left, n = dict(count), 0
+    while any(left.values()):
+        taken = packing._best_fill(left, capacity)
+        times = min(left[x] // k for x, k in taken.items())
+        n += times
+        for x, k in taken.items():
+            left[x] -= k * times
+    return n
+
+
+def test_program_is_near_the_bound_and_places_most(llm, sf):
+    count = histogram(llm, sf)
+    rest = {x: n for x, n in count.items() if x != 2048}
+    plan = packing.fractional(rest, 2048)
+    covered = {x: sum(v * dict(k).get(x, 0) for k, v in plan.items()) / n for x, n in rest.items()}
+    assert min(covered.values()) > 1 - 1e-6 and max(covered.values()) < 1.001
+    assert sum(plan.values()) <= 1.01 * sum(x * n for x, n in rest.items()) / 2048
+    for times in (1, 100):
+        many = {x: n * times for x, n in count.items()}
+        found = sum(n for _, n in packing.configurations(many, 2048))
+        left = {x: n * times for x, n in rest.items()}
+        placed = 0
+        for _ in range(packing.PHASES):
+            left = {x: n for x, n in left.items() if n}
+            got = packing.rounded(packing.fractional(left, 2048), left, 2048) if left else []
+            placed += sum(n for _, n in got)
+            if not got:
+                break
+        assert placed >= 0.9 * (found - many[2048])
+        assert found <= by_fill(many, 2048) * 1.0005
+
+
+def test_program_on_odd_histograms():
+    for count in ({5: 1}, {1: 7}, {6: 100}, {6: 3, 4: 1}, {9: 50, 2: 1000}, {x: 1 for x in range(1, 11)}, {6: 10**12, 4: 10**12}):
+        found = packing.configurations(count, 10)
+        used = {x: sum(t.get(x, 0) * n for t, n in found) for x in count}
+        assert used == count and all(sum(x * k for x, k in t.items()) <= 10 for t, _ in found)
+        assert sum(n for _, n in found) <= by_fill(count, 10) * 1.001 + 1
+
+
 def check(rows, capacity):
     by: dict[int, list] = {}
     for r in rows:
