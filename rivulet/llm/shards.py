@@ -30,7 +30,7 @@ PER_SHARD = 1024
 KEY = 0x5EED
 END_ID = 49407
 ROUNDS = 4
-_WIDTH = 2  # bytes of an id; the vocabulary has 49,408
+WIDTH = 2  # bytes of an id; the default vocabulary has 49,408
 
 
 def _round(x: np.ndarray, key: int, number: int, mask: int) -> np.ndarray:
@@ -62,8 +62,11 @@ def permute(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarra
 
 
 def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-              tokenizer: str | None = None) -> DataFrame:
-    """Fixed-length pieces of each document (ids and an end id; the last piece is shorter), numbered within their task."""
+              tokenizer: str | None = None, width: int = WIDTH) -> DataFrame:
+    """Fixed-length pieces of each document (ids and an end id; the last piece is shorter), numbered within their task.
+
+    Ids take ``width`` bytes (2 or 4); an id that needs more ends the job with an error.
+    """
     path = tokenizer or encode.default_tokenizer()
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -75,7 +78,10 @@ def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             ids, ptr = coder.encode(*tk.text_buffer(chunk["text"]))
             rows, pieces, bodies = [], [], []
             for d, (a, b) in enumerate(zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)):
-                own = np.append(ids[a:b], END_ID).astype("<u2")
+                whole = np.append(ids[a:b], END_ID)
+                if int(whole.max()) >> 8 * width:
+                    raise ValueError(f"id {int(whole.max())} does not fit {width} bytes; a larger width is needed")
+                own = whole.astype(f"<u{width}")
                 for i, s in enumerate(range(0, len(own), length)):
                     rows.append(d), pieces.append(i), bodies.append(own[s:s + length].tobytes())
             number = np.arange(seen, seen + len(rows))
@@ -110,14 +116,17 @@ def slots(pieces: DataFrame, key: int = KEY) -> DataFrame:
     return pieces.mapInArrow(run, schema)
 
 
-def write_shards(placed: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+def write_shards(placed: DataFrame, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = WIDTH) -> DataFrame:
     """Write fixed-stride shards to ``path``; returns where each sequence lies: its slot, ``shard`` and byte ``offset``.
 
-    A slot is the number of ids (one 16-bit word) and ``length`` ids, padded
-    with zeros.  A shard is a row (``shard``, ``first_slot``, ``n``, ``body``)
-    of the table, and no shard is split between tasks.
+    A slot is the number of ids (one word of ``width`` bytes) and ``length``
+    ids, padded with zeros.  A shard is a row (``shard``, ``first_slot``, ``n``,
+    ``body``) of the table; no shard is split between tasks, and each has a row
+    group of its own, so that readers leave out the others by its first slot.
     """
-    stride = _WIDTH * (length + 1)
+    if length >> 8 * width:
+        raise ValueError(f"a length of {length} does not fit {width} bytes")
+    stride = width * (length + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in tk.groups(batches, ["shard"]):
@@ -125,35 +134,38 @@ def write_shards(placed: DataFrame, path: str, length: int = LENGTH, per_shard:
             body = bytearray(stride * group.num_rows)
             for i, ids in enumerate(group["ids"]):
                 raw = ids.as_py()
-                body[i * stride:i * stride + _WIDTH] = (len(raw) // _WIDTH).to_bytes(_WIDTH, "little")
-                body[i * stride + _WIDTH:i * stride + _WIDTH + len(raw)] = raw
+                body[i * stride:i * stride + width] = (len(raw) // width).to_bytes(width, "little")
+                body[i * stride + width:i * stride + width + len(raw)] = raw
             yield pa.RecordBatch.from_arrays([group["shard"].combine_chunks()[:1], pa.array(slot[:1]), pa.array([len(slot)], pa.int64()),
                                               pa.array([bytes(body)], pa.binary())], ["shard", "first_slot", "n", "body"])
 
     sharded = placed.withColumn("shard", F.floor(F.col("slot") / per_shard))
     ordered = sharded.select("shard", "slot", "ids").repartitionByRange("shard").sortWithinPartitions("shard", "slot")
-    ordered.mapInArrow(run, "shard long, first_slot long, n long, body binary").write.parquet(path)
+    rows = ordered.mapInArrow(run, "shard long, first_slot long, n long, body binary")
+    rows.write.option("parquet.block.row.count.limit", 1).parquet(path)
     return sharded.drop("ids").withColumn("offset", F.pmod("slot", F.lit(per_shard)) * stride)
 
 
-def read_shards(spark: SparkSession, path: str, first: int = 0, length: int = LENGTH) -> DataFrame:
-    """(slot, ids) of all slots from ``first``; shards that end before it are read and left out."""
-    stride = _WIDTH * (length + 1)
+def read_shards(spark: SparkSession, path: str, first: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD,
+                width: int = WIDTH) -> DataFrame:
+    """(slot, ids) of all slots from ``first``; the row groups of earlier shards are not read."""
+    stride = width * (length + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, n, body in zip(b.column("first_slot").to_pylist(), b.column("n").to_pylist(), b.column("body"), strict=True):
                 raw = body.as_py()
                 at = range(max(0, first - start), n)
-                ids = [raw[i * stride + _WIDTH:i * stride + _WIDTH * (1 + int.from_bytes(raw[i * stride:i * stride + _WIDTH], "little"))] for i in at]
+                sizes = [int.from_bytes(raw[i * stride:i * stride + width], "little") for i in at]
+                ids = [raw[i * stride + width:i * stride + width * (1 + k)] for i, k in zip(at, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([start + i for i in at], pa.int64()), pa.array(ids, pa.binary())], ["slot", "ids"])
 
     table = spark.read.schema("shard long, first_slot long, n long, body binary").parquet(path)
-    return table.where(F.col("first_slot") + F.col("n") > first).select("first_slot", "n", "body").mapInArrow(run, "slot long, ids binary")
+    return table.where(F.col("first_slot") > first - per_shard).select("first_slot", "n", "body").mapInArrow(run, "slot long, ids binary")
 
 
 def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", key: int = KEY,
-                length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
+                length: int = LENGTH, per_shard: int = PER_SHARD, tokenizer: str | None = None, width: int = WIDTH) -> DataFrame:
     """Encode, order and write all documents; one row per sequence: id, ``piece``, ``slot``, ``shard``, ``offset``.
 
     A null or empty text is its end id alone; null ids are kept; repeated rows
@@ -161,8 +173,8 @@ def materialise(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     writes no shard and gives an empty result.
     """
     prepare(docs.sparkSession)
-    placed = slots(stored(sequences(docs, id_col, text_col, length)), key)
-    return write_shards(placed, path, length, per_shard)
+    placed = slots(stored(sequences(docs, id_col, text_col, length, tokenizer, width)), key)
+    return write_shards(placed, path, length, per_shard, width)
 
 
 @query("op6_shards")
@@ -171,7 +183,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = scratch(spark, "shards")
     where = materialise(docs, path)
-    back = read_shards(spark, path).select(F.col("slot").alias("s"), (F.length("ids") / _WIDTH).cast("long").alias("length"),
+    back = read_shards(spark, path).select(F.col("slot").alias("s"), (F.length("ids") / WIDTH).cast("long").alias("length"),
                                            F.crc32("ids").alias("ids_crc32"))
     return where.join(back, F.col("slot") == F.col("s")).select("doc_id", "piece", "slot", "shard", "offset", "length", "ids_crc32")
 

@@ -1,4 +1,8 @@
+import glob
+
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 
 from rivulet.llm import encode, shards
 
@@ -32,11 +36,35 @@ def test_round_trip_and_cases(llm, tmp_path):
     got = sorted((str(r["doc_id"]), r["piece"], back[r["slot"]]) for r in where)
     want = sorted((str(i), k // 8, ids[k:k + 8]) for i, t, _ in rows for ids in [tokens(t)] for k in range(0, len(ids), 8))
     assert got == want
-    later = shards.read_shards(llm, path, first=5, length=8).collect()
-    assert sorted(r["slot"] for r in later) == list(range(5, n))
+    for first in (0, 2, 3, 5, n - 1, n, n + 9):
+        later = shards.read_shards(llm, path, first=first, length=8, per_shard=3)
+        assert sorted(r["slot"] for r in later.collect()) == list(range(first, n))
     assert shards.materialise(df.limit(0), f"{tmp_path}/e").count() == 0
 
 
+def test_later_shards_alone_are_read(llm, tmp_path):
+    df = llm.createDataFrame([(i, "a b c " * (i % 7)) for i in range(200)], "doc_id long, text string").coalesce(1)
+    path = f"{tmp_path}/s"
+    shards.materialise(df, path, length=8, per_shard=10)
+    plan = shards.read_shards(llm, path, first=100, length=8, per_shard=10)._jdf.queryExecution().toString()
+    assert "GreaterThan(first_slot,90)" in plan
+    groups = []
+    for f in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        groups += [meta.row_group(i).num_rows for i in range(meta.num_row_groups)]
+    assert sum(groups) > 20 and set(groups) == {1}
+
+
+def test_wide_ids(llm, tmp_path):
+    df = llm.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    path = f"{tmp_path}/w"
+    where = shards.materialise(df, path, length=8, per_shard=3, width=4).collect()
+    back = shards.read_shards(llm, path, length=8, per_shard=3, width=4).collect()
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in back] == [tokens("a b c")] and where[0]["offset"] == 0
+    with pytest.raises(Exception, match="does not fit 1 bytes"):
+        shards.sequences(df, length=8, width=1).collect()
+
+
 def test_query(llm, sf):
     docs = {r["doc_id"]: r["text"] for r in llm.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = shards.op6(llm, sf).collect()
