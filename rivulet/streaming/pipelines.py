@@ -29,6 +29,7 @@ from rivulet.session import scratch_tables
 from rivulet.sources.gold_table import GoldTable
 from rivulet.sources.sinks import read_points, write_dead_letters, write_points
 from rivulet.streaming import tick_state as TS
+from rivulet.streaming.guid_memory import GuidMemory
 
 RECORD_SCHEMA = "topic string, partition int, offset long, value string"
 
@@ -195,3 +196,16 @@ def dedup_feed_stream(entries: DataFrame, watermark: str = "1 day", event_col: s
     guid = F.coalesce(F.col("id"), F.col("link"), F.lit(""))
     e = entries.withColumn("guid", guid).filter(F.col("guid") != "")
     return e.withWatermark(event_col, watermark).dropDuplicatesWithinWatermark(["guid"])
+
+
+def dedup_feed_recent(entries: DataFrame, order_col: str, feed_col: str, keep: int = 5000) -> DataFrame:
+    """Streaming guid de-duplication bounded by count: each feed remembers its newest ``keep`` guids.
+
+    Entries of a feed are taken by ``order_col``, ties by guid.  Entries without
+    a guid are dropped; a null feed is a feed of its own.
+    """
+    for key, value in STATE_CONF.items():
+        entries.sparkSession.conf.set(key, value)
+    guid = F.coalesce(F.col("id"), F.col("link"), F.lit(""))
+    e = entries.withColumn("guid", guid).filter(F.col("guid") != "")
+    return e.groupBy(feed_col).transformWithStateInPandas(GuidMemory(keep, order_col), e.schema, "append", "none")
