@@ -1,10 +1,9 @@
 """Hybrid retrieval over tables of queries.
 
-* dense: exact cosine top-k.  The query matrix is broadcast after a size
-  check (queries beyond the bound are processed in batches); every corpus
-  partition scores its rows in ``mapInPandas`` keeping an exact running top-k
-  per query, and a per-query group limit merges the partition winners.  No
-  (query x corpus) pair set is ever materialised as rows.
+* dense: exact cosine top-k.  Blocks of queries meet tiles of the corpus on
+  the executors (``operators.cells``), each of bounded size, and a per-query
+  group limit merges the winners of the tiles.  No (query x corpus) pair set
+  is ever materialised as rows; no query passes through the driver.
 * sparse: postings equi-join on the hash bucket (query postings are the small
   side), partial sum per (query, chunk), then a per-query group limit.
 * fusion: reciprocal-rank fusion, a full outer join of both ranked lists.
@@ -27,6 +26,7 @@ from pyspark.sql.types import DoubleType
 from rivulet.functions import fixed as X
 from rivulet.functions.text import tokens
 from rivulet.functions.hashing import md5_prefix
+from rivulet.operators import cells
 from rivulet.operators.embedding import DENSE_DIM, encode, sparse_postings
 from rivulet.session import bucketed_table, cut_lineage
 
@@ -39,88 +39,19 @@ def _top_k(df: DataFrame, k: int, part: str, score: str = "score", id_col: str =
     return df.withColumn(rank_col, F.row_number().over(w).cast("bigint")).filter(F.col(rank_col) <= k)
 
 
-def _dense_rows(col: pd.Series, dim: int | None) -> np.ndarray:
-    """Rows of a vector column as a matrix; ``dim`` set means the column holds bucket indexes (counted)."""
-    if dim is None:
-        return np.stack(col.to_numpy()).astype(np.float64)
-    lists = [np.asarray(x if x is not None else [], dtype=np.int64) for x in col]
-    m = np.zeros((len(lists), dim), dtype=np.float64)
-    lengths = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists))
-    if lengths.sum():
-        np.add.at(m, (np.repeat(np.arange(len(lists)), lengths), np.concatenate(lists)), 1.0)
-    return m
-
-
-def _cosine_topk_fn(qids: np.ndarray, qmat: np.ndarray, k: int, id_col: str, vec_col: str,
-                    bucket_dim: int | None = None):
-    qnorm = np.sqrt((qmat * qmat).sum(axis=1))
-
-    def run(batches):
-        keep_ids = np.empty((len(qids), 0), dtype=np.int64)
-        keep_sc = np.empty((len(qids), 0), dtype=np.float64)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            m = _dense_rows(pdf[vec_col], bucket_dim)
-            dots = qmat @ m.T                                   # (nq, n)
-            dnorm = np.sqrt((m * m).sum(axis=1))
-            denom = qnorm[:, None] * dnorm[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sc = np.where(denom > 0, dots / np.where(denom > 0, denom, 1.0), 0.0)
-            all_ids = np.concatenate([keep_ids, np.broadcast_to(ids, (len(qids), len(ids)))], axis=1)
-            all_sc = np.concatenate([keep_sc, sc], axis=1)
-            if all_sc.shape[1] > k:
-                # exact top-k per query by (score desc, id asc)
-                order = np.lexsort((all_ids, -all_sc), axis=1)[:, :k]
-                all_ids = np.take_along_axis(all_ids, order, axis=1)
-                all_sc = np.take_along_axis(all_sc, order, axis=1)
-            keep_ids, keep_sc = all_ids, all_sc
-        if keep_ids.shape[1]:
-            yield pd.DataFrame({"query_id": np.repeat(qids, keep_ids.shape[1]),
-                                "chunk_id": keep_ids.reshape(-1), "score": keep_sc.reshape(-1)})
-
-    return run
-
-
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = X.PREFETCH_K, id_col: str = "chunk_id",
                vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "embedding",
-               max_broadcast_bytes: int = MAX_BROADCAST_BYTES, bucket_dim: int | None = None) -> DataFrame:
+               bucket_dim: int | None = None, tile_rows: int = cells.TILE_ROWS,
+               block_rows: int = cells.BLOCK_ROWS) -> DataFrame:
     """Exact cosine top-k chunks per query: (query_id, chunk_id, score, rank).
 
     ``bucket_dim`` set: the corpus column holds token-bucket indexes (the
-    compact form of hashed count vectors) and is densified per Arrow batch.
+    compact form of hashed count vectors), densified tile by tile.
     """
-    spark = corpus.sparkSession
-    # the query side is small but may have a long lineage: materialise it once
-    # in the shared checkpoint folder before the size check and the broadcast
-    q = cut_lineage(queries.select(F.col(qid_col).cast("bigint").alias("qid"), F.col(qvec_col).alias("qv")))
-    n_q = q.count()
-    dim = len(q.select("qv").first()[0]) if n_q else 0
-    per_batch = max(1, max_broadcast_bytes // max(1, 8 * max(dim, 1)))
-    n_batches = max(1, -(-n_q // per_batch))
-    corpus_v = corpus.select(F.col(id_col).cast("bigint").alias(id_col), F.col(vec_col).alias(vec_col))
-    parts = []
-    for b in range(n_batches):
-        qb = q if n_batches == 1 else q.filter(F.pmod(F.col("qid"), F.lit(n_batches)) == b)
-        rows = qb.toArrow()  # size-checked above: at most ``max_broadcast_bytes`` of vectors
-        qids = np.asarray(rows.column("qid").to_pylist(), dtype=np.int64)
-        if len(qids) == 0:
-            continue
-        qmat = np.asarray(rows.column("qv").to_pylist(), dtype=np.float64)
-        bc = spark.sparkContext.broadcast((qids, qmat))
-
-        def fn(batches, _bc=bc):
-            ids_, mat_ = _bc.value
-            return _cosine_topk_fn(ids_, mat_, k, id_col, vec_col, bucket_dim)(batches)
-
-        parts.append(corpus_v.mapInPandas(fn, "query_id long, chunk_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, chunk_id long, score double, rank long")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
-    return _top_k(cand, k, "query_id")
+    # the query side may have a long lineage: materialise it once in the shared folder
+    q = cut_lineage(queries.select(F.col(qid_col).cast("bigint").alias("query_id"), F.col(qvec_col).alias("vec")))
+    c = corpus.select(F.col(id_col).cast("bigint").alias("chunk_id"), F.col(vec_col).alias("vec"))
+    return cells.all_topk(c, q, k, bucket_dim, tile_rows, block_rows)
 
 
 def sparse_topk(chunk_postings: DataFrame, query_postings: DataFrame, k: int = X.PREFETCH_K,

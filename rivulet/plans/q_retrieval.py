@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from rivulet.functions import fixed as X
 from rivulet.functions.hashing import uuid5_dns
+from rivulet.operators import cells
 from rivulet.operators import chunking as C
 from rivulet.operators import embedding as E
+from rivulet.operators import postings as P
 from rivulet.operators import retrieval as R
 from rivulet.plans.catalog import register
 from rivulet.plans import q_documents
@@ -202,6 +204,23 @@ def q_sparse_topk(spark, sf_dir):
     return _hybrid(spark, sf_dir)["sparse"]
 
 
+@register("dense_cells", _ranked_sql("dense"))
+def q_dense_cells(spark, sf_dir):
+    """Exact cosine top-10 chunks per question from inverted cells, further cells by bound."""
+    idx = retrieval_index(spark, sf_dir)
+    found = cells.build_cells(idx["buckets"].select("chunk_id", F.col("buckets").alias("vec")), DIM, bucketed=True)
+    asked = E.encode(retrieval_queries(spark, sf_dir).select("query_id", F.col("query").alias("text")), dim=DIM)
+    return cells.cells_topk(found, asked.select("query_id", F.col("embedding").alias("vec")), X.PREFETCH_K, exact=True)
+
+
+@register("sparse_pruned", _ranked_sql("sparse"))
+def q_sparse_pruned(spark, sf_dir):
+    """Top-10 chunks per question by hashed dot product, reading only the levels that may hold one."""
+    idx = retrieval_index(spark, sf_dir)
+    asked = retrieval_queries(spark, sf_dir).select("query_id", F.col("query").alias("text"))
+    return P.pruned_topk(P.build_blocks(idx["postings"]), E.sparse_postings(asked, "query_id"), X.PREFETCH_K)
+
+
 @register("rrf_fuse", _ranked_sql("fused"))
 def q_rrf_fuse(spark, sf_dir):
     """Reciprocal-rank fusion (k=60) of the dense and sparse lists, top 10."""

@@ -18,7 +18,7 @@ def test_dense_topk_equals_brute_force(spark):
     queries = rng.integers(0, 4, size=(7, 16)).astype(float)
     cdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(corpus)], "chunk_id long, embedding array<double>")
     qdf = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, embedding array<double>")
-    got = R.dense_topk(cdf.repartition(5), qdf, k=5, max_broadcast_bytes=3 * 16 * 8).collect()
+    got = R.dense_topk(cdf.repartition(5), qdf, k=5, tile_rows=70, block_rows=3).collect()
     for q in range(7):
         sc = corpus @ queries[q] / (np.linalg.norm(corpus, axis=1) * np.linalg.norm(queries[q]))
         want = sorted(range(300), key=lambda i: (-sc[i], i))[:5]
