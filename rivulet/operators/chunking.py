@@ -4,7 +4,8 @@ All chunkers are row-local: each document is turned into an array of chunks
 with higher-order functions (``split``, ``transform``, ``aggregate``) and then
 exploded, so chunking never shuffles and scales with the number of documents.
 The greedy "append until the running length reaches the size" grouping is a
-fold over the paragraph (or sentence) array of one document.
+fold over slices of the paragraph (or sentence) array of one document, near
+linear in its length.
 """
 
 from __future__ import annotations
@@ -55,24 +56,50 @@ def restore(s: Column, tables: Column) -> Column:
     return F.when(n > 0, put_back).otherwise(s)
 
 
-def greedy_join(items: Column, size: int, joiner: str) -> Column:
-    """Append items until their summed length reaches ``size``, emit the group joined; the rest is a last group."""
-    init = F.struct(_empty().alias("out"), _empty().alias("cur"), F.lit(0).alias("n"))
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fold_groups(items: Column, size: int, emit, out_type: str) -> Column:
+    """Append items until their summed length reaches ``size`` and emit the group; the rest is a last group.
+
+    ``emit(group, tail)`` gives the array of results of one group.  The fold
+    runs over slices of about the root of the number of items: appending to a
+    slice's own results costs its length, and results of slices are put
+    together once a slice, so the cost of one long text stays near linear.
+    """
+    none = F.array().cast(out_type)
+
+    def state(out, cur, n):
+        return F.struct(out.alias("out"), cur.alias("cur"), n.alias("n"))
 
     def step(acc, x):
-        cur = F.concat(acc["cur"], F.array(x))
-        n = acc["n"] + F.length(x)
-        full = n >= size
-        return F.struct(
-            F.when(full, F.concat(acc["out"], F.array(F.array_join(cur, joiner)))).otherwise(acc["out"]).alias("out"),
-            F.when(full, _empty()).otherwise(cur).alias("cur"),
-            F.when(full, F.lit(0)).otherwise(n).alias("n"))
+        def close(cur):
+            n = acc["n"] + F.length(x)
+            return F.when(n >= size, state(F.concat(acc["out"], emit(cur, False)), _empty(), F.lit(0))).otherwise(
+                state(acc["out"], cur, n))
 
-    def finish(acc):
-        return F.when(F.size(acc["cur"]) > 0,
-                      F.concat(acc["out"], F.array(F.array_join(acc["cur"], joiner)))).otherwise(acc["out"])
+        return let(F.concat(acc["cur"], F.array(x)), close)
+
+    def fold(xs):
+        n = F.size(xs)
+        width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
 
-    return F.aggregate(items, init, step, finish)
+        def one_slice(acc, first):
+            inner = F.aggregate(F.slice(xs, first + 1, width), state(none, acc["cur"], acc["n"]), step)
+            return let(inner, lambda r: state(F.concat(acc["out"], r["out"]), r["cur"], r["n"]))
+
+        return F.aggregate(
+            F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), width), state(none, _empty(), F.lit(0)), one_slice,
+            lambda acc: F.when(F.size(acc["cur"]) > 0, F.concat(acc["out"], emit(acc["cur"], True))).otherwise(acc["out"]))
+
+    return let(items, lambda xs: F.when(xs.isNotNull(), fold(xs)))
+
+
+def greedy_join(items: Column, size: int, joiner: str) -> Column:
+    """Append items until their summed length reaches ``size``, emit the group joined; the rest is a last group."""
+    return fold_groups(items, size, lambda group, tail: F.array(F.array_join(group, joiner)), "array<string>")
 
 
 _KID = "array<struct<text:string,tail:boolean>>"
@@ -83,27 +110,11 @@ def child_groups(sents: Column, size: int) -> Column:
 
     Empty groups are dropped; the leftover group is flagged ``tail``.
     """
-    empty_kids = F.array().cast(_KID)
-    init = F.struct(empty_kids.alias("out"), _empty().alias("cur"), F.lit(0).alias("n"))
-
-    def emit(out, cur, tail: bool):
-        raw = strip(F.array_join(cur, " "))
-        kid = F.array(F.struct(raw.alias("text"), F.lit(tail).alias("tail")))
-        return F.when(raw != "", F.concat(out, kid)).otherwise(out)
-
-    def step(acc, x):
-        cur = F.concat(acc["cur"], F.array(x))
-        n = acc["n"] + F.length(x)
-        full = n >= size
-        return F.struct(
-            F.when(full, emit(acc["out"], cur, False)).otherwise(acc["out"]).alias("out"),
-            F.when(full, _empty()).otherwise(cur).alias("cur"),
-            F.when(full, F.lit(0)).otherwise(n).alias("n"))
-
-    def finish(acc):
-        return F.when(F.size(acc["cur"]) > 0, emit(acc["out"], acc["cur"], True)).otherwise(acc["out"])
+    def emit(group, tail: bool):
+        kid = lambda raw: F.array(F.struct(raw.alias("text"), F.lit(tail).alias("tail")))
+        return let(strip(F.array_join(group, " ")), lambda raw: F.when(raw != "", kid(raw)).otherwise(F.array().cast(_KID)))
 
-    return F.aggregate(sents, init, step, finish)
+    return fold_groups(sents, size, emit, _KID)
 
 
 def paragraphs(processed: Column, sep: str) -> Column:
@@ -135,25 +146,17 @@ def parent_child_chunks(df: DataFrame, text_col: str = "text", parent_size: int
     d = d.withColumn("_parents", greedy_join(paragraphs(with_placeholders(F.col("_t"), F.col("_tables")), sep),
                                              parent_size, sep))
     d = d.withColumn("_kids", F.transform("_parents", lambda p: child_groups(sentences(p), child_size)))
-    d = d.withColumn("_sizes", F.transform("_kids", lambda k: F.size(k)))
-    d = d.withColumn("_offsets", F.transform("_sizes", lambda s, i: F.aggregate(
-        F.slice(F.col("_sizes"), 1, i), F.lit(0), lambda a, x: a + x)))
-
-    def per_parent(p, i):
-        kids = F.element_at(F.col("_kids"), i + 1)
-        off = F.element_at(F.col("_offsets"), i + 1)
-        return F.transform(kids, lambda k, j: F.struct(
-            i.alias("p_idx"),
-            F.when(k["tail"], F.concat(F.lit("p"), i.cast("string"), F.lit("-tail")))
-             .otherwise(F.concat(F.lit("p"), i.cast("string"), F.lit("-c"), (off + j).cast("string")))
-             .alias("chunk_hierarchy"),
-            (off + j).cast("bigint").alias("chunk_no"), k["text"].alias("_child"), p.alias("_parent")))
-
-    d = d.select(*keep, "_tables", F.explode(F.flatten(F.transform("_parents", per_parent))).alias("c"))
-    cols = [*keep, F.col("c.p_idx").cast("bigint").alias("p_idx"), F.col("c.chunk_hierarchy"), "c.chunk_no",
-            restore(F.col("c._child"), F.col("_tables")).alias("text")]
+    # the place in the flat list of a document's chunks is their running number
+    flat = F.flatten(F.transform("_kids", lambda kids, i: F.transform(kids, lambda k: F.struct(
+        i.alias("p_idx"), k["text"].alias("text"), k["tail"].alias("tail"),
+        *([F.element_at(F.col("_parents"), i + 1).alias("parent")] if with_parent else [])))))
+    d = d.select(*keep, "_tables", F.posexplode(flat).alias("_no", "_c"))
+    label = F.concat(F.lit("p"), F.col("_c.p_idx").cast("string"),
+                     F.when(F.col("_c.tail"), F.lit("-tail")).otherwise(F.concat(F.lit("-c"), F.col("_no").cast("string"))))
+    cols = [*keep, F.col("_c.p_idx").cast("bigint").alias("p_idx"), label.alias("chunk_hierarchy"),
+            F.col("_no").cast("bigint").alias("chunk_no"), restore(F.col("_c.text"), F.col("_tables")).alias("text")]
     if with_parent:
-        cols.append(restore(F.col("c._parent"), F.col("_tables")).alias("parent_text"))
+        cols.append(restore(F.col("_c.parent"), F.col("_tables")).alias("parent_text"))
     return d.select(*cols)
 
 
