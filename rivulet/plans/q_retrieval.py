@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rivulet.functions import fixed as X
-from rivulet.functions.hashing import uuid5_dns
+from rivulet.functions.hashing import md5_prefix, uuid5_dns
+from rivulet.functions.text import tokens
 from rivulet.operators import cells
 from rivulet.operators import chunking as C
 from rivulet.operators import embedding as E
@@ -15,6 +16,7 @@ from rivulet.plans.catalog import register
 from rivulet.plans import q_documents
 from rivulet.plans.duck_views import WHOLE_NEWS, rep_d, tokens_sql, with_views
 from rivulet.plans.q_documents import pc_ctes
+from rivulet.session import cut_lineage
 from rivulet.sources import views as V
 from rivulet.sources.tables import read_table
 
@@ -207,8 +209,9 @@ def q_sparse_topk(spark, sf_dir):
 @register("dense_cells", _ranked_sql("dense"))
 def q_dense_cells(spark, sf_dir):
     """Exact cosine top-10 chunks per question from inverted cells, further cells by bound."""
-    idx = retrieval_index(spark, sf_dir)
-    found = cells.build_cells(idx["buckets"].select("chunk_id", F.col("buckets").alias("vec")), DIM, bucketed=True)
+    hashed = F.transform(tokens(F.col("text")), lambda t: F.pmod(md5_prefix(t), F.lit(DIM)))
+    points = cut_lineage(retrieval_chunks(spark, sf_dir, with_parent=False).select("chunk_id", hashed.alias("vec")))
+    found = cells.build_cells(points, DIM, bucketed=True)
     asked = E.encode(retrieval_queries(spark, sf_dir).select("query_id", F.col("query").alias("text")), dim=DIM)
     return cells.cells_topk(found, asked.select("query_id", F.col("embedding").alias("vec")), X.PREFETCH_K, exact=True)
 
@@ -216,9 +219,9 @@ def q_dense_cells(spark, sf_dir):
 @register("sparse_pruned", _ranked_sql("sparse"))
 def q_sparse_pruned(spark, sf_dir):
     """Top-10 chunks per question by hashed dot product, reading only the levels that may hold one."""
-    idx = retrieval_index(spark, sf_dir)
+    chunks = retrieval_chunks(spark, sf_dir, with_parent=False).select("chunk_id", "text")
     asked = retrieval_queries(spark, sf_dir).select("query_id", F.col("query").alias("text"))
-    return P.pruned_topk(P.build_blocks(idx["postings"]), E.sparse_postings(asked, "query_id"), X.PREFETCH_K)
+    return P.pruned_topk(P.build_blocks(cut_lineage(E.sparse_postings(chunks, "chunk_id"))), E.sparse_postings(asked, "query_id"), X.PREFETCH_K)
 
 
 @register("rrf_fuse", _ranked_sql("fused"))
