@@ -29,7 +29,10 @@ MARGIN = 1e-9     # rounding of a share; too wide only means that a level more i
 
 
 def build_blocks(postings: DataFrame, block_postings: int = BLOCK_POSTINGS) -> dict:
-    """Blocks of (chunk_id, idx, weight) and their directory; ``forward`` are the postings as given."""
+    """Blocks of (chunk_id, idx, weight) and their directory; ``forward`` are the postings as given.
+
+    One posting per (chunk_id, idx).  A table bucketed by ``chunk_id`` is not shuffled by a search.
+    """
     p = postings.select("chunk_id", "idx", "weight").withColumn("level", F.floor(F.log2("weight") * 4))
     listed = p.groupBy("idx", "level").agg(F.count("*").alias("n"), F.min("weight").alias("low"), F.max("weight").alias("high"))
     directory = cut_lineage(listed.withColumn("parts", F.ceil(F.col("n") / F.lit(block_postings))))
@@ -61,7 +64,9 @@ def pruned_topk(index: dict, question_postings: DataFrame, k: int) -> DataFrame:
     wanted = levels.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     found = (index["blocks"].join(wanted.select("query_id", "idx", "level", "part"), ["idx", "level", "part"])
              .select("query_id", "chunk_id").distinct())
-    terms = found.join(q.withColumnRenamed("weight", "qw"), "query_id")
-    scores = (index["forward"].join(terms, ["chunk_id", "idx"]).groupBy("query_id", "chunk_id")
-              .agg(F.sum(F.col("qw") * F.col("weight")).alias("score")))
+    # a question's few terms travel with it as a map, so that postings meet it by chunk alone and stay where they are
+    terms = q.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("_terms"))
+    product = F.try_element_at("_terms", F.col("idx")) * F.col("weight")
+    scores = (index["forward"].join(found.join(terms, "query_id"), "chunk_id").withColumn("_p", product)
+              .filter(F.col("_p").isNotNull()).groupBy("query_id", "chunk_id").agg(F.sum("_p").alias("score")))
     return ranked(scores, k)

@@ -16,7 +16,7 @@ from rivulet.plans.catalog import register
 from rivulet.plans import q_documents
 from rivulet.plans.duck_views import WHOLE_NEWS, rep_d, tokens_sql, with_views
 from rivulet.plans.q_documents import pc_ctes
-from rivulet.session import cut_lineage
+from rivulet.session import bucketed_table, cut_lineage
 from rivulet.sources import views as V
 from rivulet.sources.tables import read_table
 
@@ -221,7 +221,7 @@ def q_sparse_pruned(spark, sf_dir):
     """Top-10 chunks per question by hashed dot product, reading only the levels that may hold one."""
     chunks = retrieval_chunks(spark, sf_dir, with_parent=False).select("chunk_id", "text")
     asked = retrieval_queries(spark, sf_dir).select("query_id", F.col("query").alias("text"))
-    return P.pruned_topk(P.build_blocks(cut_lineage(E.sparse_postings(chunks, "chunk_id"))), E.sparse_postings(asked, "query_id"), X.PREFETCH_K)
+    return P.pruned_topk(P.build_blocks(bucketed_table(E.sparse_postings(chunks, "chunk_id"), "chunk_id")), E.sparse_postings(asked, "query_id"), X.PREFETCH_K)
 
 
 @register("rrf_fuse", _ranked_sql("fused"))
