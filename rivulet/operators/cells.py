@@ -1,8 +1,9 @@
 """Dense search without a question in the driver, exact and by inverted cells.
 
 * ``scored_tiles``: the corpus lies in tiles and the questions in blocks, both
-  of bounded size; a task scores one block against one tile, and a group limit
-  per question merges the winners.  Only the tiles a question asks for meet it.
+  of bounded size; a task scores one block against one tile in steps, and a group
+  limit per question merges the winners.  Only the tiles a question asks for meet it.
+* ``all_products``: the same for sparse rows, by their dot product.
 * ``build_cells``: k-means cells over unit vectors.  Centroids are fitted on a
   bounded sample, every row is assigned, and a cell keeps its radius: the
   largest distance of a row from the centroid.  A large cell is cut into tiles.
@@ -20,13 +21,19 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rivulet.session import cut_lineage
 
-TILE_ROWS = 8192
-BLOCK_ROWS = 512
+TILE_ROWS = 65_536
+BLOCK_ROWS = 16_384
+STEP_ROWS = 8192       # of a tile, scored at once
+STEP_QUESTIONS = 512   # of a block, scored at once
+STEP_PRODUCTS = 2_000_000
+MATRIX_BUCKETS = 512   # buckets of the questions that are scored as a matrix
 MAX_CELLS = 1024
 SAMPLE_ROWS = 16_384
 MARGIN = 1e-9        # rounding of a bound; too wide only means that a cell more is read
@@ -67,30 +74,185 @@ def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
     return rows[place < k], cols[place < k]
 
 
-def _score_tile(k: int, dim: int | None):
-    def run(tile: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        if tile.empty or block.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "score": []})
-        m, q = as_matrix(tile["vec"], dim), as_matrix(block["vec"], None)
-        width = max(m.shape[1], q.shape[1])
-        m, q = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (m, q))
-        norms = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((m * m).sum(axis=1))[None, :]
-        scores = np.divide(q @ m.T, norms, out=np.zeros_like(norms), where=norms > 0)
-        ids, qids = tile["chunk_id"].to_numpy(np.int64), block["query_id"].to_numpy(np.int64)
-        rows, cols = best_of(ids, scores, k)
-        return pd.DataFrame({"query_id": qids[rows], "chunk_id": ids[cols], "score": scores[rows, cols]})
+def lists_of(col: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column in a row, and the length of every list (0 for null)."""
+    whole = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], col.type)
+    return whole.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(whole), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def matrix_of(values: np.ndarray, row: np.ndarray, lengths: np.ndarray, rows: int, dim: int | None) -> np.ndarray:
+    """Lists as rows of a matrix, ``row`` being the row of every value; ``dim`` set: bucket indexes, which are counted."""
+    if dim is not None:
+        return np.bincount(row * dim + values.astype(np.int64), minlength=rows * dim).reshape(rows, dim).astype(float)
+    m = np.zeros((rows, int(lengths.max(initial=0))))
+    m[row, np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = values
+    return m
+
+
+class Winners:
+    """The ``k`` best rows of every question so far.  Rows are offered in the order of their ids, so an equal score comes too late."""
+
+    def __init__(self, questions: int, k: int):
+        self.k, self.floor = k, np.full(questions, -np.inf)
+        self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def offer(self, first: int, ids: np.ndarray, scores: np.ndarray, valid: np.ndarray | None = None) -> None:
+        """``scores`` of the questions from ``first`` on (rows) for these ids (columns); only ``valid`` ones count."""
+        floor = self.floor[first:first + len(scores)]
+        if scores.shape[1] > self.k and np.isneginf(floor).any():
+            shown = scores if valid is None else np.where(valid, scores, -np.inf)
+            at_least = np.partition(shown, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k]
+            keep = (scores > floor[:, None]) & (scores >= at_least[:, None])
+        else:
+            keep = scores > floor[:, None]
+        row, col = np.nonzero(keep if valid is None else keep & valid)
+        if not len(row):
+            return
+        rows, at, score = (np.concatenate(x) for x in ((self.row, row + first), (self.id, ids[col]), (self.score, scores[row, col])))
+        order = np.lexsort((at, -score, rows))
+        rows = rows[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        order, rows, place = order[place < self.k], rows[place < self.k], place[place < self.k]
+        self.row, self.id, self.score = rows, at[order], score[order]
+        last = place == self.k - 1
+        self.floor[rows[last]] = self.score[last]
+
+    def table(self, query_ids: np.ndarray) -> pa.Table:
+        return pa.table({"query_id": pa.array(query_ids[self.row], pa.int64()), "chunk_id": pa.array(self.id, pa.int64()),
+                         "score": pa.array(self.score, pa.float64())})
+
+
+def _score_tile(k: int, dim: int | None, asked_dim: int | None, merged: bool):
+    def run(tile: pa.Table, block: pa.Table) -> pa.Table:
+        ids, qids = tile["chunk_id"].to_numpy(), block["query_id"].to_numpy()
+        best = Winners(len(qids), k)
+        if not len(ids) or not len(qids):
+            return best.table(qids)
+        values, lengths = lists_of(block["vec"])
+        asked = matrix_of(values, np.repeat(np.arange(len(qids)), lengths), lengths, len(qids), asked_dim)
+        values, lengths = lists_of(tile["vec"])
+        end = np.cumsum(lengths)
+        order = np.argsort(ids, kind="stable")
+        sorted_ids = ids[order]
+        a = 0
+        while a < len(ids):  # bounded steps through the tile; copies of an id stay in one step
+            b = min(a + STEP_ROWS, len(ids))
+            b = int(np.searchsorted(sorted_ids, sorted_ids[b - 1], side="right")) if merged else b
+            take = order[a:b]
+            n = lengths[take]
+            at = np.repeat(end[take] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            one = np.arange(b - a)
+            if merged:
+                distinct, one = np.unique(sorted_ids[a:b], return_inverse=True)
+                m = matrix_of(values[at], np.repeat(one, n), n, len(distinct), dim)
+            else:
+                m = matrix_of(values[at], np.repeat(one, n), n, b - a, dim)
+            width = max(m.shape[1], asked.shape[1])
+            m, q = (np.pad(x, ((0, 0), (0, width - x.shape[1]))) for x in (m, asked))
+            m_norm, q_norm = np.sqrt((m * m).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
+            for first in range(0, len(qids), STEP_QUESTIONS):
+                to = slice(first, first + STEP_QUESTIONS)
+                norms = q_norm[to, None] * m_norm[None, :]
+                scores = np.divide(q[to] @ m.T, norms, out=np.zeros_like(norms), where=norms > 0)
+                best.offer(first, sorted_ids[a:b], scores[:, one] if merged and len(distinct) < b - a else scores)
+            a = b
+        return best.table(qids)
+
+    return run
+
+
+class Products:
+    """Dot products of some sparse questions with sparse rows: buckets that many questions name by a matrix, the others one by one."""
+
+    def __init__(self, idx: np.ndarray, row: np.ndarray, weight: np.ndarray, questions: int):
+        self.idx, self.many = np.unique(idx, return_counts=True)
+        self.start = np.cumsum(self.many) - self.many
+        order = np.argsort(idx, kind="stable")
+        self.row, self.weight, self.questions = row[order], weight[order], questions
+        named = np.argsort(-self.many, kind="stable")[:MATRIX_BUCKETS]
+        named = named[self.many[named] > max(4, questions // 32)]
+        self.column = np.full(len(self.idx), -1)
+        self.column[named] = np.arange(len(named))
+        at = np.repeat(self.column, self.many)
+        self.matrix, self.ones = np.zeros((questions, len(named))), np.zeros((questions, len(named)))
+        np.add.at(self.matrix, (self.row[at >= 0], at[at >= 0]), self.weight[at >= 0])
+        np.add.at(self.ones, (self.row[at >= 0], at[at >= 0]), 1.0)
+
+    def place(self, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these postings meet a question, and at what place of the bucket list."""
+        at = np.minimum(np.searchsorted(self.idx, idx), max(len(self.idx) - 1, 0))
+        meets = np.flatnonzero(self.idx[at] == idx) if len(self.idx) else np.zeros(0, np.int64)
+        return meets, at[meets]
+
+    def __call__(self, row: np.ndarray, place: np.ndarray, weight: np.ndarray, rows: int, counted: bool = False) -> np.ndarray:
+        column = self.column[place]
+        m, asked = column >= 0, self.ones if counted else self.matrix
+        width = asked.shape[1]
+        dense = np.bincount(column[m] * rows + row[m], None if counted else weight[m], width * rows).reshape(width, rows)
+        scores = asked @ dense.astype(float)
+        few = np.flatnonzero(~m)
+        c = self.many[place[few]]
+        if len(few) and c.sum():
+            post = np.repeat(few, c)
+            pair = np.arange(len(post)) + np.repeat(self.start[place[few]] - (np.cumsum(c) - c), c)
+            cell = self.row[pair] * rows + row[post]
+            scores += np.bincount(cell, None if counted else weight[post] * self.weight[pair], self.questions * rows).reshape(self.questions, rows)
+        return scores
+
+
+def _score_postings(k: int):
+    """Dot products of sparse rows: chunks (lists ``idx``, weights or counted) against questions (lists ``idx`` and ``weight``)."""
+    def run(tile: pa.Table, block: pa.Table) -> pa.Table:
+        qids = block["query_id"].to_numpy()
+        best = Winners(len(qids), k)
+        ids, row_of = np.unique(tile["chunk_id"].to_numpy(), return_inverse=True)
+        idx, n = lists_of(tile["idx"])
+        row, weight = np.repeat(row_of, n), np.ones(len(idx))
+        if "weight" in tile.column_names:
+            weight = lists_of(tile["weight"])[0].astype(float)
+        asked, qn = lists_of(block["idx"])
+        asked_weight, asked_row = lists_of(block["weight"])[0].astype(float), np.repeat(np.arange(len(qids)), qn)
+        signed = bool((weight <= 0).any() or (asked_weight <= 0).any())
+        order = np.argsort(row, kind="stable")
+        idx, row, weight = idx[order], row[order], weight[order]
+        for first in range(0, len(qids), STEP_QUESTIONS):
+            mine = (asked_row >= first) & (asked_row < first + STEP_QUESTIONS)
+            product = Products(asked[mine], asked_row[mine] - first, asked_weight[mine], min(STEP_QUESTIONS, len(qids) - first))
+            meets, place = product.place(idx)
+            r, w = row[meets], weight[meets]
+            many = np.where(product.column[place] >= 0, 0, product.many[place])
+            total = np.cumsum(np.bincount(r, many, len(ids)))
+            a = 0
+            while a < len(ids):  # rows whose products, and whose cells, are of a bounded number
+                b = int(np.searchsorted(total, (total[a - 1] if a else 0) + STEP_PRODUCTS, side="right"))
+                b = min(max(b, a + 1), a + STEP_ROWS, len(ids))
+                of = slice(*np.searchsorted(r, [a, b]))
+                scores = product(r[of] - a, place[of], w[of], b - a)
+                hit = product(r[of] - a, place[of], w[of], b - a, counted=True) if signed else scores
+                best.offer(first, ids[a:b], scores, hit > 0)
+                a = b
+        return best.table(qids)
 
     return run
 
 
-def scored_tiles(tiles: DataFrame, asked: DataFrame, n_blocks: int, k: int, dim: int | None) -> DataFrame:
-    """The ``k`` best rows per question and tile; ``tiles`` (tile, chunk_id, vec), ``asked`` (tile, query_id, vec)."""
+def met_tiles(tiles: DataFrame, asked: DataFrame, n_blocks: int, score) -> DataFrame:
+    """``score`` of every tile and every block of the questions that ask for it."""
     a = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
     met = a.select("tile", F.col("block").alias("_block")).distinct()
     # every column under a new name, so that rows which ask themselves are told apart from those asked
-    t = tiles.join(met, "tile").select(*(F.col(c).alias(n) for c, n in (
-        ("tile", "tile"), ("_block", "block"), ("chunk_id", "chunk_id"), ("vec", "vec"))))
-    return t.groupBy("tile", "block").cogroup(a.groupBy("tile", "block")).applyInPandas(_score_tile(k, dim), CANDIDATES)
+    rest = [c for c in tiles.columns if c != "tile"]
+    t = tiles.join(met, "tile").select(F.col("tile").alias("tile"), F.col("_block").alias("block"), *(F.col(c).alias(c) for c in rest))
+    return t.groupBy("tile", "block").cogroup(a.groupBy("tile", "block")).applyInArrow(score, CANDIDATES)
+
+
+def scored_tiles(tiles: DataFrame, asked: DataFrame, n_blocks: int, k: int, dim: int | None,
+                 asked_dim: int | None = None, merged: bool = False) -> DataFrame:
+    """The ``k`` best rows per question and tile; ``tiles`` (tile, chunk_id, vec), ``asked`` (tile, query_id, vec).
+
+    ``merged``: rows that share an id are scored by the sum of their vectors.
+    """
+    return met_tiles(tiles, asked, n_blocks, _score_tile(k, dim, asked_dim, merged))
 
 
 def ranked(candidates: DataFrame, k: int) -> DataFrame:
@@ -102,17 +264,38 @@ def blocks_for(rows: int, size: int) -> int:
     return max(1, -(-rows // max(1, size)))
 
 
+def tiles_for(corpus: DataFrame, tile_rows: int) -> int:
+    """As few tiles as their size allows, since questions are copied once per tile, but enough to keep every core busy."""
+    rows = corpus.count()
+    return max(blocks_for(rows, tile_rows), min(blocks_for(rows, STEP_ROWS), 4 * corpus.sparkSession.sparkContext.defaultParallelism))
+
+
+def dealt(corpus: DataFrame, questions: DataFrame, n_tiles: int) -> tuple[DataFrame, DataFrame]:
+    """The corpus in tiles, all rows of an id in one of them, and the questions once per tile."""
+    tiles = corpus.withColumn("tile", F.pmod(F.xxhash64("chunk_id"), F.lit(n_tiles)))
+    return tiles, questions.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_tiles - 1).cast("long"))))
+
+
 def all_topk(corpus: DataFrame, questions: DataFrame, k: int, dim: int | None = None,
-             tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+             tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS, asked_dim: int | None = None, merged: bool = False) -> DataFrame:
     """Every question against every row: (query_id, chunk_id, score, rank).
 
     ``corpus`` (chunk_id, vec), ``questions`` (query_id, vec).  Questions are
-    copied once per tile, the corpus once per block of questions.
+    copied once per tile, the corpus once per block of questions.  ``dim`` or
+    ``asked_dim`` set: vectors of that side are lists of bucket indexes.
     """
-    n_tiles, n_blocks = blocks_for(corpus.count(), tile_rows), blocks_for(questions.count(), block_rows)
-    tiles = corpus.withColumn("tile", F.pmod(F.xxhash64("chunk_id"), F.lit(n_tiles)))
-    asked = questions.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_tiles - 1).cast("long"))))
-    return ranked(scored_tiles(tiles, asked, n_blocks, k, dim), k)
+    tiles, asked = dealt(corpus, questions, tiles_for(corpus, tile_rows))
+    return ranked(scored_tiles(tiles, asked, blocks_for(questions.count(), block_rows), k, dim, asked_dim, merged), k)
+
+
+def all_products(corpus: DataFrame, questions: DataFrame, k: int, tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The ``k`` largest dot products per question over rows that share an ``idx`` with it: (query_id, chunk_id, score, rank).
+
+    ``corpus`` (chunk_id, idx) with every list counted, or (chunk_id, idx,
+    weight); ``questions`` (query_id, idx, weight).  Rows that share an id add up.
+    """
+    tiles, asked = dealt(corpus, questions, tiles_for(corpus, tile_rows))
+    return ranked(met_tiles(tiles, asked, blocks_for(questions.count(), block_rows), _score_postings(k)), k)
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
@@ -138,7 +321,7 @@ def nearest(m: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def build_cells(corpus: DataFrame, dim: int, bucketed: bool = False, cells: int | None = None,
-                sample_rows: int = SAMPLE_ROWS, tile_rows: int = TILE_ROWS) -> dict:
+                sample_rows: int = SAMPLE_ROWS, tile_rows: int = STEP_ROWS) -> dict:
     """Cells over (chunk_id, vec) with vectors of ``dim`` components, or lists of bucket indexes if ``bucketed``.
 
     By default the number of cells is the root of the number of rows, at most

@@ -4,8 +4,8 @@
   the executors (``operators.cells``), each of bounded size, and a per-query
   group limit merges the winners of the tiles.  No (query x corpus) pair set
   is ever materialised as rows; no query passes through the driver.
-* sparse: postings equi-join on the hash bucket (query postings are the small
-  side), partial sum per (query, chunk), then a per-query group limit.
+* sparse: blocks and tiles as well; a tile's products are summed in place and
+  only its best chunks per query leave it, then a per-query group limit.
 * fusion: reciprocal-rank fusion, a full outer join of both ranked lists.
 * rerank: pluggable pair scorer; the model-free default is the share of the
   query's distinct tokens found in the chunk.
@@ -27,8 +27,8 @@ from rivulet.functions import fixed as X
 from rivulet.functions.text import tokens
 from rivulet.functions.hashing import md5_prefix
 from rivulet.operators import cells
-from rivulet.operators.embedding import DENSE_DIM, encode, sparse_postings
-from rivulet.session import bucketed_table, cut_lineage
+from rivulet.operators.embedding import DENSE_DIM, sparse_postings, token_buckets
+from rivulet.session import cut_lineage
 
 MAX_BROADCAST_BYTES = 64 << 20
 
@@ -42,29 +42,38 @@ def _top_k(df: DataFrame, k: int, part: str, score: str = "score", id_col: str =
 def dense_topk(corpus: DataFrame, queries: DataFrame, k: int = X.PREFETCH_K, id_col: str = "chunk_id",
                vec_col: str = "embedding", qid_col: str = "query_id", qvec_col: str = "embedding",
                bucket_dim: int | None = None, tile_rows: int = cells.TILE_ROWS,
-               block_rows: int = cells.BLOCK_ROWS) -> DataFrame:
+               block_rows: int = cells.BLOCK_ROWS, asked_dim: int | None = None) -> DataFrame:
     """Exact cosine top-k chunks per query: (query_id, chunk_id, score, rank).
 
     ``bucket_dim`` set: the corpus column holds token-bucket indexes (the
-    compact form of hashed count vectors), densified tile by tile.
+    compact form of hashed count vectors), densified tile by tile; those of
+    rows that share an id are counted together.  ``asked_dim``: the same for
+    the column of the queries.
     """
     # the query side may have a long lineage: materialise it once in the shared folder
     q = cut_lineage(queries.select(F.col(qid_col).cast("bigint").alias("query_id"), F.col(qvec_col).alias("vec")))
     c = corpus.select(F.col(id_col).cast("bigint").alias("chunk_id"), F.col(vec_col).alias("vec"))
-    return cells.all_topk(c, q, k, bucket_dim, tile_rows, block_rows)
+    return cells.all_topk(c, q, k, bucket_dim, tile_rows, block_rows, asked_dim, merged=bucket_dim is not None)
 
 
 def sparse_topk(chunk_postings: DataFrame, query_postings: DataFrame, k: int = X.PREFETCH_K,
                 id_col: str = "chunk_id") -> DataFrame:
     """Top-k chunks by sparse dot product per query: (query_id, chunk_id, score, rank).
 
-    Only chunks sharing at least one bucket with the query score (> 0).
+    Only chunks sharing at least one bucket with the query score.
+    ``chunk_postings``: (id, idx, weight) rows, or (id, idx) with the list of a
+    text's buckets, which are counted.  The products are summed inside tiles of
+    chunks, so no (query, chunk) pair is a row before the best of a tile are known.
     """
-    qp = query_postings.select("query_id", "idx", F.col("weight").alias("qw"))
-    cp = chunk_postings.select(id_col, "idx", F.col("weight").alias("dw"))
-    s = (cp.join(qp, "idx").groupBy("query_id", id_col)
-         .agg(F.sum(F.col("qw") * F.col("dw")).alias("score")))
-    return _top_k(s, k, "query_id", id_col=id_col)
+    lists = F.col("_l")
+    asked = cut_lineage(query_postings.groupBy(F.col("query_id").cast("bigint").alias("query_id"))
+                        .agg(F.collect_list(F.struct("idx", "weight")).alias("_l"))
+                        .select("query_id", lists["idx"].alias("idx"), lists["weight"].alias("weight")))
+    corpus = chunk_postings.withColumnRenamed(id_col, "chunk_id")
+    if "weight" in corpus.columns:
+        corpus = (corpus.groupBy("chunk_id").agg(F.collect_list(F.struct("idx", "weight")).alias("_l"))
+                  .select("chunk_id", lists["idx"].alias("idx"), lists["weight"].alias("weight")))
+    return cells.all_products(corpus, asked, k).withColumnRenamed("chunk_id", id_col)
 
 
 def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int = X.FUSED_K, rrf_k: int = X.RRF_K,
@@ -110,9 +119,12 @@ def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=None,
         payload = chunks.select(id_col, "text", "parent_text", "source")
     else:
         payload = chunks.select(id_col, "doc_id", "p_idx", "text", "source")
-    j = (f.join(queries.select("query_id", "query"), "query_id").join(payload, id_col))
+    # the candidates are few: read back with a known size, they meet the texts and the parents where those lie
+    j = cut_lineage(payload.join(cut_lineage(f), id_col))
     if parents is not None:
-        j = j.join(parents.select("doc_id", "p_idx", "parent_text"), ["doc_id", "p_idx"]).drop("doc_id", "p_idx")
+        parent = parents.select("doc_id", "p_idx", "parent_text")
+        j = cut_lineage(parent.join(j, ["doc_id", "p_idx"])).drop("doc_id", "p_idx")
+    j = j.join(queries.select("query_id", "query"), "query_id")
     score = (scorer or overlap_score)(F.col("query"), F.col("text"))
     j = j.withColumn("rerank_score", score.cast("double"))
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.col("fused_rank").asc())
@@ -144,29 +156,22 @@ def context_line(parent: Column, source: Column, score: Column) -> Column:
 
 
 def build_index(chunks: DataFrame, dim: int = DENSE_DIM, parents: DataFrame | None = None) -> dict:
-    """Retrieval index: chunk payloads, token-bucket arrays (compact dense vectors), sparse postings.
+    """Retrieval index: chunk payloads with a hash per token, from which both vector forms follow.
 
     ``chunks``: (chunk_id, text, source) plus either ``parent_text`` or
     (doc_id, p_idx) with ``parents`` = (doc_id, p_idx, parent_text) stored once.
-    Each table is written once to the shared checkpoint folder (the stand-in
+    The chunks are written once to the shared checkpoint folder (the stand-in
     for the vector store), so searches read it instead of recomputing the
-    chunking lineage for every consumer.
+    chunking lineage for every consumer.  ``buckets`` are the compact dense
+    vectors and ``postings`` the sparse ones: lists of each text's buckets.
+    Parents are looked up for candidates only and are not written again.
     """
     keep = ["chunk_id", "text", "source"] + (["parent_text"] if parents is None else ["doc_id", "p_idx"])
-    payload = cut_lineage(chunks.select(*keep))
-    # one exploded token table feeds both vector forms: md5 prefix per token, computed once
-    tok = cut_lineage(payload.select("chunk_id", F.explode(tokens(F.col("text"))).alias("token"))
-                      .select("chunk_id", md5_prefix(F.col("token")).alias("h")))
-    # bucketed by chunk: the sparse search aggregates per (query, chunk) inside each bucket
-    postings = bucketed_table(tok.groupBy("chunk_id", F.pmod("h", F.lit(X.SPARSE_BUCKETS)).alias("idx"))
-                              .agg(F.count(F.lit(1)).cast("double").alias("weight")), "chunk_id")
-    buckets = cut_lineage(
-        payload.select("chunk_id").join(
-            tok.groupBy("chunk_id").agg(F.collect_list(F.pmod("h", F.lit(dim))).alias("buckets")), "chunk_id", "left"))
-    idx = {"chunks": payload, "buckets": buckets, "postings": postings, "dim": dim, "parents": None}
-    if parents is not None:
-        idx["parents"] = cut_lineage(parents.select("doc_id", "p_idx", "parent_text"))
-    return idx
+    stored = cut_lineage(chunks.select(*keep, F.transform(tokens(F.col("text")), md5_prefix).alias("_h")))
+    hashed = lambda n, kind: F.transform("_h", lambda h: F.pmod(h, F.lit(n)).cast(kind))
+    return {"chunks": stored.drop("_h"), "dim": dim, "parents": parents,
+            "buckets": stored.select("chunk_id", hashed(dim, "smallint" if dim <= 32_768 else "int").alias("buckets")),
+            "postings": stored.select("chunk_id", hashed(X.SPARSE_BUCKETS, "int").alias("idx"))}
 
 
 def hybrid_search(chunks, queries: DataFrame, prefetch: int = X.PREFETCH_K, fused_k: int = X.FUSED_K,
@@ -182,8 +187,9 @@ def hybrid_search(chunks, queries: DataFrame, prefetch: int = X.PREFETCH_K, fuse
     index = chunks if isinstance(chunks, dict) else build_index(chunks, dim)
     payload = index["chunks"]
     qtext = queries.select("query_id", F.col("query").alias("text"))
-    dense = dense_topk(index["buckets"], encode(qtext, dim=index["dim"]), prefetch, vec_col="buckets",
-                       bucket_dim=index["dim"])
+    asked = qtext.select("query_id", token_buckets(F.col("text"), index["dim"]).alias("buckets"))
+    dense = dense_topk(index["buckets"], asked, prefetch, vec_col="buckets", qvec_col="buckets",
+                       bucket_dim=index["dim"], asked_dim=index["dim"])
     sparse = sparse_topk(index["postings"], sparse_postings(qtext, "query_id"), prefetch)
     fused = rrf_fuse(dense, sparse, fused_k)
     ranked = rerank(fused, queries, payload, scorer, parents=index.get("parents"))
