@@ -8,10 +8,12 @@ A model encoder plugs in through ``encode_with`` (Arrow-batched pandas UDF).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -23,10 +25,53 @@ from rivulet.functions.text import tokens
 DENSE_DIM = 256
 
 
+def _count_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of the values of (id, list) rows sorted by id; the last id of a batch may go on in the next and waits."""
+    held = None
+    for batch in batches:
+        ids, lists = batch.column(0), batch.column(1)
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        rows = pa.table({"id": ids.take(pa.array(np.repeat(np.arange(len(ids)), lengths))), "value": lists.flatten(),
+                         "n": pa.array(np.ones(lengths.sum(), np.int64))})
+        counted = _summed(rows if held is None else pa.concat_tables([held, rows]))
+        if not counted.num_rows:
+            continue
+        code = counted["id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        first = int(np.flatnonzero(code == code[-1])[0])
+        held = counted.slice(first)
+        yield from counted.slice(0, first).to_batches()
+    if held is not None:
+        yield from held.to_batches()
+
+
+def _summed(rows: pa.Table) -> pa.Table:
+    """One row per (id, value) with the sum of ``n``; ids stay in the order of their first rows."""
+    if not rows.num_rows:
+        return rows
+    id_code, value = (rows[c].combine_chunks().dictionary_encode(null_encoding="encode") for c in ("id", "value"))
+    key = id_code.indices.to_numpy().astype(np.int64) * len(value.dictionary) + value.indices.to_numpy()
+    found, at = np.unique(key, return_inverse=True)
+    n = np.bincount(at, rows["n"].to_numpy(), len(found)).astype(np.int64)
+    each, which = np.divmod(found, len(value.dictionary))
+    return pa.table({"id": id_code.dictionary.take(pa.array(each)), "value": value.dictionary.take(pa.array(which)), "n": pa.array(n)})
+
+
+def list_counts(df: DataFrame, id_col: str, lists: Column, value_type: str) -> DataFrame:
+    """(id, value, n): how often each value occurs in the lists of an id.
+
+    Texts are shuffled, not their words: rows of an id are brought together and
+    sorted, then counted as they pass, so nothing is held but one batch.
+    """
+    together = df.select(F.col(id_col).alias("id"), *(F.col(c).alias(c) for c in df.columns if c != id_col))
+    together = together.repartition("id").sortWithinPartitions("id").select("id", lists.alias("_l"))
+    kind = df.schema[id_col].dataType.simpleString()
+    return together.mapInArrow(_count_lists, f"id {kind}, value {value_type}, n long").withColumnRenamed("id", id_col)
+
+
 def term_freq(df: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, token, tf): raw term frequency per text (A2); partial aggregation before the shuffle."""
-    t = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
-    return t.groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, token, tf): raw term frequency per text (A2); the texts of an id are counted where they meet."""
+    words = list_counts(df.select(id_col, F.col(text_col).alias("_t")), id_col, tokens(F.col("_t")), "string")
+    return words.withColumnsRenamed({"value": "token", "n": "tf"})
 
 
 def sparse_postings(df: DataFrame, id_col: str = "id", text_col: str = "text",
@@ -35,9 +80,9 @@ def sparse_postings(df: DataFrame, id_col: str = "id", text_col: str = "text",
     if method == "murmur3":  # the hash costs more than a word's count: each word of a text once
         t = term_freq(df, id_col, text_col).withColumn("idx", bucket(F.col("token"), buckets, method))
         return t.groupBy(id_col, "idx").agg(F.sum("tf").cast("double").alias("weight"))
-    t = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("token"))
-    t = t.withColumn("idx", bucket(F.col("token"), buckets, method))
-    return t.groupBy(id_col, "idx").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    hashed = F.transform(tokens(F.col("_t")), lambda t: bucket(t, buckets, method))
+    found = list_counts(df.select(id_col, F.col(text_col).alias("_t")), id_col, hashed, "long")
+    return found.select(id_col, F.col("value").alias("idx"), F.col("n").cast("double").alias("weight"))
 
 
 def sparse_vectors(postings: DataFrame, id_col: str = "id") -> DataFrame:
