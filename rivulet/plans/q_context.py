@@ -249,11 +249,11 @@ def _context_parts(spark, sf_dir):
                                                                    "symbol", "price", "volume"))), lambda x: x.dropFields("rank"))).alias("rows_json"),
         F.count(F.lit(1)).alias("n_rows"))
     sql_rows = targets.join(rows, "ticker").drop("ticker")
-    # retrieval only where its branch runs; a number per request, written out so that it is the same for every reader
-    questions = cut_lineage(reqs.join(branches.filter("rag_branch"), ["conv_id", "turn"], "left_semi").select(
-        "conv_id", "turn", F.monotonically_increasing_id().alias("query_id"), F.col("text").alias("query")))
-    ans = hybrid_search(retrieval_index(spark, sf_dir), questions.select("query_id", "query"))["answers"]
-    rag = ans.join(questions.select("query_id", "conv_id", "turn"), "query_id").select("conv_id", "turn", "context")
+    # retrieval only where its branch runs, once per wording; a number per wording, written out so that it is the same for every reader
+    asking = reqs.join(branches.filter("rag_branch"), ["conv_id", "turn"], "left_semi").select("conv_id", "turn", F.col("text").alias("query"))
+    questions = cut_lineage(asking.select("query").distinct().select(F.monotonically_increasing_id().alias("query_id"), "query"))
+    ans = hybrid_search(retrieval_index(spark, sf_dir), questions)["answers"].join(questions, "query_id")
+    rag = asking.join(ans, asking["query"].eqNullSafe(ans["query"])).select("conv_id", "turn", "context")
     return reqs, plans, branches, sql_rows, rag, CX.request_history(msgs, reqs)
 
 
