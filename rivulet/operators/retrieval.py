@@ -15,7 +15,7 @@ Ties are always broken by chunk id (ascending) so results are deterministic.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -108,11 +108,12 @@ def score_pairs_with(scorer: Callable[[list, list], np.ndarray]):
 
 
 def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=None, id_col: str = "chunk_id",
-           parents: DataFrame | None = None) -> DataFrame:
+           parents: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Attach chunk payloads and a rerank score; ``rerank_pos`` orders by score desc, then fused rank.
 
     With ``parents`` = (doc_id, p_idx, parent_text) the parent text is looked up
-    for the candidates only (J6); otherwise ``chunks`` carries it.
+    for the candidates only (J6); otherwise ``chunks`` carries it.  A function
+    gets the ``doc_id`` of the candidates and gives the parents of these documents.
     """
     f = fused.select("query_id", id_col, F.col("rank").alias("fused_rank"))
     if parents is None:
@@ -122,8 +123,8 @@ def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=None,
     # the candidates are few: read back with a known size, they meet the texts and the parents where those lie
     j = cut_lineage(payload.join(cut_lineage(f), id_col))
     if parents is not None:
-        parent = parents.select("doc_id", "p_idx", "parent_text")
-        j = cut_lineage(parent.join(j, ["doc_id", "p_idx"])).drop("doc_id", "p_idx")
+        found = parents(j.select("doc_id").distinct()) if callable(parents) else parents
+        j = cut_lineage(found.select("doc_id", "p_idx", "parent_text").join(j, ["doc_id", "p_idx"])).drop("doc_id", "p_idx")
     j = j.join(queries.select("query_id", "query"), "query_id")
     score = (scorer or overlap_score)(F.col("query"), F.col("text"))
     j = j.withColumn("rerank_score", score.cast("double"))
@@ -155,11 +156,13 @@ def context_line(parent: Column, source: Column, score: Column) -> Column:
                            F.bround(score, 2))
 
 
-def build_index(chunks: DataFrame, dim: int = DENSE_DIM, parents: DataFrame | None = None) -> dict:
+def build_index(chunks: DataFrame, dim: int = DENSE_DIM,
+                parents: DataFrame | Callable[[DataFrame], DataFrame] | None = None) -> dict:
     """Retrieval index: chunk payloads with a hash per token, from which both vector forms follow.
 
     ``chunks``: (chunk_id, text, source) plus either ``parent_text`` or
-    (doc_id, p_idx) with ``parents`` = (doc_id, p_idx, parent_text) stored once.
+    (doc_id, p_idx) with ``parents`` = (doc_id, p_idx, parent_text), or a function
+    that gives them for a table of ``doc_id`` (see ``rerank``).
     The chunks are written once to the shared checkpoint folder (the stand-in
     for the vector store), so searches read it instead of recomputing the
     chunking lineage for every consumer.  ``buckets`` are the compact dense
@@ -174,8 +177,26 @@ def build_index(chunks: DataFrame, dim: int = DENSE_DIM, parents: DataFrame | No
             "postings": stored.select("chunk_id", hashed(X.SPARSE_BUCKETS, "int").alias("idx"))}
 
 
+class Steps(Mapping):
+    """The frames of a search by name; each is made when it is first asked for."""
+
+    def __init__(self, **makers: Callable[[Steps], DataFrame]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name](self)
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def hybrid_search(chunks, queries: DataFrame, prefetch: int = X.PREFETCH_K, fused_k: int = X.FUSED_K,
-                  dim: int = DENSE_DIM, scorer=None) -> dict:
+                  dim: int = DENSE_DIM, scorer=None) -> Mapping[str, DataFrame]:
     """End-to-end hybrid retrieval for a table of queries.
 
     ``chunks``: (chunk_id, text, parent_text, source), or an index from
@@ -183,27 +204,35 @@ def hybrid_search(chunks, queries: DataFrame, prefetch: int = X.PREFETCH_K, fuse
     Returns the intermediate frames and ``answers`` = (query_id, context): the
     formatted contexts joined by a blank line, an empty string when every
     candidate was filtered out, a fixed message when nothing was retrieved.
+    A frame is worked out when it is asked for, with those it needs.
     """
     index = chunks if isinstance(chunks, dict) else build_index(chunks, dim)
-    payload = index["chunks"]
     qtext = queries.select("query_id", F.col("query").alias("text"))
-    asked = qtext.select("query_id", token_buckets(F.col("text"), index["dim"]).alias("buckets"))
-    dense = dense_topk(index["buckets"], asked, prefetch, vec_col="buckets", qvec_col="buckets",
-                       bucket_dim=index["dim"], asked_dim=index["dim"])
-    sparse = sparse_topk(index["postings"], sparse_postings(qtext, "query_id"), prefetch)
-    fused = rrf_fuse(dense, sparse, fused_k)
-    ranked = rerank(fused, queries, payload, scorer, parents=index.get("parents"))
-    ctx = distinct_contexts(ranked)
-    lines = ctx.select("query_id", "context_rank",
-                       context_line(F.col("parent_text"), F.col("source"), F.col("rerank_score")).alias("line"))
-    joined = lines.groupBy("query_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("context_rank", "line"))),
-                                 lambda x: x["line"]), "\n\n").alias("_ctx"))
-    had_hits = fused.select("query_id").distinct().withColumn("_hit", F.lit(True))
-    answers = (queries.select("query_id").join(had_hits, "query_id", "left").join(joined, "query_id", "left")
-               .select("query_id", F.when(F.col("_hit").isNull(), F.lit(X.NO_HITS_MESSAGE))
-                       .otherwise(F.coalesce(F.col("_ctx"), F.lit(""))).alias("context")))
-    return {"dense": dense, "sparse": sparse, "fused": fused, "ranked": ranked, "contexts": ctx, "answers": answers}
+
+    def dense(_):
+        asked = qtext.select("query_id", token_buckets(F.col("text"), index["dim"]).alias("buckets"))
+        return dense_topk(index["buckets"], asked, prefetch, vec_col="buckets", qvec_col="buckets",
+                          bucket_dim=index["dim"], asked_dim=index["dim"])
+
+    def answers(of):
+        lines = of["contexts"].select("query_id", "context_rank",
+                                      context_line(F.col("parent_text"), F.col("source"), F.col("rerank_score")).alias("line"))
+        joined = lines.groupBy("query_id").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("context_rank", "line"))),
+                                     lambda x: x["line"]), "\n\n").alias("_ctx"))
+        had_hits = of["fused"].select("query_id").distinct().withColumn("_hit", F.lit(True))
+        return (queries.select("query_id").join(had_hits, "query_id", "left").join(joined, "query_id", "left")
+                .select("query_id", F.when(F.col("_hit").isNull(), F.lit(X.NO_HITS_MESSAGE))
+                        .otherwise(F.coalesce(F.col("_ctx"), F.lit(""))).alias("context")))
+
+    return Steps(
+        dense=dense,
+        sparse=lambda _: sparse_topk(index["postings"], sparse_postings(qtext, "query_id"), prefetch),
+        # a few rows per question that several steps read: both searches run once
+        fused=lambda of: cut_lineage(rrf_fuse(of["dense"], of["sparse"], fused_k)),
+        ranked=lambda of: rerank(of["fused"], queries, index["chunks"], scorer, parents=index.get("parents")),
+        contexts=lambda of: distinct_contexts(of["ranked"]),
+        answers=answers)
 
 
 def _best_of_fn(sids: np.ndarray, smat: np.ndarray, k: int, id_col: str, vec_col: str):

@@ -43,3 +43,32 @@ def test_min_score_and_no_hits(spark):
     empty = chunks.limit(0)
     ans2 = R.hybrid_search(empty, qs)["answers"].collect()
     assert all(r["context"] == X.NO_HITS_MESSAGE for r in ans2)
+
+
+def test_a_search_works_out_only_what_is_asked_for(spark, monkeypatch):
+    chunks = spark.createDataFrame([(1, "alpha beta", "alpha beta", "s")], "chunk_id long, text string, parent_text string, source string")
+    qs = spark.createDataFrame([(2, "alpha")], "query_id long, query string")
+
+    def unwanted(*_, **__):
+        raise AssertionError("not asked for")
+
+    monkeypatch.setattr(R, "rerank", unwanted)
+    monkeypatch.setattr(R, "dense_topk", unwanted)
+    assert [r["chunk_id"] for r in R.hybrid_search(chunks, qs)["sparse"].collect()] == [1]
+
+
+def test_parents_are_made_for_documents_of_candidates_only(spark):
+    chunks = spark.createDataFrame([(1, 10, 0, "alpha", "s"), (2, 20, 0, "beta", "s"), (3, None, 0, "alpha", "s")],
+                                   "chunk_id long, doc_id long, p_idx long, text string, source string")
+    parents = spark.createDataFrame([(10, 0, "A"), (20, 0, "B")], "doc_id long, p_idx long, parent_text string")
+    qs = spark.createDataFrame([(7, "alpha")], "query_id long, query string")
+    fused = spark.createDataFrame([(7, 1, 1), (7, 3, 2)], "query_id long, chunk_id long, rank long")
+    asked = []
+
+    def of(wanted):
+        asked.extend(r["doc_id"] for r in wanted.collect())
+        return parents.join(wanted, "doc_id", "left_semi")
+
+    rows = lambda p: [tuple(r) for r in R.rerank(fused, qs, chunks, parents=p).select("chunk_id", "parent_text", "rerank_pos").collect()]
+    assert rows(of) == rows(parents) == [(1, "A", 1)]
+    assert set(asked) == {10, None}
