@@ -39,6 +39,7 @@ _DECAY = 0.6  # weight of a subsequence for each skipped character
 _SPAN = 6  # greatest distance of its first and last character
 _FLOOR = 0.35  # similarity that counts as none
 _SYMBOLS = 33
+_BLOCK_WORDS = 2_000  # compared with the landmarks at once; each word's similarities are its own
 _START = 32
 _GAPPED = 0.1  # weight of made-up sentences with one character put into a toxic word, as a part of all toxic sentences
 _STEPS = [(a, b) for a in range(1, _SPAN) for b in range(1, _SPAN + 1 - a)]
@@ -82,16 +83,18 @@ def fold(buf: np.ndarray, off: np.ndarray) -> Words:
     solid = _SOLID[buf]
     s, e, ptr = tk.words(solid, off)
     code = _FOLD[buf]
-    count = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(code > 0, out=count[1:])
-    size = count[e] - count[s]
+    count = np.zeros(len(buf) + 1, np.int32)  # one number per byte: narrow ones, since workers share an executor's memory
+    np.cumsum(code > 0, dtype=np.int32, out=count[1:])
+    size = (count[e] - count[s]).astype(np.int64)
+    del count
     doc = tk.doc_of(ptr)
-    line = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(buf == 10, out=line[1:])
+    line = np.zeros(len(buf) + 1, np.int32)
+    np.cumsum(buf == 10, dtype=np.int32, out=line[1:])
     closes = np.isin(buf[e - 1], np.frombuffer(b".!?", np.uint8)) if len(e) else np.zeros(0, bool)
     cut = np.ones(len(s), bool)
     if len(s):
         cut[1:] = (doc[1:] != doc[:-1]) | (line[s[1:]] != line[s[:-1]]) | (closes[:-1] & (size[:-1] != 1))
+    del line
     sentence = np.cumsum(cut) - 1
     keep = size > 0
     s, size, doc, sentence = s[keep], size[keep], doc[keep], sentence[keep]
@@ -176,7 +179,7 @@ class Landmarks:
         self.count = np.bincount(code, minlength=_SYMBOLS ** 3)
         self.first = np.cumsum(self.count) - self.count
 
-    def __call__(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = _BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the words that resemble a landmark, and their similarities above the floor (0 to 1)."""
         parts = [self._block(symbols, starts[a:a + block], ends[a:a + block]) for a in range(0, len(starts), block)]
         near = [n + i * block for i, (n, _) in enumerate(parts)]

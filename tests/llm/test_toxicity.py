@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -106,3 +107,20 @@ def test_query_held_out(llm):
     held = [(rows[i]["score"], y) for i, y in labels.items() if rows[i]["held_out"]]
     pairs = [(a > b) + (a == b) / 2 for a, x in held for b, y in held if x == 1 and y == 0]
     assert sum(pairs) / len(pairs) > 0.8
+
+
+def test_a_chunk_takes_little_memory():
+    """Two megabytes of short words: what folding and comparing hold at once, beyond the text."""
+    rnd = np.random.default_rng(3)
+    stems = ["".join(chr(97 + c) for c in rnd.integers(0, 12, n)) for n in rnd.integers(3, 9, 40_000)]
+    text = " ".join(stems[i] for i in rnd.integers(0, len(stems), 300_000))
+    buf, off = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    marks = tx.Landmarks(stems[:128])
+    tx.sentence_features(tx.fold(buf[:1000], np.array([0, 1000])), marks)  # tables made once
+    peaks = []
+    for step in (lambda: tx.fold(buf, off), lambda w=tx.fold(buf, off): tx.sentence_features(w, marks)):
+        tracemalloc.start()
+        step()
+        peaks.append(tracemalloc.get_traced_memory()[1] / len(buf))
+        tracemalloc.stop()
+    assert peaks[0] < 26 and peaks[1] < 34  # bytes per byte of text
