@@ -11,7 +11,8 @@ count, smallest and largest weight of every (bucket, level).
   reaches the floor has, in at least one bucket, a product of at least
   floor / ceiling of that bucket's largest one (if all were smaller, their sum
   would be below the floor).  So only the levels that reach this share are read.
-* Chunks found that way are scored in full from their own postings.
+* Chunks found that way are scored in full from their own postings, in tiles: no
+  (question, chunk) pair is a row before the best of a tile are known.
 
 Weights are positive; the result is that of ``retrieval.sparse_topk``.
 """
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rivulet.operators.cells import ranked
+from rivulet.operators.retrieval import sparse_topk
 from rivulet.session import cut_lineage
 
 BLOCK_POSTINGS = 65_536
@@ -58,15 +59,16 @@ def levels_to_read(directory: DataFrame, question_postings: DataFrame, k: int) -
 
 
 def pruned_topk(index: dict, question_postings: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best chunks per question by dot product: (query_id, chunk_id, score, rank)."""
+    """The ``k`` best chunks per question by dot product: (query_id, chunk_id, score, rank).
+
+    Chunks found for any question are one row each, whatever number of
+    questions found them; they meet the questions in tiles, where the products
+    are summed in place.  Scoring a chunk for a question that did not find it
+    cannot change that question's best ones.
+    """
     q = cut_lineage(question_postings.select("query_id", "idx", "weight"))
-    levels = levels_to_read(index["directory"], q, k)
-    wanted = levels.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    found = (index["blocks"].join(wanted.select("query_id", "idx", "level", "part"), ["idx", "level", "part"])
-             .select("query_id", "chunk_id").distinct())
-    # a question's few terms travel with it as a map, so that postings meet it by chunk alone and stay where they are
-    terms = q.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("_terms"))
-    product = F.try_element_at("_terms", F.col("idx")) * F.col("weight")
-    scores = (index["forward"].join(found.join(terms, "query_id"), "chunk_id").withColumn("_p", product)
-              .filter(F.col("_p").isNotNull()).groupBy("query_id", "chunk_id").agg(F.sum("_p").alias("score")))
-    return ranked(scores, k)
+    wanted = levels_to_read(index["directory"], q, k).select("idx", "level").distinct()
+    found = index["blocks"].join(wanted, ["idx", "level"], "left_semi").select("chunk_id").distinct()
+    # postings of buckets that no question names add nothing to a product
+    named = index["forward"].join(q.select("idx").distinct(), "idx", "left_semi")
+    return sparse_topk(cut_lineage(named.join(found, "chunk_id", "left_semi")), q, k)

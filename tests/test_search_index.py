@@ -155,3 +155,12 @@ def test_pruned_search_without_hits_or_input(spark):
     assert postings.pruned_topk(postings.build_blocks(p.limit(0)), asked, 5).count() == 0
     few = postings.pruned_topk(postings.build_blocks(p), asked.withColumn("idx", F.lit(0).cast("long")), 100)
     assert few.count() == 50  # fewer chunks than asked for: no floor, everything is read
+
+
+def test_pruned_search_makes_no_row_per_question_and_chunk(spark):
+    """Chunks found by many questions are one row each until the best of a tile are known."""
+    p = skewed_postings(spark, 300)
+    asked = spark.createDataFrame([(q, 0, 1.0) for q in range(40)], "query_id long, idx long, weight double")
+    plan = postings.pruned_topk(postings.build_blocks(p), asked, 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan
+    assert not [line for line in plan.splitlines() if "Aggregate [query_id" in line and "chunk_id" in line]
