@@ -13,26 +13,36 @@ Training sees each word without itself, as a word that is new.
 On top, a mixture of three ways to write the next word is adapted along each
 text: repeat a word of this text, take a word of the training vocabulary, or
 spell one.  Its shares start from what the corpus says of new words (the share
-of words seen once) and follow the text by online Bayesian updates, so the
-score of a text is a proper probability.
+of words seen once) and follow the text by online Bayesian updates.
+
+Two more predictors look at the one and the two words before, and give a word
+its count there, less a discount, over the count of the context.  At every
+word of every text they are mixed with the ways above by logistic gates over
+the logits of both contexts.  The weights of the gates start from what the
+training texts say of contexts seen so often (each word without itself, by the
+counts of its block) and learn online along the text.  Every part is a
+distribution or less, so the score of a text is a proper probability.
 
 Spelling depends on the word alone, so it is worked out once per distinct word
-of the corpus, not once per occurrence: tasks send their distinct words with
-counts (pre-aggregated), each word is scored once, and the scores return to the
-tasks' documents.  What is gathered grows with the corpus; only the bit tables
-are of fixed size (``2 ** table_bits`` slots each) and are broadcast.
+of the corpus.  Each block of documents asks for the counts of its distinct
+words and words in context by keys (hashes), packed and shuffled by the keys'
+first bits; the sums over the whole corpus, and the spellings, return to the
+blocks in the order of the keys.  A word's key is its 64-bit hash; keys in
+context grow with the corpus so that few share one (``_CHECK_BITS``).  What is
+gathered grows with the corpus; only the bit tables are of fixed size
+(``2 ** table_bits`` slots each) and are broadcast.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +51,7 @@ from rivulet.llm.catalog import query
 from rivulet.llm.common import crc_part, partitions, prepare, stored, table
 
 TABLE_BITS = 18
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 ORDERS = (1, 2, 3, 4, 6)
 _N = len(ORDERS) + 2  # predictors: byte orders and beginning, both by distinct words; beginning by occurrences
 _CLOSE, _END = 0x20, 0x0A
@@ -50,6 +60,14 @@ _STEPS = 24  # quantised logits of the refining table
 _LOWER = tk.lower_table(tk.ASCII_SPACE)
 _PLACES = 16  # places in a text, by powers of two, that have shares of their own
 _REPEAT = 0.4  # share of repeating that texts approach as they get long
+_TRUSTS = 16  # gates of a context of words, by powers of two of how often it was seen
+_RATIOS = 40
+_MISSES = 32.0  # words that every gate has predicted wrongly before it has seen any
+_SPELL_BYTES = 160_000  # bytes whose bits are worked on at a time
+_STRIDE = 16  # words between two steps of a text's weights
+_RATE = 0.02
+_PART_BITS, _PART_SHIFT = 5, 23  # parts of the keys: 32 at least, and one for every 8 to 16 MB of text
+_CHECK_BITS = 10  # bits that a key has more than the number of bytes of text
 _SHARE_PRIOR = 32.0  # words that the corpus shares of the three ways count for at the start of a text
 
 
@@ -114,14 +132,19 @@ class Speller:
             if k in ORDERS:
                 contexts.append(tk.mix64(h))
         begin = tk.hash_spans(buf, start[word], np.arange(len(buf)))
-        contexts += [tk.mix64(begin + np.uint64(101))] * 2
+        contexts.append(tk.mix64(begin + np.uint64(101)))
         times = self.size[buf]
         at = np.repeat(np.arange(len(buf)), times)
         step = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-        node = self.nodes[buf[at], step].astype(np.uint64)
+        node = self.nodes[buf[at], step].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         slots = np.empty((_N, len(at)), np.int64)
-        for i, c in enumerate(contexts):
-            slots[i] = (tk.mix64(c[at] ^ (node * np.uint64(0xD6E8FEB86659FD93))) >> np.uint64(64 - self.table_bits)).astype(np.int64)
+        for i, c in enumerate(contexts):  # contexts are mixed already, so a product is enough to spread their nodes
+            slot = c[at]
+            slot ^= node
+            slot *= np.uint64(0x9E3779B97F4A7C15)
+            slot >>= np.uint64(64 - self.table_bits)
+            slots[i] = slot.view(np.int64)
+        slots[_N - 1] = slots[_N - 2]
         return Bits(word[at], self.bits[buf[at], step], slots)
 
 
@@ -139,13 +162,16 @@ class Model:
         n = len(bits.value)
         x = np.empty((_N + 1, n), np.float32)
         gate = np.zeros(n, np.int64)
-        one = bits.value == 1
+        less = np.zeros((2, n, 2), np.float32) if own.any() else None
+        if less is not None:
+            less[0, np.arange(n), bits.value] = np.minimum(own, 1)
+            less[1, np.arange(n), bits.value] = own
         for i in range(_N):
-            table, slot = self.counts[i], bits.slots[i] * 2
-            c0, c1 = table[slot], table[slot + 1]
-            less = own if i == _N - 1 else np.minimum(own, 1)
-            c1 = np.maximum(c1 - np.where(one, less, 0), 0).astype(np.float32)
-            c0 = np.maximum(c0 - np.where(one, 0, less), 0).astype(np.float32)
+            c = self.counts[i].reshape(-1, 2).take(bits.slots[i], axis=0)
+            if less is not None:
+                c -= less[int(i == _N - 1)]
+                np.maximum(c, 0, out=c)
+            c0, c1 = c[:, 0], c[:, 1]
             x[i] = np.log((c1 + np.float32(0.2)) / (c0 + np.float32(0.2)))
             if i < _N - 1:
                 gate += (c0 + c1 > 1) * (1 if i < len(ORDERS) else 6)
@@ -153,7 +179,8 @@ class Model:
         return x, np.minimum(gate, _GATES - 1)
 
     def probability(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(np.einsum("ij,ji->i", self.weights[gate], x), -12, 12)))
+        z = np.einsum("ij,ji->i", self.weights.astype(np.float32)[gate], x).astype(float)
+        return 1 / (1 + np.exp(-np.clip(z, -12, 12)))
 
     def refined(self, p: np.ndarray, gate: np.ndarray) -> np.ndarray:
         c = self.refine[gate, _step(p)]
@@ -172,8 +199,48 @@ def _step(p: np.ndarray) -> np.ndarray:
     return np.clip((z + 12) * (_STEPS / 24), 0, _STEPS - 1).astype(np.int64)
 
 
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys of ``bits`` bits, and the keys in it."""
+    n = len(key).bit_length()
+    if bits + n > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    both = np.sort(key.astype(np.uint64) << np.uint64(n) | np.arange(len(key), dtype=np.uint64))  # several times faster
+    return (both & np.uint64((1 << n) - 1)).astype(np.int64), both >> np.uint64(n)
+
+
+def _begins(ordered: np.ndarray) -> np.ndarray:
+    """Whether a row is the first with its key."""
+    out = np.ones(len(ordered), bool)
+    out[1:] = ordered[1:] != ordered[:-1]
+    return out
+
+
+def _zip(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unzip(body: bytes) -> bytes:
+    return pa.decompress(body[8:], int.from_bytes(body[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Unsigned integers in as many bytes as the largest needs, all first bytes before all second ones."""
+    x = x.astype("<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _widen(body: bytes) -> np.ndarray:
+    width = body[0]
+    raw = np.frombuffer(body, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((raw.shape[1], 8), np.uint8)
+    out[:, :width] = raw.T
+    return out.view("<u8").reshape(-1)
+
+
 def _blocks(id_type):
-    """Words of each block of documents with counts, and the documents as word numbers."""
+    """Each block of documents as a row of its words, texts (as word numbers) and sizes, and a row per document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         task = TaskContext.get().partitionId() << 24
@@ -181,30 +248,110 @@ def _blocks(id_type):
             buf, off = tk.text_buffer(chunk["text"])
             norm = _LOWER[buf]
             s, e, ptr = tk.words(norm, off)
-            _, first, inverse = np.unique(tk.hash_spans(norm, s, e), return_index=True, return_inverse=True)
-            inverse = inverse.ravel().astype(np.int32)
+            sort, ordered = _sorted(tk.hash_spans(norm, s, e), 64)
+            begin = _begins(ordered)
+            first = sort[begin]
+            inverse = np.empty(len(sort), np.int64)
+            inverse[sort] = np.cumsum(begin) - 1
+            rank = np.argsort(-np.bincount(inverse, minlength=len(first)), kind="stable")  # frequent words have small numbers
+            place = np.empty(len(rank), np.int64)
+            place[rank] = np.arange(len(rank))
+            first = first[rank]
             held = chunk["held"].to_numpy(zero_copy_only=False)
-            n = np.diff(ptr)
-            train = np.bincount(inverse[~np.repeat(held, n)], minlength=len(first)).astype(np.int64)
-            words = tk.pieces(norm, s[first], e[first])
-            packed = np.ascontiguousarray(inverse.view(np.uint8).reshape(-1, 4)[:, :3])  # a block has fewer than 2**24 words
-            docs = [packed[a:b].tobytes() for a, b in zip(ptr[:-1].tolist(), ptr[1:].tolist(), strict=True)]
-            size = pa.array(np.diff(off))
-            block, w, d = task + number, len(words), len(docs)
-            for a in range(0, w, 50_000):  # the word's number in its block is its place in this order
-                k = len(words[a:a + 50_000])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, block)), pa.array(np.arange(a, a + k)), pa.array(words[a:a + k], pa.binary()),
-                     pa.array(train[a:a + k]), pa.nulls(k, id_type), pa.nulls(k, pa.bool_()), pa.nulls(k, pa.int64())], _NAMES)
-            for a in range(0, d, 500):
-                k = len(docs[a:a + 500])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, block)), pa.nulls(k, pa.int64()), pa.array(docs[a:a + k], pa.binary()), pa.nulls(k, pa.int64()),
-                     chunk["doc_id"].combine_chunks()[a:a + k], pa.array(held[a:a + k]), size[a:a + k]], _NAMES)
+            d = len(held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([task + number]), pa.array([None], pa.int64()), pa.array([_zip(_narrow(place[inverse]))], pa.binary()),
+                 pa.array([_zip(b" ".join(tk.pieces(norm, s[first], e[first])))], pa.binary()),
+                 pa.array([_zip(_narrow(np.diff(ptr) * 2 + held))], pa.binary()), pa.nulls(1, id_type), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.int64())], _NAMES)
+            none, size = pa.nulls(d, pa.binary()), pa.array(np.diff(off))
+            rows = pa.RecordBatch.from_arrays([pa.array(np.full(d, task + number)), pa.array(np.arange(d)), none, none, none,
+                                               chunk["doc_id"].combine_chunks(), pa.array(held), size], _NAMES)
+            yield from (rows.slice(a, 2000) for a in range(0, d, 2000))
+    return run
+
+
+_NAMES = ["block", "number", "body", "words", "docs", "doc_id", "held", "size"]
+
+
+def _hashes(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buffer, starts, ends and hashes of words joined by spaces."""
+    buf = np.frombuffer(joined, np.uint8)
+    norm = np.where(buf == _CLOSE, np.uint8(0), buf)
+    s, e, _ = tk.words(norm, np.array([0, len(norm)]))
+    return norm, s, e, tk.hash_spans(norm, s, e)
+
+
+class Texts:
+    """The texts of a block as one run of word numbers."""
+
+    def __init__(self, body: bytes, words: bytes, docs: bytes):
+        self.norm, self.start, self.end, self.hashes = _hashes(_unzip(words))
+        self.word = _widen(_unzip(body)).astype(np.int64)
+        size = _widen(_unzip(docs)).astype(np.int64)  # twice the number of words, and one if held out
+        self.held, size = size % 2 == 1, size // 2
+        self.ptr = np.concatenate([[0], np.cumsum(size)])
+        self.doc = tk.doc_of(self.ptr)
+        self.place = np.arange(len(self.word)) - self.ptr[self.doc]
+        self.train = ~self.held[self.doc]
+
+    def grams(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Words with one and with two words before them: where they are, and a key of ``bits`` bits for word and context."""
+        h = self.hashes[self.word]
+        for order in (1, 2):
+            at = np.flatnonzero(self.place >= order)
+            key = h[at - order]
+            for back in range(order - 1, -1, -1):
+                key = tk.mix64(key * np.uint64(0x9E3779B97F4A7C15) + h[at - back])
+            yield at, key >> np.uint64(64 - bits)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Texts]]:
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.column("block")[i].as_py(), Texts(*(b.column(c)[i].as_py() for c in ("body", "words", "docs")))
+
+
+def _parts(keys: np.ndarray, bits: int, part_bits: int) -> Iterator[tuple[int, slice]]:
+    """Ascending keys, cut by their first bits."""
+    part = (keys >> np.uint64(bits - part_bits)).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(part[a]), slice(a, b)
+
+
+def _gaps(keys: np.ndarray, base: int) -> bytes:
+    return _narrow(np.diff(keys, prepend=np.uint64(base)))
+
+
+def _ungaps(body: bytes, base: int) -> np.ndarray:
+    return np.cumsum(_widen(body), dtype=np.uint64) + np.uint64(base)
+
+
+def _word_parts(part_bits: int):
+    """The distinct words of each block with their counts in training, by the first bits of their hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in _read(batches):
+            train = np.bincount(t.word[t.train], minlength=len(t.hashes))
+            order = np.argsort(t.hashes)
+            words = tk.pieces(t.norm, t.start[order], t.end[order])
+            rows: list[tuple] = []
+            for part, at in _parts(t.hashes[order], 64, part_bits):
+                rows.append((part, _zip(b" ".join(words[at])), _narrow(train[order[at]])))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                                                 ["part", "words", "train"])
     return run
 
 
-_NAMES = ["block", "number", "body", "train", "doc_id", "held", "size"]
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for group in tk.groups(batches, ["part"]):
+        norm, s, e, h = _hashes(b" ".join(_unzip(w.as_py()) for w in group["words"]))
+        train = np.concatenate([_widen(c.as_py()) for c in group["train"]])
+        _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
+        total = np.bincount(inverse.ravel(), train, len(first)).astype(np.int64)
+        for a in range(0, len(first), 50_000):
+            at = first[a:a + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(tk.pieces(norm, s[at], e[at]), pa.binary()), pa.array(total[a:a + 50_000])], ["word", "train"])
 
 
 def _bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,11 +368,25 @@ def _spelt(words: list[bytes]) -> list[bytes]:
     return [w + bytes([_CLOSE]) for w in words]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], limit: int = 8000) -> Iterator[tuple[pa.RecordBatch, list[bytes], np.ndarray]]:
-    for b in batches:
-        for a in range(0, b.num_rows, limit):
-            part = b.slice(a, limit)
-            yield part, _spelt(part.column("word").to_pylist()), part.column("train").to_numpy()
+def _batches(batches: Iterator[pa.RecordBatch], limit: int = 16_000) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Words to spell and their counts, ``limit`` words or ``_SPELL_BYTES`` at a time (one word at least)."""
+    held: list[pa.RecordBatch] = []
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            held.append(b)
+            if sum(x.num_rows for x in held) < limit:
+                continue
+        if not held:
+            continue
+        words = _spelt([w for x in held for w in x.column("word").to_pylist()])
+        count = np.concatenate([x.column("train").to_numpy() for x in held])
+        held = []
+        size = np.cumsum([0, *map(len, words)])
+        a = 0
+        while a < len(words):
+            to = min(a + limit, max(a + 1, int(np.searchsorted(size, size[a] + _SPELL_BYTES, side="right")) - 1))
+            yield words[a:to], count[a:to]
+            a = to
 
 
 def _count_bits(speller):
@@ -233,11 +394,10 @@ def _count_bits(speller):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots = 1 << speller.value.table_bits
         total = np.zeros((_N, slots * 2))
-        for _, words, c in _batches(batches):
+        for words, c in _batches(batches):
             bits = speller.value(words)
             for i in range(_N):
-                weight = c if i == _N - 1 else np.minimum(c, 1)
-                total[i] += np.bincount(bits.slots[i] * 2 + bits.value, weight[bits.word], slots * 2)
+                total[i] += np.bincount(bits.slots[i] * 2 + bits.value, c[bits.word] if i == _N - 1 else None, slots * 2)
         flat = total.ravel().astype("<u4")
         parts = np.split(flat, _N * 8)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
@@ -263,10 +423,10 @@ def _train(model):
         w, seen = m.weights.copy(), np.zeros(_GATES)
         curve = np.tile(np.eye(_N + 1) * 5.0, (_GATES, 1, 1))
         total = np.zeros(_GATES * _STEPS * 2)
-        for _, words, c in _batches(batches, 512):
+        for words, c in _batches(batches, 512):
             bits = m.speller(words)
             x, gate = m.predictions(bits, c[bits.word])
-            order = np.argsort(gate, kind="stable")
+            order = np.argsort(gate.astype(np.int8), kind="stable")
             cut = np.searchsorted(gate[order], np.arange(_GATES + 1))
             for g in range(_GATES):
                 at = order[cut[g]:cut[g + 1]]
@@ -315,102 +475,266 @@ def fit(vocabulary: DataFrame, table_bits: int = TABLE_BITS) -> Model:
     return model
 
 
-def _spell_all(model):
+def _known(key: np.ndarray, bits: int, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often training has the key of each row, and these counts by distinct key."""
+    order, ordered = _sorted(key, bits)
+    first = _begins(ordered)
+    which = np.cumsum(first) - 1
+    total = np.bincount(which, train[order], int(first.sum())).astype(np.int64)
+    out = np.empty(len(key), np.int64)
+    out[order] = total[which]
+    return out, total
+
+
+def _gate(n: np.ndarray) -> np.ndarray:
+    """Number of the gate of a context that was seen ``n`` times."""
+    return np.minimum(np.log2(np.maximum(n, 1)).astype(np.int64), _TRUSTS - 1)
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task's texts say of the predictors by one and by two words before.
+
+    Each training word is predicted by the rest of its block.  Rows count how
+    many times likelier the context made it than the model below (powers of
+    two, none first), by gate, and the distinct contexts seen once and twice.
+    """
+    ratios = np.zeros((2, _TRUSTS, _RATIOS))
+    rare = np.zeros((2, 2))
+    for _, t in _read(batches):
+        tokens = max(int(t.train.sum()), 1)
+        count = np.bincount(t.word[t.train], minlength=len(t.hashes))[t.word]
+        below = np.maximum(count - 1, 0.5) / tokens
+        bits = 64 - len(t.word).bit_length()
+        for k, (at, key) in enumerate(t.grams(bits)):
+            seen = np.zeros(len(t.word), np.int64)
+            seen[at], total = _known(key, bits, t.train[at])
+            rare[k] += (total == 1).sum(), (total == 2).sum()
+            use = at[t.train[at]]
+            n = count[use - 1] - 1
+            use, n = use[n > 0], n[n > 0]
+            c = seen[use] - 1
+            ratio = np.maximum(c - 0.5, 0) / n / below[use]
+            bin_ = np.where(c > 0, np.clip(np.log2(np.maximum(ratio, 1e-9)).astype(np.int64) + 8, 1, _RATIOS - 1), 0)
+            ratios[k] += np.bincount(_gate(n) * _RATIOS + bin_, minlength=_TRUSTS * _RATIOS).reshape(_TRUSTS, _RATIOS)
+            both = np.zeros(len(t.word))
+            both[use] = np.maximum(c - 0.5, 0) / n
+            below, count = (below + both) / 2, seen
+    flat = np.concatenate([ratios.ravel(), rare.ravel()])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["at", "n"])
+
+
+@dataclass
+class Contexts:
+    """How far the predictors by one and by two words before are trusted at the start of a text, and what is off their counts."""
+
+    trust: np.ndarray  # (2, gates), logits
+    off: np.ndarray  # of each count, by order
+
+
+def contexts(blocks: DataFrame) -> Contexts:
+    """The trusts under which the training words of all blocks are likeliest, each seen without itself."""
+    rows = _summed(blocks.mapInArrow(_evidence, "at long, n double"), ["at"], ["n"])
+    flat = np.zeros(2 * _TRUSTS * _RATIOS + 4)
+    flat[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    ratios, rare = flat[:-4].reshape(2, _TRUSTS, _RATIOS), flat[-4:].reshape(2, 2)
+    ratios[:, :, 0] += _MISSES
+    r = np.concatenate([[0.0], 2.0 ** (np.arange(1, _RATIOS) - 7.5)])
+    low, high = np.full((2, _TRUSTS, 1), 0.001), np.full((2, _TRUSTS, 1), 0.999)
+    for _ in range(40):
+        mid = (low + high) / 2
+        up = (ratios * (r - 1) / (1 - mid + mid * r)).sum(2, keepdims=True) > 0
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    share = low[:, :, 0]
+    off = rare[:, 0] / np.maximum(rare[:, 0] + 2 * rare[:, 1], 1)
+    return Contexts(np.log(share / (1 - share)), np.clip(off, 0.1, 0.95))
+
+
+def _ask(bits: int, part_bits: int):
+    """Keys of each block's words, and of words with one and two words before, with their counts in it, by their first bits."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words, _ in _batches(batches):
-            lp = model.value.spell(words, np.zeros(len(words), np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("word"), part.column("train"), pa.array(lp)], ["word", "train", "spelt"])
+        for block, t in _read(batches):
+            yield _asked(block, 1, np.sort(t.hashes), None, 64, part_bits)
+            for order, (at, key) in enumerate(t.grams(bits), 2):
+                both = np.sort(key << np.uint64(1) | t.train[at].astype(np.uint64))
+                key = both >> np.uint64(1)
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+                count = np.add.reduceat(both & np.uint64(1), first) if len(key) else key
+                yield _asked(block, order, key[first], count, bits, part_bits)
     return run
 
 
-def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers, counts and spellings of a task's words, packed by block."""
-    held: list[np.ndarray] = []
-    for b in batches:
-        row = np.empty(b.num_rows, [("block", np.int64), ("number", np.int32), ("count", np.float32), ("spelt", np.float32)])
-        for name in row.dtype.names:
-            row[name] = b.column(name).to_numpy()
-        held.append(row)
-        if sum(map(len, held)) > 1_000_000:
-            yield _packed(held)
-            held = []
-    if held:
-        yield _packed(held)
-
-
-def _packed(held: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.concatenate(held)
-    rows = rows[np.argsort(rows["block"], kind="stable")]
-    cut = np.flatnonzero(np.concatenate([[True], rows["block"][1:] != rows["block"][:-1], [True]])) if len(rows) else np.zeros(1, np.int64)
-    body = [rows[["number", "count", "spelt"]][a:b].astype([("n", "<i4"), ("c", "<f4"), ("s", "<f4")]).tobytes()
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(rows["block"][cut[:-1]]), pa.array(body, pa.binary())], ["block", "body"])
-
-
-class Block:
-    """The documents of a block as one run of word numbers, with what each of the three ways says of every word."""
-
-    def __init__(self, group: pa.Table):
-        is_doc = group["size"].is_valid()
-        self.docs = group.filter(is_doc)
-        raw, _ = tk.text_buffer(group.filter(pa.compute.invert(is_doc))["body"])
-        words = raw.view([("n", "<i4"), ("c", "<f4"), ("s", "<f4")])
-        self.count, self.spelt = np.zeros(len(words)), np.zeros(len(words))
-        self.count[words["n"]], self.spelt[words["n"]] = words["c"], words["s"]
-        buf, off = tk.text_buffer(self.docs["body"])
-        wide = np.zeros((len(buf) // 3, 4), np.uint8)
-        wide[:, :3] = buf.reshape(-1, 3)
-        self.word, self.ptr = wide.reshape(-1).view(np.int32).astype(np.int64), off // 3
-        self.doc = tk.doc_of(self.ptr)
-        self.place = np.arange(len(self.word)) - self.ptr[self.doc]
-        key = self.doc * max(1, len(self.count)) + self.word
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(key) else np.zeros(0, np.int64)
-        self.before = np.empty(len(key))
-        self.before[order] = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+def _asked(block: int, order: int, keys: np.ndarray, count: np.ndarray | None, bits: int, part_bits: int, spelt: np.ndarray | None = None) -> pa.RecordBatch:
+    part, body, n, s = [], [], [], []
+    for p, at in _parts(keys, bits, part_bits):
+        part.append(p)
+        body.append(_gaps(keys[at], p << (bits - part_bits)))
+        n.append(None if count is None else _narrow(count[at]))
+        s.append(None if spelt is None else spelt[at].astype("<f4").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(part), order)), pa.array(part, pa.int64()), pa.array(np.full(len(part), block)),
+                                       pa.array(body, pa.binary()), pa.array(n, pa.binary()), pa.array(s, pa.binary())], _ASKED)
+
+
+_ASKED = ["order", "part", "block", "keys", "n", "spelt"]
+_ASK_TYPE = "order long, part long, block long, keys binary, n binary, spelt binary"
+
+
+def _spell_all(model, part_bits: int):
+    """Counts and spellings of the vocabulary, packed by the first bits of the words' hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for words, c in _batches(batches):
+            held.append((_hashes(b"".join(words))[3], c, model.value.spell(words, np.zeros(len(words), np.int64))))
+            if sum(len(h[1]) for h in held) > 400_000:
+                yield _vocabulary(held, part_bits)
+                held = []
+        if held:
+            yield _vocabulary(held, part_bits)
+    return run
+
+
+def _vocabulary(held: list[tuple], part_bits: int) -> pa.RecordBatch:
+    key, c, spelt = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(key)
+    return _asked(-1, 1, key[order], c[order], 64, part_bits, spelt[order])
+
+
+def _answer(bits: int, part_bits: int):
+    """Counts of the whole corpus, and spellings of words, for the keys that each block asked for, in their order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in tk.groups(batches, ["order", "part"]):
+            order, part = group["order"][0].as_py(), group["part"][0].as_py()
+            base = part << ((64 if order == 1 else bits) - part_bits)
+            block = group["block"].to_numpy()
+            keys = [_ungaps(b.as_py(), base) for b in group["keys"]]
+            asked = np.flatnonzero(block >= 0)
+            cut = np.cumsum([0, *(len(keys[i]) for i in asked)])
+            key = np.concatenate([np.zeros(0, np.uint64), *(keys[i] for i in asked)])
+            spelt = None
+            if order == 1:
+                known = np.flatnonzero(block < 0)
+                vocabulary = np.concatenate([keys[i] for i in known])
+                sort = np.argsort(vocabulary)
+                to = sort[np.searchsorted(vocabulary[sort], key)]
+                count = np.concatenate([_widen(group["n"][i].as_py()) for i in known.tolist()])[to]
+                spelt = np.concatenate([np.frombuffer(group["spelt"][i].as_py(), "<f4") for i in known.tolist()])[to]
+            else:
+                count, _ = _known(key - np.uint64(base), bits - part_bits, np.concatenate([_widen(group["n"][i].as_py()) for i in asked.tolist()]))
+            body = [_narrow(count[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            more = [None if spelt is None else spelt[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            k = len(asked)
+            yield pa.RecordBatch.from_arrays([pa.array(block[asked]), pa.array(np.full(k, order)), pa.array(np.full(k, part)),
+                                              pa.array(body, pa.binary()), pa.array(more, pa.binary())], ["block", "order", "part", "body", "words"])
+    return run
+
+
+class Block(Texts):
+    """The texts of a block, with what each predictor says of every word."""
+
+    def __init__(self, group: pa.Table, bits: int):
+        order = group["order"].to_numpy()
+        first = int(np.flatnonzero(order == 0)[0])
+        super().__init__(*(group[c][first].as_py() for c in ("body", "words", "docs")))
+        docs = group.filter(pa.array(order == 4))
+        self.docs = docs.take(pa.array(np.argsort(docs["number"].to_numpy())))
+        rows = [np.flatnonzero(order == k).tolist() for k in (1, 2, 3)]
+        sort = np.argsort(self.hashes)
+        self.count, self.spelt = np.zeros(len(sort)), np.zeros(len(sort))
+        if rows[0]:
+            self.count[sort] = np.concatenate([_widen(group["body"][i].as_py()) for i in rows[0]])
+            self.spelt[sort] = np.concatenate([np.frombuffer(group["words"][i].as_py(), "<f4") for i in rows[0]])
+        self.seen = [self.count[self.word]]  # how often training has each word, with one word before it, and with two
+        for k, (at, key) in zip(rows[1:], self.grams(bits), strict=True):
+            seen = np.zeros(len(self.word))
+            if k:
+                sort, ordered = _sorted(key, bits)
+                seen[at[sort]] = np.concatenate([_widen(group["body"][i].as_py()) for i in k])[np.cumsum(_begins(ordered)) - 1]
+            self.seen.append(seen)
+        numbers = max(1, len(self.count))
+        sort, ordered = _sorted(self.doc * numbers + self.word, (len(self.ptr) * numbers).bit_length())
+        first = np.flatnonzero(_begins(ordered))
+        self.before = np.empty(len(sort))
+        self.before[sort] = np.arange(len(sort)) - np.repeat(first, np.diff(np.append(first, len(sort))))
         self.bucket = np.minimum(np.log2(self.place + 1).astype(np.int64), _PLACES - 1)
 
     def ways(self, count: np.ndarray, tokens: int) -> np.ndarray:
         """Natural-log probability of each word by repeating, by vocabulary and by spelling."""
         with np.errstate(divide="ignore"):
-            return np.stack([np.log(self.before / np.maximum(self.place, 1)), np.log(count / max(tokens, 1))[self.word], self.spelt[self.word]], 1)
+            return np.stack([np.log(self.before / np.maximum(self.place, 1)), np.log(count / max(tokens, 1))[self.word], self.spelt[self.word]])
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """Sum over each document of a value per word."""
-        run = np.zeros((len(x) + 1, *x.shape[1:]))
-        np.cumsum(x, axis=0, out=run[1:])
-        return run[self.ptr[1:]] - run[self.ptr[:-1]]
+        return np.bincount(self.doc, x, len(self.ptr) - 1)
 
     def adapted(self, p: np.ndarray, shares: np.ndarray) -> np.ndarray:
         """Natural-log probability of each word by the mixture, whose shares follow the words of the text so far.
 
         ``p`` holds logs, and stays in logs: the spelling of a long word is far below the least float.
         """
-        start = shares[self.bucket]
-        top = p.max(1, keepdims=True)  # spelling is never impossible, so this is finite
+        top = p.max(0)  # spelling is never impossible, so this is finite
+        start = shares.T.take(self.bucket, axis=1)
         p = np.exp(p - top)
         r = p * start
-        r /= np.maximum(r.sum(1, keepdims=True), 1e-300)
-        run = np.zeros((len(r) + 1, 3))
-        np.cumsum(r, axis=0, out=run[1:])
-        now = run[:-1] - run[self.ptr[self.doc]] + start * _SHARE_PRIOR
-        return top[:, 0] + np.log((p * now).sum(1) / now.sum(1))
-
-
-def _score(tokens: int, distinct: int, ends: int, shares: np.ndarray):
+        r /= np.maximum(r.sum(0), 1e-300)
+        run = np.zeros((3, r.shape[1] + 1))
+        np.cumsum(r, axis=1, out=run[:, 1:])
+        now = run[:, :-1] - run.take(self.ptr[self.doc], axis=1)
+        start *= _SHARE_PRIOR
+        now += start
+        return top + np.log((p * now).sum(0) / now.sum(0))
+
+    def mixed(self, below: np.ndarray, known: Contexts) -> np.ndarray:
+        """Natural-log probability of each word when the predictors by one and two words before are mixed with ``below``.
+
+        Each predictor is trusted by a logistic gate over the logits of both
+        contexts.  Its weights start from what the corpus says of contexts seen
+        so often and follow the text: after every ``_STRIDE`` words a step up
+        the gradient of their probability.
+        """
+        n = np.zeros((2, len(below)))
+        for k in (0, 1):
+            n[k, k + 1:] = np.where(self.place[k + 1:] > k, self.seen[k][k:-1], 0)
+        there = n > 0
+        p = np.maximum(np.stack(self.seen[1:]) - known.off[:, None], 0) / np.maximum(n, 1)
+        trust = np.where(there, np.stack([known.trust[k][_gate(n[k])] for k in (0, 1)]), 0)
+        with np.errstate(divide="ignore"):
+            logs = np.concatenate([np.log(p), below[None]])
+        top = logs.max(0)
+        scaled = np.exp(logs - top)
+        size = np.diff(self.ptr)
+        order = np.argsort(-size, kind="stable")
+        weights = np.zeros((len(size), 2, 3))
+        weights[:, 0, 0] = weights[:, 1, 1] = 1
+        out = np.zeros(len(below))
+        ends = np.sort(size)
+        step = np.arange(_STRIDE)
+        for a in range(0, int(size.max(initial=0)), _STRIDE):
+            d = order[:len(size) - int(np.searchsorted(ends, a, side="right"))]
+            inside = a + step < size[d][:, None]
+            at = np.where(inside, self.ptr[d][:, None] + a + step, 0)
+            x = np.stack([trust[0][at], trust[1][at], np.ones(at.shape)])
+            s = 1 / (1 + np.exp(-np.clip(np.einsum("dki,idw->kdw", weights[d], x), -12, 12))) * there[:, at]
+            one, two, none = scaled[:, at]
+            lower = s[0] * one + (1 - s[0]) * none
+            total = s[1] * two + (1 - s[1]) * lower
+            out[at[inside]] = np.log(total[inside])
+            slope = np.stack([(1 - s[1]) * s[0] * (1 - s[0]) * (one - none), s[1] * (1 - s[1]) * (two - lower)]) / total * inside
+            weights[d] += _RATE * np.einsum("kdw,idw->dki", slope, x)
+        return top + out
+
+
+def _score(tokens: int, distinct: int, ends: int, shares: np.ndarray, known: Contexts, bits: int):
     """Documents of each block, scored with the counts and spellings of its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = min((ends + 1) / (tokens + 2), 0.5)  # before each word, a text ends or goes on
         end_base = np.log10((ends + 1) / (tokens + distinct + 1))
         for group in tk.groups(batches, ["block"]):
-            b = Block(group)
+            b = Block(group, bits)
             n = np.diff(b.ptr)
             base = np.log10((b.count + 1) / (tokens + distinct + 1))[b.word]
-            mixed = b.adapted(b.ways(b.count, tokens), shares) / np.log(10)
-            known = b.sums((b.count > 0)[b.word].astype(float)).astype(np.int64)
+            mixed = b.mixed(b.adapted(b.ways(b.count, tokens), shares), known) / np.log(10)
+            seen = b.sums((b.count > 0)[b.word].astype(float)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.docs["doc_id"].combine_chunks(), b.docs["held"].combine_chunks(), pa.array(n + 1), pa.array(known + int(ends > 0)),
+                [b.docs["doc_id"].combine_chunks(), pa.array(b.held), pa.array(n + 1), pa.array(seen + int(ends > 0)),
                  pa.array(np.full(len(n), tokens)), pa.array(b.sums(base) + end_base),
                  pa.array(b.sums(mixed) + n * np.log10(1 - end) + np.log10(end)), b.docs["size"].combine_chunks()],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
@@ -440,22 +764,28 @@ def lm_scores(docs: DataFrame, held: F.Column, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held"))
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    blocks = stored(rows.mapInArrow(_blocks(id_type), f"block long, number long, body binary, train long, doc_id {kind}, held boolean, size long"))
-    words = blocks.where("number is not null")
-    vocabulary = stored(words.groupBy(F.col("body").alias("word")).agg(F.sum("train").alias("train")))
-    texts = blocks.where("number is null").agg(F.count_if(~F.col("held")).alias("n")).first()["n"]
+    stores = stored(rows.mapInArrow(_blocks(id_type), f"block long, number long, body binary, words binary, docs binary, doc_id {kind}, held boolean, size long"))
+    blocks = stores.where("number is null").select("block", "body", "words", "docs")
+    seen = stores.agg(F.sum("size").alias("bytes"), F.count_if(~F.col("held")).alias("train")).first()
+    sizes, texts = seen["bytes"] or 0, seen["train"]
+    part_bits = max(_PART_BITS, (sizes >> _PART_SHIFT).bit_length())
+    packed = blocks.mapInArrow(_word_parts(part_bits), "part long, words binary, train binary")
+    vocabulary = stored(packed.repartition(partitions(spark), "part").sortWithinPartitions("part").mapInArrow(_distinct_words, "word binary, train long"))
     size = vocabulary.agg(F.sum("train").alias("n"), F.count_if(F.col("train") > 0).alias("v"),
                           F.count_if(F.col("train") == 1).alias("once")).first()
     tokens, distinct = (size["n"] or 0) + texts, size["v"] + (texts > 0)
+    bits = min(sizes.bit_length() + _CHECK_BITS, 62)
     model = fit(vocabulary, table_bits)
-    spelt = vocabulary.mapInArrow(_spell_all(spark.sparkContext.broadcast(model)), "word binary, train long, spelt double")
-    joined = words.select("block", "number", "body").join(spelt, F.col("body") == F.col("word")).select(
-        "block", "number", F.col("train").alias("count"), "spelt")
-    known = joined.mapInArrow(_pack_words, "block long, body binary").select(
-        "block", "body", F.lit(None).cast(kind).alias("doc_id"), F.lit(None).cast("boolean").alias("held"), F.lit(None).cast("long").alias("size"))
-    texts_of = blocks.where("number is null").select("block", "body", "doc_id", "held", "size")
-    ordered = texts_of.union(known).repartition(partitions(spark), "block").sortWithinPartitions("block")
-    out = ordered.mapInArrow(_score(tokens, distinct, texts, _shares(size["once"] / max(1, tokens))),
+    known = contexts(blocks)
+    spelt = vocabulary.mapInArrow(_spell_all(spark.sparkContext.broadcast(model), part_bits), _ASK_TYPE)
+    asked = blocks.mapInArrow(_ask(bits, part_bits), _ASK_TYPE).union(spelt)
+    answers = asked.repartition(partitions(spark), "order", "part").sortWithinPartitions("order", "part").mapInArrow(
+        _answer(bits, part_bits), "block long, order long, part long, body binary, words binary")
+    order = F.when(F.col("number").isNull(), 0).otherwise(4).cast("long").alias("order")
+    parts = stores.select("block", order, F.lit(0).cast("long").alias("part"), "body", "words", "docs", "number", "doc_id", "size").unionByName(
+        answers, allowMissingColumns=True)
+    ordered = parts.repartition(partitions(spark), "block").sortWithinPartitions("block", "order", "part")
+    out = ordered.mapInArrow(_score(tokens, distinct, texts, _shares(size["once"] / max(1, tokens)), known, bits),
                              f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long")
     return out.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score",
                       (-F.col("score") * np.log2(10.0) / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
