@@ -3,7 +3,9 @@
 * ``scored_tiles``: the corpus lies in tiles and the questions in blocks, both
   of bounded size; a task scores one block against one tile in steps, and a group
   limit per question merges the winners.  Only the tiles a question asks for meet it.
-* ``all_products``: the same for sparse rows, by their dot product.
+* ``all_products``: the same for sparse rows, by their dot product.  Counts are whole
+  numbers: near cosines in single precision tell which pairs are worked out exactly
+  (``Counted``), and products are bounded by the lengths of both sides (``Counts``).
 * ``build_cells``: k-means cells over unit vectors.  Centroids are fitted on a
   bounded sample, every row is assigned, and a cell keeps its radius: the
   largest distance of a row from the centroid.  A large cell is cut into tiles.
@@ -33,6 +35,10 @@ BLOCK_ROWS = 16_384
 STEP_ROWS = 8192       # of a tile, scored at once
 STEP_QUESTIONS = 512   # of a block, scored at once
 STEP_PRODUCTS = 2_000_000
+TASK_SHARE = 12        # partitions a core, at most three a group, so that groups fall into different ones
+FIRST_ROWS = 1024      # longest rows of a tile, which give the first floors
+PAIR_PRODUCTS = 400    # cells of a matrix product in the time of one product by itself
+COLUMN_PAIRS = 0.1     # products by themselves, a row, in the time that a matrix column takes besides
 MATRIX_BUCKETS = 512   # buckets of the questions that are scored as a matrix
 MAX_CELLS = 1024
 SAMPLE_ROWS = 16_384
@@ -89,15 +95,23 @@ def matrix_of(values: np.ndarray, row: np.ndarray, lengths: np.ndarray, rows: in
     return m
 
 
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the few places that are set, by one pass along the whole mask."""
+    return np.divmod(np.flatnonzero(mask), max(1, mask.shape[1]))
+
+
 class Winners:
-    """The ``k`` best rows of every question so far.  Rows are offered in the order of their ids, so an equal score comes too late."""
+    """The ``k`` best rows of every question so far; of equal scores the smaller ids."""
 
     def __init__(self, questions: int, k: int):
-        self.k, self.floor = k, np.full(questions, -np.inf)
-        self.row, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.k, self.floor, self.n = k, np.full(questions, -np.inf), np.zeros(questions, np.int64)
+        self.id, self.score = np.zeros((questions, k), np.int64), np.zeros((questions, k))
 
     def offer(self, first: int, ids: np.ndarray, scores: np.ndarray, valid: np.ndarray | None = None) -> None:
-        """``scores`` of the questions from ``first`` on (rows) for these ids (columns); only ``valid`` ones count."""
+        """``scores`` of the questions from ``first`` on (rows) for these ids (columns), in the order of their ids; only ``valid`` ones count.
+
+        An equal score comes too late.
+        """
         floor = self.floor[first:first + len(scores)]
         if scores.shape[1] > self.k and np.isneginf(floor).any():
             shown = scores if valid is None else np.where(valid, scores, -np.inf)
@@ -105,21 +119,66 @@ class Winners:
             keep = (scores > floor[:, None]) & (scores >= at_least[:, None])
         else:
             keep = scores > floor[:, None]
-        row, col = np.nonzero(keep if valid is None else keep & valid)
+        row, col = places(keep if valid is None else keep & valid)
+        self.add(row + first, ids[col], scores[row, col])
+
+    def add(self, row: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """(question, id, score) rows in any order; only the questions named are sorted again."""
         if not len(row):
             return
-        rows, at, score = (np.concatenate(x) for x in ((self.row, row + first), (self.id, ids[col]), (self.score, scores[row, col])))
+        touched = np.unique(row)
+        old = np.repeat(touched, self.n[touched])
+        place = np.arange(len(old)) - np.searchsorted(old, old)
+        rows, at, score = (np.concatenate(x) for x in ((old, row), (self.id[old, place], ids), (self.score[old, place], score)))
         order = np.lexsort((at, -score, rows))
         rows = rows[order]
         place = np.arange(len(rows)) - np.searchsorted(rows, rows)
         order, rows, place = order[place < self.k], rows[place < self.k], place[place < self.k]
-        self.row, self.id, self.score = rows, at[order], score[order]
+        self.id[rows, place], self.score[rows, place] = at[order], score[order]
+        self.n[touched] = np.bincount(np.searchsorted(touched, rows), minlength=len(touched))
         last = place == self.k - 1
-        self.floor[rows[last]] = self.score[last]
+        self.floor[rows[last]] = score[order][last]
 
     def table(self, query_ids: np.ndarray) -> pa.Table:
-        return pa.table({"query_id": pa.array(query_ids[self.row], pa.int64()), "chunk_id": pa.array(self.id, pa.int64()),
-                         "score": pa.array(self.score, pa.float64())})
+        row, place = np.nonzero(np.arange(self.k) < self.n[:, None])
+        return pa.table({"query_id": pa.array(query_ids[row], pa.int64()), "chunk_id": pa.array(self.id[row, place], pa.int64()),
+                         "score": pa.array(self.score[row, place], pa.float64())})
+
+
+class Counted:
+    """Cosines of count vectors: near values in single precision tell which pairs may be among the best, and these are worked out exactly.
+
+    Components are whole numbers, so the products worked out pair by pair are those of a matrix product.
+    """
+
+    def __init__(self, asked: np.ndarray):
+        self.asked, self.norm = asked, np.sqrt((asked * asked).sum(axis=1))
+        self.unit = unit(asked).astype(np.float32)
+        # rounding of the sum of the products of two unit vectors, and of the values and limits themselves
+        self.slack = (asked.shape[1] + 8) * float(np.finfo(np.float32).eps)
+
+    def offer(self, best: Winners, ids: np.ndarray, m: np.ndarray, one: np.ndarray) -> None:
+        """Rows with these ids, in their order; ``one`` is the row of ``m`` that each of them has."""
+        norm, rows = np.sqrt((m * m).sum(axis=1)), unit(m).astype(np.float32)
+        held = np.empty((STEP_QUESTIONS, len(rows)), np.float32)
+        for first in range(0, len(self.asked), STEP_QUESTIONS):
+            floor = best.floor[first:first + STEP_QUESTIONS]
+            near = np.matmul(self.unit[first:first + STEP_QUESTIONS], rows.T, out=held[:len(floor)])
+            if len(rows) < len(ids):
+                near = near[:, one]
+            limit = floor - self.slack
+            if len(ids) > best.k and np.isneginf(floor).any():
+                at_least = np.partition(near, len(ids) - best.k, axis=1)[:, len(ids) - best.k]
+                limit = np.maximum(limit, at_least - 2 * self.slack)
+            limit[(self.norm[first:first + STEP_QUESTIONS] == 0) & (floor >= 0)] = np.inf  # all scores of theirs are 0
+            row, col = places(near >= limit.astype(np.float32)[:, None])
+            for a in range(0, len(row), STEP_ROWS):
+                r, c = row[a:a + STEP_ROWS], col[a:a + STEP_ROWS]
+                both = self.norm[first + r] * norm[one[c]]
+                dots = np.einsum("ij,ij->i", self.asked[first + r], m[one[c]])
+                score = np.divide(dots, both, out=np.zeros(len(r)), where=both > 0)
+                better = score > floor[r]
+                best.add(first + r[better], ids[c[better]], score[better])
 
 
 def _score_tile(k: int, dim: int | None, asked_dim: int | None, merged: bool):
@@ -130,6 +189,7 @@ def _score_tile(k: int, dim: int | None, asked_dim: int | None, merged: bool):
             return best.table(qids)
         values, lengths = lists_of(block["vec"])
         asked = matrix_of(values, np.repeat(np.arange(len(qids)), lengths), lengths, len(qids), asked_dim)
+        counted = Counted(asked) if dim is not None and dim == asked_dim and merged else None
         values, lengths = lists_of(tile["vec"])
         end = np.cumsum(lengths)
         order = np.argsort(ids, kind="stable")
@@ -145,6 +205,10 @@ def _score_tile(k: int, dim: int | None, asked_dim: int | None, merged: bool):
             if merged:
                 distinct, one = np.unique(sorted_ids[a:b], return_inverse=True)
                 m = matrix_of(values[at], np.repeat(one, n), n, len(distinct), dim)
+                if counted:
+                    counted.offer(best, sorted_ids[a:b], m, one)
+                    a = b
+                    continue
             else:
                 m = matrix_of(values[at], np.repeat(one, n), n, b - a, dim)
             width = max(m.shape[1], asked.shape[1])
@@ -200,6 +264,107 @@ class Products:
         return scores
 
 
+class Counts:
+    """Dot products of whole-number questions with counted rows, longest rows first.
+
+    A product is at most that of both lengths (Cauchy-Schwarz), so a question
+    takes part only as long as the rows still to come may reach its ``k``-th
+    score.  Buckets that many questions and many rows of a step share are
+    summed as a matrix, the others one by one, by what either costs.
+    """
+
+    def __init__(self, idx: np.ndarray, row: np.ndarray, weight: np.ndarray, questions: int):
+        self.idx, place = np.unique(idx, return_inverse=True)
+        order = np.argsort(row, kind="stable")
+        self.row, self.place, self.weight = row[order], place[order], weight[order]
+        self.n = np.bincount(row, minlength=questions)
+        self.start = np.cumsum(self.n) - self.n
+        # weights of a bucket that a question names more than once add up
+        named, at = np.unique(self.row * max(1, len(self.idx)) + self.place, return_inverse=True)
+        total = np.bincount(at, self.weight, len(named))
+        self.norm = np.sqrt(np.bincount(named // max(1, len(self.idx)), total * total, questions))
+        self.local = np.full(len(self.idx), -1)
+
+    def rows(self, ids: np.ndarray, idx: np.ndarray, row: np.ndarray) -> None:
+        """The rows that share a bucket with a question, by falling length of what they share; a row's postings lie together."""
+        at = np.minimum(np.searchsorted(self.idx, idx), max(len(self.idx) - 1, 0))
+        meets = self.idx[at] == idx if len(self.idx) else np.zeros(len(idx), bool)
+        key, count = np.unique(row[meets] * max(1, len(self.idx)) + at[meets], return_counts=True)
+        row, place = np.divmod(key, max(1, len(self.idx)))
+        square = np.bincount(row, count * count.astype(float), len(ids))
+        order = np.argsort(-square, kind="stable")[:np.count_nonzero(square)]
+        n = np.bincount(row, minlength=len(ids))
+        take, self.length = (np.cumsum(n) - n)[order], n[order]
+        self.end = np.cumsum(self.length)
+        take = np.repeat(take - (self.end - self.length), self.length) + np.arange(self.end[-1] if len(order) else 0)
+        self.ids, self.size = ids[order], np.sqrt(square[order])
+        self.post_row, self.post_place, self.count = np.repeat(np.arange(len(order)), self.length), place[take], count[take]
+        # whole numbers below 2**24 are exact in single precision
+        highest = self.norm.max(initial=0) * self.size.max(initial=0)
+        self.kind = np.float32 if highest < 1 << 24 else np.float64
+
+    def best(self, best: Winners) -> None:
+        reach = self.norm * (1 + MARGIN)
+        a, wide = 0, FIRST_ROWS
+        while a < len(self.ids):
+            active = np.flatnonzero((self.norm > 0) & (reach * self.size[a] >= best.floor))
+            if not len(active):
+                return  # no later row is longer
+            b = min(a + wide, len(self.ids))
+            for first in range(0, len(active), STEP_QUESTIONS):
+                questions = active[first:first + STEP_QUESTIONS]
+                self._offer(best, questions, self._scores(questions, a, b), a, b)
+            a, wide = b, STEP_ROWS
+
+    def _offer(self, best: Winners, questions: np.ndarray, scores: np.ndarray, a: int, b: int) -> None:
+        limit = np.maximum(best.floor[questions], np.finfo(self.kind).tiny)
+        few = np.flatnonzero(best.n[questions] < best.k)
+        if b - a > best.k and len(few):
+            limit[few] = np.maximum(limit[few], np.partition(scores[few], b - a - best.k, axis=1)[:, b - a - best.k])
+        # rows come in any order of ids: an equal score may count
+        row, col = places(scores >= limit.astype(self.kind)[:, None])
+        score, ids, q = scores[row, col].astype(float), self.ids[a:b][col], questions[row]
+        new = (score > best.floor[q]) | (ids < best.id[q, -1])
+        best.add(q[new], ids[new], score[new])
+
+    def _scores(self, questions: np.ndarray, a: int, b: int) -> np.ndarray:
+        n, rows = self.n[questions], b - a
+        own = np.repeat(np.arange(len(questions)), n)
+        take = np.repeat(self.start[questions] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        named, which, many = np.unique(self.place[take], return_inverse=True, return_counts=True)
+        weight = self.weight[take]
+        self.local[named] = np.arange(len(named))
+        of = slice(self.end[a] - self.length[a], self.end[b - 1])
+        place = self.local[self.post_place[of]]
+        self.local[named] = -1
+        met = place >= 0
+        place, row, count = place[met], self.post_row[of][met] - a, self.count[of][met]
+        held = np.bincount(place, minlength=len(named))
+        # in products worked out one by one: a bucket's pairs against its share of a matrix product and its column
+        column = np.full(len(named), -1)
+        dense = np.flatnonzero(many * held > rows * (len(questions) / PAIR_PRODUCTS + COLUMN_PAIRS))
+        dense = dense[np.argsort(-many[dense] * held[dense], kind="stable")[:MATRIX_BUCKETS]]
+        column[dense] = np.arange(len(dense))
+        asked, given = np.zeros((len(questions), len(dense)), self.kind), np.zeros((len(dense), rows), self.kind)
+        m = column[which] >= 0
+        np.add.at(asked, (own[m], column[which[m]]), weight[m].astype(self.kind))
+        m = column[place] >= 0
+        given[column[place[m]], row[m]] = count[m]
+        scores = asked @ given
+        place, row, count = place[~m], row[~m], count[~m]
+        by = np.argsort(which, kind="stable")
+        first, each = (np.cumsum(many) - many)[place], many[place]
+        total, cells = np.cumsum(each), scores.ravel()
+        done = 0
+        while done < len(place):  # a bounded number of pairs at once
+            to = max(int(np.searchsorted(total, (total[done - 1] if done else 0) + STEP_PRODUCTS, side="right")), done + 1)
+            c = each[done:to]
+            pair = by[np.repeat(first[done:to] - (np.cumsum(c) - c), c) + np.arange(c.sum())]
+            np.add.at(cells, own[pair] * rows + np.repeat(row[done:to], c), (weight[pair] * np.repeat(count[done:to], c)).astype(self.kind))
+            done = to
+        return scores
+
+
 def _score_postings(k: int):
     """Dot products of sparse rows: chunks (lists ``idx``, weights or counted) against questions (lists ``idx`` and ``weight``)."""
     def run(tile: pa.Table, block: pa.Table) -> pa.Table:
@@ -212,6 +377,11 @@ def _score_postings(k: int):
             weight = lists_of(tile["weight"])[0].astype(float)
         asked, qn = lists_of(block["idx"])
         asked_weight, asked_row = lists_of(block["weight"])[0].astype(float), np.repeat(np.arange(len(qids)), qn)
+        if "weight" not in tile.column_names and bool(((asked_weight > 0) & (asked_weight == np.floor(asked_weight))).all()):
+            counts = Counts(asked, asked_row, asked_weight, len(qids))
+            counts.rows(ids, idx, row)
+            counts.best(best)
+            return best.table(qids)
         signed = bool((weight <= 0).any() or (asked_weight <= 0).any())
         order = np.argsort(row, kind="stable")
         idx, row, weight = idx[order], row[order], weight[order]
@@ -236,9 +406,17 @@ def _score_postings(k: int):
     return run
 
 
-def met_tiles(tiles: DataFrame, asked: DataFrame, n_blocks: int, score) -> DataFrame:
-    """``score`` of every tile and every block of the questions that ask for it."""
+def met_tiles(tiles: DataFrame, asked: DataFrame, n_blocks: int, score, n_tiles: int | None = None) -> DataFrame:
+    """``score`` of every tile and every block of the questions that ask for it; ``n_tiles`` set: all ask for all tiles."""
     a = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    if n_tiles is not None:  # no join, and so one shuffle, of the corpus
+        blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+        # the work is that of the products, not of the bytes by which partitions would be put together
+        spark = tiles.sparkSession
+        busy = max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASK_SHARE * spark.sparkContext.defaultParallelism)
+        parts = max(1, min(3 * n_tiles * n_blocks, busy))
+        t, a = (x.repartition(parts, "tile", "block") for x in (tiles.withColumn("block", blocks), a))
+        return t.groupBy("tile", "block").cogroup(a.groupBy("tile", "block")).applyInArrow(score, CANDIDATES)
     met = a.select("tile", F.col("block").alias("_block")).distinct()
     # every column under a new name, so that rows which ask themselves are told apart from those asked
     rest = [c for c in tiles.columns if c != "tile"]
@@ -247,12 +425,12 @@ def met_tiles(tiles: DataFrame, asked: DataFrame, n_blocks: int, score) -> DataF
 
 
 def scored_tiles(tiles: DataFrame, asked: DataFrame, n_blocks: int, k: int, dim: int | None,
-                 asked_dim: int | None = None, merged: bool = False) -> DataFrame:
+                 asked_dim: int | None = None, merged: bool = False, n_tiles: int | None = None) -> DataFrame:
     """The ``k`` best rows per question and tile; ``tiles`` (tile, chunk_id, vec), ``asked`` (tile, query_id, vec).
 
     ``merged``: rows that share an id are scored by the sum of their vectors.
     """
-    return met_tiles(tiles, asked, n_blocks, _score_tile(k, dim, asked_dim, merged))
+    return met_tiles(tiles, asked, n_blocks, _score_tile(k, dim, asked_dim, merged), n_tiles)
 
 
 def ranked(candidates: DataFrame, k: int) -> DataFrame:
@@ -284,8 +462,9 @@ def all_topk(corpus: DataFrame, questions: DataFrame, k: int, dim: int | None =
     copied once per tile, the corpus once per block of questions.  ``dim`` or
     ``asked_dim`` set: vectors of that side are lists of bucket indexes.
     """
-    tiles, asked = dealt(corpus, questions, tiles_for(corpus, tile_rows))
-    return ranked(scored_tiles(tiles, asked, blocks_for(questions.count(), block_rows), k, dim, asked_dim, merged), k)
+    n_tiles = tiles_for(corpus, tile_rows)
+    tiles, asked = dealt(corpus, questions, n_tiles)
+    return ranked(scored_tiles(tiles, asked, blocks_for(questions.count(), block_rows), k, dim, asked_dim, merged, n_tiles), k)
 
 
 def all_products(corpus: DataFrame, questions: DataFrame, k: int, tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -294,8 +473,9 @@ def all_products(corpus: DataFrame, questions: DataFrame, k: int, tile_rows: int
     ``corpus`` (chunk_id, idx) with every list counted, or (chunk_id, idx,
     weight); ``questions`` (query_id, idx, weight).  Rows that share an id add up.
     """
-    tiles, asked = dealt(corpus, questions, tiles_for(corpus, tile_rows))
-    return ranked(met_tiles(tiles, asked, blocks_for(questions.count(), block_rows), _score_postings(k)), k)
+    n_tiles = tiles_for(corpus, tile_rows)
+    tiles, asked = dealt(corpus, questions, n_tiles)
+    return ranked(met_tiles(tiles, asked, blocks_for(questions.count(), block_rows), _score_postings(k), n_tiles), k)
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:

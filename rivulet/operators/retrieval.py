@@ -93,9 +93,14 @@ def rrf_fuse(dense: DataFrame, sparse: DataFrame, k: int = X.FUSED_K, rrf_k: int
 
 def overlap_score(query: Column, text: Column) -> Column:
     """Model-free pair score: share of the query's distinct tokens present in the text."""
-    qt = F.array_distinct(tokens(query))
-    hit = F.size(F.array_intersect(qt, F.array_distinct(tokens(text))))
-    return F.when(F.size(qt) > 0, hit / F.size(qt)).otherwise(F.lit(0.0))
+    return overlap_share(F.array_distinct(tokens(query)), F.array_distinct(tokens(text)))
+
+
+def overlap_share(asked: Column, words: Column) -> Column:
+    """Share of the distinct words ``asked`` that are among ``words``."""
+    # the set is made of the second list, the shorter one as a rule
+    hit = F.size(F.array_intersect(words, asked))
+    return F.when(F.size(asked) > 0, hit / F.size(asked)).otherwise(F.lit(0.0))
 
 
 def score_pairs_with(scorer: Callable[[list, list], np.ndarray]):
@@ -115,19 +120,22 @@ def rerank(fused: DataFrame, queries: DataFrame, chunks: DataFrame, scorer=None,
     for the candidates only (J6); otherwise ``chunks`` carries it.  A function
     gets the ``doc_id`` of the candidates and gives the parents of these documents.
     """
-    f = fused.select("query_id", id_col, F.col("rank").alias("fused_rank"))
-    if parents is None:
-        payload = chunks.select(id_col, "text", "parent_text", "source")
-    else:
-        payload = chunks.select(id_col, "doc_id", "p_idx", "text", "source")
-    # the candidates are few: read back with a known size, they meet the texts and the parents where those lie
-    j = cut_lineage(payload.join(cut_lineage(f), id_col))
+    f = cut_lineage(fused.select("query_id", id_col, F.col("rank").alias("fused_rank")))
+    payload = chunks.select(id_col, "text", "source", *(["parent_text"] if parents is None else ["doc_id", "p_idx"]))
+    # many questions find the same chunk: its words are taken, and its parent is looked up, once
+    found = payload.join(f.select(id_col).distinct(), id_col, "left_semi")
+    found = cut_lineage(found if scorer else found.withColumn("_words", F.array_distinct(tokens(F.col("text")))))
     if parents is not None:
-        found = parents(j.select("doc_id").distinct()) if callable(parents) else parents
-        j = cut_lineage(found.select("doc_id", "p_idx", "parent_text").join(j, ["doc_id", "p_idx"])).drop("doc_id", "p_idx")
-    j = j.join(queries.select("query_id", "query"), "query_id")
-    score = (scorer or overlap_score)(F.col("query"), F.col("text"))
-    j = j.withColumn("rerank_score", score.cast("double"))
+        own = parents(found.select("doc_id").distinct()) if callable(parents) else parents
+        found = cut_lineage(own.select("doc_id", "p_idx", "parent_text").join(found, ["doc_id", "p_idx"])).drop("doc_id", "p_idx")
+    asked = queries.select("query_id", "query")
+    if scorer:
+        j = found.join(f, id_col).join(asked, "query_id")
+        score = scorer(F.col("query"), F.col("text"))
+    else:
+        j = found.join(f, id_col).join(asked.withColumn("_asked", F.array_distinct(tokens(F.col("query")))), "query_id")
+        score = overlap_share(F.col("_asked"), F.col("_words"))
+    j = j.withColumn("rerank_score", score.cast("double")).drop("_asked", "_words")
     w = Window.partitionBy("query_id").orderBy(F.col("rerank_score").desc(), F.col("fused_rank").asc())
     return j.withColumn("rerank_pos", F.row_number().over(w).cast("bigint"))
 
